@@ -1,2 +1,147 @@
-QUERIES = {}
-ORACLES = {}
+"""Posterior draws: summaries, intervals, diagnostics and plot feeds."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cohortlens import standins
+from cohortlens.catalog.common import rounded
+from cohortlens.operators import posterior as P
+from cohortlens.oracle import base as o
+
+STATS = list(P.INTERVAL_STATS)
+
+
+def _wide(spark, sf):
+    return standins.draws_wide(spark, sf)
+
+
+def _long(spark, sf):
+    return P.to_long(_wide(spark, sf), standins.DRAW_VARIABLES)
+
+
+def _kept(spark, sf):
+    return _long(spark, sf).where(F.col("iteration") > standins.WARMUP_ITERATIONS)
+
+
+def exceedance_prob(spark, sf):
+    return P.exceedance(_kept(spark, sf), 0.5).select("variable", rounded("pval").alias("pval"))
+
+
+def posterior_interval(spark, sf):
+    return P.intervals(_kept(spark, sf), ["variable"]).select("variable", *[rounded(s).alias(s) for s in STATS])
+
+
+def posterior_interval_rows(spark, sf):
+    return P.interval_rows(_kept(spark, sf), ["chain", "variable"], {"M": 0.5, "CL": 0.025, "CU": 0.975}).select(
+        "chain", "variable", "stat", rounded("q").alias("q"))
+
+
+NUMBERS = ["mean", "median", "sd", "mad", "q5", "q95"]
+
+
+def draws_summary(spark, sf):
+    return P.draws_summary(_kept(spark, sf)).select("variable", "n", *[rounded(c).alias(c) for c in NUMBERS])
+
+
+def diagnostic_extremes(spark, sf):
+    s = P.draws_summary(_kept(spark, sf))
+    return s.agg(
+        rounded(F.min("sd")).alias("min_sd"), rounded(F.max("mad")).alias("max_mad"),
+        F.min_by("variable", "sd").alias("narrowest"), F.max("n").alias("n"))
+
+
+def split_rhat(spark, sf):
+    return P.split_rhat(_kept(spark, sf)).select("variable", rounded("rhat").alias("rhat"))
+
+
+def rank_rhat(spark, sf):
+    """R-hat of the normal scores of the ranks."""
+    return P.split_rhat(P.rank_normal(_kept(spark, sf))).select("variable", rounded("rhat").alias("rhat"))
+
+
+def diagnostics_table(spark, sf):
+    rhat = P.split_rhat(_kept(spark, sf)).withColumn("ess", F.lit(None).cast("double"))
+    flagged = _wide(spark, sf).where(F.col("iteration") > standins.WARMUP_ITERATIONS)
+    return P.diagnostics_by_model(rhat, flagged, "main").select(
+        "model", rounded("max_rhat").alias("max_rhat"), "num_divergent")
+
+
+def rhat_ess(spark, sf):
+    return P.diagnostics(_kept(spark, sf))
+
+
+def trace_feed(spark, sf):
+    return P.trace_feed(_long(spark, sf), standins.WARMUP_ITERATIONS, thin=4).select(
+        "chain", "iteration", "variable", "value", "warmup")
+
+
+def pair_bins(spark, sf):
+    kept = _wide(spark, sf).where(F.col("iteration") > standins.WARMUP_ITERATIONS)
+    return P.pair_bins(kept, standins.DRAW_VARIABLES, 0.25)
+
+
+QUERIES = {f.__name__: f for f in (
+    exceedance_prob, posterior_interval, posterior_interval_rows, draws_summary, diagnostic_extremes, split_rhat,
+    rank_rhat, diagnostics_table, rhat_ess, trace_feed, pair_bins,
+)}
+
+_KEPT = "kept AS (SELECT * FROM long WHERE iteration > 50)"
+_SUMMARY = """sm AS (SELECT variable, count(*) AS n, avg(value) AS mean, median(value) AS median, stddev_samp(value) AS sd,
+    1.4826e0 * median(abs(value - med)) AS mad, quantile_cont(value, 0.05) AS q5, quantile_cont(value, 0.95) AS q95
+  FROM (SELECT k.*, m.med FROM kept k JOIN (SELECT variable, median(value) AS med FROM kept GROUP BY variable) m USING (variable))
+  GROUP BY variable)"""
+
+
+def _rhat(source: str) -> str:
+    return f"""SELECT variable, sqrt(((n - 1) / n * within_v + between_m) / within_v) AS rhat FROM (
+        SELECT variable, avg(n) AS n, avg(v) AS within_v, var_samp(m) AS between_m FROM (
+          SELECT variable, chain, side, count(*) AS n, avg(value) AS m, var_samp(value) AS v FROM (
+            SELECT *, CASE WHEN iteration - lo < (hi - lo + 1) // 2 THEN 0
+                           WHEN iteration - lo >= (hi - lo + 1) - (hi - lo + 1) // 2 THEN 1 END AS side FROM (
+              SELECT *, min(iteration) OVER (PARTITION BY chain, variable) AS lo, max(iteration) OVER (PARTITION BY chain, variable) AS hi
+              FROM {source})) WHERE side IS NOT NULL GROUP BY variable, chain, side) GROUP BY variable)"""
+
+
+def _poly(coefficients, r: str) -> str:
+    out = repr(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out} * {r} + {c!r})"
+    return out.replace("e-", "e-")
+
+
+def _inverse_normal(p: str) -> str:
+    from cohortlens.functions.intervals import _CENTRAL, _TAIL
+
+    rc, rt = f"(0.180625e0 - ({p} - 0.5) * ({p} - 0.5))", f"(sqrt(-ln(least({p}, 1 - {p}))) - 1.6e0)"
+    return f"""CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * {_poly(_CENTRAL[0], rc)} / {_poly(_CENTRAL[1], rc)}
+        ELSE sign({p} - 0.5) * {_poly(_TAIL[0], rt)} / {_poly(_TAIL[1], rt)} END"""
+
+
+_RANKED = f"""scored AS (SELECT chain, iteration, variable, {_inverse_normal('p')} AS value FROM (
+    SELECT chain, iteration, variable, CAST(upto - (c - 1) / 2 - 0.375e0 AS DOUBLE) / (s + 0.25e0) AS p FROM (
+      SELECT *, count(*) OVER (PARTITION BY variable) AS s, count(*) OVER (PARTITION BY variable, value) AS c,
+        count(*) OVER (PARTITION BY variable ORDER BY value) AS upto FROM kept)))"""
+_PAIRS = [("b_exposureY", "b_baseline"), ("b_exposureY", "sigma"), ("b_baseline", "sigma"),
+          ("b_exposureY", "b_exposureY"), ("b_baseline", "b_baseline"), ("sigma", "sigma")]
+
+ORACLES = {
+    "exceedance_prob": o.on("draws", """SELECT variable, round(avg(CASE WHEN value > 0.5 THEN 1 ELSE 0 END), 6) AS pval
+        FROM kept GROUP BY variable""", _KEPT),
+    "posterior_interval": o.on("draws", "SELECT variable, " + ", ".join(
+        f'round(quantile_cont(value, {p}), 6) AS "{s}"' for s, p in P.INTERVAL_STATS.items()) + " FROM kept GROUP BY variable", _KEPT),
+    "posterior_interval_rows": o.on("draws", " UNION ALL ".join(
+        f"SELECT chain, variable, '{s}' AS stat, round(quantile_cont(value, {p}), 6) AS q FROM kept GROUP BY chain, variable"
+        for s, p in (("M", 0.5), ("CL", 0.025), ("CU", 0.975))), _KEPT),
+    "draws_summary": o.on("draws", "SELECT variable, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in NUMBERS) + " FROM sm", _KEPT, _SUMMARY),
+    "diagnostic_extremes": o.on("draws", """SELECT round(min(sd), 6) AS min_sd, round(max(mad), 6) AS max_mad,
+        arg_min(variable, sd) AS narrowest, max(n) AS n FROM sm""", _KEPT, _SUMMARY),
+    "split_rhat": o.on("draws", f"SELECT variable, round(rhat, 6) AS rhat FROM ({_rhat('kept')})", _KEPT),
+    "rank_rhat": o.on("draws", f"SELECT variable, round(rhat, 6) AS rhat FROM ({_rhat('scored')})", _KEPT, _RANKED),
+    "diagnostics_table": o.on("draws", f"""SELECT 'main' AS model, round(max(rhat), 6) AS max_rhat,
+        (SELECT CAST(sum(divergent) AS BIGINT) FROM draws WHERE iteration > 50) AS num_divergent FROM ({_rhat('kept')})""", _KEPT),
+    "trace_feed": o.on("draws", """SELECT chain, iteration, variable, value, CASE WHEN iteration <= 50 THEN 1 ELSE 0 END AS warmup
+        FROM long WHERE iteration % 4 = 0"""),
+    "pair_bins": o.on("draws", " UNION ALL ".join(f"""SELECT '{a}' AS x_var, '{b}' AS y_var, CAST(floor({a} / 0.25) AS BIGINT) AS x_bin,
+        CAST(floor({b} / 0.25) AS BIGINT) AS y_bin, divergent, count(*) AS n FROM draws WHERE iteration > 50 GROUP BY ALL""" for a, b in _PAIRS)),
+}

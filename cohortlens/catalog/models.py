@@ -1,2 +1,218 @@
-QUERIES = {}
-ORACLES = {}
+"""Regression models: registry, sufficient statistics, posteriors, and the dose-time curve."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cohortlens.catalog.common import change, risk, rounded, switch
+from cohortlens.operators import hsgp as gp
+from cohortlens.operators import linear, logit, registry
+from cohortlens.oracle import base as o
+from cohortlens.plans import models as M
+
+FAMILIES = {"logistic": registry.LOGISTIC, "linear": registry.LINEAR, "switch": registry.SWITCH}
+
+
+def _baseline(spark, sf):
+    return risk(spark, sf).where("visit = 'baseline'")
+
+
+def _rows(spark, sf):
+    return {
+        "logistic": M.logistic_rows(_baseline(spark, sf)),
+        "linear": M.linear_rows(change(spark, sf)),
+        "switch": M.switch_rows(switch(spark, sf)),
+    }
+
+
+def _stacked(parts):
+    out = None
+    for family, df in parts.items():
+        df = df.withColumn("family", F.lit(family))
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+def model_registry_rows(spark, sf):
+    rows = _stacked({k: v.withColumn("y", F.col("y").cast("double")) for k, v in _rows(spark, sf).items()})
+    return rows.select("family", "study_id", "model", "level", "ord", "x", "y", "z")
+
+
+def design_cells(spark, sf):
+    cells = _stacked({k: registry.design_cells(v) for k, v in _rows(spark, sf).items()})
+    return cells.select("family", "model", "level", "ord", "n")
+
+
+def logit_cells(spark, sf):
+    return logit.logit_cells(_rows(spark, sf)["logistic"])
+
+
+def bayes_logit_grid(spark, sf):
+    """Odds ratios of the factor models."""
+    cells = logit.logit_cells(_rows(spark, sf)["logistic"]).where("level <> 'per unit'")
+    effects = logit.odds_effects(logit.weighted_summary(logit.factor_grid(cells), ["model", "level", "ord"]))
+    numbers = ("estimate", "lower", "upper", "exceedance", "mean", "sd")
+    return effects.select("model", "level", "ord", *[rounded(c, 3).alias(c) for c in numbers])
+
+
+def bayes_logit_number(spark, sf):
+    """Odds ratio per unit of the numeric predictor."""
+    cells = logit.logit_cells(_rows(spark, sf)["logistic"]).where("level = 'per unit'")
+    return logit.odds_effects(logit.weighted_summary(logit.numeric_grid(cells), ["model", "level", "ord"]))
+
+
+def linear_suffstats(spark, sf):
+    rows = _rows(spark, sf)
+    sums = linear.linear_suffstats(rows["linear"].unionByName(rows["switch"]))
+    return sums.select("model", "level", "ord", "n", *[rounded(c, 4).alias(c) for c in linear.SUMS[1:]])
+
+
+def bayes_linear(spark, sf):
+    rows = _rows(spark, sf)
+    return linear.fit_linear(rows["linear"].unionByName(rows["switch"]))
+
+
+def effects_table(spark, sf):
+    return M.effects_table(_baseline(spark, sf), change(spark, sf), switch(spark, sf))
+
+
+def hsgp_basis(spark, sf):
+    grid = gp.month_grid(switch(spark, sf), "TAF_duration_fu")
+    table = gp.basis(grid, M.CURVE)
+    return table.select("x_index", "m", rounded("omega").alias("omega"), rounded("phi").alias("phi"),
+                        rounded(gp.spectral_density(F.col("omega"), 0.5, 0.2)).alias("density"))
+
+
+def hsgp_cells(spark, sf):
+    rows = gp.curve_rows(switch(spark, sf), "TAF_fu", "TAF_duration_fu", "change_BMD_LS", "BMD_LS_Z_bl")
+    return gp.cells(rows).select(
+        "exposed", "x_index", "n", *[rounded(c, 4).alias(c) for c in ("sy", "syy", "sx", "sxx", "sxy")])
+
+
+def _draws(spark, sf, model):
+    rows, cells, grid = M.curve_inputs(switch(spark, sf))
+    return rows, cells, gp.curve_draws(gp.standardised_cells(cells), grid, model)
+
+
+def _posterior(spark, sf, model):
+    _, _, draws = _draws(spark, sf, model)
+    named = draws.where(~F.col("variable").startswith("f_TAF["))
+    return named.groupBy("variable").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
+        F.percentile("value", F.array(*[F.lit(p) for p in (0.025, 0.5, 0.975)])).alias("q"),
+        F.avg((F.col("value") < 0).cast("int")).alias("p_below"),
+    ).select("variable", "n", "mean", "sd", *[F.col("q")[i].alias(c) for i, c in enumerate(("lower", "median", "upper"))], "p_below")
+
+
+def hsgp_posterior(spark, sf):
+    return _posterior(spark, sf, M.CURVE)
+
+
+def hsgp_posterior_bl(spark, sf):
+    return _posterior(spark, sf, M.CURVE_ADJUSTED)
+
+
+def gp_curve(spark, sf):
+    _, cells, draws = _draws(spark, sf, M.CURVE)
+    return gp.curve_summary(draws, *M.outcome_moments(cells))
+
+
+def _predictive(spark, sf, model):
+    rows, cells, draws = _draws(spark, sf, model)
+    return gp.predictive_intervals(rows, draws, *M.outcome_moments(cells))
+
+
+def predictive_interval(spark, sf):
+    return _predictive(spark, sf, M.CURVE)
+
+
+def predictive_interval_bl(spark, sf):
+    return _predictive(spark, sf, M.CURVE_ADJUSTED)
+
+
+QUERIES = {f.__name__: f for f in (
+    model_registry_rows, design_cells, logit_cells, bayes_logit_grid, bayes_logit_number, linear_suffstats, bayes_linear,
+    effects_table, hsgp_basis, hsgp_cells, hsgp_posterior, hsgp_posterior_bl, gp_curve, predictive_interval,
+    predictive_interval_bl,
+)}
+
+# --- the same in SQL ------------------------------------------------------------------------
+
+
+def _registry_sql(models, source: str, outcome: str, baseline: str) -> str:
+    parts = []
+    for m in models:
+        z = baseline if m.adjusted else "0.0"
+        where = [f"{outcome} IS NOT NULL", f"{m.predictor} IS NOT NULL"]
+        if m.adjusted:
+            where.append(f"{baseline} IS NOT NULL")
+        if m.only:
+            where.append(f"CAST({m.only[0]} AS VARCHAR) IN ({', '.join(repr(v) for v in m.only[1])})")
+        if m.levels is None:
+            level, ord_, x = "'per unit'", "1", f"CAST({m.predictor} AS DOUBLE)"
+        else:
+            level, x = f"CAST({m.predictor} AS VARCHAR)", "0.0"
+            where.append(f"{level} IN ({', '.join(repr(v) for v in m.levels)})")
+            ord_ = f"list_position([{', '.join(repr(v) for v in m.levels)}], {level}) - 1"
+        parts.append(f"""SELECT study_id, '{m.name}' AS model, {level} AS level, CAST({ord_} AS INTEGER) AS ord,
+            CAST({x} AS DOUBLE) AS x, CAST({z} AS DOUBLE) AS z, {outcome} AS y FROM {source} WHERE {' AND '.join(where)}""")
+    return " UNION ALL ".join(parts)
+
+
+_OUTCOME = "CASE abnormal_bmd WHEN 'Abnormal' THEN 1 WHEN 'Normal' THEN 0 END"
+_BASE = "b AS (SELECT * FROM rk WHERE visit = 'baseline')"
+_LOGISTIC = f"lo AS ({_registry_sql(registry.LOGISTIC, 'b', _OUTCOME, 'NULL')})"
+_LINEAR = f"li AS ({_registry_sql(registry.LINEAR, 'dc', 'change_BMD_LS', 'BMD_LS_Z_bl')})"
+_SWITCH = f"sr AS ({_registry_sql(registry.SWITCH, 'sw', 'change_BMD_LS', 'BMD_LS_Z_bl')})"
+_ALL = """al AS (SELECT 'logistic' AS family, study_id, model, level, ord, x, CAST(y AS DOUBLE) AS y, z FROM lo
+    UNION ALL SELECT 'linear', study_id, model, level, ord, x, y, z FROM li
+    UNION ALL SELECT 'switch', study_id, model, level, ord, x, y, z FROM sr)"""
+_CELLS = "ce AS (SELECT model, level, ord, x, count(*) AS n, CAST(sum(y) AS BIGINT) AS k FROM lo GROUP BY ALL)"
+
+
+def _ll(x: str, n: str, k: str) -> str:
+    return f"({k} * {x} - {n} * (greatest({x}, 0e0) + ln(1e0 + exp(-abs({x})))))"
+
+
+_GRID = f"""pl AS (SELECT model, level, ord, CAST(n AS DOUBLE) AS n, CAST(k AS DOUBLE) AS k, ln((k + 0.5e0) / (n - k + 0.5e0)) AS c,
+    sqrt(1 / (k + 0.5e0) + 1 / (n - k + 0.5e0)) AS se FROM ce WHERE level <> 'per unit'),
+st AS (SELECT unnest(range(0, 121)) AS i),
+pt AS (SELECT p.model, p.level, p.ord, a.i, p.c + p.se * 6e0 * (g.i / 60e0 - 1) AS gamma, r.c + r.se * 6e0 * (a.i / 60e0 - 1) AS alpha,
+    p.n, p.k, p.c, r.n AS rn, r.k AS rk, r.c AS rc, g.i AS j
+  FROM pl p JOIN pl r ON p.model = r.model AND r.ord = 0, st a, st g WHERE p.ord > 0),
+gt AS (SELECT *, gamma - alpha AS value, exp({_ll('gamma', 'n', 'k')} - {_ll('c', 'n', 'k')} - (gamma - alpha) * (gamma - alpha) / 2) AS t,
+    {_ll('alpha', 'rn', 'rk')} - {_ll('rc', 'rn', 'rk')} - alpha * alpha / 50 AS la FROM pt),
+gs AS (SELECT *, sum(t) OVER (PARTITION BY model, level, i) AS s FROM gt),
+ip AS (SELECT model, i, any_value(la) + sum(CASE WHEN s > 0 THEN ln(s) ELSE -1e300 END) AS lp FROM gs WHERE j = 0 GROUP BY model, i),
+iw AS (SELECT model, i, exp(lp - max(lp) OVER (PARTITION BY model)) AS wi FROM ip),
+wg AS (SELECT model, level, ord, value, CASE WHEN s > 0 THEN wi * t / s ELSE 0 END AS w FROM gs JOIN iw USING (model, i)),
+cu AS (SELECT *, sum(w) OVER (PARTITION BY model, level ORDER BY value ROWS UNBOUNDED PRECEDING) AS cum,
+    sum(w) OVER (PARTITION BY model, level) AS total FROM wg),
+qs AS (SELECT model, level, ord, sum(w * value) / sum(w) AS mean, sum(w * value * value) / sum(w) AS m2,
+    min(value) FILTER (WHERE cum >= 0.025 * total) AS lo, min(value) FILTER (WHERE cum >= 0.975 * total) AS hi,
+    sum(CASE WHEN value > 0 THEN w ELSE 0 END) / sum(w) AS pa FROM cu GROUP BY model, level, ord)"""
+
+_WIDTH = "(SELECT 1.5e0 * max(abs(x)) FROM gx)"
+_GX = """gm AS (SELECT unnest(range(0, CAST((SELECT max(TAF_duration_fu) FROM sw) AS BIGINT) + 1)) AS months),
+gx AS (SELECT CAST(months + 1 AS INTEGER) AS x_index, (months - (SELECT avg(months) FROM gm)) / (SELECT stddev_samp(months) FROM gm) AS x FROM gm)"""
+
+ORACLES = {
+    "model_registry_rows": o.on("sw", "SELECT family, study_id, model, level, ord, x, y, z FROM al", _BASE, _LOGISTIC, _LINEAR, _SWITCH, _ALL),
+    "design_cells": o.on("sw", "SELECT family, model, level, ord, count(*) AS n FROM al GROUP BY ALL", _BASE, _LOGISTIC, _LINEAR, _SWITCH, _ALL),
+    "logit_cells": o.on("rk", "SELECT model, level, ord, x, n, k FROM ce", _BASE, _LOGISTIC, _CELLS),
+    "bayes_logit_grid": o.on("rk", """SELECT model, level, ord, round(exp(mean), 3) AS estimate, round(exp(lo), 3) AS lower,
+        round(exp(hi), 3) AS upper, round(pa, 3) AS exceedance, round(mean, 3) AS mean, round(sqrt(m2 - mean * mean), 3) AS sd FROM qs""",
+        _BASE, _LOGISTIC, _CELLS, _GRID),
+    "linear_suffstats": o.on("sw", """SELECT model, level, ord, count(*) AS n, round(sum(y), 4) AS sy, round(sum(y * y), 4) AS syy,
+        round(sum(z), 4) AS sz, round(sum(z * z), 4) AS szz, round(sum(z * y), 4) AS szy, round(sum(x), 4) AS sx,
+        round(sum(x * x), 4) AS sxx, round(sum(x * y), 4) AS sxy, round(sum(x * z), 4) AS sxz
+        FROM al WHERE family <> 'logistic' GROUP BY model, level, ord""", _BASE, _LOGISTIC, _LINEAR, _SWITCH, _ALL),
+    "hsgp_basis": o.on("sw", f"""SELECT x_index, CAST(m AS INTEGER) AS m, round(om, 6) AS omega, round(sin(om * (x + L)) / sqrt(L), 6) AS phi,
+        round(0.25e0 * sqrt(2 * pi()) * 0.2e0 * exp(-0.5e0 * 0.04e0 * om * om), 6) AS density FROM (
+        SELECT *, m * pi() / (2 * L) AS om FROM (SELECT x_index, x, {_WIDTH} AS L, unnest(range(1, 31)) AS m FROM gx))""", _GX),
+    "hsgp_cells": o.on("sw", """SELECT TAF_fu AS exposed, CASE WHEN TAF_fu = 1 THEN CAST(TAF_duration_fu AS INTEGER) + 1 ELSE 0 END AS x_index,
+        count(*) AS n, round(sum(change_BMD_LS), 4) AS sy, round(sum(change_BMD_LS * change_BMD_LS), 4) AS syy,
+        round(sum(BMD_LS_Z_bl), 4) AS sx, round(sum(BMD_LS_Z_bl * BMD_LS_Z_bl), 4) AS sxx, round(sum(BMD_LS_Z_bl * change_BMD_LS), 4) AS sxy
+        FROM sw WHERE change_BMD_LS IS NOT NULL AND BMD_LS_Z_bl IS NOT NULL AND TAF_fu IS NOT NULL
+          AND (TAF_fu = 0 OR (TAF_duration_fu >= 0 AND TAF_duration_fu = floor(TAF_duration_fu))) GROUP BY 1, 2"""),
+}

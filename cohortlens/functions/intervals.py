@@ -81,3 +81,41 @@ def t_quantile(df: Column, prob: float = 0.975) -> Column:
     return F.when(df < 1, F.lit(None).cast("double")).when(
         df < _SERIES_FROM, F.try_element_at(few, df.cast("int"))
     ).otherwise(series)
+
+
+# --- fixed values: rational approximations of the normal quantile (Wichura 1988, algorithm AS 241),
+# numerator and denominator coefficients from the highest power down -------------------------
+_CENTRAL = (
+    (2.50908092873012267e3, 3.34305755835881281e4, 6.72657709270087009e4, 4.59219539315498715e4,
+     1.37316937655094611e4, 1.97159095030655144e3, 1.33141667891784377e2, 3.38713287279636661e0),
+    (5.22649527885285456e3, 2.87290857357219427e4, 3.93078958000927106e4, 2.12137943015865959e4,
+     5.39419602142475111e3, 6.87187007492057908e2, 4.23133307016009113e1, 1.0),
+)
+_TAIL = (
+    (7.74545014278341408e-4, 2.27238449892691846e-2, 2.41780725177450612e-1, 1.27045825245236838e0,
+     3.64784832476320461e0, 5.76949722146069141e0, 4.63033784615654530e0, 1.42343711074968358e0),
+    (1.05075007164441684e-9, 5.47593808499534495e-4, 1.51986665636164572e-2, 1.48103976427480075e-1,
+     6.89767334985100005e-1, 1.67638483018380385e0, 2.05319162663775882e0, 1.0),
+)
+_FAR_TAIL = (
+    (2.01033439929228813e-7, 2.71155556874348758e-5, 1.24266094738807844e-3, 2.65321895265761231e-2,
+     2.96560571828504891e-1, 1.78482653991729133e0, 5.46378491116411437e0, 6.65790464350110378e0),
+    (2.04426310338993979e-15, 1.42151175831644589e-7, 1.84631831751005468e-5, 7.86869131145613259e-4,
+     1.48753612908506149e-2, 1.36929880922735805e-1, 5.99832206555887938e-1, 1.0),
+)
+
+
+def _ratio(coefficients, r: Column) -> Column:
+    top, bottom = coefficients
+    num, den = F.lit(top[0]), F.lit(bottom[0])
+    for a, b in zip(top[1:], bottom[1:], strict=True):
+        num, den = num * r + a, den * r + b
+    return num / den
+
+
+def normal_quantile(p: Column) -> Column:
+    """Standard normal quantile of a probability strictly between 0 and 1."""
+    q = p - 0.5
+    r = F.sqrt(-F.log(F.least(p, 1 - p)))
+    tail = F.when(r <= 5, _ratio(_TAIL, r - 1.6)).otherwise(_ratio(_FAR_TAIL, r - 5))
+    return F.when(F.abs(q) <= 0.425, q * _ratio(_CENTRAL, 0.180625 - q * q)).otherwise(F.signum(q) * tail)

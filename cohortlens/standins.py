@@ -158,3 +158,137 @@ def draws_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("l_partkey") % 50 == 0).cast("int").alias("divergent"),
         )
     return once(spark, sf_dir, "draws", build)
+
+
+# --- workbook-shaped folders -----------------------------------------------------------------
+# Per visit sheet: name, age group, visit, and the header spelling it uses.
+VISIT_SHEETS = {
+    "15-19 y": ("15-19", "baseline", 0),
+    "15-19 year 2": ("15-19", "follow-up", 1),
+    "20-24 year 1": ("20-24", "baseline", 2),
+    "20-24 year 2": ("20-24", "follow-up", 1),
+    "25+ baseline": ("25+", "baseline", 2),
+}
+_HEADERS = [
+    ["Study Number", "Study Number", "Study ID"],
+    ["M/F", "M/F", "M/F"],
+    ["Date of scan", "Date of scan", "Visit 1"],
+    ["Height", "Height", "Height"],
+    ["Weight", "Weight", "Weight"],
+    ["BMD L2-4 g/cm2", "BMDL2-L4", "BMDL2-L4"],
+    ["LS Zscore age matched"] * 3,
+    ["Tscore LS"] * 3,
+    ["Hip Zscore"] * 3,
+    ["Vitamin D"] * 3,
+    ["PTH"] * 3,
+    ["Calcium"] * 3,
+    ["Phosphate"] * 3,
+    ["Alkaline phosphatase"] * 3,
+    ["NTX"] * 3,
+    ["P1NP"] * 3,
+    ["Previous TDF", "Previous TDF exposure?", "Previous TDF"],
+    ["Duration on TDF (years)", "Length of time on TDF (yrs)", "Duration of TDF (years)"],
+    ["Previous TAF", "Previous TAF exposure?", "Previous TAF"],
+    ["Duration on TAF (months)", "Length of time TAF (months)", "Duration of TAF (months)"],
+    ["Current CD4"] * 3,
+    ["Nadir CD4", "Nadir CD4 (please review if changed from Visit 1)", "Nadir CD4"],
+    ["Current viral load (<20,<200,other)", "Current viral load (<20,<200, other)", "Current viral load (<20,<200, other)"],
+    ["Detail"] * 3,
+    ["CDC-C diagnoses", "CDC (yr) diagnoses", "CDC (yr) diagnoses"],
+    ["Reduced mobilisation", "Reduced mobilisation inc hypertonic diplegia", "Reduced mobilisation"],
+    ["Current ART 1", "Current ART detail", "Current ART 1"],
+    ["Current ART 2", "Current ART detail", "Current ART 2"],
+    ["Current ART 3", "Current ART detail", "Current ART 3"],
+    ["Current ART 4", "Current ART detail", "Current ART 4"],
+    ["Comment"] * 3,
+]
+VISIT_CELLS = """
+SELECT study_id, sex, date_scan, CAST(CAST(height AS INTEGER) AS VARCHAR(20)) AS height, CAST(CAST(weight AS INTEGER) AS VARCHAR(20)) AS weight,
+  CAST(CAST(BMD AS DECIMAL(18,3)) AS VARCHAR(30)) AS BMD, CAST(CAST(BMD_LS_Z AS DECIMAL(22,10)) AS VARCHAR(30)) AS BMD_LS_Z,
+  CAST(CAST(tscore_LS AS DECIMAL(22,10)) AS VARCHAR(30)) AS tscore_LS, CAST(CAST(hip_Z AS DECIMAL(18,2)) AS VARCHAR(30)) AS hip_Z,
+  vitD, PTH, CAST(CAST(calcium AS DECIMAL(18,2)) AS VARCHAR(30)) AS calcium,
+  CAST(CAST(phosphate AS DECIMAL(18,2)) AS VARCHAR(30)) AS phosphate, CAST(CAST(alkaline AS DECIMAL(18,0)) AS VARCHAR(30)) AS alkaline,
+  NTX, P1NP, coalesce(TDF_exp, 'N') AS TDF_exp, TDF_duration, CASE WHEN TAF_duration IS NULL THEN 'N' ELSE 'Y' END AS TAF_exp,
+  TAF_duration, CD4, CD4_nadir, CASE WHEN VL = '150' THEN 'Other - Please specify' WHEN VL = '15' THEN 'select choice' ELSE VL END AS VL,
+  CASE WHEN VL IN ('150', '15') THEN VL END AS detail, coalesce(CDC_C, 'No') AS CDC_C, reduced_mobility, ART1, ART2, ART3, ART4,
+  'seen' AS remark, age_group, visit
+FROM {c}
+"""
+
+
+def visit_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visit book as landed text: five sheets with their own header spelling and header row."""
+    def build() -> DataFrame:
+        cells = spark.sql(VISIT_CELLS, c=cohort_raw(spark, sf_dir))
+        named = F.lit(None).cast("string")
+        for name, (age, visit, _) in VISIT_SHEETS.items():
+            named = F.when((F.col("age_group") == age) & (F.col("visit") == visit), F.lit(name)).otherwise(named)
+        names = [c for c in cells.columns if c not in ("age_group", "visit")]
+        body = cells.select(
+            named.alias("sheet"), F.lit(3).cast("long").alias("row"),
+            *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+        return body.unionByName(_headers(spark, [
+            (name, [h[spelling] for h in _HEADERS], i % 2 == 1)
+            for i, (name, (_, _, spelling)) in enumerate(VISIT_SHEETS.items())
+        ]))
+    return _once_book(spark, sf_dir, "visit_book", build)
+
+
+def _headers(spark: SparkSession, sheets: list[tuple[str, list[str], bool]]) -> DataFrame:
+    """Header rows; a ``late`` header is in row 2, under a title row whose first cell is empty."""
+    width = len(sheets[0][1])
+    rows = []
+    for name, header, late in sheets:
+        if late:
+            rows.append((name, 1, None, *["title"] * (width - 1)))
+        rows.append((name, 2 if late else 1, *header))
+    fields = ", ".join(f"c{i} string" for i in range(width))
+    return spark.createDataFrame(rows, f"sheet string, row long, {fields}")
+
+
+def _once_book(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _tables:
+        _tables[key] = materialise(build(), name, partition_by=["sheet"])
+    return _tables[key]
+
+
+SUBJECT_SHEETS = {"Table 1 15-19": ("15-19", 0), "Table 2 20-24": ("20-24", 1), "Table 2 25+": ("25+", 2)}
+_SUBJECT_HEADERS = [
+    "Subject ID", "Subject ID", "Ethnicity", "Ethnicity", "Height (cm)", "Weight (kg)", "BMI", "Current CD4", "Nadir CD4",
+    "Current viral load (<20,<200,other)", "Current viral load (<20,<200,other)", "CDC C (yr) diagnoses",
+    "CDC C (yr) diagnoses", "DEXA- VFA", "Family Hx of bone disease", "Family Hx of bone disease", "smoking (Y/N/ex)",
+    "alcohol units/wk", "Physical activity", "Reduced mobilisation", "Reduced mobilisation", "Born in the UK",
+    "Born in the UK", "Notes",
+]
+_CDC_SPELLINGS = ["CDC (yr) diagnoses", "CDC  C (yr) diagnoses", "CDC C (yr) diagnoses"]
+SUBJECT_CELLS = """
+SELECT age_group AS age_gp, ltrim('0', substr(study_id, 3)) AS pt_id, ethnicity,
+  CASE WHEN ethnicity = 'Other' THEN 'stated' END AS ethnicity_other, CAST(CAST(height AS INTEGER) AS VARCHAR(20)) AS height,
+  CAST(CAST(weight AS INTEGER) AS VARCHAR(20)) AS weight, CAST(CAST(BMI AS INTEGER) AS VARCHAR(20)) AS BMI, CD4, CD4_nadir, VL,
+  CAST(NULL AS VARCHAR(20)) AS VL_other, CDC_C, CAST(NULL AS VARCHAR(20)) AS CDC_C_diag, BMD_z, fam_hx_bone_disease,
+  CAST(NULL AS VARCHAR(20)) AS fam_hx_bone_disease_detail, smoking, CAST(CAST(alcohol_units AS INTEGER) AS VARCHAR(20)) AS alcohol_units,
+  phys_activity, reduced_mobility, CAST(NULL AS VARCHAR(20)) AS reduced_mobility_detail,
+  CASE WHEN foreign_born = 'Unknown' THEN 'select choice' ELSE foreign_born END AS foreign_born, 'x' AS foreign_born_more, 'y' AS notes
+FROM {c} WHERE visit = 'baseline'
+"""
+
+
+def subject_workbook(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject book as landed text: three sheets, repeated headers, placeholder rows."""
+    def build() -> DataFrame:
+        sql = SUBJECT_CELLS.replace("ltrim('0', substr(study_id, 3))", "regexp_replace(substr(study_id, 3), '^0+', '')")
+        cells = spark.sql(sql, c=cohort_raw(spark, sf_dir))
+        cells = cells.withColumn("pt_id", F.when(F.col("pt_id").rlike("77$"), "select last 3").otherwise(F.col("pt_id")))
+        named = F.lit(None).cast("string")
+        for name, (age, _) in SUBJECT_SHEETS.items():
+            named = F.when(F.col("age_gp") == age, F.lit(name)).otherwise(named)
+        body = cells.select(
+            named.alias("sheet"), F.lit(3).cast("long").alias("row"),
+            *[F.col(c).alias(f"c{i}") for i, c in enumerate(cells.columns)])
+        heads = [
+            (name, [_CDC_SPELLINGS[s] if h.startswith("CDC") else h for h in _SUBJECT_HEADERS], s == 1)
+            for name, (_, s) in SUBJECT_SHEETS.items()
+        ]
+        return body.unionByName(_headers(spark, heads))
+    return _once_book(spark, sf_dir, "subject_book", build)
