@@ -33,7 +33,7 @@ def rename_matching(df: DataFrame, pattern: str, names: Sequence[str]) -> DataFr
 def keep_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """Those of the wanted columns that the table has, in the table's order."""
     wanted = set(wanted)
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c in wanted])
+    return df.select(*[f"`{c}`" for c in df.columns if c in wanted])
 
 
 def require_columns(df: DataFrame, needed: Sequence[str], what: str) -> DataFrame:
@@ -45,9 +45,9 @@ def require_columns(df: DataFrame, needed: Sequence[str], what: str) -> DataFram
 
 def canonical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Fixed column order, a column that the sheet lacks becomes a NULL string."""
-    return df.select(*[
-        F.col(f"`{c}`").cast("string").alias(c) if c in df.columns else F.lit(None).cast("string").alias(c)
-        for c in columns
+    has = set(df.columns)
+    return df.selectExpr(*[
+        f"CAST({f'`{c}`' if c in has else 'NULL'} AS STRING) AS `{c}`" for c in columns
     ])
 
 

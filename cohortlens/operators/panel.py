@@ -1,8 +1,8 @@
 """Joins between visits of the same subject.
 
-The panel has one row per ``(study_id, visit)``.  What one visit lends to another is first reduced
-to one row per subject with a mergeable aggregate and then equi-joined on ``study_id``; no window
-gathers a subject's rows, and adaptive execution may split or broadcast either side.
+The panel has one row per ``(study_id, visit)``.  What one visit lends to another is selected from
+that visit's rows and equi-joined on ``study_id``; no window gathers a subject's rows, and adaptive
+execution may split or broadcast either side.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -88,40 +88,40 @@ def term_labels(spark: SparkSession, models: Sequence[Model]) -> DataFrame:
     return spark.createDataFrame(rows, "model string, level string, term string")
 
 
-def _allowed(m: Model) -> Column:
-    if m.only is None:
-        return F.lit(True)
-    column, values = m.only
-    return F.coalesce(F.col(column).cast("string").isin(*values), F.lit(False))
+def _quoted(values: Sequence[str]) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-def registry_rows(df: DataFrame, models: Sequence[Model], outcome: Column, baseline: str | None = None) -> DataFrame:
+def _entry(m: Model, baseline: str) -> str:
+    """SQL of one model's row for a subject, NULL when the subject cannot take part in the model."""
+    known = [f"{m.predictor} IS NOT NULL"]
+    if m.only:
+        known.append(f"CAST({m.only[0]} AS STRING) IN ({_quoted(m.only[1])})")
+    if m.adjusted:
+        known.append(f"{baseline} IS NOT NULL")
+    if m.levels is None:
+        level, ord_, x = "'per unit'", "1", f"CAST({m.predictor} AS DOUBLE)"
+    else:
+        level, x = f"CAST({m.predictor} AS STRING)", "0D"
+        known.append(f"{level} IN ({_quoted(m.levels)})")
+        ord_ = f"CAST(array_position(array({_quoted(m.levels)}), {level}) AS INT) - 1"
+    z = baseline if m.adjusted else "0D"
+    return (
+        f"CASE WHEN {' AND '.join(known)} THEN named_struct('model', '{m.name}', 'level', {level}, 'ord', {ord_}, "
+        f"'x', {x}, 'z', {z}) END"
+    )
+
+
+def registry_rows(df: DataFrame, models: Sequence[Model], outcome: str, baseline: str = "CAST(NULL AS DOUBLE)") -> DataFrame:
     """One row per model and subject that the model may use.
 
-    Columns ``study_id, model, level, ord, x, y, z``: ``x`` is a numeric predictor, ``z`` the baseline
+    Columns ``study_id, model, level, ord, x, z, y``: ``x`` is a numeric predictor, ``z`` the baseline
     covariate (0 in unadjusted models).  Rows with a missing outcome, predictor or needed covariate
-    are left out, as are levels that the registry does not list.
+    are left out, as are levels that the registry does not list.  ``outcome`` and ``baseline`` are SQL.
     """
-    z = F.col(baseline) if baseline else F.lit(None).cast("double")
-    entries = []
-    for m in models:
-        factor = F.lit(None).cast("string") if m.levels is None else F.col(m.predictor).cast("string")
-        number = F.col(m.predictor).cast("double") if m.levels is None else F.lit(0.0)
-        known = F.col(m.predictor).isNotNull() & _allowed(m)
-        if m.adjusted:
-            known = known & z.isNotNull()
-        if m.levels is not None:
-            known = known & factor.isin(*m.levels)
-            ord_ = F.array_position(F.array(*[F.lit(lv) for lv in m.levels]), factor).cast("int") - 1
-        else:
-            ord_ = F.lit(1)
-        entries.append(F.when(known, F.struct(
-            F.lit(m.name).alias("model"),
-            (F.lit("per unit") if m.levels is None else factor).alias("level"), ord_.alias("ord"),
-            number.alias("x"), (z if m.adjusted else F.lit(0.0)).alias("z"),
-        )))
-    usable = df.select("study_id", outcome.alias("y"), F.explode(F.array_compact(F.array(*entries))).alias("e"))
-    return usable.where(F.col("y").isNotNull()).select("study_id", "e.*", "y")
+    entries = ", ".join(_entry(m, baseline) for m in models)
+    usable = df.selectExpr("study_id", f"{outcome} AS y", f"explode(array_compact(array({entries}))) AS e")
+    return usable.where("y IS NOT NULL").select("study_id", "e.*", "y")
 
 
 def design_cells(rows: DataFrame) -> DataFrame:

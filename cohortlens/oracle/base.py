@@ -57,7 +57,10 @@ cohort_raw AS ({VISIT_VALUES.format(serial="date_diff('day', DATE '1899-12-30',
 
 OVERRIDES = f"""subjects AS (
   SELECT DISTINCT concat('S/', lpad(CAST(o_custkey AS VARCHAR), 12, '0')) AS study_id, o_custkey AS nr FROM orders),
-ov AS ({OVERRIDE_RULES.format(s="subjects")})"""
+ov AS ({' UNION ALL '.join(
+    f"SELECT study_id, {step} AS step, {repr(visit) if visit else 'CAST(NULL AS VARCHAR)'} AS visit, '{item}' AS item, "
+    f"'{value}' AS value FROM subjects WHERE nr % {div} = {rest}"
+    for div, rest, step, visit, item, value in OVERRIDE_RULES)})"""
 
 MIXED_DATE = f"""CASE WHEN {num('date_scan')} IS NOT NULL
     THEN DATE '1899-12-30' + CAST(floor({num('date_scan')}) AS INTEGER)

@@ -1,7 +1,7 @@
 """The cleaning pipeline: raw panel to cleaned panel, in a fixed order of steps.
 
-Everything but the exchange between a subject's visits is row-local.  That exchange is a single
-join: one aggregate per subject carries what either visit needs from the other.
+Everything but what a subject's visits lend each other is row-local.  The visits meet once, in
+equi-joins on ``study_id`` that share one partitioning; adaptive execution may split a hot key.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from cohortlens.functions.text import contains_flag, duration_months, lab_value,
 from cohortlens.operators import cleaning as C
 from cohortlens.operators.harmonise import corrected, override_map, recode, require_columns
 from cohortlens.operators.panel import (
-    BASELINE, FOLLOW_UP, at_visit, carried_duration, carries_regimen, change_table,
+    BASELINE, FOLLOW_UP, carried_duration, carries_regimen, change_table,
 )
 from cohortlens.vocab import BIRTH_PLACE_RECODE, BONE_TEXT_MARK, DRUG_COLUMNS
 
@@ -73,12 +73,11 @@ def clean_panel(raw: DataFrame, overrides: DataFrame, config: RunConfig = RunCon
         "TAF_duration": corrected(F.col("TAF_duration"), "TAF_duration", 10, "double", F.col("visit")),
         "TDF_exp": corrected(F.col("TDF_exp"), "TDF_exp", 14, "string", F.col("visit")),
     })
-    lent = ["date_scan", "TAF_duration", "TDF_exp", *DRUG_COLUMNS]
-    subjects = values.groupBy("study_id").agg(
-        at_visit(BASELINE, F.struct(*lent)).alias("bl"),
-        at_visit(FOLLOW_UP, F.struct("TAF_duration", *DRUG_COLUMNS)).alias("fu"),
-    ).where(F.col("bl").isNotNull())
-    panel = values.join(subjects, "study_id", "inner")
+    at_baseline = values.where(F.col("visit") == BASELINE).select(
+        "study_id", F.struct("date_scan", "TAF_duration", "TDF_exp", *DRUG_COLUMNS).alias("bl"))
+    at_follow_up = values.where(F.col("visit") == FOLLOW_UP).select(
+        "study_id", F.struct("TAF_duration", *DRUG_COLUMNS).alias("fu"))
+    panel = values.join(at_baseline, "study_id", "inner").join(at_follow_up, "study_id", "left")
 
     own = [F.col(d) for d in DRUG_COLUMNS]
     at_bl = [F.col(f"bl.{d}") for d in DRUG_COLUMNS]

@@ -14,16 +14,16 @@ from cohortlens.runtime import materialise
 
 
 def logistic_rows(baseline: DataFrame) -> DataFrame:
-    outcome = F.when(F.col("abnormal_bmd") == "Abnormal", 1).when(F.col("abnormal_bmd") == "Normal", 0)
-    return registry_rows(baseline, LOGISTIC, outcome)
+    return registry_rows(
+        baseline, LOGISTIC, "CASE abnormal_bmd WHEN 'Abnormal' THEN 1 WHEN 'Normal' THEN 0 END")
 
 
 def linear_rows(change: DataFrame) -> DataFrame:
-    return registry_rows(change, LINEAR, F.col("change_BMD_LS"), "BMD_LS_Z_bl")
+    return registry_rows(change, LINEAR, "change_BMD_LS", "BMD_LS_Z_bl")
 
 
 def switch_rows(switch: DataFrame) -> DataFrame:
-    return registry_rows(switch, SWITCH, F.col("change_BMD_LS"), "BMD_LS_Z_bl")
+    return registry_rows(switch, SWITCH, "change_BMD_LS", "BMD_LS_Z_bl")
 
 
 def effects_table(baseline: DataFrame, change: DataFrame, switch: DataFrame) -> DataFrame:

@@ -44,8 +44,8 @@ def sheet(book: DataFrame, name: str) -> DataFrame:
         raise ValueError(f"sheet {name!r} has no header in its first {HEADER_ROWS} rows")
     header = head[0]
     named = zip(cells, unique_names([header[c] for c in cells]), strict=True)
-    body = rows.where(F.col("row") > header["row"])
-    return body.select(*[F.col(c).alias(n) for c, n in named if n is not None])
+    kept = {c: n for c, n in named if n is not None}
+    return rows.where(F.col("row") > header["row"]).select(*kept).toDF(*kept.values())
 
 
 def stack_sheets(book: DataFrame, sheets: Sequence[str], shape: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

@@ -67,20 +67,21 @@ SELECT
 FROM {v}
 """
 
-# Manual corrections, by rule on the subject number: (step, visit or NULL for both, column, value).
-OVERRIDE_RULES = """
-SELECT study_id, 10 AS step, CAST(NULL AS VARCHAR(20)) AS visit, 'TAF_duration' AS item, '30' AS value FROM {s} WHERE nr % 101 = 5
-UNION ALL SELECT study_id, 11, 'follow-up', 'TAF', '0' FROM {s} WHERE nr % 97 = 1
-UNION ALL SELECT study_id, 14, CAST(NULL AS VARCHAR(20)), 'TDF_exp', 'Y' FROM {s} WHERE nr % 89 = 2
-UNION ALL SELECT study_id, 14, 'follow-up', 'TAF', '1' FROM {s} WHERE nr % 89 = 3
-UNION ALL SELECT study_id, 14, 'follow-up', 'TDF', '0' FROM {s} WHERE nr % 89 = 3
-UNION ALL SELECT study_id, 14, 'follow-up', 'TDF', '1' FROM {s} WHERE nr % 89 = 4
-UNION ALL SELECT study_id, 14, 'follow-up', 'TAF', '0' FROM {s} WHERE nr % 89 = 4
-UNION ALL SELECT study_id, 14, 'follow-up', 'ART_reg', 'TDF' FROM {s} WHERE nr % 89 = 4
-UNION ALL SELECT study_id, 19, 'baseline', 'ART_reg', 'None' FROM {s} WHERE nr % 83 = 6
-UNION ALL SELECT study_id, 19, 'follow-up', 'ART_reg', 'TAF' FROM {s} WHERE nr % 83 = 6
-UNION ALL SELECT study_id, 19, 'follow-up', 'ART_reg', 'INSTI' FROM {s} WHERE nr % 83 = 7
-"""
+# Manual corrections by rule on the subject number: every ``divisor``-th subject (with the given
+# remainder) has the correction (step, visit or None for both, column, value).
+OVERRIDE_RULES = [
+    (101, 5, 10, None, "TAF_duration", "30"),
+    (97, 1, 11, "follow-up", "TAF", "0"),
+    (89, 2, 14, None, "TDF_exp", "Y"),
+    (89, 3, 14, "follow-up", "TAF", "1"),
+    (89, 3, 14, "follow-up", "TDF", "0"),
+    (89, 4, 14, "follow-up", "TDF", "1"),
+    (89, 4, 14, "follow-up", "TAF", "0"),
+    (89, 4, 14, "follow-up", "ART_reg", "TDF"),
+    (83, 6, 19, "baseline", "ART_reg", "None"),
+    (83, 6, 19, "follow-up", "ART_reg", "TAF"),
+    (83, 7, 19, "follow-up", "ART_reg", "INSTI"),
+]
 
 DRAW_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount"]
 DRAW_VARIABLES = ["b_exposureY", "b_baseline", "sigma"]
@@ -140,7 +141,12 @@ def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("o_custkey").alias("nr"),
         )
     )
-    return spark.sql(OVERRIDE_RULES, s=subjects)
+    rules = ", ".join(
+        f"CASE WHEN nr % {div} = {rest} THEN named_struct('step', {step}, 'visit', "
+        f"{repr(visit) if visit else 'CAST(NULL AS STRING)'}, 'item', '{item}', 'value', '{value}') END"
+        for div, rest, step, visit, item, value in OVERRIDE_RULES
+    )
+    return subjects.selectExpr("study_id", f"explode(array_compact(array({rules}))) AS o").select("study_id", "o.*")
 
 
 def draws_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
