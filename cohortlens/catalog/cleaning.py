@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlens import standins, vocab
-from cohortlens.catalog.common import CONFIG, cleaned_now, raw, risk, values
+from cohortlens import vocab
+from cohortlens.catalog.common import CONFIG, cleaned_now, overrides, raw, risk, values
 from cohortlens.functions import dates, numbers, text
 from cohortlens.operators import cleaning as C
 from cohortlens.operators import harmonise as H
@@ -54,12 +54,12 @@ def compose_id(spark, sf):
 def apply_overrides(spark, sf):
     df = values(spark, sf).withColumn("TAF", C.taf_flag(
         F.col("visit"), F.col("ART2"), F.col("ART4"), F.col("TAF_duration")))
-    df = H.apply_overrides(df, standins.overrides(spark, sf), 14, {"TAF": "int", "TDF_exp": "string"})
+    df = H.apply_overrides(df, overrides(spark, sf), 14, {"TAF": "int", "TDF_exp": "string"})
     return df.select(*KEY, "TAF", "TDF_exp")
 
 
 def override_validation(spark, sf):
-    return H.invalid_overrides(standins.overrides(spark, sf), vocab.levels_table(spark)).select(
+    return H.invalid_overrides(overrides(spark, sf), vocab.levels_table(spark)).select(
         "study_id", "step", "visit", "item", "value")
 
 

@@ -14,7 +14,12 @@ CONFIG = RunConfig()
 
 
 def raw(spark: SparkSession, sf: str) -> DataFrame:
-    return standins.cohort_raw(spark, sf)
+    """The raw panel as landed: derived and written once per session, then scanned."""
+    return standins.once(spark, sf, "cohort_raw", lambda: standins.cohort_raw(spark, sf))
+
+
+def overrides(spark: SparkSession, sf: str) -> DataFrame:
+    return standins.once(spark, sf, "overrides", lambda: standins.overrides(spark, sf))
 
 
 def values(spark: SparkSession, sf: str) -> DataFrame:
@@ -22,7 +27,7 @@ def values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cleaned_now(spark: SparkSession, sf: str) -> DataFrame:
-    return clean_panel(raw(spark, sf), standins.overrides(spark, sf), CONFIG)
+    return clean_panel(raw(spark, sf), overrides(spark, sf), CONFIG)
 
 
 def cleaned(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cohortlens.functions.numbers import col, number_or_null
+from cohortlens.functions.numbers import NUMERIC_TEXT, col
 
-# Day zero of spreadsheet serials, the text date format, and the first two-digit
-# year that belongs to the 1900s.
+# Day zero of spreadsheet serials, the text date format (two-digit years are read as
+# 20yy), and the years that belong to the century before.
 SERIAL_EPOCH = "1899-12-30"
 TEXT_DATE_FORMAT = "d.M.yy"
-FIRST_OLD_CENTURY_YEAR = 2069
+OLD_CENTURY_YEAR = r"\.(69|[7-9][0-9])\s*$"
 DAYS_PER_MONTH = 30.44
 
 
 def mixed_date(c: Column | str) -> Column:
     """Spreadsheet serial or day.month.year text to date; anything else is NULL."""
-    c = F.trim(col(c))
-    serial = F.date_add(F.lit(SERIAL_EPOCH).cast("date"), F.floor(number_or_null(c)).try_cast("int"))
-    parsed = F.try_to_date(c, TEXT_DATE_FORMAT)
-    pivoted = F.when(F.year(parsed) >= FIRST_OLD_CENTURY_YEAR, F.add_months(parsed, -1200)).otherwise(parsed)
-    return F.when(number_or_null(c).isNotNull(), serial).otherwise(pivoted)
+    c = col(c)
+    serial = F.date_add(F.lit(SERIAL_EPOCH).cast("date"), F.floor(c.try_cast("double")).try_cast("int"))
+    shift = F.when(c.rlike(OLD_CENTURY_YEAR), F.lit(-1200)).otherwise(F.lit(0))
+    parsed = F.add_months(F.try_to_date(F.trim(c), TEXT_DATE_FORMAT), shift)
+    return F.when(c.rlike(NUMERIC_TEXT), serial).otherwise(parsed)
 
 
 def months_elapsed(start: Column | str, end: Column | str) -> Column:

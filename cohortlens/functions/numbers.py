@@ -16,7 +16,7 @@ def col(c: Column | str) -> Column:
 def number_or_null(c: Column | str) -> Column:
     """Text to double; anything that is not a plain number is NULL (``5d`` and ``NaN`` too)."""
     c = col(c)
-    return F.when(c.rlike(NUMERIC_TEXT), F.trim(c).try_cast("double"))
+    return F.when(c.rlike(NUMERIC_TEXT), c.try_cast("double"))
 
 
 def is_one_of(c: Column | str, *values: object) -> Column:

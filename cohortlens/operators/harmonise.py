@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortlens.functions.numbers import is_one_of
 
@@ -81,36 +80,52 @@ def missing_audit(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.unpivot([], list(columns), "variable", "n_missing")
 
 
-def override_map(overrides: DataFrame) -> DataFrame:
-    """One row per subject with a map from ``step|visit|item`` to the corrected text.
+VISIT_FIELDS = {"baseline": "bl", "follow-up": "fu"}
 
-    ``visit`` is ``*`` when the correction holds for all visits.  Two corrections of the same cell
-    at the same step raise an error rather than one silently winning.
+
+def override_values(overrides: DataFrame, cells: Sequence[tuple[int, str]]) -> DataFrame:
+    """One row per subject: ``ov_bl`` and ``ov_fu``, structs with one text field per corrected cell.
+
+    ``cells`` lists ``(step, item)``; the field is named ``item_step``.  A correction for one visit
+    goes before one that holds for all visits.
     """
-    key = F.concat_ws("|", F.col("step").cast("string"), F.coalesce("visit", F.lit("*")), "item")
-    return overrides.groupBy("study_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(key, F.col("value")))).alias("overrides")
-    )
+    def picked(step: int, item: str, visit: str) -> str:
+        here = f"step = {step} AND item = '{item}'"
+        return (
+            f"coalesce(max(CASE WHEN {here} AND visit = '{visit}' THEN value END), "
+            f"max(CASE WHEN {here} AND visit IS NULL THEN value END))"
+        )
 
+    structs = [
+        F.expr("named_struct(" + ", ".join(f"'{item}_{step}', {picked(step, item, visit)}" for step, item in cells) + ")")
+        .alias(f"ov_{short}") for visit, short in VISIT_FIELDS.items()
+    ]
+    return overrides.groupBy("study_id").agg(*structs)
 
-def overridden(column: str, step: int, dtype: T.DataType | str, visit: str | Column = "visit") -> Column:
-    """The corrected value of ``column`` at ``step`` if there is one, else the value itself."""
-    visit = F.col(visit) if isinstance(visit, str) else visit
-    return corrected(F.col(column), column, step, dtype, visit)
 
+def corrected(value: Column, item: str, step: int, dtype: str, ov: Column) -> Column:
+    """The corrected value of a cell if ``ov`` has one, else the value itself."""
+    return F.coalesce(ov[f"{item}_{step}"].try_cast(dtype), value)
 
-def corrected(value: Column, item: str, step: int, dtype: T.DataType | str, visit: Column) -> Column:
-    entry = F.coalesce(
-        F.try_element_at("overrides", F.concat(F.lit(f"{step}|"), visit, F.lit(f"|{item}"))),
-        F.try_element_at("overrides", F.lit(f"{step}|*|{item}")),
-    )
-    return F.coalesce(entry.try_cast(dtype), value)
+
+def own_overrides() -> Column:
+    """The corrections that belong to the visit of the row."""
+    return F.expr("CASE WHEN visit = 'baseline' THEN ov_bl ELSE ov_fu END")
 
 
 def apply_overrides(df: DataFrame, overrides: DataFrame, step: int, columns: dict[str, str]) -> DataFrame:
     """Left-join the corrections of one step and apply them; ``columns`` maps name to type."""
-    ready = df.join(override_map(overrides.where(F.col("step") == step)), "study_id", "left")
-    return ready.withColumns({c: overridden(c, step, t) for c, t in columns.items()}).drop("overrides")
+    values = override_values(overrides.where(F.col("step") == step), [(step, c) for c in columns])
+    ready = df.join(values, "study_id", "left").withColumn("__ov", own_overrides())
+    return ready.withColumns({c: corrected(F.col(c), c, step, t, F.col("__ov")) for c, t in columns.items()}).select(
+        *df.columns)
+
+
+def conflicting_overrides(overrides: DataFrame) -> DataFrame:
+    """Cells that one step corrects to more than one value for the same visit."""
+    return overrides.groupBy("study_id", "step", "visit", "item").agg(
+        F.min("value").alias("low"), F.max("value").alias("high")
+    ).where("low <> high")
 
 
 def invalid_overrides(overrides: DataFrame, levels: DataFrame) -> DataFrame:

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from cohortlens.functions.numbers import NUMERIC_TEXT
-from cohortlens.functions.text import MONTHS_ONLY, YEAR_UNIT, YEARS_AND_MONTHS, YEARS_ONLY
 from cohortlens.standins import DRAW_ORDER, OVERRIDE_RULES, VISIT_VALUES
 from cohortlens.vocab import DRUG_CLASSES
 
+# The spellings apart, as the checked side reads them: years and months, years, months.
+YEARS_AND_MONTHS = r"^\s*([0-9]*[.]?[0-9]+)\s*years?,?\s*([0-9]+)\s*months?.*$"
+YEARS_ONLY = r"^\s*([0-9]*[.]?[0-9]+)\s*years?\s*$"
+MONTHS_ONLY = r"^\s*([0-9]*[.]?[0-9]+)\s*(mos|months)?\s*$"
+YEAR_UNIT = r"\s*(yrs|years|yr)\s*"
 DRUGS = ["ART1", "ART2", "ART3", "ART4"]
 
 

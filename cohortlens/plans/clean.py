@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from cohortlens.config import RunConfig
 from cohortlens.functions.dates import mixed_date, months_by_days
 from cohortlens.functions.numbers import number_or_null
-from cohortlens.functions.text import contains_flag, duration_months, lab_value, viral_load_class, years_value
+from cohortlens.functions.text import contains_flag, duration_months, lab_value, viral_load_of, years_value
 from cohortlens.operators import cleaning as C
-from cohortlens.operators.harmonise import corrected, override_map, recode, require_columns
+from cohortlens.operators.harmonise import corrected, override_values, own_overrides, recode, require_columns
 from cohortlens.operators.panel import (
     BASELINE, FOLLOW_UP, carried_duration, carries_regimen, change_table,
 )
@@ -26,40 +26,60 @@ NEEDED = [
 ]
 
 
-def clean_values(raw: DataFrame, config: RunConfig = RunConfig()) -> DataFrame:
-    """The steps that look at one row only: dates, numbers, classes, text flags, durations."""
+def read_text(raw: DataFrame, config: RunConfig) -> DataFrame:
+    """Dates, numbers and durations out of text columns."""
     require_columns(raw, NEEDED, "the raw panel")
-    return recode(raw, "foreign_born", BIRTH_PLACE_RECODE).withColumns({
+    return raw.withColumns({
         "date_scan": mixed_date("date_scan"),
-        "BMD": C.decimal_slip(F.col("BMD")),
         "vitD": lab_value("vitD", config.not_done),
         "PTH": lab_value("PTH", config.not_done, below_limit=False),
-        "BMI": C.recomputed_bmi(F.col("BMI"), F.col("weight"), F.col("height"), F.col("visit")),
-        "alcohol_units": F.coalesce("alcohol_units", F.lit(0.0)),
-        "VL": viral_load_class("VL"),
+        "VL_number": number_or_null("VL"),
         "NTX": number_or_null("NTX"),
         "P1NP": number_or_null("P1NP"),
         "CD4": number_or_null("CD4"),
         "CD4_nadir": number_or_null("CD4_nadir"),
-        "BMD_ab": contains_flag("BMD_z", BONE_TEXT_MARK),
         "TDF_duration": years_value("TDF_duration"),
         "TAF_duration": duration_months("TAF_duration"),
     })
 
 
-def treatment_flags(visit: Column, drugs: list[Column], duration: Column) -> dict[str, Column]:
-    """Drug flags and regimen of one visit, with the corrections that come before and after them."""
-    taf = corrected(C.taf_flag(visit, drugs[1], drugs[3], duration), "TAF", 11, "int", visit)
-    tdf = C.tdf_flag(drugs[1])
-    regimen = C.regimen_class(drugs[0], tdf, taf)
+def classify(read: DataFrame) -> DataFrame:
+    """Repairs, classes and flags from columns that were already read."""
+    return recode(read, "foreign_born", BIRTH_PLACE_RECODE).withColumns({
+        "BMD": C.decimal_slip(F.col("BMD")),
+        "BMI": C.recomputed_bmi(F.col("BMI"), F.col("weight"), F.col("height"), F.col("visit")),
+        "alcohol_units": F.coalesce("alcohol_units", F.lit(0.0)),
+        "VL": viral_load_of(F.col("VL"), F.col("VL_number")),
+        "BMD_ab": contains_flag("BMD_z", BONE_TEXT_MARK),
+    }).drop("VL_number")
+
+
+def clean_values(raw: DataFrame, config: RunConfig = RunConfig()) -> DataFrame:
+    """The steps that look at one row only: dates, numbers, classes, text flags, durations."""
+    return classify(read_text(raw, config))
+
+
+# The cells that corrections may change, with the step at which they do.
+CORRECTED_CELLS = [
+    (10, "TAF_duration"), (11, "TAF"), (14, "TDF_exp"), (14, "TAF"), (14, "TDF"), (14, "ART_reg"), (19, "ART_reg"),
+]
+
+
+def treatment_flags(visit: Column, drugs: list[Column], duration: Column, ov: Column) -> dict[str, Column]:
+    """Drug flags of one visit, with the corrections that come before and after them."""
+    taf = corrected(C.taf_flag(visit, drugs[1], drugs[3], duration), "TAF", 11, "int", ov)
     switched = C.on_treatment_follow_up(visit, duration)
-    return {
-        "TAF": corrected(taf, "TAF", 14, "int", visit),
-        "TDF": corrected(F.when(switched, F.lit(0)).otherwise(tdf), "TDF", 14, "int", visit),
-        "ART_reg": corrected(
-            F.when(switched & (taf == 1), F.lit("TAF")).otherwise(regimen), "ART_reg", 14, "string", visit
-        ),
-    }
+    tdf = F.when(switched, F.lit(0)).otherwise(C.tdf_flag(drugs[1]))
+    return {"TAF": corrected(taf, "TAF", 14, "int", ov), "TDF": corrected(tdf, "TDF", 14, "int", ov)}
+
+
+def treatment_regimen(visit: Column, drugs: list[Column], duration: Column, ov: Column) -> Column:
+    """Regimen of one visit from the flags before the later corrections."""
+    taf = corrected(C.taf_flag(visit, drugs[1], drugs[3], duration), "TAF", 11, "int", ov)
+    by_class = C.regimen_class(drugs[0], C.tdf_flag(drugs[1]), taf)
+    switched = C.on_treatment_follow_up(visit, duration)
+    regimen = F.when(switched & (taf == 1), F.lit("TAF")).otherwise(by_class)
+    return corrected(corrected(regimen, "ART_reg", 14, "string", ov), "ART_reg", 19, "string", ov)
 
 
 def clean_panel(raw: DataFrame, overrides: DataFrame, config: RunConfig = RunConfig()) -> DataFrame:
@@ -68,46 +88,49 @@ def clean_panel(raw: DataFrame, overrides: DataFrame, config: RunConfig = RunCon
     Subjects without a baseline row drop out.  Corrections are attached once and used at the step
     they name.
     """
-    values = clean_values(raw, config).join(override_map(overrides), "study_id", "left")
-    values = values.withColumns({
-        "TAF_duration": corrected(F.col("TAF_duration"), "TAF_duration", 10, "double", F.col("visit")),
-        "TDF_exp": corrected(F.col("TDF_exp"), "TDF_exp", 14, "string", F.col("visit")),
+    # Classes are made after the joins: one projection with everything would compile to a method too
+    # long for machine code.
+    values = read_text(raw, config).join(override_values(overrides, CORRECTED_CELLS), "study_id", "left")
+    values = values.withColumn("ov", own_overrides()).drop("ov_bl", "ov_fu").withColumns({
+        "TAF_duration": corrected(F.col("TAF_duration"), "TAF_duration", 10, "double", F.col("ov")),
+        "TDF_exp": corrected(F.col("TDF_exp"), "TDF_exp", 14, "string", F.col("ov")),
     })
-    at_baseline = values.where(F.col("visit") == BASELINE).select(
-        "study_id", F.struct("date_scan", "TAF_duration", "TDF_exp", *DRUG_COLUMNS).alias("bl"))
-    at_follow_up = values.where(F.col("visit") == FOLLOW_UP).select(
-        "study_id", F.struct("TAF_duration", *DRUG_COLUMNS).alias("fu"))
+    lent = ["date_scan", "TAF_duration", "TDF_exp", "ov", *DRUG_COLUMNS]
+    at_baseline = values.where(F.col("visit") == BASELINE).select("study_id", F.struct(*lent).alias("bl"))
+    at_follow_up = values.where(F.col("visit") == FOLLOW_UP).select("study_id", F.struct(*lent).alias("fu"))
     panel = values.join(at_baseline, "study_id", "inner").join(at_follow_up, "study_id", "left")
 
     own = [F.col(d) for d in DRUG_COLUMNS]
     at_bl = [F.col(f"bl.{d}") for d in DRUG_COLUMNS]
     at_fu = [F.col(f"fu.{d}") for d in DRUG_COLUMNS]
-    carried = carries_regimen(F.col("visit"), own)
-    carried_fu = F.coalesce(*at_fu).isNull()
+    carried, carried_fu = carries_regimen(F.col("visit"), own), F.coalesce(*at_fu).isNull()
     panel = panel.withColumns(
         {d: F.when(carried, b).otherwise(o) for d, o, b in zip(DRUG_COLUMNS, own, at_bl, strict=True)}
     )
 
-    first = treatment_flags(F.lit(BASELINE), at_bl, F.col("bl.TAF_duration"))
+    first = treatment_flags(F.lit(BASELINE), at_bl, F.col("bl.TAF_duration"), F.col("bl.ov"))
     second = treatment_flags(
         F.lit(FOLLOW_UP), [F.when(carried_fu, b).otherwise(f) for b, f in zip(at_bl, at_fu, strict=True)],
-        F.col("fu.TAF_duration"),
+        F.col("fu.TAF_duration"), F.col("fu.ov"),
     )
     seen_twice = F.col("fu").isNotNull()
     panel = panel.withColumns({
-        **treatment_flags(F.col("visit"), own, F.col("TAF_duration")),
         "TDF_bl": first["TDF"], "TAF_bl": first["TAF"],
         "TDF_fu": F.when(seen_twice, second["TDF"]), "TAF_fu": F.when(seen_twice, second["TAF"]),
+        "ART_reg": treatment_regimen(F.col("visit"), own, F.col("TAF_duration"), F.col("ov")),
         **C.class_flags(),
     })
+    # A row's own flags are those of its visit.
+    panel = panel.withColumns({
+        f: F.when(F.col("visit") == BASELINE, F.col(f"{f}_bl")).otherwise(F.col(f"{f}_fu")) for f in ("TAF", "TDF")
+    })
     return panel.withColumns({
         "TAF_duration": carried_duration(
             F.col("visit"), F.col("TAF"), F.col("TAF_duration"), F.col("date_scan"),
             F.col("bl.date_scan"), F.col("bl.TAF_duration"),
         ),
         "TDF_exp": F.col("bl.TDF_exp"),
-        "ART_reg": corrected(F.col("ART_reg"), "ART_reg", 19, "string", F.col("visit")),
-    }).drop("bl", "fu", "overrides")
+    }).drop("bl", "fu", "ov").transform(classify)
 
 
 def change_scores(cleaned: DataFrame) -> DataFrame:
