@@ -32,11 +32,11 @@ def read_chain_files(spark: SparkSession, path: str | Sequence[str], columns: Se
     )
     if "iteration" in columns:
         return raw.drop("__block")
-    placed = raw.withColumn("__at", F.monotonically_increasing_id())
-    numbered = number_rows(placed, ["chain", "__block", "__at"], "__row")
+    placed = raw.withColumn("__seen", F.monotonically_increasing_id())
+    numbered = number_rows(placed, ["chain", "__block", "__seen"], "__row")
     starts = small_side(numbered.groupBy("chain").agg((F.min("__row") - 1).alias("__start")))
     return numbered.join(starts, "chain").withColumn("iteration", F.col("__row") - F.col("__start")).drop(
-        "__block", "__at", "__row", "__start")
+        "__block", "__seen", "__row", "__start")
 
 
 def read_draws(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str], variables: Sequence[str]) -> DataFrame:
