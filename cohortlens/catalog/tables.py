@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortlens import vocab
 from cohortlens.catalog.common import CONFIG, change, cleaned, risk, risk_without_outcome, rounded, switch
+from cohortlens.functions.intervals import _t_small
 from cohortlens.functions.numbers import mean_sd_label
 from cohortlens.operators import feeds
 from cohortlens.operators import hsgp as gp
@@ -319,11 +320,14 @@ def _mean_ci(width: str) -> str:
         _LONG)
 
 
-def _t_series(df: str) -> str:
+def _t_quantile(df: str) -> str:
+    """Few degrees of freedom from a lookup (checked against published points in tests/), more by a series."""
     z, d = _Z, f"CAST({df} AS DOUBLE)"
-    return (f"({z} + {(z**3 + z) / 4} / {d} + {(5 * z**5 + 16 * z**3 + 3 * z) / 96} / pow({d}, 2)"
+    few = ", ".join(f"{_t_small(k, 0.975)!r}" for k in range(1, 60))
+    return (f"CASE WHEN {df} BETWEEN 1 AND 59 THEN list_extract([{few}], CAST({df} AS BIGINT)) WHEN {df} >= 60 THEN"
+            f" ({z} + {(z**3 + z) / 4} / {d} + {(5 * z**5 + 16 * z**3 + 3 * z) / 96} / pow({d}, 2)"
             f" + {(3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384} / pow({d}, 3)"
-            f" + {(79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160} / pow({d}, 4))")
+            f" + {(79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160} / pow({d}, 4)) END")
 
 
 def _box(stage: str, source: str, group: str, *more: str) -> str:
@@ -360,7 +364,7 @@ ORACLES = {
         count(*) FILTER (WHERE abnormal_bmd = 'Abnormal') AS "Abnormal" FROM rk WHERE abnormal_bmd IS NOT NULL GROUP BY visit"""),
     "binom_ci": _binom(),
     "mean_ci_normal": _mean_ci("1.96"),
-    "mean_ci_t": _mean_ci(_t_series("n - 1")),
+    "mean_ci_t": _mean_ci(_t_quantile("(n - 1)")),
     "standardise": o.on("sw", """SELECT study_id, round((change_BMD_LS - m) / s, 6) AS change_BMD_LS_z, round(m, 6) AS change_BMD_LS_mean,
         round(s, 6) AS change_BMD_LS_sd FROM sw, (SELECT avg(change_BMD_LS) AS m, stddev_samp(change_BMD_LS) AS s FROM sw)"""),
     "factor_levels": o.on("rk", f"""SELECT variable, level, ord, n FROM (SELECT variable, level, count(*) AS n FROM (

@@ -125,11 +125,10 @@ def numeric_grid(cells: DataFrame, intercept_sd: float = INTERCEPT_SD, effect_sd
     curvature: dict[str, tuple[float, float, float]] = {}
     spark = cells.sparkSession
     for _ in range(steps):
-        now = spark.createDataFrame([(m, a, b) for m, (a, b) in state.items()], "model string, a double, b double")
-        eta = F.col("a") + F.col("b") * F.col("x")
+        eta = _of_model(state, 0) + _of_model(state, 1) * F.col("x")
         p = 1 / (1 + F.exp(-eta))
         gap, var = F.col("k") - F.col("n") * p, F.col("n") * p * (1 - p)
-        sums = kept.join(F.broadcast(now), "model").groupBy("model").agg(
+        sums = kept.groupBy("model").agg(
             F.sum(gap).alias("g0"), F.sum(gap * F.col("x")).alias("g1"), F.sum(var).alias("h00"),
             F.sum(var * F.col("x")).alias("h01"), F.sum(var * F.col("x") ** 2).alias("h11"),
         )
@@ -171,6 +170,14 @@ def numeric_grid(cells: DataFrame, intercept_sd: float = INTERCEPT_SD, effect_sd
                          F.exp(F.col("lp") - F.max("lp").over(W.partitionBy("model"))).alias("weight"))
 
 
+def _of_model(state: dict[str, tuple[float, float]], i: int) -> Column:
+    """The current parameter of the row's model, as a literal per registered model."""
+    out = F.lit(None).cast("double")
+    for model, values in state.items():
+        out = F.when(F.col("model") == model, F.lit(values[i])).otherwise(out)
+    return out
+
+
 def fit_logistic(rows: DataFrame, intercept_sd: float = INTERCEPT_SD, effect_sd: float = EFFECT_SD) -> DataFrame:
     """Odds ratios of every registered logistic model, factors and numbers alike."""
     cells = materialise(logit_cells(rows), "cells")

@@ -148,7 +148,7 @@ def effective_sizes(draws: DataFrame, first_lag: int = 64) -> DataFrame:
     The lags looked at double until every variable's sum has ended, so the result is exact for any
     autocorrelation length.
     """
-    series = materialise(half_chains(draws), "half_chains")
+    series = half_chains(draws)
     longest = series.agg(F.max("at")).first()[0]
     lag = first_lag
     while True:

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 
 from cohortlens.runtime import null_safe_join, small_side
 
-# A group of at most this many rows may be held by one task (value -> count map).
-TASK_ROWS = 1_000_000
+# A group of at most this many rows may be held by one task (value -> count map); measured, the
+# bracketed way is faster for larger ones.
+TASK_ROWS = 50_000
 SKETCH_ACCURACY = 10_000
 # Share of a group kept on either side of a probability; ten times the sketch's rank error.
 BRACKET = 10 / SKETCH_ACCURACY
+# Below this size a bracket would be only a few ranks wide.
+BRACKET_ROWS = 10_000
 
 
 def group_quantiles(
@@ -45,6 +48,7 @@ def _literal(values: Sequence[float]) -> Column:
 
 
 def _bracketed(data: DataFrame, by: list[str], probs: list[float], task_rows: int) -> DataFrame:
+    task_rows = max(task_rows, BRACKET_ROWS)
     edges = [p for q in probs for p in (max(q - BRACKET, 0.0), min(q + BRACKET, 1.0))]
     sketch = data.groupBy(*by).agg(
         F.count("__v").alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
