@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlens.runtime import null_safe_join, small_side
+from cohortlens.runtime import BROADCAST_ROWS, null_safe_join
 
 # A group of at most this many rows may be held by one task (value -> count map); measured, the
 # bracketed way is faster for larger ones.
@@ -25,35 +25,50 @@ def group_quantiles(
 ) -> DataFrame:
     """Interpolated quantiles of ``value`` per group: columns ``by``, ``n`` and the array ``q``.
 
-    Missing values are skipped; a group without values gives ``n`` 0 and a NULL array.  The largest
-    group is measured first.  Up to ``task_rows`` the built-in exact aggregate is used.  Beyond it
-    every wanted rank is bracketed by a sketch, and only the values inside the brackets, counted
-    exactly, are ever sorted: the result stays exact, and no task sees more than the bracket.
+    Missing values are skipped; a group without values gives ``n`` 0 and a NULL array.  One pass
+    measures the groups and sketches their ranks.  Up to ``task_rows`` rows per group the built-in
+    exact aggregate is used.  Beyond it every wanted rank is bracketed by the sketch, and only the
+    values inside the brackets, counted exactly, are ever sorted: the result stays exact, and no
+    task sees more than the bracket.
     """
     by = list(by)
     if not by:
         one_group = df.withColumn("__all", F.lit(1))
         return group_quantiles(one_group, ["__all"], value, probs, task_rows).drop("__all")
     data = df.select(*by, F.col(value).cast("double").alias("__v"))
-    largest = data.groupBy(*by).agg(F.count("__v").alias("n")).agg(F.max("n")).first()[0] or 0
+    sketch = _sketch(data, by, list(probs))
+    rows = sketch.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:  # many groups: measure them without bringing them here
+        largest = sketch.agg(F.max("n")).first()[0]
+        sketches = sketch
+    else:
+        largest = max((r["n"] for r in rows), default=0)
+        sketches = F.broadcast(data.sparkSession.createDataFrame(rows, sketch.schema))
     if largest <= task_rows:
         return data.groupBy(*by).agg(
             F.count("__v").alias("n"), F.percentile("__v", _literal(probs)).alias("q")
         )
-    return _bracketed(data, by, list(probs), task_rows)
+    return _bracketed(data, by, list(probs), sketches, max(task_rows, BRACKET_ROWS))
 
 
 def _literal(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
-def _bracketed(data: DataFrame, by: list[str], probs: list[float], task_rows: int) -> DataFrame:
-    task_rows = max(task_rows, BRACKET_ROWS)
-    edges = [p for q in probs for p in (max(q - BRACKET, 0.0), min(q + BRACKET, 1.0))]
-    sketch = data.groupBy(*by).agg(
+def _edges(probs: list[float]) -> list[float]:
+    return [p for q in probs for p in (max(q - BRACKET, 0.0), min(q + BRACKET, 1.0))]
+
+
+def _sketch(data: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
+    """Size, range and approximate bracket ends of every group; one mergeable aggregate."""
+    return data.groupBy(*by).agg(
         F.count("__v").alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
-        F.percentile_approx("__v", _literal(edges), SKETCH_ACCURACY).alias("__e"),
+        F.percentile_approx("__v", _literal(_edges(probs)), SKETCH_ACCURACY).alias("__e"),
     )
+
+
+def _bracketed(data: DataFrame, by: list[str], probs: list[float], sketch: DataFrame, task_rows: int) -> DataFrame:
+    edges = _edges(probs)
     whole = F.array(F.struct(F.col("__min").alias("lo"), F.col("__max").alias("hi")))
     around = F.array(*[
         F.struct(
@@ -66,7 +81,7 @@ def _bracketed(data: DataFrame, by: list[str], probs: list[float], task_rows: in
     small = F.col("n") <= task_rows
     brackets = sketch.select(*by, "n", F.when(small, whole).otherwise(around).alias("__b"))
 
-    joined = null_safe_join(data, small_side(brackets), by)
+    joined = null_safe_join(data, brackets, by)
     # Per bracket: rows under it collapse to one NULL-valued count, rows above it are not needed.
     places = joined.where(F.col("__v").isNotNull()).select(*by, "n", "__v", F.posexplode("__b").alias("__j", "__x"))
     counts = (

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 HEADER_ROWS = 2
@@ -32,22 +32,33 @@ def unique_names(names: Sequence[str | None]) -> list[str | None]:
     return out
 
 
-def sheet(book: DataFrame, name: str) -> DataFrame:
-    """One sheet with its header texts as column names, without the header rows.
+def headers(book: DataFrame, sheets: Sequence[str]) -> dict[str, Row]:
+    """The header row of every sheet: the first row whose first cell is filled, of the top rows.
 
-    Only the header row reaches the driver; the filter on ``row`` is pushed to the scan.
+    One job for all sheets; the filters are pushed to the scan and at most two rows per sheet
+    reach the driver.
     """
-    rows = book.where(F.col("sheet") == name)
+    top = book.where(F.col("sheet").isin(*sheets) & (F.col("row") <= HEADER_ROWS) & F.col("c0").isNotNull())
+    found: dict[str, Row] = {}
+    for row in sorted(top.limit(HEADER_ROWS * len(sheets)).collect(), key=lambda r: r["row"]):
+        found.setdefault(row["sheet"], row)
+    for name in sheets:
+        if name not in found:
+            raise ValueError(f"sheet {name!r} has no header in its first {HEADER_ROWS} rows")
+    return found
+
+
+def sheet(book: DataFrame, name: str, header: Row | None = None) -> DataFrame:
+    """One sheet with its header texts as column names, without the header rows."""
+    header = header or headers(book, [name])[name]
     cells = [c for c in book.columns if c not in ("sheet", "row")]
-    head = rows.where((F.col("row") <= HEADER_ROWS) & F.col("c0").isNotNull()).orderBy("row").limit(1).collect()
-    if not head:
-        raise ValueError(f"sheet {name!r} has no header in its first {HEADER_ROWS} rows")
-    header = head[0]
     named = zip(cells, unique_names([header[c] for c in cells]), strict=True)
     kept = {c: n for c, n in named if n is not None}
-    return rows.where(F.col("row") > header["row"]).select(*kept).toDF(*kept.values())
+    body = book.where((F.col("sheet") == name) & (F.col("row") > header["row"]))
+    return body.select(*kept).toDF(*kept.values())
 
 
 def stack_sheets(book: DataFrame, sheets: Sequence[str], shape: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """Bring every sheet to one shape and stack them."""
-    return reduce(DataFrame.unionByName, [shape(sheet(book, name), name) for name in sheets])
+    found = headers(book, sheets)
+    return reduce(DataFrame.unionByName, [shape(sheet(book, name, found[name]), name) for name in sheets])
