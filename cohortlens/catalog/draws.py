@@ -24,6 +24,13 @@ def _kept(spark, sf):
     return _long(spark, sf).where(F.col("iteration") > standins.WARMUP_ITERATIONS)
 
 
+def draw_names(spark, sf):
+    """Variables as they are shown, with the index of indexed ones, and their row counts."""
+    indexed = _kept(spark, sf).withColumn(
+        "variable", F.concat("variable", F.lit("["), (F.col("iteration") % 12 + 1).cast("string"), F.lit("]")))
+    return P.clean_names(indexed).groupBy("variable", "index").agg(F.count(F.lit(1)).alias("n"))
+
+
 def exceedance_prob(spark, sf):
     return P.exceedance(_kept(spark, sf), 0.5).select("variable", rounded("pval").alias("pval"))
 
@@ -82,7 +89,7 @@ def pair_bins(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    exceedance_prob, posterior_interval, posterior_interval_rows, draws_summary, diagnostic_extremes, split_rhat,
+    draw_names, exceedance_prob, posterior_interval, posterior_interval_rows, draws_summary, diagnostic_extremes, split_rhat,
     rank_rhat, diagnostics_table, rhat_ess, trace_feed, pair_bins,
 )}
 
@@ -126,6 +133,8 @@ _PAIRS = [("b_exposureY", "b_baseline"), ("b_exposureY", "sigma"), ("b_baseline"
           ("b_exposureY", "b_exposureY"), ("b_baseline", "b_baseline"), ("sigma", "sigma")]
 
 ORACLES = {
+    "draw_names": o.on("draws", """SELECT concat(regexp_replace(variable, '^b_', ''), '[', i, ']') AS variable, CAST(i AS INTEGER) AS index,
+        count(*) AS n FROM (SELECT variable, iteration % 12 + 1 AS i FROM kept) GROUP BY variable, i""", _KEPT),
     "exceedance_prob": o.on("draws", """SELECT variable, round(avg(CASE WHEN value > 0.5 THEN 1 ELSE 0 END), 6) AS pval
         FROM kept GROUP BY variable""", _KEPT),
     "posterior_interval": o.on("draws", "SELECT variable, " + ", ".join(

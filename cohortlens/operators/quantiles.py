@@ -81,21 +81,25 @@ def _bracketed(data: DataFrame, by: list[str], probs: list[float], sketch: DataF
     small = F.col("n") <= task_rows
     brackets = sketch.select(*by, "n", F.when(small, whole).otherwise(around).alias("__b"))
 
-    joined = null_safe_join(data, brackets, by)
-    # Per bracket: rows under it collapse to one NULL-valued count, rows above it are not needed.
-    places = joined.where(F.col("__v").isNotNull()).select(*by, "n", "__v", F.posexplode("__b").alias("__j", "__x"))
+    joined = null_safe_join(data.where(F.col("__v").isNotNull()), brackets, by)
+    v, ends_of = F.col("__v"), [F.get("__b", F.lit(j)) for j in range(len(probs))]
+    # Rows under a bracket are only counted; rows inside go on as value and count.
+    below = joined.groupBy(*by).agg(F.array(*[F.count_if(v < e["lo"]) for e in ends_of]).alias("__below"))
+    hits = F.array_compact(F.array(*[
+        F.when((v >= e["lo"]) & (v <= e["hi"]), F.lit(j)) for j, e in enumerate(ends_of)
+    ]))
     counts = (
-        places.where(F.col("__v") <= F.col("__x.hi"))
-        .groupBy(*by, "n", "__j", F.when(F.col("__v") >= F.col("__x.lo"), F.col("__v")).alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"))
+        joined.select(*by, "n", "__v", F.explode(hits).alias("__j"))
+        .groupBy(*by, "n", "__j", "__v").agg(F.count(F.lit(1)).alias("__c"))
     )
-    upto = W.partitionBy(*by, "__j").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    ranked = counts.withColumn("__upto", F.sum("__c").over(upto)).where(F.col("__v").isNotNull())
+    upto = W.partitionBy(*by, "__j").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = null_safe_join(counts.withColumn("__upto", F.sum("__c").over(upto)), below, by)
 
     def at_rank(rank: Column, j: int) -> Column:
         bracket = F.when(F.col("n") <= task_rows, F.lit(0)).otherwise(F.lit(j))
-        here = (F.col("__j") == bracket) & (F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank)
-        return F.max(F.when(here, F.col("__v")))
+        inside = rank - F.get("__below", bracket)
+        here = (F.col("__j") == bracket) & (F.col("__upto") > inside) & (F.col("__upto") - F.col("__c") <= inside)
+        return F.max(F.when(here, v))
 
     ends = {}
     for j, p in enumerate(probs):

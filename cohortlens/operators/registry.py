@@ -78,14 +78,16 @@ def valid_levels(spark: SparkSession, models: Sequence[Model]) -> DataFrame:
 
 
 def term_labels(spark: SparkSession, models: Sequence[Model]) -> DataFrame:
-    """``(model, level, term)``: display text of every effect, named after its own reference level."""
+    """``(model, level, term, position)``: display text of every effect, named after its own reference
+    level, and its place from the top of a forest plot."""
     rows = []
     for m in models:
         if m.levels is None:
             rows.append((m.name, "per unit", m.label))
         else:
             rows += [(m.name, lv, f"{m.label}: {lv} vs. {m.levels[0]}") for lv in m.levels[1:]]
-    return spark.createDataFrame(rows, "model string, level string, term string")
+    return spark.createDataFrame(
+        [(*row, i) for i, row in enumerate(rows, start=1)], "model string, level string, term string, position int")
 
 
 def _quoted(values: Sequence[str]) -> str:

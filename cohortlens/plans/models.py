@@ -41,7 +41,7 @@ def effects_table(baseline: DataFrame, change: DataFrame, switch: DataFrame) ->
         term_labels(spark, [*LINEAR, *SWITCH]).withColumn("family", F.lit("linear")))
     both = odds.unionByName(slopes)
     return both.join(F.broadcast(labels), ["family", "model", "level"], "left").select(
-        "family", "model", F.coalesce("term", "level").alias("term"), "estimate", "lower", "upper",
+        "family", "position", "model", F.coalesce("term", "level").alias("term"), "estimate", "lower", "upper",
         estimate_label("estimate", "lower", "upper").alias("label"), F.bround("exceedance", 2).alias("exceedance"),
     )
 
