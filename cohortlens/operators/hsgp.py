@@ -222,6 +222,12 @@ def _sigma_points(p: _Problem, model: CurveModel) -> np.ndarray:
     return math.sqrt(residual) * np.exp(np.linspace(-spread, upper, model.points[0]))
 
 
+def _half_normal_points(sd: float, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cell midpoints and widths up to 3.5 SD, narrower near 0 where a weak curve puts its weight."""
+    edges = 3.5 * sd * (np.arange(n + 1) / n) ** 1.5
+    return (edges[1:] + edges[:-1]) / 2, np.diff(edges)
+
+
 def _check_grid(grid: DataFrame) -> tuple[int, float]:
     """Number of months and largest coordinate; the grid must be small enough to ship."""
     months, x_max = grid.agg(F.count(F.lit(1)), F.max("x_max")).first()
@@ -237,8 +243,8 @@ def posterior_grid(spark, matrix: np.ndarray, model: CurveModel, width: float) -
     p = _problem(matrix, model, width)
     sigmas = _sigma_points(p, model)
     na, nl = model.points[1:]
-    alphas = model.alpha_sd * 3.5 * (np.arange(na) + 0.5) / na
-    lscales = model.lscale_sd * 3.5 * (np.arange(nl) + 0.5) / nl
+    alphas, alpha_steps = _half_normal_points(model.alpha_sd, na)
+    lscales, lscale_steps = _half_normal_points(model.lscale_sd, nl)
     steps = np.gradient(sigmas) if len(sigmas) > 1 else np.ones(1)
 
     def evaluate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,8 +253,9 @@ def posterior_grid(spark, matrix: np.ndarray, model: CurveModel, width: float) -
             for h in batch["id"]:
                 i, rest = divmod(int(h), na * nl)
                 a, ls = alphas[rest // nl], lscales[rest % nl]
+                cell = math.log(steps[i] * alpha_steps[rest // nl] * lscale_steps[rest % nl])
                 prior = -0.5 * ((sigmas[i] / model.sigma_sd) ** 2 + (a / model.alpha_sd) ** 2 + (ls / model.lscale_sd) ** 2)
-                out.append((int(h), sigmas[i], a, ls, _conditional(p, sigmas[i], a, ls)[0] + prior + math.log(steps[i])))
+                out.append((int(h), sigmas[i], a, ls, _conditional(p, sigmas[i], a, ls)[0] + prior + cell))
             yield pd.DataFrame(out, columns=["h", "sigma", "alpha", "lscale", "lp"])
 
     points = spark.range(len(sigmas) * na * nl, numPartitions=min(8, len(sigmas)))
