@@ -15,6 +15,7 @@ not looked at.  A text longer than the table's bound still gets a table of its o
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import map_rows
 from cohortlens.runtime import materialise
 
-TABLE_BYTES = 48 << 20  # contents that one task's table may hold
-BUCKET_BYTES = 32 << 20  # mean bytes aimed at per bucket
+TABLE_BYTES = 96 << 20  # memory that one task's table may hold
+BUCKET_BYTES = 16 << 20  # mean bytes aimed at per bucket, well below a table so that few spill
 
 _RECORD = "text string, keep_id bigint, rows bigint, sha string, open boolean"
 _TYPES = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
@@ -55,7 +56,7 @@ class OpenTable:
                 self.rows[entry] += rows
                 return True
             at = (at + 1) & mask
-        size = 4 * len(text) + 200
+        size = sys.getsizeof(text) + 200
         if self.texts and self.held + size > self.max_bytes:
             return False
         self.slots[at] = len(self.texts)
