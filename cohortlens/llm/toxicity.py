@@ -1,7 +1,7 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Every word gets a log-odds weight between toxic and clean labelled texts, under a Dirichlet prior that
-follows the word's count over all documents, and shrunk towards zero by its standard error.  Words
+Every word gets a log-odds weight between toxic and clean labelled texts that hold it, under a Dirichlet
+prior that follows the number of all documents that hold it, and shrunk towards zero by its standard error.  Words
 are hashed to a table of fixed size, and so are their leading stems, which stand in for
 words that the labelled texts lack.  A linear scan finds every maximal segment of a text.  Segment
 scores become p-values by the extreme-value law of random texts with the clean word
@@ -35,7 +35,7 @@ from cohortlens.runtime import materialise
 TRAIN_ROWS = 200_000  # labelled rows the classifier is fitted on, at most
 BUCKETS = 1 << 18  # hashed words and stems
 STEM = 5  # bytes of a stem
-PRIOR = 2_000.0  # weight of the Dirichlet prior in tokens
+PRIOR = 2_000.0  # weight of the Dirichlet prior's background part, in words
 SHRINK = 1.65  # standard errors taken off a weight
 DRIFT = 0.5  # taken off every word, so that neutral text lowers a segment's sum
 CAP = 6.0  # bound of a weight's size
@@ -61,17 +61,18 @@ def _pairs(words: list[bytes], known: Buckets) -> np.ndarray:
 
 
 def _count(rows: Iterator[tuple]) -> Iterator[tuple]:
-    """Counts per bucket of all words, of words in toxic and of words in clean training texts."""
+    """Numbers per bucket of all texts, of toxic and of clean training texts that hold the word or stem."""
     known, counts = Buckets(), np.zeros((3, 2, BUCKETS), np.int64)
     for text, label in rows:
         words = split_words(text)
         if not words:
             continue
-        pairs = _pairs(words, known)
+        pairs = _pairs(list(set(words)), known)
         for kind in (0, 1):
-            np.add.at(counts[0, kind], pairs[:, kind], 1)
+            here = np.unique(pairs[:, kind])
+            counts[0, kind, here] += 1
             if label is not None:
-                np.add.at(counts[1 if label else 2, kind], pairs[:, kind], 1)
+                counts[1 if label else 2, kind, here] += 1
     for kind in (0, 1):
         for at in np.flatnonzero(counts[0, kind]):
             yield (kind, int(at), *(int(counts[i, kind, at]) for i in range(3)))
@@ -90,6 +91,14 @@ class Model:
         word = self.weights[0][pairs[:, 0]]
         stem = self.weights[1][pairs[:, 1]]
         best = np.where(self.known[pairs[:, 0]], np.where(np.abs(word) >= np.abs(stem), word, stem), stem)
+        # A word that a text repeats is weaker evidence each time: its k-th place counts one k-th.
+        high = np.flatnonzero(best > 0)
+        if len(high) > 1:
+            order = high[np.argsort(pairs[high, 0], kind="stable")]
+            same = pairs[order, 0]
+            first = np.flatnonzero(np.r_[True, same[1:] != same[:-1]])
+            runs = np.diff(np.r_[first, len(order)])
+            best[order] /= np.arange(len(order)) - np.repeat(first, runs) + 1
         return best - DRIFT
 
 
@@ -98,9 +107,10 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, background: np.ndarray) -> np
     total = background.sum()
     if not toxic.sum() or not clean.sum() or not total:
         return np.zeros(len(background))
-    prior = PRIOR * (background + 0.5) / (total + 0.5 * len(background))
-    t, c = toxic + prior, clean + prior
-    ratio = np.log(t / (t.sum() - t)) - np.log(c / (c.sum() - c))
+    prior = 1 + PRIOR * background / total
+    share = toxic.sum() / (toxic.sum() + clean.sum())  # the prior alone gives a ratio of zero
+    t, c = toxic + share * prior, clean + (1 - share) * prior
+    ratio = np.log(t / t.sum()) - np.log(c / c.sum())
     error = np.sqrt(1 / t + 1 / c)
     return np.clip(np.sign(ratio) * np.maximum(0, np.abs(ratio) - SHRINK * error), -CAP, CAP)
 
