@@ -84,12 +84,14 @@ def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD)
         named.groupBy("page_id", "digest").agg(F.max(F.octet_length("html").cast("long")).alias("bytes"), F.count(F.lit(1)).alias("n")), "headers"
     )
     total = headers.agg(F.sum(F.col("bytes") * F.col("n"))).first()[0] or 0
-    firsts = resolve_revisits(headers, min_payload).select(F.col("page_id").alias("p"), F.col("digest").alias("d"), "first_id")
-    # Payloads move by page, never by digest: a digest may belong to a third of all pages.
-    full = named.join(firsts, named["page_id"].eqNullSafe(firsts["p"]) & (named["digest"] == firsts["d"]))
-    record = _record(F.col("page_id"), F.col("url"), F.col("digest"), F.col("first_id"), F.col("html"))
+    # Payloads move once, by page and digest, never by digest alone: one digest may belong to a third of
+    # all pages.  The parts of that shuffle become the archives.
     files = max(1, -(-total // ARCHIVE_BYTES))
-    full.select(record.alias("value")).repartition(files).write.option("lineSep", CLOSE).option("compression", "gzip").text(path)
+    key = F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), "digest").alias("key")
+    firsts = resolve_revisits(headers, min_payload).select(key, "first_id").repartition(files, "key")
+    full = named.select("*", key).repartition(files, "key").join(firsts.hint("shuffle_hash"), "key")
+    record = _record(F.col("page_id"), F.col("url"), F.col("digest"), F.col("first_id"), F.col("html"))
+    full.select(record.alias("value")).write.option("lineSep", CLOSE).option("compression", "gzip").text(path)
 
 
 def _parse(data: bytes) -> Iterator[tuple]:
