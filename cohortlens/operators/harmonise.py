@@ -133,6 +133,6 @@ def invalid_overrides(overrides: DataFrame, levels: DataFrame) -> DataFrame:
     declared = levels.select(F.col("variable").alias("item")).distinct()
     known = levels.select(F.col("variable").alias("item"), F.col("level").alias("value"))
     return (
-        overrides.join(F.broadcast(declared), "item", "left_semi")
-        .join(F.broadcast(known), ["item", "value"], "left_anti")
+        overrides.join(declared, "item", "left_semi")
+        .join(known, ["item", "value"], "left_anti")
     )

@@ -51,8 +51,9 @@ def factor_grid(cells: DataFrame, intercept_sd: float = INTERCEPT_SD, effect_sd:
         "model", "level", "ord", n.alias("n"), k.alias("k"),
         F.log((k + 0.5) / (n - k + 0.5)).alias("c"), F.sqrt(1 / (k + 0.5) + 1 / (n - k + 0.5)).alias("se"),
     )
-    reference = placed.where("ord = 0").select(
-        "model", F.struct("n", "k", "c", "se").alias("r")
+    # The first level in use: a model whose declared reference has no rows is fitted against the next one.
+    reference = placed.groupBy("model").agg(
+        F.min_by(F.struct("n", "k", "c", "se"), "ord").alias("r"), F.min("ord").alias("__first")
     )
     half = (points - 1) / 2
 
@@ -63,7 +64,7 @@ def factor_grid(cells: DataFrame, intercept_sd: float = INTERCEPT_SD, effect_sd:
     alpha, gamma = at(F.col("r.c"), F.col("r.se"), F.col("i")), at(F.col("c"), F.col("se"), F.col("j"))
     peak = _loglik(F.col("c"), F.col("n"), F.col("k"))
     grid = (
-        placed.where("ord > 0").join(small_side(reference), "model")
+        placed.join(small_side(reference), "model").where("ord > __first")
         .withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
         .withColumns({"alpha": alpha, "gamma": gamma})
         .select(
@@ -146,6 +147,9 @@ def numeric_grid(cells: DataFrame, intercept_sd: float = INTERCEPT_SD, effect_sd
             moved = max(moved, size)
         if moved < 1e-9:
             break
+    else:
+        if state:
+            raise ArithmeticError(f"no mode within {steps} Newton steps; the last moved by {moved:.3g}")
     frames = []
     for m, (a, b) in state.items():
         h00, h01, h11 = curvature[m]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlens.runtime import materialise, small_side
+from cohortlens.runtime import materialise, null_safe_join, small_side
 
 # monotonically_increasing_id keeps the partition in the upper bits and the row in the lower 33.
 _ROW_BITS = 33
@@ -45,7 +45,7 @@ def number_rows(df: DataFrame, order: list[Column | str], name: str = "row_id")
 def running_total(
     df: DataFrame, by: list[str], order: list[str], weight: str, name: str = "running"
 ) -> DataFrame:
-    """Sum of ``weight`` up to and including each row, within ``by`` and in ``order``.
+    """Sum of ``weight`` up to and including each row, within ``by`` (null is a group) and in ``order``.
 
     A group may hold any share of the table: it is cut into range partitions, each summed on its
     own and shifted by the total of the parts before it.
@@ -55,8 +55,8 @@ def running_total(
     before = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     starts = parts.select(*by, "__part", F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__start"))
     inside = W.partitionBy("__part", *by).orderBy("__at").rowsBetween(W.unboundedPreceding, 0)
+    summed = placed.withColumn("__inside", F.sum(weight).over(inside))
     return (
-        placed.withColumn("__inside", F.sum(weight).over(inside))
-        .join(small_side(starts), [*by, "__part"])
+        null_safe_join(summed, small_side(starts), [*by, "__part"])
         .select(*df.columns, (F.col("__start") + F.col("__inside")).alias(name))
     )

@@ -107,9 +107,9 @@ def change_table(panel: DataFrame, scores: dict[str, str], paired: Sequence[str]
 def drug_class_lookup(panel: DataFrame, columns: Sequence[str], classes: DataFrame) -> DataFrame:
     """Every drug code in use with its class and row count; a code of no class keeps a NULL class.
 
-    ``classes`` is the fixed-size vocabulary, so broadcasting it is safe.
+    ``classes`` is the vocabulary; Spark broadcasts it if it is small.
     """
-    return distinct_codes(panel, columns).join(F.broadcast(classes), "code", "left")
+    return distinct_codes(panel, columns).join(classes, "code", "left")
 
 
 def distinct_codes(panel: DataFrame, columns: Sequence[str]) -> DataFrame:

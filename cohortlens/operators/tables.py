@@ -133,4 +133,4 @@ def factor_levels(df: DataFrame, columns: Sequence[str], levels: DataFrame) -> D
     ``levels`` is the declared vocabulary, whose size does not depend on the data.
     """
     used = counts_by_level(df, columns).where(F.col("level").isNotNull())
-    return used.join(F.broadcast(levels), ["variable", "level"], "left").select("variable", "level", "ord", "n")
+    return used.join(levels, ["variable", "level"], "left").select("variable", "level", "ord", "n")

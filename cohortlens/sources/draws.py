@@ -18,25 +18,26 @@ CHAIN_IN_PATH = r"chain[=_-]?([0-9]+)"
 def read_chain_files(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Comma-separated sampler files, one per chain, with ``#`` comment lines.
 
-    The chain is read from the file path.  Without an ``iteration`` column the place of the row in
-    its file is the iteration.
+    The chain is read from the file path, and the header must name ``columns`` in their order
+    (Spark refuses a file whose header differs).  Without an ``iteration`` column the place of the
+    row within the chain's files, taken by path, is the iteration.
     """
     kinds = {"iteration": T.LongType(), "draw": T.LongType(), "divergent": T.IntegerType()}
     schema = T.StructType([T.StructField(c, kinds.get(c, T.DoubleType())) for c in columns])
     raw = (
-        spark.read.option("header", True).option("comment", "#").schema(schema).csv(path)
+        spark.read.option("header", True).option("comment", "#").option("enforceSchema", False).schema(schema).csv(path)
         .withColumns({
             "chain": F.regexp_extract(F.col("_metadata.file_path"), CHAIN_IN_PATH, 1).cast("int"),
-            "__block": F.col("_metadata.file_block_start"),
+            "__file": F.col("_metadata.file_path"), "__block": F.col("_metadata.file_block_start"),
         })
     )
     if "iteration" in columns:
-        return raw.drop("__block")
+        return raw.drop("__file", "__block")
     placed = raw.withColumn("__seen", F.monotonically_increasing_id())
-    numbered = number_rows(placed, ["chain", "__block", "__seen"], "__row")
+    numbered = number_rows(placed, ["chain", "__file", "__block", "__seen"], "__row")
     starts = small_side(numbered.groupBy("chain").agg((F.min("__row") - 1).alias("__start")))
     return numbered.join(starts, "chain").withColumn("iteration", F.col("__row") - F.col("__start")).drop(
-        "__block", "__seen", "__row", "__start")
+        "__file", "__block", "__seen", "__row", "__start")
 
 
 def read_draws(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str], variables: Sequence[str]) -> DataFrame:

@@ -35,13 +35,13 @@ def unique_names(names: Sequence[str | None]) -> list[str | None]:
 def headers(book: DataFrame, sheets: Sequence[str]) -> dict[str, Row]:
     """The header row of every sheet: the first row whose first cell is filled, of the top rows.
 
-    One job for all sheets; the filters are pushed to the scan and at most two rows per sheet
-    reach the driver.
+    One job for all sheets; the filters are pushed to the scan and one row per sheet reaches the
+    driver, however often a row number is repeated.
     """
     top = book.where(F.col("sheet").isin(*sheets) & (F.col("row") <= HEADER_ROWS) & F.col("c0").isNotNull())
-    found: dict[str, Row] = {}
-    for row in sorted(top.limit(HEADER_ROWS * len(sheets)).collect(), key=lambda r: r["row"]):
-        found.setdefault(row["sheet"], row)
+    cells = F.struct(*[F.col(c) for c in book.columns])
+    first = top.groupBy("sheet").agg(F.min_by(cells, "row").alias("h")).select("h.*")
+    found: dict[str, Row] = {row["sheet"]: row for row in first.collect()}
     for name in sheets:
         if name not in found:
             raise ValueError(f"sheet {name!r} has no header in its first {HEADER_ROWS} rows")

@@ -202,3 +202,50 @@ def test_sampler_files(spark, tmp_path):
     long = read_draws(spark, str(tmp_path), ["alpha", "beta"], ["alpha", "beta"])
     got = rows_of(long.where("variable = 'beta'"), "chain", "iteration", "value")
     assert got == [(c, i, float(i)) for c in (1, 2) for i in range(1, 6)]
+
+
+def test_headers_survive_repeated_row_numbers(spark):
+    from cohortlens.sources.sheets import headers
+
+    rows = [("s1", 1, "h1")] + [("s1", 1, f"again{i}") for i in range(5)] + [("s2", 2, "h2"), ("s2", 3, "x")]
+    found = headers(spark.createDataFrame(rows, "sheet string, row int, c0 string"), ["s1", "s2"])
+    assert found["s2"]["c0"] == "h2" and found["s1"]["row"] == 1
+
+
+def test_draw_files_by_header_and_in_file_order(spark, tmp_path):
+    from cohortlens.sources.draws import read_chain_files
+
+    folder = tmp_path / "chain=1"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("# note\na,b\n1.0,10.0\n2.0,20.0\n")
+    (folder / "part-1.csv").write_text("a,b\n" + "".join(f"{i}.0,{i}0.0\n" for i in range(3, 9)))
+    got = read_chain_files(spark, [str(folder / "part-0.csv"), str(folder / "part-1.csv")], ["a", "b"])
+    assert [r["a"] for r in got.orderBy("iteration").collect()] == [float(i) for i in range(1, 9)]
+    assert [r["iteration"] for r in got.orderBy("iteration").collect()] == list(range(1, 9))
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        read_chain_files(spark, str(folder / "part-1.csv"), ["b", "a"]).collect()
+
+
+def test_running_total_keeps_the_null_group(spark):
+    from cohortlens.operators.ordering import running_total
+
+    rows = [(None, 1, 2.0), (None, 2, 3.0), ("a", 3, 4.0)]
+    got = running_total(spark.createDataFrame(rows, "g string, i int, w double"), ["g"], ["i"], "w")
+    assert sorted((r["i"], r["running"]) for r in got.collect()) == [(1, 2.0), (2, 5.0), (3, 4.0)]
+
+
+def test_model_without_rows_in_its_reference_level_stays(spark):
+    from cohortlens.operators.logit import factor_grid
+
+    cells = spark.createDataFrame([("m", "b", 1, 12, 3), ("m", "c", 2, 10, 4)], "model string, level string, ord int, n bigint, k bigint")
+    got = factor_grid(cells).select("model", "level").distinct().collect()
+    assert [(r["model"], r["level"]) for r in got] == [("m", "c")]
+
+
+def test_unfinished_newton_steps_are_an_error(spark):
+    from cohortlens.operators.logit import numeric_grid
+
+    cells = spark.createDataFrame([("m", "per unit", 1, float(x), 50, 5 + 4 * x) for x in range(8)], "model string, level string, ord int, x double, n bigint, k bigint")
+    assert numeric_grid(cells).count() == 61 * 61
+    with pytest.raises(ArithmeticError):
+        numeric_grid(cells, steps=1)
