@@ -38,9 +38,9 @@ OP5_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS code FROM pages),
 g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS first_id FROM p),
 digits AS (
-  SELECT *, list_transform(range(0, 32), i ->
-    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-      1 + CAST((CAST('0x' || substr(code, CAST(1 + (i // 8) * 10 AS INTEGER), 10) AS BIGINT) >> CAST(35 - (i % 8) * 5 AS INTEGER)) & 31 AS INTEGER), 1)) AS d
+  SELECT *, [substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + CAST((CAST('0x' || substr(code, CAST(1 + (i // 8) * 10 AS INTEGER), 10) AS BIGINT) >> CAST(35 - (i % 8) * 5 AS INTEGER)) & 31 AS INTEGER), 1)
+    FOR i IN range(0, 32)] AS d
   FROM g
 )
 SELECT page_id, strlen(html) AS payload_bytes, list_aggregate(d, 'string_agg', '') AS payload_digest,
