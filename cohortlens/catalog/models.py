@@ -193,7 +193,7 @@ qs AS (SELECT model, level, ord, sum(w * value) / sum(w) AS mean, sum(w * value
     sum(CASE WHEN value > 0 THEN w ELSE 0 END) / sum(w) AS pa FROM cu GROUP BY model, level, ord)"""
 
 _WIDTH = "(SELECT 1.5e0 * max(abs(x)) FROM gx)"
-_GX = """gm AS (SELECT unnest(range(0, CAST((SELECT max(TAF_duration_fu) FROM sw) AS BIGINT) + 1)) AS months),
+_GX = """gm AS (SELECT unnest(range(0, CAST(round((SELECT max(TAF_duration_fu) FROM sw)) AS BIGINT) + 1)) AS months),
 gx AS (SELECT CAST(months + 1 AS INTEGER) AS x_index, (months - (SELECT avg(months) FROM gm)) / (SELECT stddev_samp(months) FROM gm) AS x FROM gm)"""
 
 ORACLES = {
@@ -210,9 +210,9 @@ ORACLES = {
     "hsgp_basis": o.on("sw", f"""SELECT x_index, CAST(m AS INTEGER) AS m, round(om, 6) AS omega, round(sin(om * (x + L)) / sqrt(L), 6) AS phi,
         round(0.25e0 * sqrt(2 * pi()) * 0.2e0 * exp(-0.5e0 * 0.04e0 * om * om), 6) AS density FROM (
         SELECT *, m * pi() / (2 * L) AS om FROM (SELECT x_index, x, {_WIDTH} AS L, unnest(range(1, 31)) AS m FROM gx))""", _GX),
-    "hsgp_cells": o.on("sw", """SELECT TAF_fu AS exposed, CASE WHEN TAF_fu = 1 THEN CAST(TAF_duration_fu AS INTEGER) + 1 ELSE 0 END AS x_index,
+    "hsgp_cells": o.on("sw", """SELECT TAF_fu AS exposed, CASE WHEN TAF_fu = 1 THEN CAST(round(TAF_duration_fu) AS INTEGER) + 1 ELSE 0 END AS x_index,
         count(*) AS n, round(sum(change_BMD_LS), 4) AS sy, round(sum(change_BMD_LS * change_BMD_LS), 4) AS syy,
         round(sum(BMD_LS_Z_bl), 4) AS sx, round(sum(BMD_LS_Z_bl * BMD_LS_Z_bl), 4) AS sxx, round(sum(BMD_LS_Z_bl * change_BMD_LS), 4) AS sxy
         FROM sw WHERE change_BMD_LS IS NOT NULL AND BMD_LS_Z_bl IS NOT NULL AND TAF_fu IS NOT NULL
-          AND (TAF_fu = 0 OR (TAF_duration_fu >= 0 AND TAF_duration_fu = floor(TAF_duration_fu))) GROUP BY 1, 2"""),
+          AND (TAF_fu = 0 OR TAF_duration_fu >= 0) GROUP BY 1, 2"""),
 }

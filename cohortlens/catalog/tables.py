@@ -375,12 +375,12 @@ ORACLES = {
     "ordered_row_id": o.on("sw", """SELECT study_id, TAF_duration_fu, TAF_fu, change_BMD_LS,
         row_number() OVER (ORDER BY TAF_duration_fu NULLS LAST, study_id) AS row_id FROM sw"""),
     "grid_index": o.on("sw", """SELECT study_id, TAF_duration_fu, CAST(coalesce(x_index, 0) AS INTEGER) AS x_index
-        FROM sw LEFT JOIN grid ON sw.TAF_duration_fu = grid.months""",
+        FROM sw LEFT JOIN grid ON round(sw.TAF_duration_fu) = grid.months""",
         """grid AS (SELECT months, months + 1 AS x_index FROM (
-            SELECT unnest(range(0, CAST((SELECT max(TAF_duration_fu) FROM sw) AS BIGINT) + 1)) AS months))"""),
+            SELECT unnest(range(0, CAST(round((SELECT max(TAF_duration_fu) FROM sw)) AS BIGINT) + 1)) AS months))"""),
     "month_grid": o.on("sw", """SELECT CAST(months AS INTEGER) AS months, CAST(months + 1 AS INTEGER) AS x_index,
         round((months - (SELECT avg(months) FROM g)) / (SELECT stddev_samp(months) FROM g), 6) AS x FROM g""",
-        "g AS (SELECT unnest(range(0, CAST((SELECT max(TAF_duration_fu) FROM sw) AS BIGINT) + 1)) AS months)"),
+        "g AS (SELECT unnest(range(0, CAST(round((SELECT max(TAF_duration_fu) FROM sw)) AS BIGINT) + 1)) AS months)"),
     "unpivot_measures": o.on("rk", """SELECT study_id, age_group, 'BMD_LS_Z' AS variable, BMD_LS_Z AS value FROM b
         UNION ALL SELECT study_id, age_group, 'hip_Z', hip_Z FROM b""", _BASE),
     "long_predictors": o.on("dc", "SELECT study_id, abnormal_bmd, variable, value FROM lg", _LONG),

@@ -18,9 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# The curve has one value per month of the grid; the draws of the whole curve are shipped to tasks.
-MAX_MONTHS = 5_000
-
 
 @dataclass(frozen=True)
 class CurveModel:
@@ -44,9 +41,8 @@ class CurveModel:
 
 
 def grid_index(duration: Column) -> Column:
-    """Place of a duration on the monthly grid 0..M, from 1; 0 where it is on no grid point."""
-    on_grid = (duration >= 0) & (duration == F.floor(duration))
-    return F.when(on_grid, duration.cast("int") + 1).otherwise(F.lit(0))
+    """Place of a duration, rounded to months, on the grid 0..M, from 1; 0 where it is missing or negative."""
+    return F.when(duration >= 0, F.round(duration).cast("int") + 1).otherwise(F.lit(0))
 
 
 def with_grid_index(df: DataFrame, duration: str) -> DataFrame:
@@ -55,7 +51,7 @@ def with_grid_index(df: DataFrame, duration: str) -> DataFrame:
 
 def month_grid(df: DataFrame, duration: str) -> DataFrame:
     """Months 0..M with index and standardised coordinate; M is the longest duration."""
-    last = df.agg(F.floor(F.max(duration)).cast("int").alias("last"))
+    last = df.agg(F.round(F.max(duration)).cast("int").alias("last"))
     months = last.where("last is not null").select("last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("months"))
     n = F.col("last") + 1
     return months.select("months", (F.col("months") + 1).alias("x_index"), _scaled(F.col("months"), n).alias("x"),
@@ -229,12 +225,10 @@ def _half_normal_points(sd: float, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _check_grid(grid: DataFrame) -> tuple[int, float]:
-    """Number of months and largest coordinate; the grid must be small enough to ship."""
+    """Number of months and largest coordinate."""
     months, x_max = grid.agg(F.count(F.lit(1)), F.max("x_max")).first()
     if months == 0:
         raise ValueError("no duration is known, so there is no monthly grid")
-    if months > MAX_MONTHS:
-        raise ValueError(f"the monthly grid has {months} points; at most {MAX_MONTHS} make sense for a curve")
     return months, x_max
 
 
@@ -278,8 +272,6 @@ def curve_draws(z_cells: DataFrame, grid: DataFrame, model: CurveModel, n_draws:
     p = _problem(matrix, model, width)
     n = months
     scale = math.sqrt(n * (n + 1) / 12)
-    x = (np.arange(n) - (n - 1) / 2) / scale if n > 1 else np.zeros(1)
-    phi = np.sin(np.outer(x + width, p.omega)) / math.sqrt(width)
     spark = z_cells.sparkSession
     upto = W.partitionBy(F.lit(1)).orderBy("h").rowsBetween(W.unboundedPreceding, 0)
     share = F.floor(F.sum("weight").over(upto) * n_draws + 0.5)
@@ -292,6 +284,8 @@ def curve_draws(z_cells: DataFrame, grid: DataFrame, model: CurveModel, n_draws:
         k = len(names)
         names = names + [f"beta_f[{m}]" for m in range(1, model.basis + 1)]
         curve = [f"f_TAF[{i}]" for i in range(1, n + 1)]
+        x = (np.arange(n) - (n - 1) / 2) / scale if n > 1 else np.zeros(1)
+        phi = np.sin(np.outer(x + width, p.omega)) / math.sqrt(width)
         for batch in batches:
             for row in batch.itertuples():
                 rng = np.random.default_rng([seed, int(row.h)])
@@ -336,16 +330,17 @@ def predictive_intervals(rows: DataFrame, draws: DataFrame, m_y: float, sd_y: fl
                          probs: tuple[float, ...] = (0.025, 0.25, 0.5, 0.75, 0.975)) -> DataFrame:
     """Predictive quantiles next to the observed outcome, one row per subject, on the data scale.
 
-    The draws (a fixed number, over a bounded grid) go to the tasks; subjects are mapped in batches
-    and never shuffled.  The noise of a subject depends only on its id, so a re-run task repeats it.
+    The draws (a fixed number, at the months that subjects have) go to the tasks; subjects are mapped in
+    batches and never shuffled.  The noise of a subject depends only on its id, so a re-run task repeats it.
     """
-    wanted = draws.where(~F.col("variable").startswith("beta_f["))
+    used = sorted(r["x_index"] for r in rows.where("x_index > 0").select("x_index").distinct().collect())
+    place = {0: 0} | {month: i + 1 for i, month in enumerate(used)}
+    on_curve = F.col("variable").startswith("f_TAF[")
+    at_used = F.regexp_extract("variable", r"\[([0-9]+)\]$", 1).isin([str(i) for i in used])
+    wanted = draws.where(~F.col("variable").startswith("beta_f[") & (~on_curve | at_used))
     wide = wanted.groupBy("draw").agg(F.map_from_entries(F.collect_list(F.struct("variable", "value"))).alias("v"))
     collected = [r["v"] for r in wide.orderBy("draw").collect()]
-    months = sum(1 for name in collected[0] if name.startswith("f_TAF["))
-    if months > MAX_MONTHS:
-        raise ValueError(f"the monthly grid has {months} points, more than {MAX_MONTHS}")
-    f = np.array([[0.0] + [d[f"f_TAF[{i}]"] for i in range(1, months + 1)] for d in collected])
+    f = np.array([[0.0] + [d[f"f_TAF[{i}]"] for i in used] for d in collected])
     b0, be, sigma = (np.array([d[k] for d in collected]) for k in ("beta0", "beta_TAF", "sigma"))
     bb = np.array([d.get("beta_bl", 0.0) for d in collected])
     shipped = rows.sparkSession.sparkContext.broadcast((f, b0, be, bb, sigma))
@@ -357,7 +352,7 @@ def predictive_intervals(rows: DataFrame, draws: DataFrame, m_y: float, sd_y: fl
             for start in range(0, len(big), 2000):
                 batch = big.iloc[start:start + 2000]
                 on = batch["exposed"].to_numpy()[:, None]
-                mean = b0 + on * (be + f[:, batch["x_index"].to_numpy()].T) + batch["x_bl"].to_numpy()[:, None] * bb
+                mean = b0 + on * (be + f[:, batch["x_index"].map(place).to_numpy()].T) + batch["x_bl"].to_numpy()[:, None] * bb
                 q = np.quantile(mean + sigma * seeded_normals(batch["seed"].to_numpy(), len(b0)), levels, axis=1)
                 out = batch[["study_id", "exposed", "x_index"]].copy()
                 for level, values in zip(("cl", "il", "m", "iu", "cu"), q, strict=True):

@@ -172,10 +172,10 @@ def test_grid_refinement_changes_little(spark):
     assert out[0][0] == pytest.approx(out[1][0], abs=5e-3) and out[0][1] == pytest.approx(out[1][1], abs=2e-2)
 
 
-def test_duration_off_the_grid_is_left_out(spark):
+def test_duration_is_rounded_and_a_missing_one_is_left_out(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 2.5), ("c", 1, None), ("d", 0, None), ("e", 1, -1.0)], "study_id string, on int, m double")
     df = df.withColumns({"y": F.lit(1.0), "x": F.lit(0.0)})
-    assert sorted(r["study_id"] for r in gp.curve_rows(df, "on", "m", "y", "x").collect()) == ["a", "d"]
+    assert sorted(r["study_id"] for r in gp.curve_rows(df, "on", "m", "y", "x").collect()) == ["a", "b", "d"]
 
 
 def ar1(n, rho, rng):

@@ -249,3 +249,11 @@ def test_unfinished_newton_steps_are_an_error(spark):
     assert numeric_grid(cells).count() == 61 * 61
     with pytest.raises(ArithmeticError):
         numeric_grid(cells, steps=1)
+
+
+def test_durations_are_rounded_and_a_mistyped_one_stops_nothing(spark):
+    from cohortlens.operators import hsgp
+
+    rows = spark.createDataFrame([(2.4,), (2.5,), (6_000.0,), (-1.0,), (None,)], "d double")
+    assert [r["x_index"] for r in hsgp.with_grid_index(rows, "d").collect()] == [3, 4, 6_001, 0, 0]
+    assert hsgp._check_grid(hsgp.month_grid(rows, "d"))[0] == 6_001
