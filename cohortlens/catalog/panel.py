@@ -73,13 +73,13 @@ def elapsed(spark, sf):
 
 
 def rowcount_guard(spark, sf):
-    """Expected and found rows per sheet group, and keys that occur more than once."""
+    """Rows that the cleaned panel has against those that landed, per visit, and keys that occur more than once."""
     df = cleaned(spark, sf)
-    found = df.groupBy("visit").agg(F.count(F.lit(1)).alias("n_rows"), F.count("date_scan").alias("n_dated"))
+    landed = raw(spark, sf).groupBy("visit").agg(F.count(F.lit(1)).alias("n_expected"))
+    found = P.row_count_guard(df, landed, ["visit"])
     doubled = P.panel_key_violations(df).groupBy("visit").agg(F.count(F.lit(1)).alias("n_doubled"))
     return found.join(doubled, "visit", "left").select(
-        "visit", "n_rows", "n_dated", F.coalesce("n_doubled", F.lit(0).cast("long")).alias("n_doubled"),
-        (F.col("n_rows") == F.col("n_dated")).cast("int").alias("complete"))
+        "visit", "n_rows", "n_expected", "as_expected", F.coalesce("n_doubled", F.lit(0).cast("long")).alias("n_doubled"))
 
 
 QUERIES = {
@@ -123,7 +123,8 @@ ORACLES = {
         round_even(date_diff('day', date_scan_bl, date_scan_fu) / 30.44, 0) AS months_by_days,
         CAST(date_scan_bl + to_months(9) AS DATE) AS nine_months_on
         FROM pr WHERE date_scan_bl IS NOT NULL AND date_scan_fu IS NOT NULL""", _pairs),
-    "rowcount_guard": o.on("cp", """SELECT visit, count(*) AS n_rows, count(date_scan) AS n_dated,
-        count(*) - count(DISTINCT study_id) AS n_doubled,
-        CASE WHEN count(*) = count(date_scan) THEN 1 ELSE 0 END AS complete FROM cp GROUP BY visit"""),
+    "rowcount_guard": o.on("cp", """SELECT visit, coalesce(n_rows, 0) AS n_rows, coalesce(n_expected, 0) AS n_expected,
+        CASE WHEN coalesce(n_rows, 0) = coalesce(n_expected, 0) THEN 1 ELSE 0 END AS as_expected, coalesce(n_doubled, 0) AS n_doubled
+        FROM (SELECT visit, count(*) AS n_rows, count(*) - count(DISTINCT study_id) AS n_doubled FROM cp GROUP BY visit)
+        FULL JOIN (SELECT visit, count(*) AS n_expected FROM cohort_raw GROUP BY visit) USING (visit)"""),
 }

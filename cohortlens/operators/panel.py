@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.functions.dates import months_elapsed
+from cohortlens.runtime import null_safe_join
 
 BASELINE, FOLLOW_UP = "baseline", "follow-up"
 
@@ -104,6 +105,16 @@ def change_table(panel: DataFrame, scores: dict[str, str], paired: Sequence[str]
     )
 
 
+def row_count_guard(df: DataFrame, expected: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows found per group against ``n_expected`` of ``expected``; a group of one side only counts 0 on the other."""
+    found = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"))
+    both = null_safe_join(found, expected.select(*by, F.col("n_expected").cast("long").alias("n_expected")), list(by), "full")
+    none = F.lit(0).cast("long")
+    return both.select(*by, F.coalesce("n_rows", none).alias("n_rows"), F.coalesce("n_expected", none).alias("n_expected")).withColumn(
+        "as_expected", (F.col("n_rows") == F.col("n_expected")).cast("int")
+    )
+
+
 def drug_class_lookup(panel: DataFrame, columns: Sequence[str], classes: DataFrame) -> DataFrame:
     """Every drug code in use with its class and row count; a code of no class keeps a NULL class.
 

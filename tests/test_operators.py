@@ -257,3 +257,12 @@ def test_durations_are_rounded_and_a_mistyped_one_stops_nothing(spark):
     rows = spark.createDataFrame([(2.4,), (2.5,), (6_000.0,), (-1.0,), (None,)], "d double")
     assert [r["x_index"] for r in hsgp.with_grid_index(rows, "d").collect()] == [3, 4, 6_001, 0, 0]
     assert hsgp._check_grid(hsgp.month_grid(rows, "d"))[0] == 6_001
+
+
+def test_row_count_guard_reports_both_sides(spark):
+    from cohortlens.operators.panel import row_count_guard
+
+    df = spark.createDataFrame([("a",), ("a",), (None,)], "visit string")
+    expected = spark.createDataFrame([("a", 3), (None, 1), ("b", 2)], "visit string, n_expected int")
+    got = {r["visit"]: (r["n_rows"], r["n_expected"], r["as_expected"]) for r in row_count_guard(df, expected, ["visit"]).collect()}
+    assert got == {"a": (2, 3, 0), None: (1, 1, 1), "b": (0, 2, 0)}
