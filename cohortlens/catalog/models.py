@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from cohortlens.catalog.common import change, risk, rounded, switch
@@ -47,14 +49,19 @@ def logit_cells(spark, sf):
     return logit.logit_cells(_rows(spark, sf)["logistic"])
 
 
-def bayes_logit_grid(spark, sf):
+def bayes_logit_grid(spark, sf, **priors):
     """Odds ratios of the factor models."""
     cells = logit.logit_cells(_rows(spark, sf)["logistic"]).where("level <> 'per unit'")
-    effects = logit.odds_effects(logit.weighted_summary(logit.factor_grid(cells), ["model", "level", "ord"]))
+    effects = logit.odds_effects(logit.weighted_summary(logit.factor_grid(cells, **priors), ["model", "level", "ord"]))
     numbers = ("estimate", "lower", "upper", "exceedance", "mean", "sd")
     return effects.select("model", "level", "ord", *[rounded(c, 3).alias(c) for c in numbers])
 
 
+def bayes_logit_flat(spark, sf):
+    """Odds ratios of the factor models under flat priors."""
+    return bayes_logit_grid(spark, sf, intercept_sd=math.inf, effect_sd=math.inf)
+
+
 def bayes_logit_number(spark, sf):
     """Odds ratio per unit of the numeric predictor."""
     cells = logit.logit_cells(_rows(spark, sf)["logistic"]).where("level = 'per unit'")
@@ -131,7 +138,7 @@ def predictive_interval_bl(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    model_registry_rows, design_cells, logit_cells, bayes_logit_grid, bayes_logit_number, linear_suffstats, bayes_linear,
+    model_registry_rows, design_cells, logit_cells, bayes_logit_grid, bayes_logit_flat, bayes_logit_number, linear_suffstats, bayes_linear,
     effects_table, hsgp_basis, hsgp_cells, hsgp_posterior, hsgp_posterior_bl, gp_curve, predictive_interval,
     predictive_interval_bl,
 )}
@@ -192,6 +199,10 @@ qs AS (SELECT model, level, ord, sum(w * value) / sum(w) AS mean, sum(w * value
     min(value) FILTER (WHERE cum >= 0.025 * total) AS lo, min(value) FILTER (WHERE cum >= 0.975 * total) AS hi,
     sum(CASE WHEN value > 0 THEN w ELSE 0 END) / sum(w) AS pa FROM cu GROUP BY model, level, ord)"""
 
+_FLAT = _GRID.replace(" - (gamma - alpha) * (gamma - alpha) / 2", "").replace(" - alpha * alpha / 50", "")
+_ODDS = """SELECT model, level, ord, round(exp(mean), 3) AS estimate, round(exp(lo), 3) AS lower,
+        round(exp(hi), 3) AS upper, round(pa, 3) AS exceedance, round(mean, 3) AS mean, round(sqrt(m2 - mean * mean), 3) AS sd FROM qs"""
+
 _WIDTH = "(SELECT 1.5e0 * max(abs(x)) FROM gx)"
 _GX = """gm AS (SELECT unnest(range(0, CAST(round((SELECT max(TAF_duration_fu) FROM sw)) AS BIGINT) + 1)) AS months),
 gx AS (SELECT CAST(months + 1 AS INTEGER) AS x_index, (months - (SELECT avg(months) FROM gm)) / (SELECT stddev_samp(months) FROM gm) AS x FROM gm)"""
@@ -200,9 +211,8 @@ ORACLES = {
     "model_registry_rows": o.on("sw", "SELECT family, study_id, model, level, ord, x, y, z FROM al", _BASE, _LOGISTIC, _LINEAR, _SWITCH, _ALL),
     "design_cells": o.on("sw", "SELECT family, model, level, ord, count(*) AS n FROM al GROUP BY ALL", _BASE, _LOGISTIC, _LINEAR, _SWITCH, _ALL),
     "logit_cells": o.on("rk", "SELECT model, level, ord, x, n, k FROM ce", _BASE, _LOGISTIC, _CELLS),
-    "bayes_logit_grid": o.on("rk", """SELECT model, level, ord, round(exp(mean), 3) AS estimate, round(exp(lo), 3) AS lower,
-        round(exp(hi), 3) AS upper, round(pa, 3) AS exceedance, round(mean, 3) AS mean, round(sqrt(m2 - mean * mean), 3) AS sd FROM qs""",
-        _BASE, _LOGISTIC, _CELLS, _GRID),
+    "bayes_logit_grid": o.on("rk", _ODDS, _BASE, _LOGISTIC, _CELLS, _GRID),
+    "bayes_logit_flat": o.on("rk", _ODDS, _BASE, _LOGISTIC, _CELLS, _FLAT),
     "linear_suffstats": o.on("sw", """SELECT model, level, ord, count(*) AS n, round(sum(y), 4) AS sy, round(sum(y * y), 4) AS syy,
         round(sum(z), 4) AS sz, round(sum(z * z), 4) AS szz, round(sum(z * y), 4) AS szy, round(sum(x), 4) AS sx,
         round(sum(x * x), 4) AS sxx, round(sum(x * y), 4) AS sxy, round(sum(x * z), 4) AS sxz

@@ -29,7 +29,8 @@ def switch_rows(switch: DataFrame) -> DataFrame:
 def effects_table(baseline: DataFrame, change: DataFrame, switch: DataFrame) -> DataFrame:
     """Estimate, interval, exceedance and labels of every model: odds ratios and score changes.
 
-    Intercepts, the baseline score and the noise are left out, as in the forest plots.
+    Intercepts, the baseline score and the noise are left out, as in the forest plots, whose line of no
+    effect is ``reference_line``.
     """
     spark = baseline.sparkSession
     odds = fit_logistic(logistic_rows(baseline)).select(
@@ -43,6 +44,7 @@ def effects_table(baseline: DataFrame, change: DataFrame, switch: DataFrame) ->
     return both.join(F.broadcast(labels), ["family", "model", "level"], "left").select(
         "family", "position", "model", F.coalesce("term", "level").alias("term"), "estimate", "lower", "upper",
         estimate_label("estimate", "lower", "upper").alias("label"), F.bround("exceedance", 2).alias("exceedance"),
+        F.when(F.col("family") == "logistic", 1.0).otherwise(0.0).alias("reference_line"),
     )
 
 
