@@ -87,14 +87,17 @@ def override_values(overrides: DataFrame, cells: Sequence[tuple[int, str]]) -> D
     """One row per subject: ``ov_bl`` and ``ov_fu``, structs with one text field per corrected cell.
 
     ``cells`` lists ``(step, item)``; the field is named ``item_step``.  A correction for one visit
-    goes before one that holds for all visits.
+    goes before one that holds for all visits.  Two that disagree are an error; ``conflicting_overrides``
+    lists them.
     """
+    def only(here: str, what: str) -> str:
+        value = f"CASE WHEN {here} THEN value END"
+        return (f"CASE WHEN min({value}) <> max({value}) THEN raise_error('conflicting corrections of {what}') "
+                f"ELSE max({value}) END")
+
     def picked(step: int, item: str, visit: str) -> str:
-        here = f"step = {step} AND item = '{item}'"
-        return (
-            f"coalesce(max(CASE WHEN {here} AND visit = '{visit}' THEN value END), "
-            f"max(CASE WHEN {here} AND visit IS NULL THEN value END))"
-        )
+        here, what = f"step = {step} AND item = '{item}'", f"{item} at step {step}"
+        return f"coalesce({only(f"{here} AND visit = '{visit}'", what)}, {only(f'{here} AND visit IS NULL', what)})"
 
     structs = [
         F.expr("named_struct(" + ", ".join(f"'{item}_{step}', {picked(step, item, visit)}" for step, item in cells) + ")")
@@ -104,8 +107,12 @@ def override_values(overrides: DataFrame, cells: Sequence[tuple[int, str]]) -> D
 
 
 def corrected(value: Column, item: str, step: int, dtype: str, ov: Column) -> Column:
-    """The corrected value of a cell if ``ov`` has one, else the value itself."""
-    return F.coalesce(ov[f"{item}_{step}"].try_cast(dtype), value)
+    """The corrected value of a cell if ``ov`` has one, else the value itself; one of another type is an error."""
+    text = ov[f"{item}_{step}"]
+    if dtype == "string":
+        return F.coalesce(text, value)
+    wrong = F.raise_error(F.concat(F.lit(f"correction of {item} at step {step} is no {dtype}: "), text)).cast(dtype)
+    return F.when(text.isNull(), value).otherwise(F.coalesce(text.try_cast(dtype), wrong))
 
 
 def own_overrides() -> Column:

@@ -1,8 +1,9 @@
 """Joins between visits of the same subject.
 
-The panel has one row per ``(study_id, visit)``.  What one visit lends to another is selected from
-that visit's rows and equi-joined on ``study_id``; no window gathers a subject's rows, and adaptive
-execution may split or broadcast either side.
+The panel has one row per ``(study_id, visit)``.  What one visit lends to another is a mergeable
+aggregate of that visit's rows, equi-joined on ``study_id``: if a key repeats, the greatest row (by
+the lent columns in their order) lends, and no row multiplies.  No window gathers a subject's rows, and
+adaptive execution may split or broadcast either side.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ BASELINE, FOLLOW_UP = "baseline", "follow-up"
 
 
 def panel_key_violations(panel: DataFrame, keys: Sequence[str] = ("study_id", "visit")) -> DataFrame:
-    """Keys that occur more than once; the visit joins expect none."""
+    """Keys that occur more than once; of those one row lends its values."""
     return panel.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
@@ -33,10 +34,20 @@ def at_visit(visit: str, value: Column) -> Column:
     return F.max(F.when(F.col("visit") == visit, value))
 
 
+def lent_by_visit(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per subject: ``bl`` and ``fu``, structs of the columns at either visit, NULL for a visit not made."""
+    row = F.struct(*columns)
+    return panel.groupBy("study_id").agg(at_visit(BASELINE, row).alias("bl"), at_visit(FOLLOW_UP, row).alias("fu"))
+
+
+def _one_row(panel: DataFrame, visit: str, columns: Sequence[str], suffix: str) -> DataFrame:
+    """The columns of one visit with ``suffix``, once per subject."""
+    lent = panel.where(F.col("visit") == visit).groupBy("study_id").agg(F.max(F.struct(*columns)).alias("__lent"))
+    return lent.select("study_id", *[F.col(f"__lent.{c}").alias(f"{c}{suffix}") for c in columns])
+
+
 def baseline_of(panel: DataFrame, columns: Sequence[str], suffix: str = "_bl") -> DataFrame:
-    return panel.where(F.col("visit") == BASELINE).select(
-        "study_id", *[F.col(c).alias(f"{c}{suffix}") for c in columns]
-    )
+    return _one_row(panel, BASELINE, columns, suffix)
 
 
 def carry_regimen(panel: DataFrame, drugs: Sequence[str]) -> DataFrame:
@@ -89,17 +100,14 @@ def flags_by_visit(panel: DataFrame, flags: Sequence[str]) -> DataFrame:
 
 
 def change_table(panel: DataFrame, scores: dict[str, str], paired: Sequence[str], needed: str) -> DataFrame:
-    """One row per subject seen twice: baseline columns, follow-up values and their differences.
+    """One row per baseline row of a subject seen twice: baseline columns, follow-up values and their differences.
 
     ``scores`` maps a change column to the measure it subtracts, ``paired`` lists further columns
     kept for both visits, ``needed`` is the measure that must be known at follow-up.
     """
-    both = [*scores.values(), *paired]
+    both = [*paired, *scores.values()]
     first = panel.where(F.col("visit") == BASELINE).withColumnsRenamed({c: f"{c}_bl" for c in both})
-    second = (
-        panel.where((F.col("visit") == FOLLOW_UP) & F.col(needed).isNotNull())
-        .select("study_id", *[F.col(c).alias(f"{c}_fu") for c in both])
-    )
+    second = _one_row(panel.where(F.col(needed).isNotNull()), FOLLOW_UP, both, "_fu")
     return first.join(second, "study_id", "inner").withColumns(
         {name: F.col(f"{m}_fu") - F.col(f"{m}_bl") for name, m in scores.items()}
     )

@@ -1,7 +1,7 @@
 """The cleaning pipeline: raw panel to cleaned panel, in a fixed order of steps.
 
-Everything but what a subject's visits lend each other is row-local.  The visits meet once, in
-equi-joins on ``study_id`` that share one partitioning; adaptive execution may split a hot key.
+Everything but what a subject's visits lend each other is row-local.  What they lend is one
+mergeable aggregate per subject, joined back on ``study_id``; adaptive execution may split a hot key.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from cohortlens.functions.text import contains_flag, duration_months, lab_value,
 from cohortlens.operators import cleaning as C
 from cohortlens.operators.harmonise import corrected, override_values, own_overrides, recode, require_columns
 from cohortlens.operators.panel import (
-    BASELINE, FOLLOW_UP, carried_duration, carries_regimen, change_table,
+    BASELINE, FOLLOW_UP, carried_duration, carries_regimen, change_table, lent_by_visit,
 )
 from cohortlens.vocab import BIRTH_PLACE_RECODE, BONE_TEXT_MARK, DRUG_COLUMNS
 
@@ -85,20 +85,26 @@ def treatment_regimen(visit: Column, drugs: list[Column], duration: Column, ov:
 def clean_panel(raw: DataFrame, overrides: DataFrame, config: RunConfig = RunConfig()) -> DataFrame:
     """Cleaned panel with carried values, treatment flags and the two-visit flag columns.
 
-    Subjects without a baseline row drop out.  Corrections are attached once and used at the step
-    they name.
+    Subjects without a baseline row drop out; every other row gives one row, also where a
+    ``(study_id, visit)`` key repeats (its latest scan is the one that lends).  Corrections are
+    attached once and used at the step they name; two that disagree on a cell, or one that does
+    not fit the cell's type, stop the run.
     """
     # Classes are made after the joins: one projection with everything would compile to a method too
     # long for machine code.
-    values = read_text(raw, config).join(override_values(overrides, CORRECTED_CELLS), "study_id", "left")
-    values = values.withColumn("ov", own_overrides()).drop("ov_bl", "ov_fu").withColumns({
-        "TAF_duration": corrected(F.col("TAF_duration"), "TAF_duration", 10, "double", F.col("ov")),
-        "TDF_exp": corrected(F.col("TDF_exp"), "TDF_exp", 14, "string", F.col("ov")),
+    values = read_text(raw, config)
+    lent = lent_by_visit(values, ["date_scan", "TAF_duration", "TDF_exp", *DRUG_COLUMNS]).where("bl IS NOT NULL")
+    corrections = override_values(overrides, CORRECTED_CELLS)
+    panel = values.join(lent, "study_id").join(corrections, "study_id", "left").withColumn("ov", own_overrides())
+    ov_bl, ov_fu = F.col("ov_bl"), F.col("ov_fu")
+
+    def duration(value: str, ov: Column) -> Column:
+        return corrected(F.col(value), "TAF_duration", 10, "double", ov)
+
+    panel = panel.withColumns({
+        "TAF_duration": duration("TAF_duration", F.col("ov")),
+        "__duration_bl": duration("bl.TAF_duration", ov_bl), "__duration_fu": duration("fu.TAF_duration", ov_fu),
     })
-    lent = ["date_scan", "TAF_duration", "TDF_exp", "ov", *DRUG_COLUMNS]
-    at_baseline = values.where(F.col("visit") == BASELINE).select("study_id", F.struct(*lent).alias("bl"))
-    at_follow_up = values.where(F.col("visit") == FOLLOW_UP).select("study_id", F.struct(*lent).alias("fu"))
-    panel = values.join(at_baseline, "study_id", "inner").join(at_follow_up, "study_id", "left")
 
     own = [F.col(d) for d in DRUG_COLUMNS]
     at_bl = [F.col(f"bl.{d}") for d in DRUG_COLUMNS]
@@ -108,10 +114,10 @@ def clean_panel(raw: DataFrame, overrides: DataFrame, config: RunConfig = RunCon
         {d: F.when(carried, b).otherwise(o) for d, o, b in zip(DRUG_COLUMNS, own, at_bl, strict=True)}
     )
 
-    first = treatment_flags(F.lit(BASELINE), at_bl, F.col("bl.TAF_duration"), F.col("bl.ov"))
+    first = treatment_flags(F.lit(BASELINE), at_bl, F.col("__duration_bl"), ov_bl)
     second = treatment_flags(
         F.lit(FOLLOW_UP), [F.when(carried_fu, b).otherwise(f) for b, f in zip(at_bl, at_fu, strict=True)],
-        F.col("fu.TAF_duration"), F.col("fu.ov"),
+        F.col("__duration_fu"), ov_fu,
     )
     seen_twice = F.col("fu").isNotNull()
     panel = panel.withColumns({
@@ -127,10 +133,10 @@ def clean_panel(raw: DataFrame, overrides: DataFrame, config: RunConfig = RunCon
     return panel.withColumns({
         "TAF_duration": carried_duration(
             F.col("visit"), F.col("TAF"), F.col("TAF_duration"), F.col("date_scan"),
-            F.col("bl.date_scan"), F.col("bl.TAF_duration"),
+            F.col("bl.date_scan"), F.col("__duration_bl"),
         ),
-        "TDF_exp": F.col("bl.TDF_exp"),
-    }).drop("bl", "fu", "ov").transform(classify)
+        "TDF_exp": corrected(F.col("bl.TDF_exp"), "TDF_exp", 14, "string", ov_bl),
+    }).drop("bl", "fu", "ov", "ov_bl", "ov_fu", "__duration_bl", "__duration_fu").transform(classify)
 
 
 def change_scores(cleaned: DataFrame) -> DataFrame:

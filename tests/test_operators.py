@@ -8,16 +8,19 @@ from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cohortlens import standins
 from cohortlens.config import RunConfig
 from cohortlens.operators import harmonise as H
 from cohortlens.operators import panel as P
 from cohortlens.operators import tables as T
 from cohortlens.operators.ordering import number_rows, running_total
 from cohortlens.operators.quantiles import group_quantiles
+from cohortlens.plans.clean import change_scores, clean_panel
 from cohortlens.runtime import new_path, small_side
 from cohortlens.sources import results, sheets
 from cohortlens.sources.draws import read_draws
 
+SF = "/root/testdata/sf0.001"
 PROBS = [0.0, 0.025, 0.25, 0.5, 0.75, 1.0]
 
 
@@ -116,18 +119,40 @@ def test_carries(spark):
 def test_duplicate_keys_are_reported_and_kept(spark):
     df = spark.createDataFrame([*PANEL, PANEL[0]], PANEL_SCHEMA)
     assert rows_of(P.panel_key_violations(df), "study_id", "visit", "n") == [("a", "baseline", 2)]
-    assert P.carry_regimen(df, ["A1", "A2"]).where("study_id = 'a'").count() == 6  # every pair, as an equi-join gives
+    assert P.carry_regimen(df, ["A1", "A2"]).where("study_id = 'a'").count() == 3  # one row lends, none multiplies
+
+
+def test_repeated_visits_do_not_multiply(spark):
+    """40 rows at each visit of one subject: 80 rows in the panel, and the change table keeps its 40 baseline rows."""
+    one = standins.cohort_raw(spark, SF).where("visit = 'baseline'").limit(1)
+    both = one.unionByName(one.withColumn("visit", F.lit("follow-up"))).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    raw = both.drop("n").withColumns({"BMD_LS_Z": F.lit(-1.0), "study_id": F.lit("x")})
+    fixes = spark.createDataFrame([], "study_id string, step int, visit string, item string, value string")
+    panel = clean_panel(raw, fixes)
+    assert panel.count() == 80
+    assert change_scores(panel).count() == 40
+    plan = panel._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2
+
+
+def test_conflicting_and_impossible_corrections_stop_the_run(spark):
+    df = spark.createDataFrame(PANEL, PANEL_SCHEMA)
+    schema = "study_id string, step int, visit string, item string, value string"
+    twice = spark.createDataFrame([("b", 14, "follow-up", "TAF", "0"), ("b", 14, "follow-up", "TAF", "1")], schema)
+    with pytest.raises(Exception, match="conflicting corrections of TAF at step 14"):
+        H.apply_overrides(df, twice, 14, {"TAF": "int"}).collect()
+    wrong = spark.createDataFrame([("d", 14, "baseline", "TAF", "not a number")], schema)
+    with pytest.raises(Exception, match="correction of TAF at step 14 is no int: not a number"):
+        H.apply_overrides(df, wrong, 14, {"TAF": "int"}).collect()
 
 
 def test_overrides(spark):
     df = spark.createDataFrame(PANEL, PANEL_SCHEMA)
     fixes = spark.createDataFrame([
         ("a", 14, None, "TDF_exp", "N"), ("a", 14, "follow-up", "TDF_exp", "Z"), ("b", 14, "follow-up", "TAF", "0"), ("b", 11, "follow-up", "TAF", "7"),
-        ("d", 14, "baseline", "TAF", "not a number"),
     ], "study_id string, step int, visit string, item string, value string")
     got = {(r["study_id"], r["visit"]): (r["TDF_exp"], r["TAF"]) for r in H.apply_overrides(df, fixes, 14, {"TDF_exp": "string", "TAF": "int"}).collect()}
     assert got["a", "baseline"] == ("N", 0) and got["a", "follow-up"] == ("Z", 1) and got["b", "follow-up"] == ("Y", 0)
-    assert got["d", "baseline"] == (None, 0)
     twice = fixes.unionByName(fixes.where("item = 'TAF' and step = 14 and study_id = 'b'").withColumn("value", F.lit("1")))
     assert rows_of(H.conflicting_overrides(twice), "study_id", "item", "low", "high") == [("b", "TAF", "0", "1")]
 
