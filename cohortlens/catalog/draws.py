@@ -52,10 +52,10 @@ def draws_summary(spark, sf):
 
 
 def diagnostic_extremes(spark, sf):
-    s = P.draws_summary(_kept(spark, sf))
-    return s.agg(
-        rounded(F.min("sd")).alias("min_sd"), rounded(F.max("mad")).alias("max_mad"),
-        F.min_by("variable", "sd").alias("narrowest"), F.max("n").alias("n"))
+    """Smallest effective sizes, largest R-hat and the variable with the smallest bulk size."""
+    found = P.diagnostic_extremes(_diagnostics(spark, sf))
+    return found.select(F.round("min_bulk_ess", 3).alias("min_bulk_ess"), F.round("min_tail_ess", 3).alias("min_tail_ess"),
+        rounded("max_rhat").alias("max_rhat"), "at_min_ess")
 
 
 def split_rhat(spark, sf):
@@ -67,15 +67,28 @@ def rank_rhat(spark, sf):
     return P.split_rhat(P.rank_normal(_kept(spark, sf))).select("variable", rounded("rhat").alias("rhat"))
 
 
+def _by_model(draws):
+    """Chains 1 and 2 stand for one model, 3 and 4 for another."""
+    return draws.withColumn("model", F.when(F.col("chain") <= 2, "main").otherwise("baseline"))
+
+
 def diagnostics_table(spark, sf):
-    rhat = P.split_rhat(_kept(spark, sf)).withColumn("ess", F.lit(None).cast("double"))
-    flagged = _wide(spark, sf).where(F.col("iteration") > standins.WARMUP_ITERATIONS)
-    return P.diagnostics_by_model(rhat, flagged, "main").select(
-        "model", rounded("max_rhat").alias("max_rhat"), "num_divergent")
+    """Per model: smallest bulk effective size, largest R-hat, divergent draws."""
+    flagged = _by_model(_wide(spark, sf).where(F.col("iteration") > standins.WARMUP_ITERATIONS))
+    found = P.diagnostics(_by_model(_kept(spark, sf)), ["model", "variable"])
+    return P.diagnostics_by_model(found, flagged).select(
+        "model", F.round("min_bulk_ess", 3).alias("min_bulk_ess"), rounded("max_rhat").alias("max_rhat"), "num_divergent")
+
+
+DIAGNOSTICS = {"rhat_bulk": 6, "rhat_folded": 6, "rhat": 6, "ess_bulk": 3, "ess_tail": 3}  # with their decimals
+
+
+def _diagnostics(spark, sf):
+    return standins.once(spark, sf, "diagnostics", lambda: P.diagnostics(_kept(spark, sf)))
 
 
 def rhat_ess(spark, sf):
-    return P.diagnostics(_kept(spark, sf))
+    return _diagnostics(spark, sf).select("variable", *[F.round(c, d).alias(c) for c, d in DIAGNOSTICS.items()])
 
 
 def trace_feed(spark, sf):
@@ -129,6 +142,52 @@ _RANKED = f"""scored AS (SELECT chain, iteration, variable, {_inverse_normal('p'
     SELECT chain, iteration, variable, CAST(upto - (c - 1) / 2 - 0.375e0 AS DOUBLE) / (s + 0.25e0) AS p FROM (
       SELECT *, count(*) OVER (PARTITION BY variable) AS s, count(*) OVER (PARTITION BY variable, value) AS c,
         count(*) OVER (PARTITION BY variable ORDER BY value) AS upto FROM kept)))"""
+# Diagnostics per model in SQL: ranks, folded ranks and quantile indicators; autocovariances of ordered lists.
+# 64 lags end the sums of these draws; a sum that had not ended would give no row to compare.
+def _diagnosed(model: str) -> list[str]:
+    return [
+        f"mk AS (SELECT {model} AS model, chain, iteration, variable, value FROM kept)",
+        """mq AS (SELECT model, variable, quantile_cont(value, 0.05) AS low, median(value) AS med, quantile_cont(value, 0.95) AS high
+  FROM mk GROUP BY model, variable)""",
+        """forms AS (SELECT k.model, k.variable, k.chain, k.iteration, u.form, u.x
+  FROM (SELECT mk.*, low, med, high FROM mk JOIN mq USING (model, variable)) AS k,
+  LATERAL (SELECT unnest(['bulk', 'folded', 'low', 'high']) AS form, unnest([value, abs(value - med),
+    CASE WHEN value <= low THEN 1e0 ELSE 0e0 END, CASE WHEN value <= high THEN 1e0 ELSE 0e0 END]) AS x) AS u)""",
+        f"""zs AS (SELECT model, variable, form, chain, iteration,
+    CASE WHEN form IN ('bulk', 'folded') THEN {_inverse_normal('p')} ELSE x END AS z FROM (
+      SELECT *, CAST(upto - (c - 1) / 2 - 0.375e0 AS DOUBLE) / (s + 0.25e0) AS p FROM (
+        SELECT *, count(*) OVER (PARTITION BY model, variable, form) AS s,
+          count(*) OVER (PARTITION BY model, variable, form, x) AS c,
+          count(*) OVER (PARTITION BY model, variable, form ORDER BY x) AS upto FROM forms)))""",
+        """halves AS (SELECT model, variable, form, chain, side, z, iteration - CASE side WHEN 0 THEN lo ELSE hi + 1 - (hi - lo + 1) // 2 END AS place
+  FROM (SELECT *, CASE WHEN iteration - lo < (hi - lo + 1) // 2 THEN 0
+                       WHEN iteration - lo >= (hi - lo + 1) - (hi - lo + 1) // 2 THEN 1 END AS side
+    FROM (SELECT *, min(iteration) OVER (PARTITION BY model, variable, form, chain) AS lo,
+        max(iteration) OVER (PARTITION BY model, variable, form, chain) AS hi FROM zs)) WHERE side IS NOT NULL)""",
+        """centred AS (SELECT model, variable, form, chain, side, place, z - m AS d FROM halves JOIN (
+    SELECT model, variable, form, chain, side, avg(z) AS m FROM halves GROUP BY ALL) USING (model, variable, form, chain, side))""",
+        """spread AS (SELECT model, variable, form, avg(n) AS n, count(*) AS k, avg(v) AS within_v, var_samp(m) AS between_m
+  FROM (SELECT model, variable, form, chain, side, count(*) AS n, avg(z) AS m, var_samp(z) AS v FROM halves GROUP BY ALL)
+  GROUP BY model, variable, form)""",
+        """lagged AS (SELECT model, variable, form, lag, sum(list_inner_product(ds[1:len(ds) - lag], ds[1 + lag:len(ds)])) AS s
+  FROM (SELECT model, variable, form, chain, side, list(d ORDER BY place) AS ds FROM centred WHERE form <> 'folded' GROUP BY ALL),
+    (SELECT unnest(range(0, 64)) AS lag) WHERE lag < len(ds) GROUP BY model, variable, form, lag)""",
+        """paired AS (SELECT model, variable, form, lag // 2 AS pair, sum(CASE WHEN lag = 0 THEN 1e0
+      ELSE 1 - (within_v - s / (n * k)) / (within_v * (n - 1) / n + between_m) END) AS p
+  FROM lagged JOIN spread USING (model, variable, form) GROUP BY model, variable, form, lag // 2)""",
+        """monotone AS (SELECT model, variable, form, pair, min(p) OVER u AS low, max(CASE WHEN p < 0 THEN 1 ELSE 0 END) OVER u AS over_
+  FROM paired WINDOW u AS (PARTITION BY model, variable, form ORDER BY pair ROWS UNBOUNDED PRECEDING))""",
+        """sized AS (SELECT model, variable, form, n * k / greatest(2 * sums - 1, 1 / log10(greatest(n * k, 11e0))) AS ess FROM (
+    SELECT model, variable, form, sum(CASE WHEN over_ = 0 THEN low END) AS sums FROM monotone GROUP BY model, variable, form
+    HAVING max(over_) = 1) JOIN spread USING (model, variable, form))""",
+        """dg AS (SELECT model, variable, max(CASE WHEN form = 'bulk' THEN r END) AS rhat_bulk,
+    max(CASE WHEN form = 'folded' THEN r END) AS rhat_folded, max(CASE WHEN form IN ('bulk', 'folded') THEN r END) AS rhat,
+    max(CASE WHEN form = 'bulk' THEN ess END) AS ess_bulk, min(CASE WHEN form IN ('low', 'high') THEN ess END) AS ess_tail
+  FROM (SELECT model, variable, form, sqrt(((n - 1) / n * within_v + between_m) / within_v) AS r, ess
+    FROM spread LEFT JOIN sized USING (model, variable, form)) GROUP BY model, variable)""",
+    ]
+
+
 _PAIRS = [("b_exposureY", "b_baseline"), ("b_exposureY", "sigma"), ("b_baseline", "sigma"),
           ("b_exposureY", "b_exposureY"), ("b_baseline", "b_baseline"), ("sigma", "sigma")]
 
@@ -143,12 +202,17 @@ ORACLES = {
         f"SELECT chain, variable, '{s}' AS stat, round(quantile_cont(value, {p}), 6) AS q FROM kept GROUP BY chain, variable"
         for s, p in (("M", 0.5), ("CL", 0.025), ("CU", 0.975))), _KEPT),
     "draws_summary": o.on("draws", "SELECT variable, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in NUMBERS) + " FROM sm", _KEPT, _SUMMARY),
-    "diagnostic_extremes": o.on("draws", """SELECT round(min(sd), 6) AS min_sd, round(max(mad), 6) AS max_mad,
-        arg_min(variable, sd) AS narrowest, max(n) AS n FROM sm""", _KEPT, _SUMMARY),
+    "diagnostic_extremes": o.on("draws", """SELECT round(min(ess_bulk), 3) AS min_bulk_ess, round(min(ess_tail), 3) AS min_tail_ess,
+        round(max(rhat), 6) AS max_rhat, arg_min(variable, ess_bulk) AS at_min_ess FROM dg""", _KEPT, *_diagnosed("'all'")),
+    "rhat_ess": o.on("draws", "SELECT variable, " + ", ".join(f"round({c}, {d}) AS {c}" for c, d in DIAGNOSTICS.items()) + " FROM dg",
+        _KEPT, *_diagnosed("'all'")),
     "split_rhat": o.on("draws", f"SELECT variable, round(rhat, 6) AS rhat FROM ({_rhat('kept')})", _KEPT),
     "rank_rhat": o.on("draws", f"SELECT variable, round(rhat, 6) AS rhat FROM ({_rhat('scored')})", _KEPT, _RANKED),
-    "diagnostics_table": o.on("draws", f"""SELECT 'main' AS model, round(max(rhat), 6) AS max_rhat,
-        (SELECT CAST(sum(divergent) AS BIGINT) FROM draws WHERE iteration > 50) AS num_divergent FROM ({_rhat('kept')})""", _KEPT),
+    "diagnostics_table": o.on("draws", """SELECT model, round(min(ess_bulk), 3) AS min_bulk_ess, round(max(rhat), 6) AS max_rhat,
+        any_value(num_divergent) AS num_divergent FROM dg JOIN (
+          SELECT CASE WHEN chain <= 2 THEN 'main' ELSE 'baseline' END AS model, CAST(sum(divergent) AS BIGINT) AS num_divergent
+          FROM draws WHERE iteration > 50 GROUP BY ALL) USING (model) GROUP BY model""",
+        _KEPT, *_diagnosed("CASE WHEN chain <= 2 THEN 'main' ELSE 'baseline' END")),
     "trace_feed": o.on("draws", """SELECT chain, iteration, variable, value, CASE WHEN iteration <= 50 THEN 1 ELSE 0 END AS warmup
         FROM long WHERE iteration % 4 = 0"""),
     "pair_bins": o.on("draws", " UNION ALL ".join(f"""SELECT '{a}' AS x_var, '{b}' AS y_var, CAST(floor({a} / 0.25) AS BIGINT) AS x_bin,

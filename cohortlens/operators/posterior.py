@@ -13,6 +13,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions.intervals import normal_quantile
@@ -73,131 +74,186 @@ def draws_summary(draws: DataFrame) -> DataFrame:
     return moments.join(q, "variable").join(mad, "variable")
 
 
-def split_rhat(draws: DataFrame) -> DataFrame:
-    """Split R-hat per variable from the moments of half chains; a middle draw of odd chains is left out."""
-    lengths = draws.groupBy("chain", "variable").agg(F.max("iteration").alias("__last"), F.min("iteration").alias("__first"))
-    placed = draws.join(small_side(lengths), ["chain", "variable"])
+def split_rhat(draws: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
+    """Split R-hat per ``by`` from the moments of half chains; a middle draw of odd chains is left out."""
+    by = list(by)
+    lengths = draws.groupBy("chain", *by).agg(F.max("iteration").alias("__last"), F.min("iteration").alias("__first"))
+    placed = draws.join(small_side(lengths), ["chain", *by])
     size = F.col("__last") - F.col("__first") + 1
     at = F.col("iteration") - F.col("__first")
     half = F.floor(size / 2)
     side = F.when(at < half, 0).when(at >= size - half, 1)
-    parts = placed.where(side.isNotNull()).groupBy("variable", "chain", side.alias("side")).agg(
+    parts = placed.where(side.isNotNull()).groupBy(*by, "chain", side.alias("side")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
-    total = parts.groupBy("variable").agg(
+    total = parts.groupBy(*by).agg(
         F.avg("n").alias("n"), F.avg("v").alias("within"), F.var_samp("m").alias("between_mean"))
-    rhat = F.sqrt(((F.col("n") - 1) / F.col("n") * F.col("within") + F.col("between_mean")) / F.col("within"))
-    return total.select("variable", rhat.alias("rhat"))
+    ratio = F.try_divide((F.col("n") - 1) / F.col("n") * F.col("within") + F.col("between_mean"), F.col("within"))
+    return total.select(*by, F.sqrt(ratio).alias("rhat"))
 
 
-def rank_normal(draws: DataFrame) -> DataFrame:
-    """Draws replaced by the normal score of their rank within the variable; ties share a rank.
+def rank_normal(draws: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
+    """Draws replaced by the normal score of their rank within ``by``; ties share a rank, missing values drop out.
 
     Ranks come from a running total over distinct values, cut into range partitions.
     """
-    counts = draws.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("c"))
-    upto = running_total(counts, ["variable"], ["value"], "c", "upto")
-    totals = small_side(draws.groupBy("variable").agg(F.count(F.lit(1)).alias("S")))
+    by = list(by)
+    draws = draws.where(F.col("value").isNotNull())
+    counts = draws.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
+    upto = running_total(counts, by, ["value"], "c", "upto")
+    totals = small_side(draws.groupBy(*by).agg(F.count(F.lit(1)).alias("S")))
     score = normal_quantile((F.col("upto") - (F.col("c") - 1) / 2 - 0.375) / (F.col("S") + 0.25))
-    scores = upto.join(totals, "variable").select("variable", "value", score.alias("z"))
-    return draws.join(scores, ["variable", "value"]).select("chain", "iteration", "variable", F.col("z").alias("value"))
+    scores = upto.join(totals, by).select(*by, "value", score.alias("z"))
+    return draws.join(scores, [*by, "value"]).select("chain", "iteration", *by, F.col("z").alias("value"))
 
 
-def autocovariances(draws: DataFrame, max_lag: int, block: int = 4096) -> DataFrame:
-    """Σ (x_i − m)(x_{i+t} − m) per half chain and lag 0..max_lag, for chains of any length.
+def autocovariances(
+    draws: DataFrame, max_lag: int, block: int = 4096, first: int = 0, by: Sequence[str] = ("variable",)
+) -> DataFrame:
+    """Σ (x_i − m)(x_{i+t} − m) per half chain and lag ``first..max_lag``, for chains of any length.
 
-    Iterations are cut into blocks; the first ``max_lag`` rows of a block are also given to the
-    block before it, so a task holds at most ``block + max_lag`` rows of one half chain.
+    Iterations are cut into blocks.  A block gets its own rows and the rows ``first..max_lag`` behind
+    them, so a row is copied three times at most while the lags of one call span no more than a
+    block, and a task holds two blocks and the span of the lags.
     """
-    centred = draws.join(
-        small_side(draws.groupBy("variable", "series").agg(F.avg("value").alias("__m"))), ["variable", "series"]
-    ).select("variable", "series", "at", (F.col("value") - F.col("__m")).alias("value"))
-    own = F.floor(F.col("at") / block)
-    blocks = F.sequence(F.greatest(F.floor((F.col("at") - max_lag) / block), F.lit(0)), own)
-    shared = centred.select("*", F.explode(blocks).alias("block"))
-
-    def products(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
-        x = pdf["value"].to_numpy()
-        start = int(pdf["block"].iloc[0]) * block
-        own_rows = int((pdf["at"] < start + block).sum())
-        sums = [float(x[:max(min(own_rows, len(x) - t), 0)] @ x[t:t + max(min(own_rows, len(x) - t), 0)]) for t in range(max_lag + 1)]
-        return pd.DataFrame({
-            "variable": pdf["variable"].iloc[0], "series": pdf["series"].iloc[0], "lag": np.arange(max_lag + 1), "s": sums})
-
-    parts = shared.groupBy("variable", "series", "block").applyInPandas(
-        products, "variable string, series string, lag int, s double")
-    return parts.groupBy("variable", "series", "lag").agg(F.sum("s").alias("s"))
-
-
-def half_chains(draws: DataFrame) -> DataFrame:
+    by = list(by)
+    means = small_side(draws.groupBy(*by, "series").agg(F.avg("value").alias("__m")))
+    centred = draws.join(means, [*by, "series"]).select(
+        *by, "series", F.col("at").cast("long").alias("at"), (F.col("value") - F.col("__m")).alias("value"))
+    own = F.struct(F.lit(0).alias("side"), F.floor(F.col("at") / block).alias("block"))
+    behind = F.transform(
+        F.sequence(F.greatest(F.floor((F.col("at") - max_lag) / block), F.lit(0)), F.floor((F.col("at") - first) / block)),
+        lambda b: F.struct(F.lit(1).alias("side"), b.alias("block")))
+    copies = F.when(F.col("at") >= first, F.concat(F.array(own), behind)).otherwise(F.array(own))
+    shared = centred.select("*", F.explode(copies).alias("to")).select(*by, "series", "at", "value", "to.*")
+    lags = np.arange(first, max_lag + 1)
+
+    def products(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at, x, behind = pdf["at"].to_numpy() - int(key[-1]) * block, pdf["value"].to_numpy(), pdf["side"].to_numpy() == 1
+        left, right = np.zeros(block), np.zeros(block + len(lags) - 1)
+        left[at[~behind]] = x[~behind]
+        right[at[behind] - first] = x[behind]
+        out = pd.DataFrame({"lag": lags, "s": np.correlate(right, left, "valid")})
+        for i, name in enumerate([*by, "series"]):
+            out.insert(i, name, key[i])
+        return out
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in centred.select(*by, "series").schema)
+    parts = shared.groupBy(*by, "series", "block").applyInPandas(products, f"{schema}, lag int, s double")
+    return parts.groupBy(*by, "series", "lag").agg(F.sum("s").alias("s"))
+
+
+def half_chains(draws: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
     """Every chain cut in two series of equal length, with the place ``at`` inside the series."""
-    lengths = small_side(draws.groupBy("chain", "variable").agg(
+    lengths = small_side(draws.groupBy("chain", *by).agg(
         F.max("iteration").alias("__last"), F.min("iteration").alias("__first")))
-    placed = draws.join(lengths, ["chain", "variable"])
+    placed = draws.join(lengths, ["chain", *by])
     size = F.col("__last") - F.col("__first") + 1
     at, half = F.col("iteration") - F.col("__first"), F.floor(size / 2)
     second = at >= size - half
     return placed.where((at < half) | second).select(
-        "variable", F.concat_ws("/", F.col("chain").cast("string"), F.when(second, "2").otherwise("1")).alias("series"),
+        *by, F.concat_ws("/", F.col("chain").cast("string"), F.when(second, "2").otherwise("1")).alias("series"),
         F.when(second, at - (size - half)).otherwise(at).alias("at"), "value")
 
 
-def effective_sizes(draws: DataFrame, first_lag: int = 64) -> DataFrame:
-    """Effective sample size per variable by initial monotone positive pairs.
+def effective_sizes(draws: DataFrame, by: Sequence[str] = ("variable",), first_lag: int = 64, block: int = 4096) -> DataFrame:
+    """Effective sample size per ``by`` by initial monotone positive pairs; missing for constant draws.
 
-    The lags looked at double until every variable's sum has ended, so the result is exact for any
-    autocorrelation length.
+    Every round looks at new lags only, of those groups whose sum has not ended, and adds them to a
+    written table of one row per group.  Rounds double up to a span of one block, so the result is
+    exact for any autocorrelation length and no round copies a row more than three times.
     """
-    series = half_chains(draws)
+    by = list(by)
+    series = materialise(half_chains(draws, by), "half_chains")
+    moments = series.groupBy(*by, "series").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
+    of_group = moments.groupBy(*by).agg(
+        F.avg("n").alias("n"), F.count(F.lit(1)).alias("k"), F.avg("v").alias("within"),
+        F.coalesce(F.var_samp("m"), F.lit(0.0)).alias("between"))
+    total = F.col("within") * (F.col("n") - 1) / F.col("n") + F.col("between")
+    state = materialise(of_group.select(
+        *by, "n", "k", "within", total.alias("total"), F.lit(0.0).alias("sums"), F.lit(None).cast("double").alias("least"),
+        F.coalesce(~(total > 0), F.lit(True)).alias("ended"),
+    ), "ess")
     longest = series.agg(F.max("at")).first()[0]
-    lag = first_lag
-    while True:
-        lag = min(lag, longest)
-        covs = autocovariances(series, lag)
-        sizes = series.groupBy("variable", "series").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"))
-        rows = covs.join(sizes, ["variable", "series"])
-        # Per variable: (max_lag + 1) x series numbers, independent of the number of draws.
-        out = rows.groupBy("variable").applyInPandas(_ess_of, "variable string, ess double, ended boolean").collect()
-        if lag >= longest or all(r["ended"] for r in out):
-            return draws.sparkSession.createDataFrame(
-                [(r["variable"], r["ess"]) for r in out], "variable string, ess double")
-        lag *= 2
-
-
-def _ess_of(pdf: pd.DataFrame) -> pd.DataFrame:
-    table = pdf.pivot(index="lag", columns="series", values="s").to_numpy()
-    per = pdf.drop_duplicates("series").set_index("series").sort_index()
-    n = float(per["n"].mean())
-    acov = table / n
-    within = float((acov[0] * n / (n - 1)).mean())
-    between = float(per["m"].var(ddof=1)) if len(per) > 1 else 0.0
-    total = within * (n - 1) / n + between
-    rho = 1 - (within - acov.mean(axis=1)) / total
-    rho[0] = 1.0
-    sums, previous, ended = 0.0, np.inf, False
-    for t in range(0, len(rho) - 1, 2):
-        pair = rho[t] + rho[t + 1]
-        if pair < 0:
-            ended = True
+    lag, span = 0, first_lag
+    while longest is not None and lag <= longest:
+        unended = state.where(~F.col("ended")).select(*by)
+        if unended.isEmpty():
             break
-        previous = min(previous, pair)
-        sums += previous
-    draws = n * len(per)
-    tau = max(-1 + 2 * sums, 1 / np.log10(max(draws, 11.0)))
-    return pd.DataFrame({"variable": [pdf["variable"].iloc[0]], "ess": [draws / tau], "ended": [ended]})
-
-
-def diagnostics(draws: DataFrame) -> DataFrame:
-    """Rank-normalised split R-hat and bulk effective sample size per variable."""
-    scores = materialise(rank_normal(draws), "normal_scores")
-    return split_rhat(scores).join(effective_sizes(scores), "variable")
+        last = min(lag + span - 1, longest)
+        covs = autocovariances(series.join(unended, by, "left_semi"), last, block, lag, by)
+        state = materialise(_with_lags(state, covs, by), "ess")
+        lag, span = lag + span, min(lag + span, block)
+    size = F.col("n") * F.col("k")
+    tau = F.greatest(2 * F.col("sums") - 1, 1 / F.log10(F.greatest(size, F.lit(11.0))))
+    return state.select(*by, F.when(F.col("total") > 0, size / tau).alias("ess"))
+
+
+def _with_lags(state: DataFrame, covs: DataFrame, by: list[str]) -> DataFrame:
+    """The state after the lags of one round: pairs are added until the first negative one."""
+    acov = covs.groupBy(*by, "lag").agg(F.sum("s").alias("s"))
+    rho = F.when(F.col("lag") == 0, 1.0).otherwise(
+        1 - (F.col("within") - F.col("s") / (F.col("n") * F.col("k"))) / F.col("total"))
+    pairs = (
+        acov.join(state.where(~F.col("ended")), by).where(F.col("lag") < F.col("n"))
+        .groupBy(*by, "least", F.floor(F.col("lag") / 2).alias("pair"))
+        .agg(F.sum(rho).alias("p"), F.count(F.lit(1)).alias("c")).where("c = 2")
+    )
+    # At most half a round's lags per group.
+    upto = W.partitionBy(*by).orderBy("pair").rowsBetween(W.unboundedPreceding, 0)
+    seen = pairs.withColumns({"low": F.least(F.min("p").over(upto), "least"), "over": F.max(F.col("p") < 0).over(upto)})
+    added = seen.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(~F.col("over"), F.col("low"))), F.lit(0.0)).alias("__add"),
+        F.min(F.when(~F.col("over"), F.col("low"))).alias("__low"), F.max("over").alias("__over"))
+    return state.join(added, by, "left").select(
+        *by, "n", "k", "within", "total", (F.col("sums") + F.coalesce("__add", F.lit(0.0))).alias("sums"),
+        F.least("least", "__low").alias("least"), (F.col("ended") | F.coalesce("__over", F.lit(False))).alias("ended"))
+
+
+def diagnostics(draws: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
+    """R-hat and effective sizes per ``by``, which may name the model too.
+
+    ``rhat`` is the larger of ``rhat_bulk`` (normal scores of the draws) and ``rhat_folded`` (of their
+    distances from the median); ``ess_bulk`` belongs to the scores, ``ess_tail`` is the smaller of the sizes for
+    being at most the 5% and at most the 95% quantile.
+    """
+    by, keys = list(by), [*by, "form"]
+    q = small_side(group_quantiles(draws, by, "value", [0.05, 0.5, 0.95]).select(*by, "q"))
+    low, median, high = (F.col("q")[i] for i in range(3))
+    value = F.col("value")
+    forms = {
+        "bulk": value, "folded": F.abs(value - median), "low": (value <= low).cast("double"), "high": (value <= high).cast("double"),
+    }
+    placed = draws.where(value.isNotNull()).join(q, by).select("chain", "iteration", *by, F.explode(F.array(*[
+        F.struct(F.lit(name).alias("form"), x.alias("value")) for name, x in forms.items()
+    ])).alias("f")).select("chain", "iteration", *by, "f.*")
+    ranked = rank_normal(placed.where(F.col("form").isin("bulk", "folded")), keys)
+    scores = materialise(ranked.unionByName(placed.where(F.col("form").isin("low", "high"))), "normal_scores")
+
+    def of(form: str, column: str) -> Column:
+        return F.max(F.when(F.col("form") == form, F.col(column)))
+
+    rhat = split_rhat(scores.where(F.col("form").isin("bulk", "folded")), keys).groupBy(*by).agg(
+        of("bulk", "rhat").alias("rhat_bulk"), of("folded", "rhat").alias("rhat_folded"), F.max("rhat").alias("rhat"))
+    ess = effective_sizes(scores.where(F.col("form") != "folded"), keys).groupBy(*by).agg(
+        of("bulk", "ess").alias("ess_bulk"), F.min(F.when(F.col("form") != "bulk", F.col("ess"))).alias("ess_tail"))
+    return rhat.join(ess, by)
+
+
+def diagnostics_by_model(found: DataFrame, divergent: DataFrame) -> DataFrame:
+    """One row per model: smallest bulk effective size, largest R-hat, number of divergent draws.
+
+    ``found`` comes from ``diagnostics`` by model and variable, ``divergent`` has one row per model and draw.
+    """
+    worst = found.groupBy("model").agg(F.min("ess_bulk").alias("min_bulk_ess"), F.max("rhat").alias("max_rhat"))
+    return worst.join(divergent.groupBy("model").agg(F.sum("divergent").alias("num_divergent")), "model")
 
 
-def diagnostics_by_model(summary: DataFrame, divergent: DataFrame, model: str) -> DataFrame:
-    """One row per model: smallest effective size, largest R-hat, number of divergent draws."""
-    worst = summary.agg(F.min("ess").alias("min_bulk_ess"), F.max("rhat").alias("max_rhat"))
-    flagged = divergent.agg(F.sum("divergent").alias("num_divergent"))
-    return worst.withColumn("model", F.lit(model)).join(flagged.withColumn("model", F.lit(model)), "model")
+def diagnostic_extremes(found: DataFrame) -> DataFrame:
+    """Smallest effective sizes, largest R-hat, and the variable with the smallest bulk size."""
+    return found.agg(
+        F.min("ess_bulk").alias("min_bulk_ess"), F.min("ess_tail").alias("min_tail_ess"), F.max("rhat").alias("max_rhat"),
+        F.min_by("variable", F.struct("ess_bulk", "variable")).alias("at_min_ess"))
 
 
 def trace_feed(draws: DataFrame, warmup: int, thin: int = 1) -> DataFrame:

@@ -205,7 +205,7 @@ def test_rhat_and_effective_size(spark):
     n, m = 250, 8
     W, B = halves.var(axis=1, ddof=1).mean(), halves.mean(axis=1).var(ddof=1)
     total = (n - 1) / n * W + B
-    assert got["rhat"] == pytest.approx(math.sqrt(total / W), rel=1e-9)
+    assert got["rhat_bulk"] == pytest.approx(math.sqrt(total / W), rel=1e-9)
     c = halves - halves.mean(axis=1, keepdims=True)
     acov = np.array([(c[:, :n - t] * c[:, t:]).sum(axis=1).mean() / n for t in range(n)])
     rho = 1 - (W - acov) / total
@@ -217,7 +217,22 @@ def test_rhat_and_effective_size(spark):
             break
         previous = min(previous, pair)
         tau += 2 * previous
-    assert got["ess"] == pytest.approx(n * m / tau, rel=1e-6)
+    assert got["ess_bulk"] == pytest.approx(n * m / tau, rel=1e-6)
+    assert got["rhat"] == max(got["rhat_bulk"], got["rhat_folded"])
+    assert 0 < got["ess_tail"] < n * m
+
+
+def test_sizes_need_no_particular_rounds_and_constants_have_none(spark):
+    rng = np.random.default_rng(9)
+    rows = [(c + 1, i + 1, m, "v", float(x)) for m in ("a", "b") for c in range(2) for i, x in enumerate(ar1(400, 0.97, rng))]
+    rows += [(c + 1, i + 1, "a", "fixed", 2.0) for c in range(2) for i in range(400)]
+    draws = spark.createDataFrame(rows, "chain int, iteration long, model string, variable string, value double")
+    keys = ["model", "variable"]
+    one = {(r["model"], r["variable"]): r["ess"] for r in PO.effective_sizes(draws, keys).collect()}
+    many = {(r["model"], r["variable"]): r["ess"] for r in PO.effective_sizes(draws, keys, first_lag=4, block=32).collect()}
+    assert one.keys() == many.keys() and one["a", "fixed"] is None and many["a", "fixed"] is None
+    assert [many[k] for k in (("a", "v"), ("b", "v"))] == pytest.approx([one[k] for k in (("a", "v"), ("b", "v"))], rel=1e-9)
+    assert 0 < one["a", "v"] < 200
 
 
 def test_autocovariances_across_blocks(spark):
