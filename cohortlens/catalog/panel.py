@@ -18,7 +18,7 @@ SCORES = {"change_BMD_raw": "BMD", "change_BMD_LS": "BMD_LS_Z", "change_BMD_hip"
 
 def join_covariates(spark, sf):
     df = raw(spark, sf)
-    subjects = df.where("visit = 'baseline' and sex = 'F'").select("study_id", *COVARIATES)
+    subjects = df.where("visit = 'baseline'").select("study_id", *COVARIATES)
     return P.join_covariates(df.drop(*COVARIATES), subjects, COVARIATES).select(*KEY, "BMD", *COVARIATES)
 
 
@@ -104,7 +104,7 @@ _flags = f"fl AS (SELECT *, {o.TAF} AS TAF, CASE WHEN ART2 = 'TDF' THEN 1 ELSE 0
 
 ORACLES = {
     "join_covariates": o.on("raw", f"""SELECT p.study_id, p.visit, p.BMD, {', '.join('s.' + c for c in COVARIATES)}
-        FROM cohort_raw p LEFT JOIN (SELECT * FROM cohort_raw WHERE visit = 'baseline' AND sex = 'F') s USING (study_id)"""),
+        FROM cohort_raw p LEFT JOIN (SELECT * FROM cohort_raw WHERE visit = 'baseline') s USING (study_id)"""),
     "carry_regimen": o.on("raw", f"""SELECT study_id, visit, ART1, ART2, ART3, ART4
         FROM (SELECT study_id, visit, {o.CARRIED}, {o.bl('1')} AS has_bl FROM cohort_raw) WHERE has_bl = 1"""),
     "carry_duration": o.on("vals", f"""SELECT study_id, visit, CASE WHEN visit = 'follow-up' AND TAF = 1 AND TAF_duration IS NULL

@@ -44,8 +44,8 @@ def checkpoint_roundtrip(spark, sf):
         F.count(F.lit(1)).alias("n"))
     csv = results.load_csv(spark, root, "predictors", shares.schema, CONFIG).select(
         F.concat_ws("|", "variable", "level", "abnormal_bmd", "label").alias("key"), "n")
-    models = results.load_table(spark, root, "cells", adjusted).where("model <> 'TDF_length'").select(
-        F.concat_ws("|", "model", "level").alias("key"), "n")
+    models = results.load_table(spark, root, "cells", adjusted).groupBy(
+        F.concat_ws("|", "model", "level").alias("key")).agg(F.sum("n").alias("n"))
     out = panel.withColumn("store", F.lit("parquet"))
     for part, name in ((csv, "csv"), (models, "models")):
         out = out.unionByName(part.withColumn("store", F.lit(name)))
@@ -72,7 +72,19 @@ def draws_long(spark, sf):
     return read_draws(spark, f"{path}/*/*.csv", columns, standins.DRAW_VARIABLES)
 
 
-QUERIES = {f.__name__: f for f in (sheet_union, header_harmonise, checkpoint_roundtrip, exceedance_report, draws_long)}
+def draws_by_file(spark, sf):
+    """Draws written without their iteration, several files a chain: the place in the files gives it back."""
+    wide = standins.draws_wide(spark, sf)
+    path = new_path(spark, "chains")
+    columns = [*standins.DRAW_VARIABLES, "divergent"]
+    ordered = wide.repartitionByRange("iteration").sortWithinPartitions("chain", "iteration").select("chain", *columns)
+    ordered.write.partitionBy("chain").option("header", True).csv(path)
+    return read_draws(spark, f"{path}/*/*.csv", columns, standins.DRAW_VARIABLES)
+
+
+QUERIES = {f.__name__: f for f in (
+    sheet_union, header_harmonise, checkpoint_roundtrip, exceedance_report, draws_long, draws_by_file,
+)}
 
 _cells_sql = standins.VISIT_CELLS.format(c="cohort_raw")
 _numbers = ("height", "weight", "BMD", "BMD_LS_Z", "tscore_LS", "hip_Z", "calcium", "phosphate", "alkaline")
@@ -107,6 +119,9 @@ def _model_counts() -> str:
             levels = ", ".join(f"'{lv}'" for lv in m.levels)
             parts.append(f"""SELECT '{m.name}|' || CAST({m.predictor} AS VARCHAR) AS key, count(*) AS n FROM b
                 WHERE abnormal_bmd IS NOT NULL AND CAST({m.predictor} AS VARCHAR) IN ({levels}) GROUP BY 1""")
+        else:
+            parts.append(f"""SELECT '{m.name}|per unit' AS key, count(*) AS n FROM b
+                WHERE abnormal_bmd IS NOT NULL AND {m.predictor} IS NOT NULL HAVING count(*) > 0""")
     return " UNION ALL ".join(parts)
 
 
@@ -122,4 +137,5 @@ ORACLES = {
     "exceedance_report": o.on("draws", """SELECT 'main' AS model, regexp_replace(variable, '^b_', '') AS Term,
         round(avg(CASE WHEN value < 0 THEN 1 ELSE 0 END), 2) AS pval FROM long GROUP BY variable"""),
     "draws_long": o.on("draws", "SELECT chain, iteration, draw, variable, value FROM long"),
+    "draws_by_file": o.on("draws", "SELECT chain, iteration, variable, value FROM long"),
 }

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortlens.operators.ordering import running_total
 from cohortlens.runtime import BROADCAST_ROWS, null_safe_join
 
 # A group of at most this many rows may be held by one task (value -> count map); measured, the
@@ -28,8 +28,8 @@ def group_quantiles(
     Missing values are skipped; a group without values gives ``n`` 0 and a NULL array.  One pass
     measures the groups and sketches their ranks.  Up to ``task_rows`` rows per group the built-in
     exact aggregate is used.  Beyond it every wanted rank is bracketed by the sketch, and only the
-    values inside the brackets, counted exactly, are ever sorted: the result stays exact, and no
-    task sees more than the bracket.
+    values inside the brackets, counted exactly, are ever sorted, in range partitions: the result stays
+    exact, and a bracket of any size is shared by many tasks.
     """
     by = list(by)
     if not by:
@@ -92,8 +92,8 @@ def _bracketed(data: DataFrame, by: list[str], probs: list[float], sketch: DataF
         joined.select(*by, "n", "__v", F.explode(hits).alias("__j"))
         .groupBy(*by, "n", "__j", "__v").agg(F.count(F.lit(1)).alias("__c"))
     )
-    upto = W.partitionBy(*by, "__j").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = null_safe_join(counts.withColumn("__upto", F.sum("__c").over(upto)), below, by)
+    # The values of a bracket are ranked in range partitions, so none has to fit in one task.
+    ranked = null_safe_join(running_total(counts, [*by, "n", "__j"], ["__v"], "__c", "__upto"), below, by)
 
     def at_rank(rank: Column, j: int) -> Column:
         bracket = F.when(F.col("n") <= task_rows, F.lit(0)).otherwise(F.lit(j))
