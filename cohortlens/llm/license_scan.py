@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import bisect
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -94,7 +95,8 @@ def _scan(rows: Iterator[tuple]) -> Iterator[tuple]:
         plain = b" ".join(words).decode("utf-8", "replace")
         found = scanner.detections(plain)
         base = sorted(d.start for d in found if d.rule.base)
-        word_at = lambda place: plain.count(" ", 0, place)
+        spaces = [m.start() for m in re.finditer(" ", plain)] if found else []
+        word_at = lambda place: bisect.bisect_left(spaces, place)
         kept = suppress(found)
         doubt: dict[str, float] = {}
         for d in kept:
