@@ -153,6 +153,8 @@ def surrogate(key: str, kind: str, value: str, gender: str, attempt: int) -> str
     if kind == "email":
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
+        # Short addresses have few others of their shape: later attempts add letters.
+        local += "x" * max(0, attempt - 3)
         return _same_shape(local, stream) + "@" + _same_shape(host, Stream(key, "domain", host)) + "." + top
     if kind == "ip":
         return ".".join([str(1 + stream.below(223)), *(str(stream.below(256)) for _ in range(2)), str(1 + stream.below(254))])

@@ -348,6 +348,13 @@ def test_license_base_counts_equal_brute_force(spark, odd, none):
         assert labels <= set(r["labels"].split(","))
 
 
+def test_license_scan_of_a_long_text_full_of_phrases():
+    n = 40_000
+    (row,) = license_scan._scan(iter([(1, "so under the MIT license. " * n)]))
+    assert row[1:5] == (5 * n, n, 1, 5 * n - 4) and row[5] == row[6] == "mit"
+    assert [s["start"] for s in row[8][:3]] == [1, 6, 11] and len(row[8]) == n
+
+
 def test_containment_suppression():
     rule = lambda label, p: license_scan.Rule(label, None, (), p, 0.5)
     D = license_scan.Detection
@@ -403,6 +410,16 @@ def test_surrogates_hide_keep_and_tell_apart(spark, odd, none):
     assert len(chosen) == 900 == len({r["new"] for r in chosen})
 
 
+def test_surrogates_of_addresses_whose_shape_is_used_up(spark):
+    """All addresses of one letter at one letter are taken: longer ones are drawn, none twice, none of those taken."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    taken = [f"{a}@{b}.com" for a in letters for b in letters]
+    entities = spark.createDataFrame([("email", t, "") for t in taken], "kind string, value string, gender string")
+    got = surrogates.assign_surrogates(entities).collect()
+    assert {r["value"] for r in got} == set(taken) and len({r["new"] for r in got}) == len(taken)
+    assert not {r["new"] for r in got} & set(taken)
+
+
 def test_pipeline_stages(spark, odd):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
     table = spark.read.parquet(f"{SF}/documents.parquet")
