@@ -7,8 +7,12 @@ both.  Seeds meet the benchmark's in an equi-join, and the words around each hit
 one: a run of ``RUN`` aligned words (the whole item if it is shorter) with at least ``SHARE``
 equal ones counts as an overlap.
 
+The masks hit every run of ``RUN`` words with any two of them changed.  Items shorter than a run also
+look up each five words in a row, since few windows fit into them.
+
 Defined cases: null or empty texts have no windows; items of fewer than five words are not
-searched; items of five to ten words are found by their first five words; a null id is a document
+searched; items of five to twelve words are compared whole and need five equal words in a row or a
+mask's window; a null id is a document
 of its own name (all null ids together); repeated rows give one row; an empty documents or
 benchmark table gives an empty result; other columns are not looked at.
 """
@@ -22,8 +26,8 @@ from cohortlens.llm.common import word_arrays
 from cohortlens.runtime import materialise
 
 #: Places of the words that a mask reads.
-MASKS = ((0, 1, 3, 6, 7, 9, 10), (0, 1, 2, 5, 7, 10), (0, 1, 4, 6, 8, 9))
-SHORT_MASK = (0, 1, 2, 3, 4)
+MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 5, 6, 8))
+SHORT_MASK = (0, 1, 2, 3, 4)  # items shorter than a run only
 SPAN = 1 + max(max(m) for m in MASKS)
 RUN, SHARE = 13, 0.8
 AROUND = RUN  # words compared on either side of a hit
@@ -56,18 +60,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         benchmark.select(F.col("item_id"), word_arrays(F.col("text")).alias("words")).withColumn("n", F.size("words")).where("n >= 5"),
         "items",
     )
-    long_seeds = items.where(F.col("n") >= SPAN).select(
-        "item_id", "n", "words", F.explode(F.sequence(F.lit(0), F.col("n") - SPAN)).alias("at")
-    )
-    words, at = F.col("words"), F.col("at")
+    words, at, n = F.col("words"), F.col("at"), F.col("n")
+    starts = items.select("item_id", "n", "words", F.explode(F.sequence(F.lit(0), n - len(SHORT_MASK))).alias("at"))
+    fits = [at + max(m) < n for m in MASKS] + [n < RUN]
     seeds = materialise(
-        long_seeds.select(
-            "item_id", "at", F.xxhash64(F.get(words, at), F.get(words, at + 1)).alias("pair"),
-            F.explode(F.array(*[_seed(words, at, m) for m in range(len(MASKS))])).alias("seed"),
-        ).unionByName(items.where(F.col("n") < SPAN).withColumn("at", F.lit(0)).select(
+        starts.select(
             "item_id", "at", F.xxhash64(F.get(words, at), F.get(words, at + 1)).alias("pair"),
-            _seed(words, at, len(MASKS)).alias("seed"),
-        )), "seeds",
+            F.explode(F.array(*[F.when(fit, _seed(words, at, m)) for m, fit in enumerate(fits)])).alias("seed"),
+        ).where("seed IS NOT NULL"), "seeds",
     )
     pairs, right = seeds.select("pair").distinct(), seeds.select("item_id", F.col("at").alias("item_at"), "seed")
     if seeds.count() <= BROADCAST_SEEDS:
