@@ -5,7 +5,8 @@ keys, passwords, tokens, account numbers, and names after a title or from a list
 different entity gets one surrogate by HMAC over its type and canonical form, so all its mentions,
 in whatever format, change alike.  A surrogate keeps type, length, separators, case, script and, for names,
 gender.  Collisions are found by joins: of entities that chose the same surrogate, or one that is
-itself an entity of the corpus, all but the smallest choose again with the next attempt.
+itself an entity of the corpus, all but the smallest choose again with the next attempt.  Late attempts
+lengthen the surrogate, so that rounds end where every value of a shape is taken.  A calling code stays.
 
 Defined cases: null and empty texts have no entity; documents without entities are not in the
 result; overlapping finds: the earlier, then longer one counts; repeated rows are rewritten alike; an
@@ -65,13 +66,16 @@ DETECTORS = (
     ("name", "", re.compile(rf"\b(?:{_TITLE})\.? ({_NAME}(?: {_NAME})?)")),
     ("name", "", re.compile(rf"\b((?:{'|'.join(_ALL_GIVEN)}) {_NAME})")),
 )
+#: Country calling codes by their first digits; the rest have three digits.
+CALLING = re.compile(r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}|)")
+LENGTHEN = 8  # numbers keep their length for so many attempts
 _DIGIT, _TITLES = re.compile(r"\d"), re.compile(rf"(?:{_TITLE}|{'|'.join(_ALL_GIVEN)})\b")
 _ASSIGN = re.compile(r"(?i)passw|pwd|secret|token|key")
 
 
 def canonical(kind: str, value: str) -> str:
     if kind in ("phone", "card", "ssn"):
-        return re.sub(r"\D", "", value)
+        return ("+" if value[:1] == "+" else "") + re.sub(r"\D", "", value)
     if kind == "iban":
         return value.replace(" ", "")
     return value.lower() if kind == "email" else value
@@ -150,21 +154,26 @@ def script_of(text: str) -> str:
 def surrogate(key: str, kind: str, value: str, gender: str, attempt: int) -> str:
     """Surrogate of a canonical value; another one for every attempt."""
     stream = Stream(key, kind, value, attempt)
+    # What has few others of its shape grows with later attempts.
+    letters, digits = max(0, attempt - 3), max(0, attempt - LENGTHEN + 1)
+
+    def number(length: int) -> str:
+        return "".join(str(stream.below(10)) for _ in range(length))
+
     if kind == "email":
         local, _, domain = value.partition("@")
         host, _, top = domain.rpartition(".")
-        # Short addresses have few others of their shape: later attempts add letters.
-        local += "x" * max(0, attempt - 3)
-        return _same_shape(local, stream) + "@" + _same_shape(host, Stream(key, "domain", host)) + "." + top
+        return _same_shape(local + "x" * letters, stream) + "@" + _same_shape(host, Stream(key, "domain", host)) + "." + top
     if kind == "ip":
-        return ".".join([str(1 + stream.below(223)), *(str(stream.below(256)) for _ in range(2)), str(1 + stream.below(254))])
+        inner = [str(stream.below(256)) for _ in range(2 + digits)]
+        return ".".join([str(1 + stream.below(223)), *inner, str(1 + stream.below(254))])
     if kind == "card":
-        return _luhn(value[0] + "".join(str(stream.below(10)) for _ in value[1:]))
+        return _luhn(value[0] + number(len(value) - 1 + digits))
     if kind == "iban":
-        return value[:2] + _same_shape(value[2:], stream)
+        return value[:2] + _same_shape(value[2:] + "0" * digits, stream)
     if kind == "secret":
         head = "AKIA" if value.startswith("AKIA") else ""
-        return head + _same_shape(value[len(head) :], stream, bool(re.fullmatch(r"[0-9a-fA-F]+", value)))
+        return head + _same_shape(value[len(head) :] + "x" * letters, stream, bool(re.fullmatch(r"[0-9a-fA-F]+", value)))
     if kind == "name":
         script = script_of(value)
         given = GIVEN[script, gender or "fm"[stream.below(2)]]
@@ -175,19 +184,18 @@ def surrogate(key: str, kind: str, value: str, gender: str, attempt: int) -> str
             more = [SURNAMES[script][stream.below(len(SURNAMES[script]))] for _ in range(attempt)]
             words.append("-".join([family, *more]))
         return " ".join(words)
-    return "".join(str(stream.below(10)) for _ in value)
+    code = CALLING.match(value)
+    kept = code.group() if code else ""
+    return kept + number(len(value) - len(kept) + digits)
 
 
 def render(kind: str, mention: str, replacement: str) -> str:
-    """The replacement in the format of this mention; a leading country code stays."""
+    """The replacement in the format of this mention; what is longer than the mention follows it."""
     if kind not in ("phone", "card", "ssn", "iban"):
         return replacement
-    kept = re.match(r"\+\d{1,3}(?=\D)", mention) if kind == "phone" else None
-    digits, out = iter(replacement), []
-    for i, c in enumerate(mention):
-        new = next(digits) if c.isalnum() else c
-        out.append(c if kept and i < kept.end() else new)
-    return "".join(out)
+    signs = iter(replacement.removeprefix("+"))
+    shown = [next(signs) if c.isalnum() else c for c in mention]
+    return "".join([*shown, *signs])
 
 
 _FOUND = "doc_id bigint, uid bigint, text string, spans array<struct<start:int,end:int,kind:string,gender:string,value:string>>"
@@ -214,7 +222,7 @@ def _choose(key: str):
 def assign_surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     """``(kind, value, new)`` with different surrogates for different entities ``(kind, value, gender)``.
 
-    No surrogate equals an entity of the corpus.  Rounds end because each draws anew, names from a space that grows.
+    No surrogate equals an entity of the corpus.  Rounds end because each draws anew, from a space that grows.
     """
     schema = "kind string, value string, gender string, attempt int, new string"
     types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]

@@ -192,6 +192,21 @@ def test_decontamination_finds_passages_with_changed_words(spark, odd, none):
     assert decontaminate.overlaps(odd, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_any_two_changed_words(spark):
+    """Runs of 13 words with any two changed, alone in their document, meet a seed; so do shorter items changed at the end."""
+    item = [f"w{i}" for i in range(13)]
+    rows = []
+    for a in range(13):
+        for b in range(a + 1, 13):
+            changed = ["x", *item, "y"]
+            changed[a + 1], changed[b + 1] = "p", "q"
+            rows.append((100 * a + b, " ".join(changed)))
+    rows += [(5000, "v0 v1 v2 v3 v4 v5 z"), (5001, "z v1 v2 v3 v4 v5 v6"), (5002, "z v1 v2 v3 z v5 v6")]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, "v0 v1 v2 v3 v4 v5 v6")], "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs(spark, rows), bench).collect()}
+    assert got == {(d, 1) for d, _ in rows if d < 5000} | {(5000, 2), (5001, 2)}
+
+
 def test_decontamination_runs_no_python(spark):
     df = queries.op3(spark, SF)
     text = df._jdf.queryExecution().executedPlan().toString()
@@ -420,6 +435,16 @@ def test_surrogates_of_addresses_whose_shape_is_used_up(spark):
     assert not {r["new"] for r in got} & set(taken)
 
 
+def test_surrogates_of_numbers_whose_shape_is_used_up(spark):
+    """All numbers of three digits, and secrets without letters or digits: rounds end, nothing repeats, nothing taken is drawn."""
+    taken = [("phone", f"{i:03d}", "") for i in range(1000)] + [("secret", "*" * i, "") for i in (6, 7, 8)] + [("ssn", "12", "")]
+    got = surrogates.assign_surrogates(spark.createDataFrame(taken, "kind string, value string, gender string")).collect()
+    assert {(r["kind"], r["value"]) for r in got} == {t[:2] for t in taken}
+    assert len({(r["kind"], r["new"]) for r in got}) == len(taken) and not {(r["kind"], r["new"]) for r in got} & {t[:2] for t in taken}
+    assert surrogates.render("phone", "(12) 3", "4567") == "(45) 67" and surrogates.render("phone", "+49 12", "+4987") == "+49 87"
+    assert surrogates.surrogate("k", "phone", "+4912345678", "", 0).startswith("+49")
+
+
 def test_pipeline_stages(spark, odd):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "decontamination", "packing"]
     table = spark.read.parquet(f"{SF}/documents.parquet")
