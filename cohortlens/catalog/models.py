@@ -96,37 +96,27 @@ def hsgp_cells(spark, sf):
         "exposed", "x_index", "n", *[rounded(c, 4).alias(c) for c in ("sy", "syy", "sx", "sxx", "sxy")])
 
 
-def _draws(spark, sf, model):
+def _fit(spark, sf, model):
     rows, cells, grid = M.curve_inputs(switch(spark, sf))
-    return rows, cells, gp.curve_draws(gp.standardised_cells(cells), grid, model)
-
-
-def _posterior(spark, sf, model):
-    _, _, draws = _draws(spark, sf, model)
-    named = draws.where(~F.col("variable").startswith("f_TAF["))
-    return named.groupBy("variable").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
-        F.percentile("value", F.array(*[F.lit(p) for p in (0.025, 0.5, 0.975)])).alias("q"),
-        F.avg((F.col("value") < 0).cast("int")).alias("p_below"),
-    ).select("variable", "n", "mean", "sd", *[F.col("q")[i].alias(c) for i, c in enumerate(("lower", "median", "upper"))], "p_below")
+    return rows, cells, grid, gp.fit_curve(gp.standardised_cells(cells), grid, model)
 
 
 def hsgp_posterior(spark, sf):
-    return _posterior(spark, sf, M.CURVE)
+    return gp.parameter_summary(spark, _fit(spark, sf, M.CURVE)[-1])
 
 
 def hsgp_posterior_bl(spark, sf):
-    return _posterior(spark, sf, M.CURVE_ADJUSTED)
+    return gp.parameter_summary(spark, _fit(spark, sf, M.CURVE_ADJUSTED)[-1])
 
 
 def gp_curve(spark, sf):
-    _, cells, draws = _draws(spark, sf, M.CURVE)
-    return gp.curve_summary(draws, *M.outcome_moments(cells))
+    _, cells, grid, fit = _fit(spark, sf, M.CURVE)
+    return gp.curve_summary(grid, fit, *M.outcome_moments(cells))
 
 
 def _predictive(spark, sf, model):
-    rows, cells, draws = _draws(spark, sf, model)
-    return gp.predictive_intervals(rows, draws, *M.outcome_moments(cells))
+    rows, cells, _, fit = _fit(spark, sf, model)
+    return gp.predictive_intervals(rows, fit, *M.outcome_moments(cells))
 
 
 def predictive_interval(spark, sf):

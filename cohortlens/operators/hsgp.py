@@ -2,8 +2,8 @@
 
 All subjects reduce to one cell per (on drug, month), the cells to one Gram matrix whose size only
 depends on the number of basis functions.  Given noise, amplitude and length scale the model is
-linear with a normal prior, so the posterior is a weighted grid of normal distributions: no
-sampler is run, and nothing grows with the number of subjects after the cells.
+linear with a normal prior, so the posterior is a weighted grid of normal distributions: means and
+quantiles follow from it in closed form or by root finding, no sampler is run, and nothing grows with the number of subjects after the cells.
 """
 
 from __future__ import annotations
@@ -11,10 +11,11 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -259,118 +260,196 @@ def posterior_grid(spark, matrix: np.ndarray, model: CurveModel, width: float) -
     return raised.withColumn("weight", F.col("w") / F.sum("w").over(whole)).drop("w", "lp")
 
 
-def curve_draws(z_cells: DataFrame, grid: DataFrame, model: CurveModel, n_draws: int = 1000, chains: int = 4,
-                seed: int = 12) -> DataFrame:
-    """Posterior draws in long form: ``chain, iteration, draw, variable, value``.
+@dataclass(frozen=True)
+class CurvePosterior:
+    """Weighted normal distributions of the coefficients, one per grid point of (sigma, alpha, lscale).
 
-    Every grid point gets its share of the draws by systematic sampling, and draws coefficients
-    from its own normal distribution.
+    ``points`` has at most ``prod(model.points)`` rows ``sigma, alpha, lscale, weight``, however many
+    subjects or months there are; tasks rebuild the coefficients of each point from it.
     """
+
+    problem: _Problem
+    model: CurveModel
+    width: float
+    months: int
+    points: np.ndarray
+
+    @property
+    def names(self) -> list[str]:
+        fixed = ["beta0", "beta_TAF", *(["beta_bl"] if self.problem.adjusted else [])]
+        return fixed + [f"beta_f[{m}]" for m in range(1, self.model.basis + 1)]
+
+    def densities(self) -> np.ndarray:
+        """Spectral density by grid point and basis function."""
+        alpha, lscale = self.points[:, 1:2], self.points[:, 2:3]
+        return alpha**2 * math.sqrt(2 * math.pi) * lscale * np.exp(-0.5 * (lscale * self.problem.omega) ** 2)
+
+    def coefficients(self) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and covariance of the coefficients at every grid point."""
+        fits = [_conditional(self.problem, *point[:3])[1:] for point in self.points]
+        return np.array([mean for mean, _ in fits]), np.array([factor @ factor.T for _, factor in fits])
+
+    def on_curve(self, x_index: np.ndarray) -> np.ndarray:
+        """Basis values at places of the monthly grid; zero off the curve (place 0)."""
+        n = self.months
+        x = (x_index - 1 - (n - 1) / 2) / math.sqrt(n * (n + 1) / 12) if n > 1 else np.zeros(len(x_index))
+        phi = np.sin((x + self.width)[:, None] * self.problem.omega) / math.sqrt(self.width)
+        return np.where(x_index[:, None] > 0, phi, 0.0)
+
+
+def fit_curve(z_cells: DataFrame, grid: DataFrame, model: CurveModel) -> CurvePosterior:
+    """Posterior of the curve; only the Gram matrix and the hyper-parameter grid reach the driver."""
     months, x_max = _check_grid(grid)
     width = model.boundary if model.boundary is not None else max(x_max, 1e-6) * model.factor
     matrix = gram_matrix(gram(z_cells, grid, model), model)
-    p = _problem(matrix, model, width)
-    n = months
-    scale = math.sqrt(n * (n + 1) / 12)
-    spark = z_cells.sparkSession
-    upto = W.partitionBy(F.lit(1)).orderBy("h").rowsBetween(W.unboundedPreceding, 0)
-    share = F.floor(F.sum("weight").over(upto) * n_draws + 0.5)
-    shares = posterior_grid(spark, matrix, model, width).withColumn("upto", share).withColumn(
-        "first", F.coalesce(F.lag("upto").over(W.partitionBy(F.lit(1)).orderBy("h")), F.lit(0))
-    ).where(F.col("upto") > F.col("first"))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["beta0", "beta_TAF", *(["beta_bl"] if p.adjusted else [])]
-        k = len(names)
-        names = names + [f"beta_f[{m}]" for m in range(1, model.basis + 1)]
-        curve = [f"f_TAF[{i}]" for i in range(1, n + 1)]
-        x = (np.arange(n) - (n - 1) / 2) / scale if n > 1 else np.zeros(1)
-        phi = np.sin(np.outer(x + width, p.omega)) / math.sqrt(width)
-        for batch in batches:
-            for row in batch.itertuples():
-                rng = np.random.default_rng([seed, int(row.h)])
-                _, mean, factor = _conditional(p, row.sigma, row.alpha, row.lscale)
-                count = int(row.upto - row.first)
-                beta = mean + rng.standard_normal((count, len(mean))) @ factor.T
-                density = row.alpha**2 * math.sqrt(2 * math.pi) * row.lscale * np.exp(-0.5 * (row.lscale * p.omega) ** 2)
-                f = beta[:, k:] @ phi.T
-                shown = np.column_stack([beta[:, :k], beta[:, k:] / np.sqrt(density), f,
-                                         np.tile([row.sigma, row.alpha, row.lscale], (count, 1))])
-                columns = names + curve + ["sigma", "alpha", "lscale"]
-                if model.baseline_sd is not None and not p.adjusted:
-                    shown = np.column_stack([shown, rng.standard_normal(count) * model.baseline_sd])
-                    columns = columns + ["beta_bl"]  # left out of the likelihood: the prior itself
-                number = np.repeat(np.arange(int(row.first) + 1, int(row.upto) + 1), len(columns))
-                yield pd.DataFrame({"draw": number, "variable": np.tile(columns, count), "value": shown.ravel()})
-
-    long = shares.repartition("h").mapInPandas(draw, "draw long, variable string, value double")
-    return long.select(
-        (F.col("draw") % chains + 1).cast("int").alias("chain"),
-        F.floor((F.col("draw") - 1) / chains + 1).cast("long").alias("iteration"), "draw", "variable", "value",
-    )
+    table = posterior_grid(z_cells.sparkSession, matrix, model, width)
+    points = np.array([tuple(r) for r in table.select("sigma", "alpha", "lscale", "weight").orderBy("h").collect()])
+    return CurvePosterior(_problem(matrix, model, width), model, width, months, points)
 
 
-def curve_summary(draws: DataFrame, m_y: float, sd_y: float) -> DataFrame:
-    """The curve on the data scale per month: mean, median and 95% interval."""
-    index = F.regexp_extract("variable", r"^f_TAF\[([0-9]+)\]$", 1)
-    per_month = draws.where(F.col("variable").startswith("f_TAF[")).groupBy(index.cast("int").alias("x_index")).agg(
-        F.avg("value").alias("f"), F.percentile("value", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q")
-    )
+_STEP = 1 / 256
+_NODES = np.arange(-9, 9 + _STEP, _STEP)
+_CDF = np.array([0.5 * math.erfc(-z / math.sqrt(2)) for z in _NODES])
 
-    def back(c: Column) -> Column:
-        return c * sd_y + m_y
 
-    return per_month.select(
-        "x_index", (F.col("x_index") - 1).alias("months"), back(F.col("f")).alias("mean"),
-        *[back(F.col("q")[i]).alias(name) for i, name in enumerate(("lower", "median", "upper"))],
-    )
+def _density(u: np.ndarray) -> np.ndarray:
+    return np.exp(-0.5 * u * u) / math.sqrt(2 * math.pi)
 
 
-def predictive_intervals(rows: DataFrame, draws: DataFrame, m_y: float, sd_y: float, seed: int = 12,
-                         probs: tuple[float, ...] = (0.025, 0.25, 0.5, 0.75, 0.975)) -> DataFrame:
+def normal_cdf(u: np.ndarray) -> np.ndarray:
+    """Standard normal distribution function, by cubic pieces that agree with it to 1e-11."""
+    u = np.clip(u, -9.0, 9.0)
+    k = np.minimum(((u + 9) / _STEP).astype(np.int64), len(_NODES) - 2)
+    t = (u - _NODES[k]) / _STEP
+    slope = _density(_NODES) * _STEP
+    rise = _CDF[k + 1] - _CDF[k]
+    return _CDF[k] + t * (slope[k] + t * (3 * rise - 2 * slope[k] - slope[k + 1] + t * (slope[k] + slope[k + 1] - 2 * rise)))
+
+
+def mixture_quantiles(mean: np.ndarray, sd: np.ndarray, weight: np.ndarray, probs: tuple[float, ...]) -> np.ndarray:
+    """Quantiles of mixtures of normals: one mixture per row of ``mean`` and ``sd``, one weight per column.
+
+    Newton steps from the normal distribution with the same two moments, held inside a bracket that
+    Chebyshev's inequality gives; a step that leaves it is replaced by a bisection.
+    """
+    level = np.array(probs)
+    centre = mean @ weight
+    spread = np.sqrt(np.maximum((sd**2 + mean**2) @ weight - centre**2, 1e-300))
+    reach = spread[:, None] / np.sqrt(np.minimum(level, 1 - level))
+    low, high = centre[:, None] - reach, centre[:, None] + reach
+    at = centre[:, None] + spread[:, None] * np.array([NormalDist().inv_cdf(p) for p in probs])
+    while True:
+        u = (at[:, :, None] - mean[:, None, :]) / sd[:, None, :]
+        over = normal_cdf(u) @ weight - level
+        slope = (_density(u) / sd[:, None, :]) @ weight
+        low, high = np.where(over < 0, at, low), np.where(over < 0, high, at)
+        step = at - over / np.maximum(slope, 1e-300)
+        new = np.where((step > low) & (step < high), step, (low + high) / 2)
+        done = np.abs(new - at).max() <= 1e-9 * spread.max() or (high - low).max() <= 1e-9 * spread.max()
+        at = new
+        if done:
+            return at
+
+
+def _grid_quantiles(values: np.ndarray, weight: np.ndarray, probs: tuple[float, ...]) -> np.ndarray:
+    """Quantiles of one hyper-parameter: its weight is even within each cell of the grid."""
+    points, place = np.unique(values, return_inverse=True)
+    mass = np.bincount(place, weight)
+    middle = (points[1:] + points[:-1]) / 2
+    edges = np.r_[max(0.0, 2 * points[0] - middle[0]), middle, 2 * points[-1] - middle[-1]] if len(points) > 1 else np.repeat(points, 2)
+    return np.interp(probs, np.r_[0.0, np.cumsum(mass)] / mass.sum(), edges)
+
+
+def parameter_summary(spark: SparkSession, fit: CurvePosterior) -> DataFrame:
+    """Mean, SD, median, 95% interval and share below 0 of every parameter: a fixed number of rows."""
+    weight, k = fit.points[:, 3], len(fit.names) - fit.model.basis
+    means, covariances = fit.coefficients()
+    sds = np.sqrt(np.diagonal(covariances, axis1=1, axis2=2))
+    root = np.sqrt(np.maximum(fit.densities(), 1e-300))  # basis coefficients are shown on their prior's scale
+    means, sds = (np.column_stack([v[:, :k], v[:, k:] / root]).T for v in (means, sds))
+    names = list(fit.names)
+    if fit.model.baseline_sd is not None and not fit.problem.adjusted:  # left out of the likelihood: the prior itself
+        names.append("beta_bl")
+        means = np.vstack([means, np.zeros(len(weight))])
+        sds = np.vstack([sds, np.full(len(weight), fit.model.baseline_sd)])
+    probs = (0.025, 0.5, 0.975)
+    centre = means @ weight
+    spread = np.sqrt(np.maximum((sds**2 + means**2) @ weight - centre**2, 0.0))
+    below = normal_cdf(-means / sds) @ weight
+    out = [
+        (name, float(centre[i]), float(spread[i]), *map(float, q), float(below[i]))
+        for i, (name, q) in enumerate(zip(names, mixture_quantiles(means, sds, weight, probs), strict=True))
+    ]
+    for i, name in enumerate(("sigma", "alpha", "lscale")):
+        v = fit.points[:, i]
+        q = _grid_quantiles(v, weight, probs)
+        out.append((name, float(v @ weight), float(np.sqrt(max(v**2 @ weight - (v @ weight) ** 2, 0.0))), *map(float, q), 0.0))
+    schema = "variable string, mean double, sd double, lower double, median double, upper double, p_below double"
+    return spark.createDataFrame(out, schema)
+
+
+def _chunks(batches: Iterator[pd.DataFrame], rows: int = 64) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start : start + rows]
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Dealt out evenly: a row costs far more to compute than to move."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def curve_summary(grid: DataFrame, fit: CurvePosterior, m_y: float, sd_y: float) -> DataFrame:
+    """The curve on the data scale per month of the grid: mean, median and 95% interval."""
+
+    def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        means, covariances = fit.coefficients()
+        m, weight = fit.model.basis, fit.points[:, 3]
+        flat = covariances[:, -m:, -m:].reshape(len(weight), m * m).T
+        for part in _chunks(batches):
+            phi = fit.on_curve(part["x_index"].to_numpy())
+            mean = phi @ means[:, -m:].T
+            var = (phi[:, :, None] * phi[:, None, :]).reshape(len(part), m * m) @ flat
+            q = mixture_quantiles(mean, np.sqrt(np.maximum(var, 1e-24)), weight, (0.025, 0.5, 0.975)) * sd_y + m_y
+            yield pd.DataFrame({
+                "x_index": part["x_index"], "months": part["months"], "mean": mean @ weight * sd_y + m_y,
+                "lower": q[:, 0], "median": q[:, 1], "upper": q[:, 2],
+            })
+
+    schema = "x_index int, months int, mean double, lower double, median double, upper double"
+    return _spread(grid.select("x_index", "months")).mapInPandas(summarise, schema)
+
+
+def predictive_intervals(rows: DataFrame, fit: CurvePosterior, m_y: float, sd_y: float,
+                         probs: tuple[float, float, float, float, float] = (0.025, 0.25, 0.5, 0.75, 0.975)) -> DataFrame:
     """Predictive quantiles next to the observed outcome, one row per subject, on the data scale.
 
-    The draws (a fixed number, at the months that subjects have) go to the tasks; subjects are mapped in
-    batches and never shuffled.  The noise of a subject depends only on its id, so a re-run task repeats it.
+    Subjects that agree in exposure, month and (where the model has it) baseline score share one
+    distribution, so each different combination is solved once and joined back.
     """
-    used = sorted(r["x_index"] for r in rows.where("x_index > 0").select("x_index").distinct().collect())
-    place = {0: 0} | {month: i + 1 for i, month in enumerate(used)}
-    on_curve = F.col("variable").startswith("f_TAF[")
-    at_used = F.regexp_extract("variable", r"\[([0-9]+)\]$", 1).isin([str(i) for i in used])
-    wanted = draws.where(~F.col("variable").startswith("beta_f[") & (~on_curve | at_used))
-    wide = wanted.groupBy("draw").agg(F.map_from_entries(F.collect_list(F.struct("variable", "value"))).alias("v"))
-    collected = [r["v"] for r in wide.orderBy("draw").collect()]
-    f = np.array([[0.0] + [d[f"f_TAF[{i}]"] for i in used] for d in collected])
-    b0, be, sigma = (np.array([d[k] for d in collected]) for k in ("beta0", "beta_TAF", "sigma"))
-    bb = np.array([d.get("beta_bl", 0.0) for d in collected])
-    shipped = rows.sparkSession.sparkContext.broadcast((f, b0, be, bb, sigma))
-    levels = np.array(probs)
+    uses_bl = fit.model.baseline_sd is not None
+    keys = ["exposed", "x_index", *(["x_bl"] if uses_bl else [])]
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        f, b0, be, bb, sigma = shipped.value
-        for big in batches:
-            for start in range(0, len(big), 2000):
-                batch = big.iloc[start:start + 2000]
-                on = batch["exposed"].to_numpy()[:, None]
-                mean = b0 + on * (be + f[:, batch["x_index"].map(place).to_numpy()].T) + batch["x_bl"].to_numpy()[:, None] * bb
-                q = np.quantile(mean + sigma * seeded_normals(batch["seed"].to_numpy(), len(b0)), levels, axis=1)
-                out = batch[["study_id", "exposed", "x_index"]].copy()
-                for level, values in zip(("cl", "il", "m", "iu", "cu"), q, strict=True):
-                    out[level] = values * sd_y + m_y
-                out["y"] = batch["y"]
-                yield out
-
-    seeded = rows.withColumn("seed", F.xxhash64("study_id", F.lit(seed)))
-    return seeded.mapInPandas(
-        predict, "study_id string, exposed int, x_index int, cl double, il double, m double, iu double, cu double, y double"
-    )
-
-
-def seeded_normals(seeds: np.ndarray, count: int) -> np.ndarray:
-    """Standard normals, ``count`` per seed, as a pure function of the seed (mixed counter)."""
-    with np.errstate(over="ignore"):
-        z = seeds.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, 2 * count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0**53
-    return np.sqrt(-2 * np.log1p(-u[:, :count])) * np.cos(2 * np.pi * u[:, count:])
+        means, covariances = fit.coefficients()
+        weight, size = fit.points[:, 3], means.shape[1]
+        flat, noise = covariances.reshape(len(weight), size * size).T, fit.points[:, 0] ** 2
+        for part in _chunks(batches):
+            on = part["exposed"].to_numpy(float)[:, None]
+            bl = part["x_bl"].to_numpy(float)[:, None] if uses_bl else np.zeros_like(on)
+            phi = fit.on_curve(part["x_index"].to_numpy()) * on
+            design = np.column_stack([np.ones_like(on), on, *([bl] if fit.problem.adjusted else []), phi])
+            var = (design[:, :, None] * design[:, None, :]).reshape(len(part), size * size) @ flat
+            var = np.maximum(var, 0.0) + noise
+            if uses_bl and not fit.problem.adjusted:
+                var = var + (bl * fit.model.baseline_sd) ** 2
+            q = mixture_quantiles(design @ means.T, np.sqrt(var), weight, probs) * sd_y + m_y
+            out = part[keys].copy()
+            for i, name in enumerate(("cl", "il", "m", "iu", "cu")):
+                out[name] = q[:, i]
+            yield out
+
+    schema = ", ".join(["exposed int", "x_index int", *(["x_bl double"] if uses_bl else []), *[f"{c} double" for c in ("cl", "il", "m", "iu", "cu")]])
+    typed = rows.withColumn("x_bl", F.col("x_bl").cast("double"))
+    solved = _spread(typed.select(*keys).distinct()).mapInPandas(predict, schema)
+    return typed.join(solved, keys).select("study_id", "exposed", "x_index", "cl", "il", "m", "iu", "cu", "y")

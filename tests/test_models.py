@@ -139,25 +139,67 @@ def test_evidence_from_cells_equals_the_dense_density(spark, adjusted):
     assert gp.log_evidence(matrix, model, L, sigma, alpha, rho) == pytest.approx(dense, rel=1e-9)
 
 
-def test_curve_draws_and_prediction(spark):
+def simulate(fit, n, rng):
+    """Coefficients and noise drawn from the grid of normals."""
+    means, covariances = fit.coefficients()
+    h = rng.choice(len(fit.points), n, p=fit.points[:, 3] / fit.points[:, 3].sum())
+    beta = np.array([rng.multivariate_normal(means[i], covariances[i]) for i in h])
+    return h, beta, fit.points[h, 0]
+
+
+def test_curve_and_prediction_agree_with_simulation(spark):
     e, t, x, y, rows, cells, grid = curve_problem(spark)
     model = gp.CurveModel(basis=10, exposure_sd=1.0, baseline_sd=1.0)
-    z = gp.standardised_cells(cells)
-    draws = gp.curve_draws(z, grid, model, n_draws=400).cache()
-    again = gp.curve_draws(z, grid, model, n_draws=400)
-    assert draws.exceptAll(again).count() == 0  # repeatable
-    assert draws.select("draw").distinct().count() == 400
-    means = {r["variable"]: r["m"] for r in draws.groupBy("variable").agg(F.avg("value").alias("m")).collect()}
-    assert means["beta_bl"] == pytest.approx(0.5 / y.std(ddof=1), abs=0.15)
-    assert means["sigma"] == pytest.approx(0.5 / y.std(ddof=1), abs=0.1)
-    curve = gp.curve_summary(draws, y.mean(), y.std(ddof=1)).orderBy("x_index").collect()
-    assert len(curve) == 13 and all(r["lower"] < r["median"] < r["upper"] for r in curve)
-    predicted = gp.predictive_intervals(rows, draws, y.mean(), y.std(ddof=1)).collect()
-    inside = np.mean([r["cl"] <= r["y"] <= r["cu"] for r in predicted])
-    assert len(predicted) == len(y) and 0.88 <= inside <= 1.0
-    off = gp.curve_draws(z, grid, gp.CurveModel(basis=10, baseline_sd=1.0, baseline_in_likelihood=False), n_draws=400)
-    prior = off.where("variable = 'beta_bl'").agg(F.avg("value"), F.stddev("value")).first()
-    assert prior[0] == pytest.approx(0, abs=0.2) and prior[1] == pytest.approx(1, abs=0.15)
+    fit = gp.fit_curve(gp.standardised_cells(cells), grid, model)
+    rng, scale = np.random.default_rng(3), y.std(ddof=1)
+    h, beta, sigma = simulate(fit, 20_000, rng)
+    table = {r["variable"]: r for r in gp.parameter_summary(spark, fit).collect()}
+    assert set(table) == {*fit.names, "sigma", "alpha", "lscale"}
+    shown = beta.copy()
+    shown[:, 3:] /= np.sqrt(fit.densities()[h])
+    for i, name in enumerate(fit.names):
+        got, v = table[name], shown[:, i]
+        assert [got["mean"], got["sd"]] == pytest.approx([v.mean(), v.std()], abs=0.05)
+        assert [got["lower"], got["median"], got["upper"]] == pytest.approx(np.quantile(v, [0.025, 0.5, 0.975]), abs=0.12)
+        assert got["p_below"] == pytest.approx((v < 0).mean(), abs=0.02)
+    assert table["sigma"]["mean"] == pytest.approx(0.5 / scale, abs=0.1)
+    assert table["beta_bl"]["mean"] == pytest.approx(0.5 / scale, abs=0.15)
+
+    curve = gp.curve_summary(grid, fit, y.mean(), scale).orderBy("x_index").collect()
+    assert [r["x_index"] for r in curve] == list(range(1, 14))
+    f = beta[:, 3:] @ fit.on_curve(np.arange(1, 14)).T * scale + y.mean()
+    for i, r in enumerate(curve):
+        assert r["mean"] == pytest.approx(f[:, i].mean(), abs=0.02)
+        assert [r["lower"], r["median"], r["upper"]] == pytest.approx(np.quantile(f[:, i], [0.025, 0.5, 0.975]), abs=0.05)
+
+    predicted = {r["study_id"]: r for r in gp.predictive_intervals(rows.unionByName(rows), fit, y.mean(), scale).collect()}
+    assert len(predicted) == len(y)
+    for i in (0, 1, 7, 50):
+        place = np.array([t[i] + 1 if e[i] else 0])
+        draw = beta[:, 0] + e[i] * beta[:, 1] + x[i] * beta[:, 2] + (beta[:, 3:] @ fit.on_curve(place).T)[:, 0] + sigma * rng.standard_normal(len(beta))
+        want = np.quantile(draw * scale + y.mean(), [0.025, 0.25, 0.5, 0.75, 0.975])
+        assert [predicted[f"s{i}"][c] for c in ("cl", "il", "m", "iu", "cu")] == pytest.approx(want, abs=0.05)
+    assert 0.88 <= np.mean([r["cl"] <= r["y"] <= r["cu"] for r in predicted.values()]) <= 1.0
+
+    apart = gp.CurveModel(basis=10, baseline_sd=1.0, baseline_in_likelihood=False)
+    off = gp.fit_curve(gp.standardised_cells(cells), grid, apart)
+    prior = {r["variable"]: r for r in gp.parameter_summary(spark, off).collect()}["beta_bl"]
+    assert (prior["mean"], prior["sd"], prior["p_below"]) == pytest.approx((0, 1, 0.5), abs=1e-9)
+    assert gp.predictive_intervals(rows, off, 0.0, 1.0).count() == len(y)
+
+
+def test_quantiles_of_mixtures_invert_the_distribution_function():
+    rng = np.random.default_rng(1)
+    mean, sd, w = rng.normal(size=(40, 9)) * 3, np.exp(rng.normal(size=(40, 9)) * 2), rng.random(9)
+    w /= w.sum()
+    probs = (0.001, 0.025, 0.5, 0.975)
+    q = gp.mixture_quantiles(mean, sd, w, probs)
+    for row in range(40):
+        for p, at in zip(probs, q[row], strict=True):
+            exact = sum(c * 0.5 * math.erfc(-(at - m) / s / math.sqrt(2)) for c, m, s in zip(w, mean[row], sd[row], strict=True))
+            assert exact == pytest.approx(p, abs=1e-6)
+    z = np.linspace(-8, 8, 4001)
+    assert np.abs(gp.normal_cdf(z) - [0.5 * math.erfc(-v / math.sqrt(2)) for v in z]).max() < 1e-11
 
 
 def test_grid_refinement_changes_little(spark):
