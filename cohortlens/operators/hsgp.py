@@ -260,6 +260,9 @@ def posterior_grid(spark, matrix: np.ndarray, model: CurveModel, width: float) -
     return raised.withColumn("weight", F.col("w") / F.sum("w").over(whole)).drop("w", "lp")
 
 
+NEGLIGIBLE = 1e-8  # grid points that together weigh less than this are left out of the mixture
+
+
 @dataclass(frozen=True)
 class CurvePosterior:
     """Weighted normal distributions of the coefficients, one per grid point of (sigma, alpha, lscale).
@@ -304,26 +307,38 @@ def fit_curve(z_cells: DataFrame, grid: DataFrame, model: CurveModel) -> CurvePo
     matrix = gram_matrix(gram(z_cells, grid, model), model)
     table = posterior_grid(z_cells.sparkSession, matrix, model, width)
     points = np.array([tuple(r) for r in table.select("sigma", "alpha", "lscale", "weight").orderBy("h").collect()])
-    return CurvePosterior(_problem(matrix, model, width), model, width, months, points)
+    heavy = points[np.argsort(-points[:, 3], kind="stable")]
+    kept = heavy[: 1 + np.searchsorted(np.cumsum(heavy[:, 3]), 1 - NEGLIGIBLE)]
+    kept[:, 3] /= kept[:, 3].sum()
+    return CurvePosterior(_problem(matrix, model, width), model, width, months, kept)
 
 
 _STEP = 1 / 256
 _NODES = np.arange(-9, 9 + _STEP, _STEP)
-_CDF = np.array([0.5 * math.erfc(-z / math.sqrt(2)) for z in _NODES])
 
 
-def _density(u: np.ndarray) -> np.ndarray:
-    return np.exp(-0.5 * u * u) / math.sqrt(2 * math.pi)
+def _pieces() -> np.ndarray:
+    """Coefficients of cubic pieces with the values and slopes of the normal distribution function."""
+    value = np.array([0.5 * math.erfc(-z / math.sqrt(2)) for z in _NODES])
+    slope = np.exp(-0.5 * _NODES**2) / math.sqrt(2 * math.pi) * _STEP
+    rise, left, right = np.diff(value), slope[:-1], slope[1:]
+    return np.array([value[:-1], left, 3 * rise - 2 * left - right, left + right - 2 * rise])
+
+
+_CUBICS = _pieces()
+
+
+def _normal(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Standard normal distribution function to 1e-11, and its density to 1e-6."""
+    at = (np.clip(u, -9.0, 9.0) + 9) / _STEP
+    k = np.minimum(at.astype(np.int32), len(_NODES) - 2)
+    t = at - k
+    a, b, c, d = (row[k] for row in _CUBICS)
+    return a + t * (b + t * (c + t * d)), (b + t * (2 * c + t * 3 * d)) / _STEP
 
 
 def normal_cdf(u: np.ndarray) -> np.ndarray:
-    """Standard normal distribution function, by cubic pieces that agree with it to 1e-11."""
-    u = np.clip(u, -9.0, 9.0)
-    k = np.minimum(((u + 9) / _STEP).astype(np.int64), len(_NODES) - 2)
-    t = (u - _NODES[k]) / _STEP
-    slope = _density(_NODES) * _STEP
-    rise = _CDF[k + 1] - _CDF[k]
-    return _CDF[k] + t * (slope[k] + t * (3 * rise - 2 * slope[k] - slope[k + 1] + t * (slope[k] + slope[k + 1] - 2 * rise)))
+    return _normal(u)[0]
 
 
 def mixture_quantiles(mean: np.ndarray, sd: np.ndarray, weight: np.ndarray, probs: tuple[float, ...]) -> np.ndarray:
@@ -339,14 +354,14 @@ def mixture_quantiles(mean: np.ndarray, sd: np.ndarray, weight: np.ndarray, prob
     low, high = centre[:, None] - reach, centre[:, None] + reach
     at = centre[:, None] + spread[:, None] * np.array([NormalDist().inv_cdf(p) for p in probs])
     while True:
-        u = (at[:, :, None] - mean[:, None, :]) / sd[:, None, :]
-        over = normal_cdf(u) @ weight - level
-        slope = (_density(u) / sd[:, None, :]) @ weight
+        below, density = _normal((at[:, :, None] - mean[:, None, :]) / sd[:, None, :])
+        over = below @ weight - level
+        slope = (density / sd[:, None, :]) @ weight
         low, high = np.where(over < 0, at, low), np.where(over < 0, high, at)
         step = at - over / np.maximum(slope, 1e-300)
         new = np.where((step > low) & (step < high), step, (low + high) / 2)
-        done = np.abs(new - at).max() <= 1e-9 * spread.max() or (high - low).max() <= 1e-9 * spread.max()
-        at = new
+        moved, at = np.minimum(np.abs(new - at), high - low) / spread[:, None], new
+        done = moved.max() <= 1e-5  # the error left is of the order of its square
         if done:
             return at
 
@@ -388,7 +403,7 @@ def parameter_summary(spark: SparkSession, fit: CurvePosterior) -> DataFrame:
     return spark.createDataFrame(out, schema)
 
 
-def _chunks(batches: Iterator[pd.DataFrame], rows: int = 64) -> Iterator[pd.DataFrame]:
+def _chunks(batches: Iterator[pd.DataFrame], rows: int = 16) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for start in range(0, len(batch), rows):
             yield batch.iloc[start : start + rows]
