@@ -12,8 +12,8 @@ look up each five words in a row, since few windows fit into them.
 
 Defined cases: null or empty texts have no windows; items of fewer than five words are not
 searched; items of five to twelve words are compared whole and need five equal words in a row or a
-mask's window; a null id is a document
-of its own name (all null ids together); repeated rows give one row; an empty documents or
+mask's window; null ids share one name in
+``overlaps`` (``drop_contaminated`` goes by id and text); repeated rows give one row; an empty documents or
 benchmark table gives an empty result; other columns are not looked at.
 """
 
@@ -56,6 +56,11 @@ def _equal_places(left: str, right: str) -> Column:
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per contaminated (``doc_id``, ``item_id``): first word, words compared and words equal."""
+    return _overlaps(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, ["doc_id"])
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame, by: list[str]) -> DataFrame:
+    """The same for documents named by the columns ``by``."""
     items = materialise(
         benchmark.select(F.col("item_id"), word_arrays(F.col("text")).alias("words")).withColumn("n", F.size("words")).where("n >= 5"),
         "items",
@@ -76,17 +81,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # One row per pair of neighbouring words; the array of words stays a reference inside the stage's
     # generated code.  The outer form implies no filter: one on a computed array, pushed below the
     # projection, would repeat the split.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_arrays(F.col("text")).alias("words"))
+    texts = docs.select(*by, word_arrays(F.col("text")).alias("words"))
     following = F.slice("words", 2, 2**31 - 1).alias("following")
-    placed = texts.select("doc_id", "words", F.posexplode_outer(F.arrays_zip("words", following)).alias("at", "two"))
+    placed = texts.select(*by, "words", F.posexplode_outer(F.arrays_zip("words", following)).alias("at", "two"))
     gated = placed.where("two.following IS NOT NULL").withColumn("pair", F.xxhash64("two.words", "two.following")).join(
         pairs, "pair", "left_semi"
     )
-    hashed = gated.select("doc_id", "at", "words", F.explode(F.array(*[_seed(words, at, m) for m in range(len(MASKS) + 1)])).alias("seed"))
-    hits = hashed.join(right, "seed").select("doc_id", "at", "item_id", "item_at", _around(words, at).alias("doc_words"))
+    hashed = gated.select(*by, "at", "words", F.explode(F.array(*[_seed(words, at, m) for m in range(len(MASKS) + 1)])).alias("seed"))
+    hits = hashed.join(right, "seed").select(*by, "at", "item_id", "item_at", _around(words, at).alias("doc_words"))
     whole = items.select("item_id", "n", F.col("words").alias("item"))
     found = hits.join(whole, "item_id").withColumn("item_words", _around(F.col("item"), F.col("item_at")))
-    compared = found.select("doc_id", "item_id", "at", "item_at", "n", _equal_places("doc_words", "item_words").alias("equal"))
+    compared = found.select(*by, "item_id", "at", "item_at", "n", _equal_places("doc_words", "item_words").alias("equal"))
     # Runs lie inside the item, which fills the places from AROUND - item_at on.  The best run is the one
     # with most equal words, the first of those; both are read from one number.
     run = F.least(F.lit(RUN), F.col("n"))
@@ -98,16 +103,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         )
         for s in range(STRETCH)
     ]
-    best = compared.select("doc_id", "item_id", "at", run.alias("run"), F.greatest(*scored).alias("code"))
+    best = compared.select(*by, "item_id", "at", run.alias("run"), F.greatest(*scored).alias("code"))
     same = F.floor(F.col("code") / 64)
     enough = same >= SHARE * F.col("run")
-    return best.groupBy("doc_id", "item_id").agg(
+    return best.groupBy(*by, "item_id").agg(
         F.min(F.when(enough, F.col("at") - AROUND + 63 - F.col("code") % 64)).alias("first_word"),
         F.max("run").alias("n_compared"), F.max(same).alias("n_equal"),
     ).where("first_word IS NOT NULL")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any overlap, with all their columns."""
-    bad = overlaps(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad"]), "left_anti")
+    """The documents without any overlap, with all their columns; each row is judged by its own text."""
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    named = docs.select(docs["doc_id"].cast("long").alias("__id"), key.alias("__key"), "text")
+    bad = _overlaps(named, benchmark, ["__id", "__key"]).select("__id", "__key").distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__id"]) & (key == bad["__key"]), "left_anti")

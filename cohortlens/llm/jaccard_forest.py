@@ -178,7 +178,14 @@ def near_duplicates(
     ``n_links`` counts the different texts other than its own that are at least ``threshold``
     similar; groups are the connected components of those links.
     """
-    spark = docs.sparkSession
+    rows, groups = _groups(docs, threshold, trees, depth, block)
+    return rows.select("doc_id", "set_key").join(groups.drop("keep"), "set_key").select("doc_id", "class_id", "n_links", "group_size")
+
+
+def _groups(
+    docs: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int | None = None, block: int = BLOCK
+) -> tuple[DataFrame, DataFrame]:
+    """All rows with ``set_key`` and ``text_key``, and per ``set_key`` its group and the (id, text) that the group keeps."""
     depth = depth or prefix_depth(trees, LABEL, threshold)
     rows = materialise(sketches(docs, trees, depth), "sketches")
     texts = rows.groupBy("set_key", "text_key").agg(
@@ -187,6 +194,7 @@ def near_duplicates(
     classes = texts.groupBy("set_key").agg(
         F.min("first_id").alias("first_id"), F.sum("rows").alias("rows"), F.count(F.lit(1)).cast("int").alias("texts"),
         F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("first_id", "text_key")).alias("at"),
+        F.min(F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "text_key")).alias("keep"),
     )
     classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
@@ -221,12 +229,11 @@ def near_duplicates(
 
     known = classes.join(links, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
     known = materialise(known.select(
-        "set_key", F.coalesce("root", "cid").alias("root"), "first_id", "rows",
+        "set_key", F.coalesce("root", "cid").alias("root"), "first_id", "rows", "keep",
         (F.coalesce("links", F.lit(0)) + F.col("texts") - 1).alias("n_links"),
     ), "known")
-    groups = known.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("rows").alias("group_size"))
-    full = known.select("root", "set_key", "n_links").join(groups, "root").drop("root")
-    return rows.select("doc_id", "set_key").join(full, "set_key").select("doc_id", "class_id", "n_links", "group_size")
+    groups = known.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("rows").alias("group_size"), F.min("keep").alias("keep"))
+    return rows, known.select("root", "set_key", "n_links").join(groups, "root").drop("root")
 
 
 def _text_key() -> Column:
@@ -241,10 +248,14 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """One document of each group, with all columns: the one with the smallest id.
+    """One document of each group, with all columns: the one with the smallest id, if any has one.
 
-    Rows without an id stay.  Of rows that repeat the kept id, all stay.
+    Each row is judged by its id and text: of rows that share the smallest id, or of a group without ids,
+    the text with the smallest key stays.  Rows that repeat both id and text are one document.
     """
-    found = near_duplicates(docs, **options)
-    losers = found.where("class_id <> doc_id").select(F.col("doc_id").alias("__loser")).distinct()
-    return docs.join(losers, docs["doc_id"].cast("long") == losers["__loser"], "left_anti")
+    rows, groups = _groups(docs, **options)
+    kept = F.col("doc_id").eqNullSafe(F.col("keep.first_id")) & (F.col("text_key") == F.col("keep.text_key"))
+    losers = rows.select("doc_id", "set_key", "text_key").join(groups.select("set_key", "keep"), "set_key").where(~kept).select(
+        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")
+    ).distinct()
+    return docs.join(losers, docs["doc_id"].cast("long").eqNullSafe(losers["__id"]) & (_text_key() == losers["__key"]), "left_anti")

@@ -192,6 +192,24 @@ def test_decontamination_finds_passages_with_changed_words(spark, odd, none):
     assert decontaminate.overlaps(odd, bench.limit(0)).count() == 0
 
 
+def test_removal_is_per_row_not_per_id(spark):
+    """Rows without an id, and rows that share an id, go or stay by their own text."""
+    passage = prose(30, 1)
+    bench = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    clean = [prose(120, 10 + i) for i in range(4)]
+    bad = prose(80, 20) + " " + passage
+    rows = [(None, clean[0]), (None, bad), (None, None), (7, clean[1]), (7, bad), (8, clean[2])]
+    left = decontaminate.drop_contaminated(docs(spark, rows), bench).collect()
+    assert {(r["doc_id"], r["text"]) for r in left} == {r for r in rows if r[1] != bad} and len(left) == 4
+    near = lambda t: t + " changed"
+    rows = [(1, clean[0]), (2, near(clean[0])), (2, clean[1]), (None, clean[2]), (None, near(clean[2])), (None, clean[3]),
+            (None, near(clean[1])), (5, prose(90, 30)), (5, near(prose(90, 30)))]
+    left = jaccard_forest.keep_one(docs(spark, rows)).collect()
+    got = {(r["doc_id"], r["text"]) for r in left}
+    assert len(left) == 5 and {(1, clean[0]), (2, clean[1]), (None, clean[3])} <= got
+    assert len({(None, clean[2]), (None, near(clean[2]))} & got) == 1 and sum(i == 5 for i, _ in got) == 1
+
+
 def test_decontamination_finds_any_two_changed_words(spark):
     """Runs of 13 words with any two changed, alone in their document, meet a seed; so do shorter items changed at the end."""
     item = [f"w{i}" for i in range(13)]
