@@ -7,18 +7,19 @@ both.  Seeds meet the benchmark's in an equi-join, and the words around each hit
 one: a run of ``RUN`` aligned words (the whole item if it is shorter) with at least ``SHARE``
 equal ones counts as an overlap.
 
-The masks hit every run of ``RUN`` words with any two of them changed.  Items shorter than a run also
-look up each five words in a row, since few windows fit into them.
+The masks hit every run of ``RUN`` words with any two of them changed.  Items shorter than a run are cut into
+one piece more than words may differ, so that one piece is always whole, and their pieces are looked up.
 
 Defined cases: null or empty texts have no windows; items of fewer than five words are not
-searched; items of five to twelve words are compared whole and need five equal words in a row or a
-mask's window; null ids share one name in
+searched; items of five to twelve words are compared whole; null ids share one name in
 ``overlaps`` (``drop_contaminated`` goes by id and text); repeated rows give one row; an empty documents or
 benchmark table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,8 @@ from cohortlens.runtime import materialise
 
 #: Places of the words that a mask reads.
 MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 5, 6, 8))
-SHORT_MASK = (0, 1, 2, 3, 4)  # items shorter than a run only
+PIECES = ((0, 1), (0, 1, 2), (0, 1, 2, 3), (0, 1, 2, 3, 4))  # of items shorter than a run only
+LEAST = 5  # words of the shortest item searched
 SPAN = 1 + max(max(m) for m in MASKS)
 RUN, SHARE = 13, 0.8
 AROUND = RUN  # words compared on either side of a hit
@@ -36,10 +38,26 @@ BROADCAST_SEEDS = 2_000_000  # more seeds than this (three numbers each) are joi
 
 
 def _seed(words: Column, at: Column, mask: int) -> Column:
-    places = [*MASKS, SHORT_MASK][mask]
+    places = [*MASKS, *PIECES][mask]
     return F.xxhash64(F.lit(mask), *[F.get(words, at + p) for p in places])
 
 
+def pieces(n: int) -> list[tuple[int, int]]:
+    """``(first word, words)`` of the pieces of an item of ``n`` words: more pieces than words may differ."""
+    count = n - math.ceil(n * SHARE - 1e-9) + 1
+    ends = [n * i // count for i in range(count + 1)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _short_windows(n: Column) -> Column:
+    """Places and masks of the pieces of an item shorter than a run."""
+    out = F.lit(None)
+    for size in range(LEAST, RUN):
+        here = [F.struct(F.lit(a).alias("at"), F.lit(len(MASKS) + k - len(PIECES[0])).alias("mask")) for a, k in pieces(size)]
+        out = F.when(n == size, F.array(*here)).otherwise(out)
+    return out
+
+
 def _around(words: Column, at: Column) -> Column:
     """The words around a hit; places outside the text are null."""
     return F.array(*[F.get(words, at - AROUND + j) for j in range(STRETCH)])
@@ -62,18 +80,23 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _overlaps(docs: DataFrame, benchmark: DataFrame, by: list[str]) -> DataFrame:
     """The same for documents named by the columns ``by``."""
     items = materialise(
-        benchmark.select(F.col("item_id"), word_arrays(F.col("text")).alias("words")).withColumn("n", F.size("words")).where("n >= 5"),
+        benchmark.select(F.col("item_id"), word_arrays(F.col("text")).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= LEAST),
         "items",
     )
     words, at, n = F.col("words"), F.col("at"), F.col("n")
-    starts = items.select("item_id", "n", "words", F.explode(F.sequence(F.lit(0), n - len(SHORT_MASK))).alias("at"))
-    fits = [at + max(m) < n for m in MASKS] + [n < RUN]
+    starts = items.where(n >= RUN).select("item_id", "n", "words", F.explode(F.sequence(F.lit(0), n - 1 - min(max(m) for m in MASKS))).alias("at"))
+    fits = F.array(*[F.when(at + max(m) < n, F.lit(i)) for i, m in enumerate(MASKS)])
+    long = starts.select("item_id", "words", "at", F.explode(fits).alias("mask")).where("mask IS NOT NULL")
+    short = items.where(n < RUN).select("item_id", "words", F.explode(_short_windows(n)).alias("piece"))
+    windows = long.unionByName(short.select("item_id", "words", "piece.at", "piece.mask"))
+    every = range(len(MASKS) + len(PIECES))
     seeds = materialise(
-        starts.select(
-            "item_id", "at", F.xxhash64(F.get(words, at), F.get(words, at + 1)).alias("pair"),
-            F.explode(F.array(*[F.when(fit, _seed(words, at, m)) for m, fit in enumerate(fits)])).alias("seed"),
-        ).where("seed IS NOT NULL"), "seeds",
+        windows.select(
+            "item_id", "at", "mask", F.xxhash64(F.get(words, at), F.get(words, at + 1)).alias("pair"),
+            F.coalesce(*[F.when(F.col("mask") == m, _seed(words, at, m)) for m in every]).alias("seed"),
+        ), "seeds",
     )
+    used = sorted(r["mask"] for r in seeds.select("mask").distinct().collect()) or [0]
     pairs, right = seeds.select("pair").distinct(), seeds.select("item_id", F.col("at").alias("item_at"), "seed")
     if seeds.count() <= BROADCAST_SEEDS:
         pairs, right = F.broadcast(pairs), F.broadcast(right)
@@ -87,7 +110,7 @@ def _overlaps(docs: DataFrame, benchmark: DataFrame, by: list[str]) -> DataFrame
     gated = placed.where("two.following IS NOT NULL").withColumn("pair", F.xxhash64("two.words", "two.following")).join(
         pairs, "pair", "left_semi"
     )
-    hashed = gated.select(*by, "at", "words", F.explode(F.array(*[_seed(words, at, m) for m in range(len(MASKS) + 1)])).alias("seed"))
+    hashed = gated.select(*by, "at", "words", F.explode(F.array(*[_seed(words, at, m) for m in used])).alias("seed"))
     hits = hashed.join(right, "seed").select(*by, "at", "item_id", "item_at", _around(words, at).alias("doc_words"))
     whole = items.select("item_id", "n", F.col("words").alias("item"))
     found = hits.join(whole, "item_id").withColumn("item_words", _around(F.col("item"), F.col("item_at")))

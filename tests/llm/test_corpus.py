@@ -225,6 +225,23 @@ def test_decontamination_finds_any_two_changed_words(spark):
     assert got == {(d, 1) for d, _ in rows if d < 5000} | {(5000, 2), (5001, 2)}
 
 
+def test_decontamination_finds_short_items_with_changed_words(spark):
+    """Items of 5 to 12 words with any one or two words changed are found if 80% are equal."""
+    items, rows, want = [], [], set()
+    for n in range(5, 13):
+        item = [f"i{n}w{i}" for i in range(n)]
+        items.append((n, " ".join(item)))
+        for a in range(n):
+            for b in range(a, n):
+                changed = ["p" if i == a else "q" if i == b else w for i, w in enumerate(item)]
+                rows.append((10_000 * n + 100 * a + b, " ".join(["x", "y", *changed, "z"])))
+                if n - len({a, b}) >= 0.8 * n:
+                    want.add((rows[-1][0], n))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(docs(spark, rows), bench).collect()}
+    assert got == want
+
+
 def test_decontamination_runs_no_python(spark):
     df = queries.op3(spark, SF)
     text = df._jdf.queryExecution().executedPlan().toString()
