@@ -1,10 +1,10 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard self-join by banded MinHash LSH with exact verification.
 
 Every document becomes its set of hashed five-word shingles.  Documents with equal sets form one
-class, so copies are never compared.  A class gets one label per tree of the forest: its MinHash
-values in order.  Sorted labels form a prefix trie; classes that share a prefix are the
-candidates of that trie node.  Prefixes are shortened from the full label until a pair at the
-threshold meets in some tree with at least the target probability.
+class, so copies are never compared.  A class gets one key per tree: the hash of a prefix of the tree's MinHash
+values; classes that share a key are the candidates of that node.  The prefix has one fixed length, the longest at
+which a pair at the threshold still meets in some tree with the target probability (plain banding): pairs that
+share a longer prefix share this one too.
 
 Nodes are compared in blocks: a node of more than ``BLOCK`` classes is cut, and each pair of blocks
 is one task group, so no task holds more than two blocks and no pair leaves a task.  A group computes
