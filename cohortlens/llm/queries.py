@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortlens.llm import (
-    decontaminate, grace_dedup, jaccard_forest, license_scan, packing, sharding, surrogates, toxicity, url_filter, warc,
+    decontaminate, grace_dedup, jaccard_forest, license_scan, merkle, mixing, packing, sharding, surrogates, toxicity,
+    url_filter, warc, whitening,
 )
 from cohortlens.llm.common import read
 from cohortlens.llm.tokens import BYTE_BPE, BYTE_RANKS
@@ -86,6 +87,19 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(read(spark, sf_dir, "documents"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.words_taken(read(spark, sf_dir, "documents"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = whitening.whiten(read(spark, sf_dir, "embeddings"))
+    return scored.withColumn("deviation", whitening.long_or_null("deviation"))
+
+
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,6 +117,9 @@ QUERIES = {
     "op8_jaccard_forest": op8,
     "op9_exact_dedup": op9,
     "op10_toxicity": op10,
+    "op11_merkle_manifest": op11,
+    "op12_pivotal_mix": op12,
+    "op13_feast_whitening": op13,
     "pipeline": _pipeline,
 }
-ORACLES = {"op5_warc": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+ORACLES = {"op5_warc": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op11_merkle_manifest": merkle.SQL}
