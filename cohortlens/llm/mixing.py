@@ -106,8 +106,9 @@ def settle(p: np.ndarray, size: np.ndarray, key: np.ndarray, salt: int, spread:
     """Round the open probabilities of documents that are larger than ``spread`` medians; rows come from the largest to the smallest.
 
     The largest open document is paired with all smaller ones, which move together, each by its own
-    p (1 - p); a step closes the large one or one of the small ones.  With ``spread`` 0 all are rounded, and the last,
-    a small one, is drawn on its own.
+    p (1 - p); a step closes the large one or one of the small ones.  With ``spread`` 0 all are rounded: a document so large that
+    the others can offset it one way only goes that way, not at random, because else its source would miss its
+    target by most of it; the last document, a small one, is drawn on its own.
     """
     turn = 0
     while len(left := _open(p)) > 1 and size[left[0]] > spread * size[left[len(left) // 2]]:
@@ -115,10 +116,15 @@ def settle(p: np.ndarray, size: np.ndarray, key: np.ndarray, salt: int, spread:
         way = p[rest] * (1 - p[rest])
         mass = float((way * size[rest]).sum())
         out, back = mass * (1 / (1 - p[rest])).min(), mass * (1 / p[rest]).min()  # words the small ones can give, take
-        up = min((1 - p[i[0]]) * size[i[0]], out)
-        down = min(p[i[0]] * size[i[0]], back)
-        draw = _draws(key[i], key[rest[:1]], salt + turn)[0]
-        moved = up if draw * (up + down) < down else -down
+        up, down = (1 - p[i[0]]) * size[i[0]], p[i[0]] * size[i[0]]
+        if spread and (up > out or down > back):
+            break  # more partners may come in the next run
+        if (up > out) != (down > back):
+            moved = up if up <= out else -down
+        else:
+            up, down = min(up, out), min(down, back)
+            draw = _draws(key[i], key[rest[:1]], salt + turn)[0]
+            moved = up if draw * (up + down) < down else -down
         p[i] += moved / size[i]
         p[rest] -= moved / mass * way
         _snap(p, left)
