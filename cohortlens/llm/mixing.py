@@ -102,13 +102,14 @@ def pair_off(p: np.ndarray, size: np.ndarray, key: np.ndarray, salt: int, keep:
         turn += 1
 
 
-def settle(p: np.ndarray, size: np.ndarray, key: np.ndarray, salt: int, spread: float = 0.0) -> None:
+def settle(p: np.ndarray, size: np.ndarray, key: np.ndarray, salt: int, spread: float = 0.0, last: bool = True) -> None:
     """Round the open probabilities of documents that are larger than ``spread`` medians; rows come from the largest to the smallest.
 
     The largest open document is paired with all smaller ones, which move together, each by its own
-    p (1 - p); a step closes the large one or one of the small ones.  With ``spread`` 0 all are rounded: a document so large that
-    the others can offset it one way only goes that way, not at random, because else its source would miss its
-    target by most of it; the last document, a small one, is drawn on its own.
+    p (1 - p); a step closes the large one or one of the small ones.  With ``spread`` 0 all are rounded, and the last,
+    a small one, is drawn on its own.  With a ``spread``, in a source's ``last`` run, a document so large that the
+    others can offset it one way only goes that way, not at random: else its source would miss its target by
+    most of it.
     """
     turn = 0
     while len(left := _open(p)) > 1 and size[left[0]] > spread * size[left[len(left) // 2]]:
@@ -117,9 +118,9 @@ def settle(p: np.ndarray, size: np.ndarray, key: np.ndarray, salt: int, spread:
         mass = float((way * size[rest]).sum())
         out, back = mass * (1 / (1 - p[rest])).min(), mass * (1 / p[rest]).min()  # words the small ones can give, take
         up, down = (1 - p[i[0]]) * size[i[0]], p[i[0]] * size[i[0]]
-        if spread and (up > out or down > back):
+        if spread and not last and (up > out or down > back):
             break  # more partners may come in the next run
-        if (up > out) != (down > back):
+        if spread and (up > out) != (down > back):
             moved = up if up <= out else -down
         else:
             up, down = min(up, out), min(down, back)
@@ -141,9 +142,10 @@ def _level(rows: DataFrame, level: int, seed: int, keep: int) -> DataFrame:
         size = table.column("size").to_numpy().astype(np.float64)
         key = table.column("key").to_numpy().view(np.uint64)
         salt = (seed << 20) + (level << 14)
-        settle(p, size, key, salt, SPREAD)
+        last = table.column("runs")[0].as_py() == 1
+        settle(p, size, key, salt, SPREAD, last)
         pair_off(p, size, key, salt + (1 << 12), keep)
-        if table.column("runs")[0].as_py() == 1:
+        if last:
             settle(p, size, key, salt + (1 << 13))
         return table.set_column(table.schema.get_field_index("p"), "p", pa.array(p))
 
