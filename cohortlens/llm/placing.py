@@ -32,7 +32,8 @@ def place(
     """
     totals = totals or {}
     by_group = F.col(group).asc_nulls_first() if nulls_first else F.col(group).asc_nulls_last()
-    numbered = number_rows(df, [by_group, *order], "__at")
+    # written first: the sampling of range bounds would else read whole texts a second time
+    numbered = number_rows(materialise(df, "narrow"), [by_group, *order], "__at")
     rows = numbered.withColumn("at", F.col("__at") - 1).drop("__at").withColumn("block", F.floor(F.col("at") / block))
     spans = materialise(
         rows.groupBy("block", group).agg(
