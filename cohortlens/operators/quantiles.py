@@ -1,123 +1,100 @@
-"""Exact quantiles per group, whatever the size of the groups."""
+"""Exact quantiles per group by distributed selection, whatever the size of the groups.
+
+Every wanted rank is found by three exact histogram counts, one plan for every size:
+
+1. all values are counted in bins of equal ratio (``BINS`` to the octave, mirrored for negative values), which needs
+   no look at the data first; running counts over the bins tell in which bin a rank lies;
+2. the values of those bins are counted in ``SPLITS`` equal steps between the smallest and the largest value met;
+3. the distinct values of the one step that holds the rank are counted.
+
+Counts are mergeable aggregates; nothing is sorted but bins of a group (a few thousand for each octave
+its values span), steps of a bin (at most ``SPLITS``) and distinct values of a step.  Doubles of one bin are equally spaced, 2^42 of
+them at most, so a step has no more than about 2^22 distinct values even if every double occurs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ordering import running_total
-from cohortlens.runtime import BROADCAST_ROWS, null_safe_join
+from cohortlens.runtime import null_safe_join
 
-# A group of at most this many rows may be held by one task (value -> count map); measured, the
-# bracketed way is faster for larger ones.
-TASK_ROWS = 50_000
-SKETCH_ACCURACY = 10_000
-# Share of a group kept on either side of a probability; ten times the sketch's rank error.
-BRACKET = 10 / SKETCH_ACCURACY
-# Below this size a bracket would be only a few ranks wide.
-BRACKET_ROWS = 10_000
+BINS = 1_024
+SPLITS = 1 << 20
+_OCTAVES = 1_100  # more than the octaves below 1 that doubles have
 
 
 def group_quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], task_rows: int = TASK_ROWS
+    df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], bins: int = BINS
 ) -> DataFrame:
     """Interpolated quantiles of ``value`` per group: columns ``by``, ``n`` and the array ``q``.
 
-    Missing values are skipped; a group without values gives ``n`` 0 and a NULL array.  One pass
-    measures the groups and sketches their ranks.  Up to ``task_rows`` rows per group the built-in
-    exact aggregate is used.  Beyond it every wanted rank is bracketed by the sketch, and only the
-    values inside the brackets, counted exactly, are ever sorted, in range partitions: the result stays
-    exact, and a bracket of any size is shared by many tasks.
+    Missing values are skipped; a group without values gives ``n`` 0 and a NULL array; a missing key is a key.  NaN
+    counts as the largest value.  ``bins`` (to the octave) changes the work, never the result.
     """
     by = list(by)
     if not by:
         one_group = df.withColumn("__all", F.lit(1))
-        return group_quantiles(one_group, ["__all"], value, probs, task_rows).drop("__all")
+        return group_quantiles(one_group, ["__all"], value, probs, bins).drop("__all")
     data = df.select(*by, F.col(value).cast("double").alias("__v"))
-    sketch = _sketch(data, by, list(probs))
-    rows = sketch.limit(BROADCAST_ROWS + 1).collect()
-    if len(rows) > BROADCAST_ROWS:  # many groups: measure them without bringing them here
-        largest = sketch.agg(F.max("n")).first()[0]
-        sketches = sketch
-    else:
-        largest = max((r["n"] for r in rows), default=0)
-        sketches = F.broadcast(data.sparkSession.createDataFrame(rows, sketch.schema))
-    if largest <= task_rows:
-        return data.groupBy(*by).agg(
-            F.count("__v").alias("n"), F.percentile("__v", _literal(probs)).alias("q")
-        )
-    return _bracketed(data, by, list(probs), sketches, max(task_rows, BRACKET_ROWS))
-
-
-def _literal(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
-def _edges(probs: list[float]) -> list[float]:
-    return [p for q in probs for p in (max(q - BRACKET, 0.0), min(q + BRACKET, 1.0))]
-
-
-def _sketch(data: DataFrame, by: list[str], probs: list[float]) -> DataFrame:
-    """Size, range and approximate bracket ends of every group; one mergeable aggregate."""
-    return data.groupBy(*by).agg(
-        F.count("__v").alias("n"), F.min("__v").alias("__min"), F.max("__v").alias("__max"),
-        F.percentile_approx("__v", _literal(_edges(probs)), SKETCH_ACCURACY).alias("__e"),
+    data = data.withColumn("__bin", _bin(F.col("__v"), max(bins, 1)))
+
+    histogram = data.groupBy(*by, "__bin").agg(
+        F.count("__v").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    sized = histogram.withColumn("n", F.sum("__c").over(W.partitionBy(*by))).withColumn("__want", _ranks(F.col("n"), probs))
+    chosen = _holding(sized, by, "__bin").select(*by, "n", "__bin", "__lo", "__hi", "__want")
+
+    inside = null_safe_join(data, chosen, [*by, "__bin"])
+    v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
+    step = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * SPLITS), F.lit(SPLITS - 1))).otherwise(F.lit(0))
+    values = inside.groupBy(*by, "n", "__bin", "__want", step.alias("__step"), "__v").agg(F.count(F.lit(1)).alias("__c"))
+    steps = values.groupBy(*by, "n", "__bin", "__want", "__step").agg(F.sum("__c").alias("__c"))
+    narrow = _holding(steps, [*by, "__bin"], "__step").select(*by, "n", "__bin", "__step", "__want")
+
+    last = null_safe_join(values.select(*by, "__bin", "__step", "__v", "__c"), narrow, [*by, "__bin", "__step"])
+    found = _holding(last, [*by, "__bin", "__step"], "__v").select(*by, "n", "__v", F.explode("__want.j").alias("__j"))
+    ends = found.groupBy(*by, "n").agg(*[F.max(F.when(F.col("__j") == j, v)).alias(f"__{j}") for j in range(2 * len(probs))])
+    exact = ends.select(*by, "n", F.array(*[_between(F.col("n"), j, p) for j, p in enumerate(probs)]).alias("q"))
+    empty = sized.where("n = 0").select(*by, "n", F.lit(None).cast("array<double>").alias("q"))
+    return exact.unionByName(empty)
+
+
+def _bin(v: Column, bins: int) -> Column:
+    """A whole number that never falls as ``v`` grows; NULL for a missing value."""
+    top = 2 * _OCTAVES * bins
+    size = F.floor(F.log2(F.abs(v)) * bins) + _OCTAVES * bins
+    return (
+        F.when(F.isnan(v), F.lit(top + 1)).when(v == float("inf"), F.lit(top)).when(v == float("-inf"), F.lit(-top))
+        .when(v == 0, F.lit(0)).when(v > 0, size).when(v < 0, -size).cast("bigint")
     )
 
 
-def _bracketed(data: DataFrame, by: list[str], probs: list[float], sketch: DataFrame, task_rows: int) -> DataFrame:
-    edges = _edges(probs)
-    whole = F.array(F.struct(F.col("__min").alias("lo"), F.col("__max").alias("hi")))
-    around = F.array(*[
-        F.struct(
-            (F.col("__min") if edges[2 * j] == 0 else F.col("__e")[2 * j]).alias("lo"),
-            (F.col("__max") if edges[2 * j + 1] == 1 else F.col("__e")[2 * j + 1]).alias("hi"),
-        ) for j in range(len(probs))
-    ])
-    # A small group is its own single bracket; the brackets of a large one hold many more rows
-    # than the sketch can be wrong by.
-    small = F.col("n") <= task_rows
-    brackets = sketch.select(*by, "n", F.when(small, whole).otherwise(around).alias("__b"))
-
-    joined = null_safe_join(data.where(F.col("__v").isNotNull()), brackets, by)
-    v, ends_of = F.col("__v"), [F.get("__b", F.lit(j)) for j in range(len(probs))]
-    # Rows under a bracket are only counted; rows inside go on as value and count.
-    below = joined.groupBy(*by).agg(F.array(*[F.count_if(v < e["lo"]) for e in ends_of]).alias("__below"))
-    hits = F.array_compact(F.array(*[
-        F.when((v >= e["lo"]) & (v <= e["hi"]), F.lit(j)) for j, e in enumerate(ends_of)
-    ]))
-    counts = (
-        joined.select(*by, "n", "__v", F.explode(hits).alias("__j"))
-        .groupBy(*by, "n", "__j", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    )
-    # The values of a bracket are ranked in range partitions, so none has to fit in one task.
-    ranked = null_safe_join(running_total(counts, [*by, "n", "__j"], ["__v"], "__c", "__upto"), below, by)
-
-    def at_rank(rank: Column, j: int) -> Column:
-        bracket = F.when(F.col("n") <= task_rows, F.lit(0)).otherwise(F.lit(j))
-        inside = rank - F.get("__below", bracket)
-        here = (F.col("__j") == bracket) & (F.col("__upto") > inside) & (F.col("__upto") - F.col("__c") <= inside)
-        return F.max(F.when(here, v))
-
-    ends = {}
-    for j, p in enumerate(probs):
-        position = (F.col("n") - 1) * F.lit(float(p))
-        ends[f"__lo{j}"] = at_rank(F.floor(position), j)
-        ends[f"__hi{j}"] = at_rank(F.ceil(position), j)
-    found = ranked.groupBy(*by, "n").agg(*[c.alias(k) for k, c in ends.items()])
-
-    def interpolated(j: int, p: float) -> Column:
-        position = (F.col("n") - 1) * F.lit(float(p))
-        share = position - F.floor(position)
-        lo, hi = F.col(f"__lo{j}"), F.col(f"__hi{j}")
-        missed = F.raise_error(F.lit("a wanted rank lies outside its bracket")).cast("double")
-        return F.when(lo.isNull() | hi.isNull(), missed).otherwise(lo + share * (hi - lo))
-
-    exact = found.select(*by, F.array(*[interpolated(j, p) for j, p in enumerate(probs)]).alias("q"))
-    return null_safe_join(brackets.select(*by, "n"), exact, by, "left")
-
-
-def quartiles(df: DataFrame, by: Sequence[str], value: str, task_rows: int = TASK_ROWS) -> DataFrame:
-    return group_quantiles(df, by, value, [0.25, 0.5, 0.75], task_rows)
+def _ranks(n: Column, probs: Sequence[float]) -> Column:
+    """For every probability the two ranks (from 0) that it lies between, as (j, rank)."""
+    ends = []
+    for i, p in enumerate(probs):
+        at = (n - 1) * F.lit(float(p))
+        ends += [F.struct(F.lit(2 * i + k).alias("j"), rank.alias("rank")) for k, rank in enumerate((F.floor(at), F.ceil(at)))]
+    return F.array(*ends)
+
+
+def _holding(counts: DataFrame, group: list[str], order: str) -> DataFrame:
+    """The rows of a count table that hold a wanted rank, with ``__want`` cut to their ranks, counted from their start."""
+    upto = F.sum("__c").over(W.partitionBy(*group).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    placed = counts.withColumn("__from", upto - F.col("__c"))
+    own = F.filter("__want", lambda t: (t["rank"] >= F.col("__from")) & (t["rank"] < F.col("__from") + F.col("__c")))
+    moved = F.transform(own, lambda t: F.struct(t["j"].alias("j"), (t["rank"] - F.col("__from")).alias("rank")))
+    return placed.withColumn("__want", moved).where(F.size("__want") > 0)
+
+
+def _between(n: Column, j: int, p: float) -> Column:
+    at = (n - 1) * F.lit(float(p))
+    lo, hi = F.col(f"__{2 * j}"), F.col(f"__{2 * j + 1}")
+    return F.when(lo == hi, lo).otherwise(lo + (at - F.floor(at)) * (hi - lo))
+
+
+def quartiles(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    return group_quantiles(df, by, value, [0.25, 0.5, 0.75])
