@@ -1,8 +1,8 @@
 """Summaries and diagnostics of posterior draws in long form.
 
 Draw tables have ``chain, iteration, draw, variable, value``.  A variable may hold any share of the
-rows: counts and moments are mergeable, quantiles bracketed, ranks and autocovariances computed
-in slices.
+rows: counts and moments are mergeable, quantiles found by counting, ranks and autocovariances computed
+in slices.  A missing key (variable, model, chain) is a key.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from cohortlens.functions.intervals import normal_quantile
 from cohortlens.operators.ordering import running_total
 from cohortlens.operators.quantiles import group_quantiles
 from cohortlens.operators.tables import unpivot_numbers
-from cohortlens.runtime import materialise, small_side
+from cohortlens.runtime import materialise, null_safe_join
 
 MAD_FACTOR = 1.4826  # fixed value: makes the MAD an SD for normal data
 
@@ -66,19 +66,24 @@ def draws_summary(draws: DataFrame) -> DataFrame:
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
     q = group_quantiles(draws, ["variable"], "value", [0.05, 0.5, 0.95]).select(
         "variable", *[F.col("q")[i].alias(c) for i, c in enumerate(("q5", "median", "q95"))])
-    q = small_side(q)
-    away = draws.join(q.select("variable", "median"), "variable").select(
+    q = materialise(q, "quantiles")
+    away = null_safe_join(draws, q.select("variable", "median"), ["variable"]).select(
         "variable", F.abs(F.col("value") - F.col("median")).alias("value"))
     mad = group_quantiles(away, ["variable"], "value", [0.5]).select(
         "variable", (F.col("q")[0] * MAD_FACTOR).alias("mad"))
-    return moments.join(q, "variable").join(mad, "variable")
+    return null_safe_join(null_safe_join(moments, q, ["variable"]), mad, ["variable"])
+
+
+def _half_lengths(draws: DataFrame, by: list[str]) -> DataFrame:
+    """First and last iteration per chain; written, so that its measured size decides how it is joined."""
+    return materialise(draws.groupBy("chain", *by).agg(
+        F.max("iteration").alias("__last"), F.min("iteration").alias("__first")), "lengths")
 
 
 def split_rhat(draws: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
     """Split R-hat per ``by`` from the moments of half chains; a middle draw of odd chains is left out."""
     by = list(by)
-    lengths = draws.groupBy("chain", *by).agg(F.max("iteration").alias("__last"), F.min("iteration").alias("__first"))
-    placed = draws.join(small_side(lengths), ["chain", *by])
+    placed = null_safe_join(draws, _half_lengths(draws, by), ["chain", *by])
     size = F.col("__last") - F.col("__first") + 1
     at = F.col("iteration") - F.col("__first")
     half = F.floor(size / 2)
@@ -100,53 +105,67 @@ def rank_normal(draws: DataFrame, by: Sequence[str] = ("variable",)) -> DataFram
     draws = draws.where(F.col("value").isNotNull())
     counts = draws.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
     upto = running_total(counts, by, ["value"], "c", "upto")
-    totals = small_side(draws.groupBy(*by).agg(F.count(F.lit(1)).alias("S")))
+    totals = materialise(draws.groupBy(*by).agg(F.count(F.lit(1)).alias("S")), "totals")
     score = normal_quantile((F.col("upto") - (F.col("c") - 1) / 2 - 0.375) / (F.col("S") + 0.25))
-    scores = upto.join(totals, by).select(*by, "value", score.alias("z"))
-    return draws.join(scores, [*by, "value"]).select("chain", "iteration", *by, F.col("z").alias("value"))
+    scores = null_safe_join(upto, totals, by).select(*by, "value", score.alias("z"))
+    return null_safe_join(draws, scores, [*by, "value"]).select("chain", "iteration", *by, F.col("z").alias("value"))
 
 
 def autocovariances(
     draws: DataFrame, max_lag: int, block: int = 4096, first: int = 0, by: Sequence[str] = ("variable",)
 ) -> DataFrame:
-    """Σ (x_i − m)(x_{i+t} − m) per half chain and lag ``first..max_lag``, for chains of any length.
+    """Σ (x_i − m)(x_{i+t} − m) per half chain and lag ``first..max_lag``, for chains of any length."""
+    parts = _lag_products(draws, max_lag, block, first, list(by))
+    return parts.groupBy(*by, "series", "lag").agg(F.sum("s").alias("s"))
+
 
-    Iterations are cut into blocks.  A block gets its own rows and the rows ``first..max_lag`` behind
-    them, so a row is copied three times at most while the lags of one call span no more than a
-    block, and a task holds two blocks and the span of the lags.
+def _lag_products(draws: DataFrame, max_lag: int, block: int, first: int, by: list[str]) -> DataFrame:
+    """The sums of ``autocovariances`` per block of iterations: all lags of a block from one Fourier transform.
+
+    A block is correlated with the rows ``first..max_lag`` behind its own.  From lag 0 on it is its own
+    first partner, so only rows of later blocks are copied, once; further lags copy a row twice while
+    they span no more than a block.  A task holds two blocks and the span of the lags.
     """
-    by = list(by)
-    means = small_side(draws.groupBy(*by, "series").agg(F.avg("value").alias("__m")))
-    centred = draws.join(means, [*by, "series"]).select(
+    means = materialise(draws.groupBy(*by, "series").agg(F.avg("value").alias("__m")), "means")
+    centred = null_safe_join(draws, means, [*by, "series"]).select(
         *by, "series", F.col("at").cast("long").alias("at"), (F.col("value") - F.col("__m")).alias("value"))
-    own = F.struct(F.lit(0).alias("side"), F.floor(F.col("at") / block).alias("block"))
-    behind = F.transform(
-        F.sequence(F.greatest(F.floor((F.col("at") - max_lag) / block), F.lit(0)), F.floor((F.col("at") - first) / block)),
-        lambda b: F.struct(F.lit(1).alias("side"), b.alias("block")))
-    copies = F.when(F.col("at") >= first, F.concat(F.array(own), behind)).otherwise(F.array(own))
+    here = F.floor(F.col("at") / block)
+    low = F.greatest(F.floor((F.col("at") - max_lag) / block), F.lit(0))
+    high = F.floor((F.col("at") - first) / block) if first else here - 1
+    behind = F.transform(F.sequence(low, high), lambda b: F.struct(F.lit(1).alias("side"), b.alias("block")))
+    own = F.array(F.struct(F.lit(0).alias("side"), here.alias("block")))
+    copies = F.when(low <= high, F.concat(own, behind)).otherwise(own)
     shared = centred.select("*", F.explode(copies).alias("to")).select(*by, "series", "at", "value", "to.*")
-    lags = np.arange(first, max_lag + 1)
+    span = max_lag - first + 1
 
     def products(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        at, x, behind = pdf["at"].to_numpy() - int(key[-1]) * block, pdf["value"].to_numpy(), pdf["side"].to_numpy() == 1
-        left, right = np.zeros(block), np.zeros(block + len(lags) - 1)
-        left[at[~behind]] = x[~behind]
-        right[at[behind] - first] = x[behind]
-        out = pd.DataFrame({"lag": lags, "s": np.correlate(right, left, "valid")})
+        at, x, other = pdf["at"].to_numpy() - int(key[-1]) * block, pdf["value"].to_numpy(), pdf["side"].to_numpy() == 1
+        partner = other if first else np.ones(len(at), dtype=bool)
+        lags = np.arange(0)
+        if partner.any() and not other.all():
+            reach = int(at[partner].max()) - first - int(at[~other].min())  # the longest lag, counted from the first
+            lags = np.arange(min(reach + 1, span))
+        if not len(lags):
+            return shapeless
+        left, right = np.zeros(int(at[~other].max()) + 1), np.zeros(int(at[partner].max()) - first + 1)
+        left[at[~other]] = x[~other]
+        use = partner & (at >= first)
+        right[at[use] - first] = x[use]
+        size = 1 << int(max(len(left) + len(lags), len(right))).bit_length()
+        sums = np.fft.irfft(np.conj(np.fft.rfft(left, size)) * np.fft.rfft(right, size), size)[: len(lags)]
+        out = pd.DataFrame({"lag": lags + first, "s": sums})
         for i, name in enumerate([*by, "series"]):
             out.insert(i, name, key[i])
         return out
 
+    shapeless = pd.DataFrame()  # a block without partners has no row
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in centred.select(*by, "series").schema)
-    parts = shared.groupBy(*by, "series", "block").applyInPandas(products, f"{schema}, lag int, s double")
-    return parts.groupBy(*by, "series", "lag").agg(F.sum("s").alias("s"))
+    return shared.groupBy(*by, "series", "block").applyInPandas(products, f"{schema}, lag int, s double")
 
 
 def half_chains(draws: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
     """Every chain cut in two series of equal length, with the place ``at`` inside the series."""
-    lengths = small_side(draws.groupBy("chain", *by).agg(
-        F.max("iteration").alias("__last"), F.min("iteration").alias("__first")))
-    placed = draws.join(lengths, ["chain", *by])
+    placed = null_safe_join(draws, _half_lengths(draws, by), ["chain", *by])
     size = F.col("__last") - F.col("__first") + 1
     at, half = F.col("iteration") - F.col("__first"), F.floor(size / 2)
     second = at >= size - half
@@ -155,12 +174,12 @@ def half_chains(draws: DataFrame, by: Sequence[str] = ("variable",)) -> DataFram
         F.when(second, at - (size - half)).otherwise(at).alias("at"), "value")
 
 
-def effective_sizes(draws: DataFrame, by: Sequence[str] = ("variable",), first_lag: int = 64, block: int = 4096) -> DataFrame:
+def effective_sizes(draws: DataFrame, by: Sequence[str] = ("variable",), first_lag: int | None = None, block: int = 4096) -> DataFrame:
     """Effective sample size per ``by`` by initial monotone positive pairs; missing for constant draws.
 
-    Every round looks at new lags only, of those groups whose sum has not ended, and adds them to a
-    written table of one row per group.  Rounds double up to a span of one block, so the result is
-    exact for any autocorrelation length and no round copies a row more than three times.
+    A round looks at all lags of one block (the first at ``first_lag`` of them, if given), of those groups whose sum has
+    not ended, and adds them to a written table of one row per group.  Chains that end within a block need
+    one round; the result is exact for any autocorrelation length.
     """
     by = list(by)
     series = materialise(half_chains(draws, by), "half_chains")
@@ -175,13 +194,13 @@ def effective_sizes(draws: DataFrame, by: Sequence[str] = ("variable",), first_l
         F.coalesce(~(total > 0), F.lit(True)).alias("ended"),
     ), "ess")
     longest = series.agg(F.max("at")).first()[0]
-    lag, span = 0, first_lag
+    lag, span = 0, first_lag or block
     while longest is not None and lag <= longest:
         unended = state.where(~F.col("ended")).select(*by)
-        if unended.isEmpty():
+        if lag and unended.isEmpty():
             break
         last = min(lag + span - 1, longest)
-        covs = autocovariances(series.join(unended, by, "left_semi"), last, block, lag, by)
+        covs = _lag_products(null_safe_join(series, unended, by), last, block, lag, by)
         state = materialise(_with_lags(state, covs, by), "ess")
         lag, span = lag + span, min(lag + span, block)
     size = F.col("n") * F.col("k")
@@ -195,17 +214,17 @@ def _with_lags(state: DataFrame, covs: DataFrame, by: list[str]) -> DataFrame:
     rho = F.when(F.col("lag") == 0, 1.0).otherwise(
         1 - (F.col("within") - F.col("s") / (F.col("n") * F.col("k"))) / F.col("total"))
     pairs = (
-        acov.join(state.where(~F.col("ended")), by).where(F.col("lag") < F.col("n"))
+        null_safe_join(acov, state.where(~F.col("ended")), by).where(F.col("lag") < F.col("n"))
         .groupBy(*by, "least", F.floor(F.col("lag") / 2).alias("pair"))
         .agg(F.sum(rho).alias("p"), F.count(F.lit(1)).alias("c")).where("c = 2")
     )
-    # At most half a round's lags per group.
+    # At most half a round's lags per group, which is half a block.
     upto = W.partitionBy(*by).orderBy("pair").rowsBetween(W.unboundedPreceding, 0)
     seen = pairs.withColumns({"low": F.least(F.min("p").over(upto), "least"), "over": F.max(F.col("p") < 0).over(upto)})
     added = seen.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(~F.col("over"), F.col("low"))), F.lit(0.0)).alias("__add"),
         F.min(F.when(~F.col("over"), F.col("low"))).alias("__low"), F.max("over").alias("__over"))
-    return state.join(added, by, "left").select(
+    return null_safe_join(state, added, by, "left").select(
         *by, "n", "k", "within", "total", (F.col("sums") + F.coalesce("__add", F.lit(0.0))).alias("sums"),
         F.least("least", "__low").alias("least"), (F.col("ended") | F.coalesce("__over", F.lit(False))).alias("ended"))
 
@@ -218,13 +237,13 @@ def diagnostics(draws: DataFrame, by: Sequence[str] = ("variable",)) -> DataFram
     being at most the 5% and at most the 95% quantile.
     """
     by, keys = list(by), [*by, "form"]
-    q = small_side(group_quantiles(draws, by, "value", [0.05, 0.5, 0.95]).select(*by, "q"))
+    q = materialise(group_quantiles(draws, by, "value", [0.05, 0.5, 0.95]).select(*by, "q"), "quantiles")
     low, median, high = (F.col("q")[i] for i in range(3))
     value = F.col("value")
     forms = {
         "bulk": value, "folded": F.abs(value - median), "low": (value <= low).cast("double"), "high": (value <= high).cast("double"),
     }
-    placed = draws.where(value.isNotNull()).join(q, by).select("chain", "iteration", *by, F.explode(F.array(*[
+    placed = null_safe_join(draws.where(value.isNotNull()), q, by).select("chain", "iteration", *by, F.explode(F.array(*[
         F.struct(F.lit(name).alias("form"), x.alias("value")) for name, x in forms.items()
     ])).alias("f")).select("chain", "iteration", *by, "f.*")
     ranked = rank_normal(placed.where(F.col("form").isin("bulk", "folded")), keys)
@@ -237,7 +256,7 @@ def diagnostics(draws: DataFrame, by: Sequence[str] = ("variable",)) -> DataFram
         of("bulk", "rhat").alias("rhat_bulk"), of("folded", "rhat").alias("rhat_folded"), F.max("rhat").alias("rhat"))
     ess = effective_sizes(scores.where(F.col("form") != "folded"), keys).groupBy(*by).agg(
         of("bulk", "ess").alias("ess_bulk"), F.min(F.when(F.col("form") != "bulk", F.col("ess"))).alias("ess_tail"))
-    return rhat.join(ess, by)
+    return null_safe_join(rhat, ess, by)
 
 
 def diagnostics_by_model(found: DataFrame, divergent: DataFrame) -> DataFrame:
@@ -246,7 +265,7 @@ def diagnostics_by_model(found: DataFrame, divergent: DataFrame) -> DataFrame:
     ``found`` comes from ``diagnostics`` by model and variable, ``divergent`` has one row per model and draw.
     """
     worst = found.groupBy("model").agg(F.min("ess_bulk").alias("min_bulk_ess"), F.max("rhat").alias("max_rhat"))
-    return worst.join(divergent.groupBy("model").agg(F.sum("divergent").alias("num_divergent")), "model")
+    return null_safe_join(worst, divergent.groupBy("model").agg(F.sum("divergent").alias("num_divergent")), ["model"])
 
 
 def diagnostic_extremes(found: DataFrame) -> DataFrame:

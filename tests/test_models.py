@@ -298,3 +298,24 @@ def test_registry(spark):
 def test_names_and_index(spark):
     df = spark.createDataFrame([("b_age",), ("y_pred[12]",), (".chain",)], "variable string").coalesce(1)
     assert [(r["variable"], r["index"]) for r in PO.clean_names(df).collect()] == [("age", None), ("y_pred[12]", 12), ("chain", None)]
+
+
+def test_a_missing_variable_or_chain_is_kept(spark):
+    rng = np.random.default_rng(11)
+    rows = [(c, i + 1, v, float(x)) for c in (1, None) for v in ("a", None) for i, x in enumerate(rng.normal(size=90))]
+    draws = spark.createDataFrame(rows, "chain int, iteration long, variable string, value double")
+    assert {(r["variable"], r["n"]) for r in PO.draws_summary(draws).collect()} == {("a", 180), (None, 180)}
+    found = PO.diagnostics(draws).collect()
+    assert {r["variable"] for r in found} == {"a", None} and all(r["rhat"] > 0.9 and r["ess_bulk"] > 50 for r in found)
+
+
+@pytest.mark.parametrize(("block", "first"), [(64, 0), (64, 1), (64, 64), (100, 37), (4096, 0), (4096, 900)])
+def test_autocovariances_of_any_span(spark, block, first):
+    rng = np.random.default_rng(12)
+    v = np.cumsum(rng.normal(size=1000))
+    df = spark.createDataFrame([("v", "1", i, float(a)) for i, a in enumerate(v)], "variable string, series string, at long, value double")
+    got = {r["lag"]: r["s"] for r in PO.autocovariances(df, 999, block=block, first=first).collect()}
+    c = v - v.mean()
+    want = {t: c[:1000 - t] @ c[t:] for t in range(first, 1000)}
+    assert got.keys() <= want.keys()
+    assert [got.get(t, 0.0) for t in want] == pytest.approx(list(want.values()), rel=1e-9, abs=1e-9 * float(c @ c))
