@@ -96,116 +96,163 @@ def split_rhat(draws: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame
     return total.select(*by, F.sqrt(ratio).alias("rhat"))
 
 
-def rank_normal(draws: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
-    """Draws replaced by the normal score of their rank within ``by``; ties share a rank, missing values drop out.
+def normal_scores(values: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Normal score ``z`` of the rank of each distinct ``value`` within ``by``; ties share a rank.
 
     Ranks come from a running total over distinct values, cut into range partitions.
     """
     by = list(by)
-    draws = draws.where(F.col("value").isNotNull())
-    counts = draws.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
+    counts = values.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
     upto = running_total(counts, by, ["value"], "c", "upto")
-    totals = materialise(draws.groupBy(*by).agg(F.count(F.lit(1)).alias("S")), "totals")
+    totals = materialise(upto.groupBy(*by).agg(F.sum("c").alias("S")), "totals")
     score = normal_quantile((F.col("upto") - (F.col("c") - 1) / 2 - 0.375) / (F.col("S") + 0.25))
-    scores = null_safe_join(upto, totals, by).select(*by, "value", score.alias("z"))
-    return null_safe_join(draws, scores, [*by, "value"]).select("chain", "iteration", *by, F.col("z").alias("value"))
+    return null_safe_join(upto, totals, by).select(*by, "value", score.alias("z"))
+
+
+def rank_normal(draws: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
+    """Draws replaced by the normal score of their rank within ``by``; missing values drop out."""
+    by = list(by)
+    draws = draws.where(F.col("value").isNotNull())
+    return null_safe_join(draws, normal_scores(draws, by), [*by, "value"]).select(
+        "chain", "iteration", *by, F.col("z").alias("value"))
+
+
+def half_chains(draws: DataFrame, by: Sequence[str] = ("variable",), values: Sequence[str] = ("value",)) -> DataFrame:
+    """Every chain cut in two series of equal length, with the place ``at`` inside the series."""
+    placed = null_safe_join(draws, _half_lengths(draws, list(by)), ["chain", *by])
+    size = F.col("__last") - F.col("__first") + 1
+    at, half = F.col("iteration") - F.col("__first"), F.floor(size / 2)
+    second = at >= size - half
+    return placed.where((at < half) | second).select(
+        *by, F.concat_ws("/", F.col("chain").cast("string"), F.when(second, "2").otherwise("1")).alias("series"),
+        F.when(second, at - (size - half)).otherwise(at).cast("long").alias("at"), *values)
+
+
+def _fields(df: DataFrame, columns: Sequence[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*columns).schema)
+
+
+def series_blocks(series: DataFrame, block: int, by: Sequence[str], values: Sequence[str] = ("value",)) -> DataFrame:
+    """Blocks of ``block`` places of each series, every value column as one array; a missing place is NaN."""
+    keys = [*by, "series", "block"]
+    placed = series.withColumn("block", F.floor(F.col("at") / block))
+
+    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf["at"].to_numpy() - int(key[-1]) * block
+        out = pd.DataFrame({c: [k] for c, k in zip(keys, key, strict=True)})
+        for v in values:
+            dense = np.full(int(at.max()) + 1, np.nan)
+            dense[at] = pdf[v].to_numpy(dtype=float)
+            out[v] = [dense]
+        return out
+
+    arrays = ", ".join(f"`{v}` array<double>" for v in values)
+    return placed.groupBy(*keys).applyInPandas(pack, f"{_fields(placed, keys)}, {arrays}")
+
+
+def _moments(blocks: DataFrame, by: list[str], values: Sequence[str]) -> DataFrame:
+    """Size, mean and variance per series and value column (``form``)."""
+    each = [F.struct(F.lit(v).alias("form"), F.col(v).alias("values")) for v in values]
+    long = blocks.select(*by, "series", F.inline(F.array(*each))).select(*by, "series", "form", F.explode("values").alias("x"))
+    return long.where(~F.isnan("x")).groupBy(*by, "series", "form").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("m"), F.var_samp("x").alias("v"))
 
 
 def autocovariances(
     draws: DataFrame, max_lag: int, block: int = 4096, first: int = 0, by: Sequence[str] = ("variable",)
 ) -> DataFrame:
     """Σ (x_i − m)(x_{i+t} − m) per half chain and lag ``first..max_lag``, for chains of any length."""
-    parts = _lag_products(draws, max_lag, block, first, list(by))
+    by = list(by)
+    blocks = materialise(series_blocks(draws, block, by), "blocks")
+    parts = _lag_products(blocks, _moments(blocks, by, ["value"]), max_lag, block, first, by, ["value"])
     return parts.groupBy(*by, "series", "lag").agg(F.sum("s").alias("s"))
 
 
-def _lag_products(draws: DataFrame, max_lag: int, block: int, first: int, by: list[str]) -> DataFrame:
-    """The sums of ``autocovariances`` per block of iterations: all lags of a block from one Fourier transform.
+def _lag_products(
+    blocks: DataFrame, moments: DataFrame, max_lag: int, block: int, first: int, by: list[str], values: Sequence[str]
+) -> DataFrame:
+    """The sums of ``autocovariances`` per block and value column: all lags of a block from one Fourier transform.
 
-    A block is correlated with the rows ``first..max_lag`` behind its own.  From lag 0 on it is its own
-    first partner, so only rows of later blocks are copied, once; further lags copy a row twice while
-    they span no more than a block.  A task holds two blocks and the span of the lags.
+    A block meets the blocks that lie ``first..max_lag`` places behind its own: from lag 0 on itself and, while the
+    lags span no more than a block, its successor.  Only those arrays travel; a task holds the blocks
+    that its lags span.
     """
-    means = materialise(draws.groupBy(*by, "series").agg(F.avg("value").alias("__m")), "means")
-    centred = null_safe_join(draws, means, [*by, "series"]).select(
-        *by, "series", F.col("at").cast("long").alias("at"), (F.col("value") - F.col("__m")).alias("value"))
-    here = F.floor(F.col("at") / block)
-    low = F.greatest(F.floor((F.col("at") - max_lag) / block), F.lit(0))
-    high = F.floor((F.col("at") - first) / block) if first else here - 1
-    behind = F.transform(F.sequence(low, high), lambda b: F.struct(F.lit(1).alias("side"), b.alias("block")))
-    own = F.array(F.struct(F.lit(0).alias("side"), here.alias("block")))
-    copies = F.when(low <= high, F.concat(own, behind)).otherwise(own)
-    shared = centred.select("*", F.explode(copies).alias("to")).select(*by, "series", "at", "value", "to.*")
+    means = moments.groupBy(*by, "series").agg(F.map_from_entries(F.collect_list(F.struct("form", "m"))).alias("__m"))
+
+    def about_mean(v: str) -> Column:
+        return F.transform(v, lambda x: F.when(F.isnan(x), 0.0).otherwise(x - F.col("__m")[v])).alias(v)
+
+    centred = null_safe_join(blocks, materialise(means, "means"), [*by, "series"]).select(
+        *by, "series", "block", *[about_mean(v) for v in values])
+    near, far = first // block, (max_lag + block - 1) // block
+    partners = F.filter(F.sequence(F.lit(near), F.lit(far)), lambda d: d <= F.col("block"))
+    to = F.transform(partners, lambda d: F.struct(F.lit(1).alias("side"), (F.col("block") - d).alias("left"), d.cast("int").alias("d")))
+    own = F.struct(F.lit(0).alias("side"), F.col("block").alias("left"), F.lit(0).alias("d"))
+    shared = centred.select("*", F.explode(F.concat(F.array(own), to)).alias("to")).select(*by, "series", *values, "to.*")
     span = max_lag - first + 1
+    keys = [*by, "series"]
 
     def products(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        at, x, other = pdf["at"].to_numpy() - int(key[-1]) * block, pdf["value"].to_numpy(), pdf["side"].to_numpy() == 1
-        partner = other if first else np.ones(len(at), dtype=bool)
-        lags = np.arange(0)
-        if partner.any() and not other.all():
-            reach = int(at[partner].max()) - first - int(at[~other].min())  # the longest lag, counted from the first
-            lags = np.arange(min(reach + 1, span))
-        if not len(lags):
-            return shapeless
-        left, right = np.zeros(int(at[~other].max()) + 1), np.zeros(int(at[partner].max()) - first + 1)
-        left[at[~other]] = x[~other]
-        use = partner & (at >= first)
-        right[at[use] - first] = x[use]
-        size = 1 << int(max(len(left) + len(lags), len(right))).bit_length()
-        sums = np.fft.irfft(np.conj(np.fft.rfft(left, size)) * np.fft.rfft(right, size), size)[: len(lags)]
-        out = pd.DataFrame({"lag": lags + first, "s": sums})
-        for i, name in enumerate([*by, "series"]):
-            out.insert(i, name, key[i])
-        return out
-
-    shapeless = pd.DataFrame()  # a block without partners has no row
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in centred.select(*by, "series").schema)
-    return shared.groupBy(*by, "series", "block").applyInPandas(products, f"{schema}, lag int, s double")
-
-
-def half_chains(draws: DataFrame, by: Sequence[str] = ("variable",)) -> DataFrame:
-    """Every chain cut in two series of equal length, with the place ``at`` inside the series."""
-    placed = null_safe_join(draws, _half_lengths(draws, by), ["chain", *by])
-    size = F.col("__last") - F.col("__first") + 1
-    at, half = F.col("iteration") - F.col("__first"), F.floor(size / 2)
-    second = at >= size - half
-    return placed.where((at < half) | second).select(
-        *by, F.concat_ws("/", F.col("chain").cast("string"), F.when(second, "2").otherwise("1")).alias("series"),
-        F.when(second, at - (size - half)).otherwise(at).alias("at"), "value")
-
-
-def effective_sizes(draws: DataFrame, by: Sequence[str] = ("variable",), first_lag: int | None = None, block: int = 4096) -> DataFrame:
-    """Effective sample size per ``by`` by initial monotone positive pairs; missing for constant draws.
+        mine, others = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        if not len(mine) or not len(others):
+            return pd.DataFrame()
+        rows = []
+        for v in values:
+            left = np.asarray(mine[v].iloc[0])
+            ends = [d * block - first + len(x) for d, x in zip(others["d"], others[v], strict=True)]
+            if max(ends) <= 0:
+                continue
+            right = np.zeros(max(ends))  # place 0 is lag ``first`` of the block's first place
+            for d, x in zip(others["d"], others[v], strict=True):
+                at = d * block - first
+                right[max(at, 0):at + len(x)] = np.asarray(x)[max(-at, 0):]
+            lags = min(len(right), span)
+            size = 1 << int(max(len(left) + lags, len(right))).bit_length()
+            sums = np.fft.irfft(np.conj(np.fft.rfft(left, size)) * np.fft.rfft(right, size), size)[:lags]
+            rows.append((*key[:-1], v, sums))
+        return pd.DataFrame(rows, columns=[*keys, "form", "sums"])
+
+    schema = f"{_fields(centred, keys)}, form string, sums array<double>"
+    parts = shared.groupBy(*keys, "left").applyInPandas(products, schema)
+    return parts.select(*keys, "form", F.posexplode("sums").alias("lag", "s")).withColumn("lag", F.col("lag") + first)
+
+
+def effective_sizes(
+    draws: DataFrame, by: Sequence[str] = ("variable",), first_lag: int | None = None, block: int = 4096,
+    values: Sequence[str] = ("value",),
+) -> DataFrame:
+    """Effective sample size per ``by`` and value column (``form``) by initial monotone positive pairs; missing for constant draws.
 
     A round looks at all lags of one block (the first at ``first_lag`` of them, if given), of those groups whose sum has
     not ended, and adds them to a written table of one row per group.  Chains that end within a block need
     one round; the result is exact for any autocorrelation length.
     """
     by = list(by)
-    series = materialise(half_chains(draws, by), "half_chains")
-    moments = series.groupBy(*by, "series").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
-    of_group = moments.groupBy(*by).agg(
-        F.avg("n").alias("n"), F.count(F.lit(1)).alias("k"), F.avg("v").alias("within"),
+    keys = [*by, "form"]
+    blocks = materialise(series_blocks(half_chains(draws, by, values), block, by, values), "blocks")
+    moments = materialise(_moments(blocks, by, values), "moments")
+    of_group = moments.groupBy(*keys).agg(
+        F.avg("n").alias("n"), F.max("n").alias("longest"), F.count(F.lit(1)).alias("k"), F.avg("v").alias("within"),
         F.coalesce(F.var_samp("m"), F.lit(0.0)).alias("between"))
     total = F.col("within") * (F.col("n") - 1) / F.col("n") + F.col("between")
     state = materialise(of_group.select(
-        *by, "n", "k", "within", total.alias("total"), F.lit(0.0).alias("sums"), F.lit(None).cast("double").alias("least"),
+        *keys, "n", "k", "within", total.alias("total"), F.lit(0.0).alias("sums"), F.lit(None).cast("double").alias("least"),
         F.coalesce(~(total > 0), F.lit(True)).alias("ended"),
     ), "ess")
-    longest = series.agg(F.max("at")).first()[0]
+    longest = of_group.agg(F.max("longest")).first()[0]
     lag, span = 0, first_lag or block
-    while longest is not None and lag <= longest:
-        unended = state.where(~F.col("ended")).select(*by)
+    while longest is not None and lag < longest:
+        unended = state.where(~F.col("ended")).select(*by).distinct()
         if lag and unended.isEmpty():
             break
-        last = min(lag + span - 1, longest)
-        covs = _lag_products(null_safe_join(series, unended, by), last, block, lag, by)
-        state = materialise(_with_lags(state, covs, by), "ess")
+        last = min(lag + span, longest) - 1
+        covs = _lag_products(null_safe_join(blocks, unended, by), moments, last, block, lag, by, values)
+        state = materialise(_with_lags(state, covs, keys), "ess")
         lag, span = lag + span, min(lag + span, block)
     size = F.col("n") * F.col("k")
     tau = F.greatest(2 * F.col("sums") - 1, 1 / F.log10(F.greatest(size, F.lit(11.0))))
-    return state.select(*by, F.when(F.col("total") > 0, size / tau).alias("ess"))
+    out = state.select(*keys, F.when(F.col("total") > 0, size / tau).alias("ess"))
+    return out if len(values) > 1 else out.drop("form")
 
 
 def _with_lags(state: DataFrame, covs: DataFrame, by: list[str]) -> DataFrame:
@@ -236,26 +283,28 @@ def diagnostics(draws: DataFrame, by: Sequence[str] = ("variable",)) -> DataFram
     distances from the median); ``ess_bulk`` belongs to the scores, ``ess_tail`` is the smaller of the sizes for
     being at most the 5% and at most the 95% quantile.
     """
-    by, keys = list(by), [*by, "form"]
+    by = list(by)
     q = materialise(group_quantiles(draws, by, "value", [0.05, 0.5, 0.95]).select(*by, "q"), "quantiles")
     low, median, high = (F.col("q")[i] for i in range(3))
     value = F.col("value")
-    forms = {
-        "bulk": value, "folded": F.abs(value - median), "low": (value <= low).cast("double"), "high": (value <= high).cast("double"),
-    }
-    placed = null_safe_join(draws.where(value.isNotNull()), q, by).select("chain", "iteration", *by, F.explode(F.array(*[
-        F.struct(F.lit(name).alias("form"), x.alias("value")) for name, x in forms.items()
-    ])).alias("f")).select("chain", "iteration", *by, "f.*")
-    ranked = rank_normal(placed.where(F.col("form").isin("bulk", "folded")), keys)
-    scores = materialise(ranked.unionByName(placed.where(F.col("form").isin("low", "high"))), "normal_scores")
-
-    def of(form: str, column: str) -> Column:
-        return F.max(F.when(F.col("form") == form, F.col(column)))
-
-    rhat = split_rhat(scores.where(F.col("form").isin("bulk", "folded")), keys).groupBy(*by).agg(
-        of("bulk", "rhat").alias("rhat_bulk"), of("folded", "rhat").alias("rhat_folded"), F.max("rhat").alias("rhat"))
-    ess = effective_sizes(scores.where(F.col("form") != "folded"), keys).groupBy(*by).agg(
-        of("bulk", "ess").alias("ess_bulk"), F.min(F.when(F.col("form") != "bulk", F.col("ess"))).alias("ess_tail"))
+    placed = null_safe_join(draws.where(value.isNotNull()), q, by).select(
+        "chain", "iteration", *by, "value", F.abs(value - median).alias("folded"),
+        (value <= low).cast("double").alias("low"), (value <= high).cast("double").alias("high"))
+    both = F.array(*[F.struct(F.lit(form).alias("form"), F.col(c).alias("value")) for form, c in (("bulk", "value"), ("folded", "folded"))])
+    scores = materialise(normal_scores(placed.select(*by, F.inline(both)), [*by, "form"]), "scores")
+    for form, c in (("bulk", "value"), ("folded", "folded")):
+        of_form = scores.where(F.col("form") == form).select(*by, F.col("value").alias(c), F.col("z").alias(f"z_{form}"))
+        placed = null_safe_join(placed, of_form, [*by, c])
+    scored = materialise(placed.select("chain", "iteration", *by, "z_bulk", "z_folded", "low", "high"), "normal_scores")
+    folded = split_rhat(scored.withColumn("value", F.col("z_folded")), by).withColumnRenamed("rhat", "rhat_folded")
+    bulk = split_rhat(scored.withColumn("value", F.col("z_bulk")), by).withColumnRenamed("rhat", "rhat_bulk")
+    rhat = null_safe_join(bulk, folded, by).withColumn("rhat", F.greatest("rhat_bulk", "rhat_folded"))
+
+    def of(*forms: str) -> Column:
+        return F.min(F.when(F.col("form").isin(*forms), F.col("ess")))
+
+    ess = effective_sizes(scored, by, values=("z_bulk", "low", "high")).groupBy(*by).agg(
+        of("z_bulk").alias("ess_bulk"), of("low", "high").alias("ess_tail"))
     return null_safe_join(rhat, ess, by)
 
 
