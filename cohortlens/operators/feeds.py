@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortlens.functions import exact
 from cohortlens.operators.quantiles import quartiles
 from cohortlens.operators.tables import quantiles_of, with_overall
 from cohortlens.runtime import null_safe_join, small_side
@@ -37,18 +38,29 @@ def box_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 
 
 def binned_trend(df: DataFrame, x: str, y: str, width: float = 1.0) -> DataFrame:
-    """Mean of ``y`` in bins of ``x``: the trend behind a scatter plot."""
-    return (
-        df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-        .groupBy((F.floor(F.col(x) / width) * width).cast("double").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("sd"))
-    )
+    """Mean and SD of ``y`` in bins of ``x``, from exact sums: the trend behind a scatter plot."""
+    sums = _known(df, x, y).groupBy((F.floor(F.col(x) / width) * width).cast("double").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), exact.sum_digits(y).alias("__y"), exact.product_digits(y, y).alias("__yy"))
+    n, s = F.col("n"), F.col("__y")
+    return sums.select("bin", "n", exact.mean(s, n).alias("mean"), exact.sample_sd(F.col("__yy"), s, n).alias("sd"))
+
+
+def _known(df: DataFrame, x: str, y: str) -> DataFrame:
+    return df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
 
 
 def pair_association(df: DataFrame, x: str, y: str, group: str) -> DataFrame:
-    """Correlation and least-squares line of ``y`` on ``x``, per group and overall; one pass."""
-    known = with_overall(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()), group)
-    return known.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.corr(x, y).alias("corr"),
-        F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"),
-    )
+    """Correlation and least-squares line of ``y`` on ``x``, per group and overall; one pass of exact sums."""
+    sums = with_overall(_known(df, x, y), group).groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), exact.sum_digits(x).alias("__x"), exact.sum_digits(y).alias("__y"),
+        exact.product_digits(x, x).alias("__xx"), exact.product_digits(x, y).alias("__xy"), exact.product_digits(y, y).alias("__yy"))
+    n, sx, sy = F.col("n"), F.col("__x"), F.col("__y")
+    found = sums.select(
+        group, "n", exact.mean(sx, n).alias("__mx"), exact.mean(sy, n).alias("__my"),
+        exact.comoment(F.col("__xx"), sx, sx, n).alias("__cxx"), exact.comoment(F.col("__xy"), sx, sy, n).alias("__cxy"),
+        exact.comoment(F.col("__yy"), sy, sy, n).alias("__cyy"))
+    cxx, cxy, cyy = F.col("__cxx"), F.col("__cxy"), F.col("__cyy")
+    slope = F.try_divide(cxy, F.when(cxx > 0, cxx))
+    return found.select(
+        group, "n", F.try_divide(cxy, F.when((cxx > 0) & (cyy > 0), F.sqrt(cxx) * F.sqrt(cyy))).alias("corr"), slope.alias("slope"),
+        (F.col("__my") - slope * F.col("__mx")).alias("intercept"))

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortlens.functions import exact
+
 
 @dataclass(frozen=True)
 class CurveModel:
@@ -99,30 +101,37 @@ def curve_rows(df: DataFrame, exposed: str, duration: str, y: str, x_bl: str) ->
 
 
 def cells(rows: DataFrame) -> DataFrame:
-    """Sufficient statistics per exposure and month."""
-    y, x = F.col("y"), F.col("x_bl")
-    return rows.groupBy("exposed", "x_index").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"),
-        F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"),
-    )
+    """Sufficient statistics per exposure and month, from exact sums: totals ``sy .. sxy``, the mean ``my`` and centred
+    products ``cyy, cxy``."""
+    sums = rows.groupBy("exposed", "x_index").agg(
+        F.count(F.lit(1)).alias("n"), exact.sum_digits("y").alias("__y"), exact.sum_digits("x_bl").alias("__x"),
+        *[exact.product_digits(a, b).alias(name) for name, a, b in (("__yy", "y", "y"), ("__xx", "x_bl", "x_bl"), ("__xy", "x_bl", "y"))])
+    n, sy, sx = F.col("n"), F.col("__y"), F.col("__x")
+    return sums.select(
+        "exposed", "x_index", "n", exact.as_double(sy).alias("sy"), exact.as_double(F.col("__yy")).alias("syy"),
+        exact.as_double(sx).alias("sx"), exact.as_double(F.col("__xx")).alias("sxx"), exact.as_double(F.col("__xy")).alias("sxy"),
+        exact.mean(sy, n).alias("my"), exact.comoment(F.col("__yy"), sy, sy, n).alias("cyy"),
+        exact.comoment(F.col("__xy"), sx, sy, n).alias("cxy"))
 
 
 def standardised_cells(raw_cells: DataFrame) -> DataFrame:
     """Cells of the outcome on the scale with mean 0 and SD 1, with the two moments kept.
 
-    Works on the cells alone: the subjects are not read again.
+    Works on the cells alone: the subjects are not read again.  Cells are merged by their means and centred
+    products, so a mean far larger than the SD costs no digits.
     """
-    total = raw_cells.agg(F.sum("n").alias("N"), F.sum("sy").alias("Sy"), F.sum("syy").alias("Syy"))
-    moments = total.select(F.struct(
-        (F.col("Sy") / F.col("N")).alias("m_y"),
-        F.sqrt((F.col("Syy") - F.col("Sy") * F.col("Sy") / F.col("N")) / (F.col("N") - 1)).alias("sd_y"),
-    ).alias("m")).scalar()
     n, m, s = F.col("n"), F.col("m_y"), F.col("sd_y")
+    middle = raw_cells.agg(F.struct(F.sum("n").alias("N"), (F.sum("sy") / F.sum("n")).alias("m_y")).alias("m")).scalar()
+    off = F.col("my") - F.col("__m.m_y")
+    moments = raw_cells.withColumn("__m", middle).agg(F.struct(
+        F.max("__m.m_y").alias("m_y"),
+        F.sqrt(F.sum(F.col("cyy") + n * off * off) / (F.max("__m.N") - 1)).alias("sd_y"),
+    ).alias("m")).scalar()
     return raw_cells.withColumn("__m", moments).select(*raw_cells.columns, "__m.*").withColumns({
-        "syy": (F.col("syy") - 2 * m * F.col("sy") + n * m * m) / (s * s),
-        "sy": (F.col("sy") - n * m) / s,
-        "sxy": (F.col("sxy") - m * F.col("sx")) / s,
-    })
+        "syy": (F.col("cyy") + n * (F.col("my") - m) ** 2) / (s * s),
+        "sy": n * (F.col("my") - m) / s,
+        "sxy": (F.col("cxy") + F.col("sx") * (F.col("my") - m)) / s,
+    }).drop("my", "cyy", "cxy")
 
 
 def gram(z_cells: DataFrame, grid: DataFrame, model: CurveModel) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cohortlens.functions import exact
 from cohortlens.functions.intervals import binomial_interval, t_quantile
 from cohortlens.functions.numbers import count_pct_label
 from cohortlens.operators.quantiles import group_quantiles
@@ -64,17 +65,24 @@ def mean_sd(df: DataFrame, group: Sequence[str], columns: Sequence[str], skip_mi
 
     Without ``skip_missing`` a single missing value makes both results missing.
     """
-    def stat(function, c: str) -> Column:
-        value = function(F.col(c))
-        return value if skip_missing else F.when(F.count(c) == F.count(F.lit(1)), value)
-
-    wide = df.groupBy(*group).agg(*[
-        F.struct(F.count(c).alias("n"), stat(F.avg, c).alias("mean"), stat(F.stddev_samp, c).alias("sd")).alias(c)
-        for c in columns
-    ])
+    sums = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__rows"), *[_moments(c).alias(c) for c in columns])
+
+    def stats(c: str) -> Column:
+        s = F.col(c)
+        known = F.lit(True) if skip_missing else s["n"] == F.col("__rows")
+        return F.struct(
+            s["n"].alias("n"), F.when(known, exact.mean(s["x"], s["n"])).alias("mean"),
+            F.when(known, exact.sample_sd(s["xx"], s["x"], s["n"])).alias("sd")).alias(c)
+
+    wide = sums.select(*group, *[stats(c) for c in columns])
     return wide.unpivot(list(group), list(columns), "variable", "s").select(*group, "variable", "s.n", "s.mean", "s.sd")
 
 
+def _moments(c: str) -> Column:
+    """Aggregate: rows, and digits of the exact sums of ``c`` and its square; the same under any partitioning."""
+    return F.struct(F.count(c).alias("n"), exact.sum_digits(c).alias("x"), exact.product_digits(c, c).alias("xx"))
+
+
 def quantiles_of(df: DataFrame, group: Sequence[str], columns: Sequence[str],
                  probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """Quantiles of several columns per group: columns ``group``, ``variable``, ``n``, ``q``."""
@@ -103,9 +111,10 @@ def proportions_with_interval(counts: DataFrame, method: str = "wilson", one_sid
 
 def mean_with_interval(df: DataFrame, group: Sequence[str], value: str, method: str = "normal") -> DataFrame:
     """Mean of ``value`` per group with a 95% interval: ``normal`` (1.96) or ``t``."""
-    stats = df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("__sd")
-    )
+    sums = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), _moments(value).alias("__s"))
+    s = F.col("__s")
+    stats = sums.select(
+        *group, "n", exact.mean(s["x"], s["n"]).alias("mean"), exact.sample_sd(s["xx"], s["x"], s["n"]).alias("__sd"))
     se = F.when(F.col("n") > 1, F.col("__sd") / F.sqrt("n"))
     width = F.lit(1.96) if method == "normal" else t_quantile(F.col("n") - 1)
     return stats.withColumn("se", se).select(
@@ -119,9 +128,11 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     The moments are a scalar subquery of one aggregate, so no window gathers the table.
     """
-    moments = df.agg(F.struct(*[
-        stat for c in columns
-        for stat in (F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_sd"))
+    sums = df.agg(*[_moments(c).alias(c) for c in columns])
+    moments = sums.select(F.struct(*[
+        stat for c in columns for stat in (
+            exact.mean(F.col(c)["x"], F.col(c)["n"]).alias(f"{c}_mean"),
+            exact.sample_sd(F.col(c)["xx"], F.col(c)["x"], F.col(c)["n"]).alias(f"{c}_sd"))
     ]).alias("m")).scalar()
     out = df.withColumn("__m", moments).select(*df.columns, "__m.*")
     return out.withColumns({f"{c}_z": (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_sd") for c in columns})
