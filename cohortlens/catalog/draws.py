@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortlens import standins
 from cohortlens.catalog.common import rounded
 from cohortlens.operators import posterior as P
+from cohortlens.operators import smoothing
 from cohortlens.oracle import base as o
 
 STATS = list(P.INTERVAL_STATS)
@@ -101,9 +102,15 @@ def pair_bins(spark, sf):
     return P.pair_bins(kept, standins.DRAW_VARIABLES, 0.25)
 
 
+def pair_density(spark, sf):
+    """Kernel density of every variable: the diagonal of the pairs plot."""
+    found = smoothing.kernel_density(_kept(spark, sf), ["variable"], "value", points=128)
+    return found.select("variable", "place", rounded("x").alias("x"), rounded("density").alias("density"))
+
+
 QUERIES = {f.__name__: f for f in (
     draw_names, exceedance_prob, posterior_interval, posterior_interval_rows, draws_summary, diagnostic_extremes, split_rhat,
-    rank_rhat, diagnostics_table, rhat_ess, trace_feed, pair_bins,
+    rank_rhat, diagnostics_table, rhat_ess, trace_feed, pair_bins, pair_density,
 )}
 
 _KEPT = "kept AS (SELECT * FROM long WHERE iteration > 50)"
@@ -191,7 +198,23 @@ def _diagnosed(model: str) -> list[str]:
 _PAIRS = [("b_exposureY", "b_baseline"), ("b_exposureY", "sigma"), ("b_baseline", "sigma"),
           ("b_exposureY", "b_exposureY"), ("b_baseline", "b_baseline"), ("sigma", "sigma")]
 
+_DENSITY = [
+    _KEPT,
+    """sc AS (SELECT variable, n, h, lo - 3 * h AS x0, (hi + 3 * h - (lo - 3 * h)) / 127 AS step FROM (
+      SELECT variable, count(*) AS n, min(value) AS lo, max(value) AS hi,
+        0.9 * CASE WHEN quantile_cont(value, 0.75) > quantile_cont(value, 0.25)
+          THEN least(stddev_samp(value), (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) / 1.34)
+          ELSE stddev_samp(value) END * power(count(*), -0.2) AS h
+      FROM kept GROUP BY variable))""",
+    """sh AS (SELECT variable, least(floor((value - x0) / step), 126) AS l, (value - x0) / step AS a FROM kept JOIN sc USING (variable))""",
+    """ce AS (SELECT variable, cell, sum(w) AS w FROM (
+      SELECT variable, l AS cell, l + 1 - a AS w FROM sh UNION ALL SELECT variable, l + 1, a - l FROM sh) GROUP BY ALL)""",
+]
+
 ORACLES = {
+    "pair_density": o.on("draws", """SELECT variable, CAST(place AS INTEGER) AS place, round(x0 + place * step, 6) AS x,
+        round(sum(w * exp(-0.5 * power((place - cell) * step / h, 2))) / (n * h * sqrt(2 * pi())), 6) AS density
+        FROM ce JOIN sc USING (variable), (SELECT unnest(range(0, 128)) AS place) GROUP BY variable, place, x0, step, n, h""", *_DENSITY),
     "draw_names": o.on("draws", """SELECT concat(regexp_replace(variable, '^b_', ''), '[', i, ']') AS variable, CAST(i AS INTEGER) AS index,
         count(*) AS n FROM (SELECT variable, iteration % 12 + 1 AS i FROM kept) GROUP BY variable, i""", _KEPT),
     "exceedance_prob": o.on("draws", """SELECT variable, round(avg(CASE WHEN value > 0.5 THEN 1 ELSE 0 END), 6) AS pval

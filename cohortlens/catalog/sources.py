@@ -53,9 +53,10 @@ def checkpoint_roundtrip(spark, sf):
 
 
 def exceedance_report(spark, sf):
-    """Share of draws under 0, kept as CSV and read back with three of its columns."""
+    """Share of draws after warm-up under 0, kept as CSV and read back with three of its columns."""
     root = new_path(spark, "results")
-    draws = to_long(standins.draws_wide(spark, sf), standins.DRAW_VARIABLES)
+    wide = standins.draws_wide(spark, sf).where(F.col("iteration") > standins.WARMUP_ITERATIONS)
+    draws = to_long(wide, standins.DRAW_VARIABLES)
     table = exceedance(draws, 0.0, above=False).select(
         F.lit("main").alias("model"), F.regexp_replace("variable", "^b_", "").alias("Term"),
         F.round("pval", 2).alias("pval"), F.lit("draws").alias("source"))
@@ -135,7 +136,7 @@ ORACLES = {
           SELECT variable, level, abnormal_bmd, count(*) AS n FROM ({_shares}) GROUP BY ALL))
         UNION ALL SELECT 'models', key, n FROM ({_model_counts()})""", "b AS (SELECT * FROM rk WHERE visit = 'baseline')"),
     "exceedance_report": o.on("draws", """SELECT 'main' AS model, regexp_replace(variable, '^b_', '') AS Term,
-        round(avg(CASE WHEN value < 0 THEN 1 ELSE 0 END), 2) AS pval FROM long GROUP BY variable"""),
+        round(avg(CASE WHEN value < 0 THEN 1 ELSE 0 END), 2) AS pval FROM long WHERE iteration > 50 GROUP BY variable"""),
     "draws_long": o.on("draws", "SELECT chain, iteration, draw, variable, value FROM long"),
     "draws_by_file": o.on("draws", "SELECT chain, iteration, variable, value FROM long"),
 }

@@ -10,6 +10,7 @@ from cohortlens.functions.intervals import _t_small
 from cohortlens.functions.numbers import mean_sd_label
 from cohortlens.operators import feeds
 from cohortlens.operators import hsgp as gp
+from cohortlens.operators import smoothing
 from cohortlens.operators import tables as T
 from cohortlens.operators.cleaning import at_thresholds
 from cohortlens.operators.ordering import number_rows
@@ -177,6 +178,12 @@ def binned_trend(spark, sf):
     return trend.select("bin", "n", rounded("mean").alias("mean"), rounded("sd").alias("sd"))
 
 
+def smoothed_trend(spark, sf):
+    """Local linear trend of the change over months on the drug, with its standard error."""
+    trend = smoothing.smoothed_trend(switch(spark, sf).where("TAF_fu = 1"), "TAF_duration_fu", "change_BMD_LS", 1.0, 12)
+    return trend.select("x", "n", *[rounded(c) for c in ("fit", "se", "lower", "upper")]).toDF("x", "n", "fit", "se", "lower", "upper")
+
+
 def baseline_change_corr(spark, sf):
     df, out = change(spark, sf), None
     for y in ("BMD_LS_Z_fu", "change_BMD_LS"):
@@ -190,7 +197,7 @@ QUERIES = {f.__name__: f for f in (
     median_iqr_by_group, characteristics_table, risk_factor_table, risk_factor_table_follow_up,
     multi_threshold_abnormal, crosstab_outcome, binom_ci, mean_ci_normal, mean_ci_t, standardise, factor_levels,
     ordered_row_id, grid_index, month_grid, unpivot_measures, long_predictors, pivot_summary, quartiles_by_group,
-    box_stats, box_stats_switch, binned_trend, baseline_change_corr,
+    box_stats, box_stats_switch, binned_trend, smoothed_trend, baseline_change_corr,
 )}
 
 # --- the same in SQL ------------------------------------------------------------------------
@@ -392,6 +399,21 @@ ORACLES = {
     "box_stats_switch": _box("sw", "s2", "TAF_fu_fct", "s2 AS (SELECT * FROM sw WHERE TAF_fu_fct IS NOT NULL)"),
     "binned_trend": o.on("sw", """SELECT floor(TAF_duration_fu) AS bin, count(*) AS n, round(avg(change_BMD_LS), 6) AS mean,
         round(stddev_samp(change_BMD_LS), 6) AS sd FROM sw WHERE TAF_fu = 1 AND TAF_duration_fu IS NOT NULL AND change_BMD_LS IS NOT NULL GROUP BY 1"""),
+    "smoothed_trend": o.on("sw", """SELECT x, n, round(fit, 6) AS fit, round(se, 6) AS se, round(fit - 1.96 * se, 6) AS lower,
+        round(fit + 1.96 * se, 6) AS upper FROM (
+          SELECT x, n, fit, CASE WHEN df > 1e-6 * s0 THEN sqrt(greatest(yy - fit * t0 - slope * t1, 0) / df
+            * greatest((s2 * s2 * q0 - 2 * s1 * s2 * q1 + s1 * s1 * q2) / (det * det), 0)) END AS se FROM (
+          SELECT *, (s2 * t0 - s1 * t1) / det AS fit, (s0 * t1 - s1 * t0) / det AS slope,
+            s0 - (s2 * q0 - 2 * s1 * q1 + s0 * q2) / det AS df FROM (
+          SELECT *, s0 * s2 - s1 * s1 AS det FROM (
+          SELECT CAST(g.b + 0.5 AS DOUBLE) AS x, count(*) AS n, sum(k) AS s0, sum(k * e) AS s1, sum(k * e * e) AS s2, sum(k * y) AS t0,
+            sum(k * e * y) AS t1, sum(k * y * y) AS yy, sum(k * k) AS q0, sum(k * k * e) AS q1, sum(k * k * e * e) AS q2
+          FROM (SELECT unnest(range((SELECT CAST(min(b) AS BIGINT) FROM pts), (SELECT CAST(max(b) AS BIGINT) FROM pts) + 1)) AS b) g,
+            LATERAL (SELECT v - (g.b + 0.5) AS e, y, power(1 - power(abs(pts.b - g.b) / 12.0, 3), 3) AS k FROM pts
+              WHERE abs(pts.b - g.b) < 12)
+          GROUP BY g.b)) WHERE det > 1e-9 * s0 * s2))""",
+        """pts AS (SELECT TAF_duration_fu AS v, floor(TAF_duration_fu) AS b, change_BMD_LS AS y FROM sw
+          WHERE TAF_fu = 1 AND TAF_duration_fu IS NOT NULL AND change_BMD_LS IS NOT NULL)"""),
     "baseline_change_corr": o.on("dc", _pair,
         "dd AS (SELECT * FROM dc UNION ALL BY NAME SELECT * REPLACE ('All' AS age_group) FROM dc)"),
 }
