@@ -62,10 +62,21 @@ def bayes_logit_flat(spark, sf):
     return bayes_logit_grid(spark, sf, intercept_sd=math.inf, effect_sd=math.inf)
 
 
+def bayes_logit_centred(spark, sf):
+    """Odds ratios of the three-level models with the intercept's prior on the mean of the design."""
+    cells = logit.logit_cells(_rows(spark, sf)["logistic"]).where("level <> 'per unit'")
+    three = cells.groupBy("model").agg(F.count(F.lit(1)).alias("levels")).where("levels = 3").select("model")
+    grid = logit.factor_grid(cells.join(three, "model"), points=61, centred=True)
+    effects = logit.odds_effects(logit.weighted_summary(grid, ["model", "level", "ord"]))
+    return effects.select("model", "level", "ord", *[rounded(c, 3).alias(c) for c in ("estimate", "exceedance", "mean", "sd")])
+
+
 def bayes_logit_number(spark, sf):
     """Odds ratio per unit of the numeric predictor."""
     cells = logit.logit_cells(_rows(spark, sf)["logistic"]).where("level = 'per unit'")
-    return logit.odds_effects(logit.weighted_summary(logit.numeric_grid(cells), ["model", "level", "ord"]))
+    effects = logit.odds_effects(logit.weighted_summary(logit.numeric_grid(cells), ["model", "level", "ord"]))
+    numbers = ("estimate", "lower", "upper", "exceedance", "mean", "sd")
+    return effects.select("model", "level", "ord", *[rounded(c, 3).alias(c) for c in numbers])
 
 
 def linear_suffstats(spark, sf):
@@ -128,7 +139,7 @@ def predictive_interval_bl(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    model_registry_rows, design_cells, logit_cells, bayes_logit_grid, bayes_logit_flat, bayes_logit_number, linear_suffstats, bayes_linear,
+    model_registry_rows, design_cells, logit_cells, bayes_logit_grid, bayes_logit_flat, bayes_logit_centred, bayes_logit_number, linear_suffstats, bayes_linear,
     effects_table, hsgp_basis, hsgp_cells, hsgp_posterior, hsgp_posterior_bl, gp_curve, predictive_interval,
     predictive_interval_bl,
 )}
@@ -193,11 +204,52 @@ _FLAT = _GRID.replace(" - (gamma - alpha) * (gamma - alpha) / 2", "").replace("
 _ODDS = """SELECT model, level, ord, round(exp(mean), 3) AS estimate, round(exp(lo), 3) AS lower,
         round(exp(hi), 3) AS upper, round(pa, 3) AS exceedance, round(mean, 3) AS mean, round(sqrt(m2 - mean * mean), 3) AS sd FROM qs"""
 
+# The numeric model: Newton steps and a dense grid over all distinct values of the predictor.
+_ETA = "1e0 / (1e0 + exp(-(a + b * x)))"
+_NUMBER = f"""nx AS (SELECT model, level, ord, x, CAST(n AS DOUBLE) AS n, CAST(k AS DOUBLE) AS k FROM ce WHERE level = 'per unit'),
+nw AS (SELECT 0 AS step, 0e0 AS a, 0e0 AS b, 0e0 AS h0, 0e0 AS h1, 0e0 AS h2 UNION ALL
+  SELECT step + 1, a + f * da, b + f * db, h0, h1, h2 FROM (SELECT *, least(1e0, 2e0 / greatest(abs(da), abs(db), 1e-300)) AS f FROM (
+    SELECT step, a, b, h0, h1, h2, (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS da, (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS db FROM (
+      SELECT step, a, b, sum(k - n * p) - a / 25e0 AS g0, sum((k - n * p) * x) - b AS g1, sum(n * p * (1 - p)) + 0.04e0 AS h0,
+        sum(n * p * (1 - p) * x) AS h1, sum(n * p * (1 - p) * x * x) + 1e0 AS h2
+      FROM (SELECT nw.step, nw.a, nw.b, nx.*, {_ETA} AS p FROM nw, nx WHERE nw.step < 25) GROUP BY step, a, b)))),
+mo AS (SELECT a, b, sqrt(h2 / (h0 * h2 - h1 * h1)) AS sa, sqrt(h0 / (h0 * h2 - h1 * h1)) AS sb, -h1 / sqrt(h0 * h2) AS rho FROM nw WHERE step = 25),
+s6 AS (SELECT unnest(range(0, 61)) AS i),
+ng AS (SELECT u.i, v.i AS j, mo.a + sa * 6e0 * (u.i / 30e0 - 1) AS ga, mo.b + sb * rho * 6e0 * (u.i / 30e0 - 1)
+    + sb * sqrt(1 - rho * rho) * 6e0 * (v.i / 30e0 - 1) AS gb, a AS ma, b AS mb FROM mo, s6 u, s6 v),
+nl AS (SELECT model, level, ord, i, j, ga, gb AS value,
+    sum({_ll('(ga + gb * x)', 'n', 'k')} - {_ll('(ma + mb * x)', 'n', 'k')}) - ga * ga / 50e0 - gb * gb / 2e0 AS lp
+  FROM ng, nx GROUP BY model, level, ord, i, j, ga, gb),
+nv AS (SELECT model, level, ord, value, exp(lp - max(lp) OVER ()) AS w FROM nl),
+cu AS (SELECT *, sum(w) OVER (PARTITION BY model, level ORDER BY value ROWS UNBOUNDED PRECEDING) AS cum,
+    sum(w) OVER (PARTITION BY model, level) AS total FROM nv),
+qs AS (SELECT model, level, ord, sum(w * value) / sum(w) AS mean, sum(w * value * value) / sum(w) AS m2,
+    min(value) FILTER (WHERE cum >= 0.025 * total) AS lo, min(value) FILTER (WHERE cum >= 0.975 * total) AS hi,
+    sum(CASE WHEN value > 0 THEN w ELSE 0 END) / sum(w) AS pa FROM cu GROUP BY model, level, ord)"""
+
+# Three levels with the prior on the mean of the design: the dense sum over intercept and both effects.
+_CENTRED = f"""tl AS (SELECT model, level, ord, CAST(n AS DOUBLE) AS n, CAST(k AS DOUBLE) AS k, ln((k + 0.5e0) / (n - k + 0.5e0)) AS c,
+    sqrt(1 / (k + 0.5e0) + 1 / (n - k + 0.5e0)) AS se, row_number() OVER (PARTITION BY model ORDER BY ord) AS place,
+    count(*) OVER (PARTITION BY model) AS levels, sum(n) OVER (PARTITION BY model) AS total FROM ce WHERE level <> 'per unit'),
+s6 AS (SELECT unnest(range(0, 61)) AS i),
+tg AS (SELECT model, level, ord, place, n / total AS share, i, c + se * 6e0 * (i / 30e0 - 1) AS eta,
+    {_ll('(c + se * 6e0 * (i / 30e0 - 1))', 'n', 'k')} - {_ll('c', 'n', 'k')} AS ll FROM tl, s6 WHERE levels = 3),
+tj AS (SELECT r.model, e.eta - r.eta AS be, f.eta - r.eta AS bf, e.level AS le, f.level AS lf, e.ord AS oe, f.ord AS of,
+    exp(r.ll + e.ll + f.ll - power(r.eta + e.share * (e.eta - r.eta) + f.share * (f.eta - r.eta), 2) / 50e0
+      - power(e.eta - r.eta, 2) / 2e0 - power(f.eta - r.eta, 2) / 2e0) AS w
+  FROM tg r JOIN tg e ON e.model = r.model AND e.place = 2 JOIN tg f ON f.model = r.model AND f.place = 3 WHERE r.place = 1),
+tq AS (SELECT model, le AS level, oe AS ord, be AS value, w FROM tj UNION ALL SELECT model, lf, of, bf, w FROM tj),
+ts AS (SELECT model, level, ord, sum(w * value) / sum(w) AS mean, sum(w * value * value) / sum(w) AS m2,
+    sum(CASE WHEN value > 0 THEN w ELSE 0 END) / sum(w) AS pa FROM tq GROUP BY ALL)"""
+
 _WIDTH = "(SELECT 1.5e0 * max(abs(x)) FROM gx)"
 _GX = """gm AS (SELECT unnest(range(0, CAST(round((SELECT max(TAF_duration_fu) FROM sw)) AS BIGINT) + 1)) AS months),
 gx AS (SELECT CAST(months + 1 AS INTEGER) AS x_index, (months - (SELECT avg(months) FROM gm)) / (SELECT stddev_samp(months) FROM gm) AS x FROM gm)"""
 
 ORACLES = {
+    "bayes_logit_number": o.on("rk", _ODDS, _BASE, _LOGISTIC, _CELLS, _NUMBER).replace("WITH ", "WITH RECURSIVE ", 1),
+    "bayes_logit_centred": o.on("rk", """SELECT model, level, ord, round(exp(mean), 3) AS estimate, round(pa, 3) AS exceedance, round(mean, 3) AS mean,
+        round(sqrt(m2 - mean * mean), 3) AS sd FROM ts""", _BASE, _LOGISTIC, _CELLS, _CENTRED),
     "model_registry_rows": o.on("sw", "SELECT family, study_id, model, level, ord, x, y, z FROM al", _BASE, _LOGISTIC, _LINEAR, _SWITCH, _ALL),
     "design_cells": o.on("sw", "SELECT family, model, level, ord, count(*) AS n FROM al GROUP BY ALL", _BASE, _LOGISTIC, _LINEAR, _SWITCH, _ALL),
     "logit_cells": o.on("rk", "SELECT model, level, ord, x, n, k FROM ce", _BASE, _LOGISTIC, _CELLS),

@@ -319,3 +319,43 @@ def test_autocovariances_of_any_span(spark, block, first):
     want = {t: c[:1000 - t] @ c[t:] for t in range(first, 1000)}
     assert got.keys() <= want.keys()
     assert [got.get(t, 0.0) for t in want] == pytest.approx(list(want.values()), rel=1e-9, abs=1e-9 * float(c @ c))
+
+
+def dense_three_levels(n, k, sd, effect_sd, points=161):
+    """Posterior mean and SD of both effects by a dense sum, the intercept's prior on the mean of the design."""
+    c = [math.log((b + 0.5) / (a - b + 0.5)) for a, b in zip(n, k, strict=True)]
+    se = [math.sqrt(1 / (b + 0.5) + 1 / (a - b + 0.5)) for a, b in zip(n, k, strict=True)]
+    eta = np.meshgrid(*[m + s * 6 * np.linspace(-1, 1, points) for m, s in zip(c, se, strict=True)], indexing="ij")
+    lp = sum(b * e - a * np.logaddexp(0, e) for a, b, e in zip(n, k, eta, strict=True))
+    effects = [eta[1] - eta[0], eta[2] - eta[0]]
+    middle = eta[0] + sum(m / sum(n) * e for m, e in zip(n[1:], effects, strict=True))
+    lp = lp - middle**2 / (2 * sd**2) - sum(e**2 for e in effects) / (2 * effect_sd**2)
+    w = np.exp(lp - lp.max())
+    w /= w.sum()
+    return [(float((w * e).sum()), float(np.sqrt((w * e**2).sum() - (w * e).sum() ** 2))) for e in effects]
+
+
+@pytest.mark.parametrize("sd", [5.0, 1.5])
+def test_centred_prior_couples_the_levels_as_in_the_dense_sum(spark, sd):
+    n, k = [40, 25, 60], [30, 6, 33]
+    cells = spark.createDataFrame([("m", "abc"[i], i, 0.0, n[i], k[i]) for i in range(3)], "model string, level string, ord int, x double, n long, k long")
+    got = {r["level"]: r for r in logit.weighted_summary(logit.factor_grid(cells, sd, 1.0, centred=True), ["model", "level", "ord"]).collect()}
+    for level, (mean, spread) in zip("bc", dense_three_levels(n, k, sd, 1.0), strict=True):
+        assert got[level]["mean"] == pytest.approx(mean, abs=1e-4) and got[level]["sd"] == pytest.approx(spread, rel=1e-4)
+
+
+def test_compressed_likelihood_equals_the_sum_over_rows(spark):
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(size=3000) * 3, [40.0, -25.0]])
+    y = rng.random(len(x)) < 1 / (1 + np.exp(0.5 - 0.8 * x))
+    rows = spark.createDataFrame([("m", "per unit", 1, float(a), int(b)) for a, b in zip(x, y, strict=True)], "model string, level string, ord int, x double, y int")
+    cells = logit.logit_cells(rows)
+    bins = logit.compressed(cells)
+    assert bins.count() <= logit.BINS
+    for a, b in ((0.0, 0.0), (-0.5, 0.8), (2.0, -1.5), (0.3, 0.3)):
+        got = bins.agg(F.sum(logit.compressed_loglik(F.lit(a), F.lit(b)))).first()[0]
+        eta = a + b * x
+        bound = 8.2e-5 * (abs(b) * (x.max() - x.min()) / 2 / logit.BINS) ** 7 * len(x)
+        assert abs(got - (y * eta - np.logaddexp(0, eta)).sum()) <= bound + 1e-8
+    one = logit.compressed(cells.where("x = 40")).first()  # one value: no width
+    assert one["half"] == 0 and one["m0"] == 1 and one["m1"] == 0
