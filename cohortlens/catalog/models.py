@@ -6,11 +6,13 @@ import math
 
 from pyspark.sql import functions as F
 
-from cohortlens.catalog.common import change, risk, rounded, switch
+from cohortlens.catalog.common import CONFIG, change, overrides, raw, risk, rounded, switch
 from cohortlens.operators import hsgp as gp
 from cohortlens.operators import linear, logit, registry
+from cohortlens.operators.cleaning import derive_risk
 from cohortlens.oracle import base as o
 from cohortlens.plans import models as M
+from cohortlens.plans.audit import audit_table, clean_with_audit, watched_models
 
 FAMILIES = {"logistic": registry.LOGISTIC, "linear": registry.LINEAR, "switch": registry.SWITCH}
 
@@ -49,6 +51,15 @@ def logit_cells(spark, sf):
     return logit.logit_cells(_rows(spark, sf)["logistic"])
 
 
+def cleaning_audit(spark, sf):
+    """Rows and texts lost from the raw panel to the rows of the logistic models, counted in the run that makes them."""
+    panel, audit = clean_with_audit(raw(spark, sf), overrides(spark, sf), CONFIG)
+    baseline = derive_risk(panel, CONFIG.main_threshold, CONFIG.osteoporosis_threshold).where("visit = 'baseline'")
+    seen = watched_models(audit, baseline, "logistic", registry.LOGISTIC, M.LOGISTIC_OUTCOME)
+    registry.registry_rows(seen, registry.LOGISTIC, M.LOGISTIC_OUTCOME).write.format("noop").mode("overwrite").save()
+    return audit_table(spark, audit.found())
+
+
 def bayes_logit_grid(spark, sf, **priors):
     """Odds ratios of the factor models."""
     cells = logit.logit_cells(_rows(spark, sf)["logistic"]).where("level <> 'per unit'")
@@ -139,7 +150,7 @@ def predictive_interval_bl(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    model_registry_rows, design_cells, logit_cells, bayes_logit_grid, bayes_logit_flat, bayes_logit_centred, bayes_logit_number, linear_suffstats, bayes_linear,
+    cleaning_audit, model_registry_rows, design_cells, logit_cells, bayes_logit_grid, bayes_logit_flat, bayes_logit_centred, bayes_logit_number, linear_suffstats, bayes_linear,
     effects_table, hsgp_basis, hsgp_cells, hsgp_posterior, hsgp_posterior_bl, gp_curve, predictive_interval,
     predictive_interval_bl,
 )}
@@ -246,7 +257,40 @@ _WIDTH = "(SELECT 1.5e0 * max(abs(x)) FROM gx)"
 _GX = """gm AS (SELECT unnest(range(0, CAST(round((SELECT max(TAF_duration_fu) FROM sw)) AS BIGINT) + 1)) AS months),
 gx AS (SELECT CAST(months + 1 AS INTEGER) AS x_index, (months - (SELECT avg(months) FROM gm)) / (SELECT stddev_samp(months) FROM gm) AS x FROM gm)"""
 
+def _losses(models) -> str:
+    parts = []
+    for m in models:
+        reasons = [("no outcome", f"({_OUTCOME}) IS NULL")]
+        if m.only:
+            reasons.append(("outside the group", f"coalesce(CAST({m.only[0]} AS VARCHAR) NOT IN ({', '.join(map(repr, m.only[1]))}), true)"))
+        reasons.append(("no predictor", f"{m.predictor} IS NULL"))
+        if m.levels is not None:
+            reasons.append(("undeclared level", f"CAST({m.predictor} AS VARCHAR) NOT IN ({', '.join(map(repr, m.levels))})"))
+        before = "false"
+        for reason, test in reasons:
+            parts.append(f"SELECT 'logistic' AS step, '{m.name}' AS item, '{reason}' AS reason, count(*) FILTER (WHERE NOT ({before}) AND ({test})) AS n FROM b")
+            before += f" OR coalesce({test}, false)"
+    return " UNION ALL ".join(parts)
+
+
+_UNREAD = {
+    "date_scan": o.MIXED_DATE, "vitD": o.VITAMIN, "PTH": f"CASE WHEN PTH IN ('ND', 'NR') THEN 0.0 ELSE {o.num('PTH')} END",
+    "NTX": o.num("NTX"), "P1NP": o.num("P1NP"), "CD4": o.num("CD4"), "CD4_nadir": o.num("CD4_nadir"), "TDF_duration": o.YEARS,
+    "TAF_duration": o.DURATION,
+}
+_AUDIT = " UNION ALL ".join([
+    f"SELECT 'text' AS step, '{c}' AS item, 'unreadable' AS reason, count(*) FILTER (WHERE {c} IS NOT NULL AND ({value}) IS NULL) AS n FROM cohort_raw"
+    for c, value in _UNREAD.items()
+] + [
+    "SELECT 'panel', 'rows', 'read', count(*) FROM cohort_raw", "SELECT 'panel', 'rows', 'kept', count(*) FROM cp",
+    """SELECT 'panel', 'rows', 'no baseline visit', count(*) FROM cohort_raw
+       WHERE study_id NOT IN (SELECT study_id FROM cohort_raw WHERE visit = 'baseline')""",
+    "SELECT 'panel', 'TAF_duration', 'exposed without duration', count(*) FROM cp WHERE TAF = 1 AND TAF_duration IS NULL",
+    _losses(registry.LOGISTIC),
+])
+
 ORACLES = {
+    "cleaning_audit": o.on("rk", _AUDIT, _BASE),
     "bayes_logit_number": o.on("rk", _ODDS, _BASE, _LOGISTIC, _CELLS, _NUMBER).replace("WITH ", "WITH RECURSIVE ", 1),
     "bayes_logit_centred": o.on("rk", """SELECT model, level, ord, round(exp(mean), 3) AS estimate, round(pa, 3) AS exceedance, round(mean, 3) AS mean,
         round(sqrt(m2 - mean * mean), 3) AS sd FROM ts""", _BASE, _LOGISTIC, _CELLS, _CENTRED),

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -126,6 +126,24 @@ def registry_rows(df: DataFrame, models: Sequence[Model], outcome: str, baseline
     return usable.where("y IS NOT NULL").select("study_id", "e.*", "y")
 
 
+def loss_counts(models: Sequence[Model], outcome: str, baseline: str = "CAST(NULL AS DOUBLE)") -> dict[tuple[str, str], Column]:
+    """Aggregates that count the rows ``registry_rows`` leaves out, by model and the first reason that holds."""
+    counts: dict[tuple[str, str], Column] = {}
+    for m in models:
+        reasons = [("no outcome", f"({outcome}) IS NULL")]
+        if m.only:
+            reasons.append(("outside the group", f"coalesce(CAST({m.only[0]} AS STRING) NOT IN ({_quoted(m.only[1])}), true)"))
+        reasons.append(("no predictor", f"{m.predictor} IS NULL"))
+        if m.levels is not None:
+            reasons.append(("undeclared level", f"CAST({m.predictor} AS STRING) NOT IN ({_quoted(m.levels)})"))
+        if m.adjusted:
+            reasons.append(("no baseline score", f"({baseline}) IS NULL"))
+        first = "CASE " + " ".join(f"WHEN {test} THEN '{reason}'" for reason, test in reasons) + " END"
+        for reason, _ in reasons:
+            counts[m.name, reason] = F.count_if(F.expr(f"coalesce({first} = '{reason}', false)"))
+    return counts
+
+
 def design_cells(rows: DataFrame) -> DataFrame:
     """Rows per model and level, with the place of the level in the design (0 is the reference)."""
     return rows.groupBy("model", "level", "ord").agg(F.count(F.lit(1)).alias("n"))

@@ -6,6 +6,8 @@ mergeable aggregate per subject, joined back on ``study_id``; adaptive execution
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,12 @@ NEEDED = [
 def read_text(raw: DataFrame, config: RunConfig) -> DataFrame:
     """Dates, numbers and durations out of text columns."""
     require_columns(raw, NEEDED, "the raw panel")
-    return raw.withColumns({
+    return raw.withColumns(readings(config))
+
+
+def readings(config: RunConfig) -> dict[str, Column]:
+    """What is read out of each text column."""
+    return {
         "date_scan": mixed_date("date_scan"),
         "vitD": lab_value("vitD", config.not_done),
         "PTH": lab_value("PTH", config.not_done, below_limit=False),
@@ -40,7 +47,7 @@ def read_text(raw: DataFrame, config: RunConfig) -> DataFrame:
         "CD4_nadir": number_or_null("CD4_nadir"),
         "TDF_duration": years_value("TDF_duration"),
         "TAF_duration": duration_months("TAF_duration"),
-    })
+    }
 
 
 def classify(read: DataFrame) -> DataFrame:
@@ -82,20 +89,27 @@ def treatment_regimen(visit: Column, drugs: list[Column], duration: Column, ov:
     return corrected(corrected(regimen, "ART_reg", 14, "string", ov), "ART_reg", 19, "string", ov)
 
 
-def clean_panel(raw: DataFrame, overrides: DataFrame, config: RunConfig = RunConfig()) -> DataFrame:
+def _unwatched(step: str, df: DataFrame) -> DataFrame:
+    return df
+
+
+def clean_panel(
+    raw: DataFrame, overrides: DataFrame, config: RunConfig = RunConfig(),
+    watch: Callable[[str, DataFrame], DataFrame] = _unwatched,
+) -> DataFrame:
     """Cleaned panel with carried values, treatment flags and the two-visit flag columns.
 
     Subjects without a baseline row drop out; every other row gives one row, also where a
     ``(study_id, visit)`` key repeats (its latest scan is the one that lends).  Corrections are
     attached once and used at the step they name; two that disagree on a cell, or one that does
-    not fit the cell's type, stop the run.
+    not fit the cell's type, stop the run.  ``watch`` is given the rows at the steps ``raw`` and ``panel`` and may attach metrics.
     """
     # Classes are made after the joins: one projection with everything would compile to a method too
     # long for machine code.
     values = read_text(raw, config)
     lent = lent_by_visit(values, ["date_scan", "TAF_duration", "TDF_exp", *DRUG_COLUMNS]).where("bl IS NOT NULL")
     corrections = override_values(overrides, CORRECTED_CELLS)
-    panel = values.join(lent, "study_id").join(corrections, "study_id", "left").withColumn("ov", own_overrides())
+    panel = read_text(watch("raw", raw), config).join(lent, "study_id").join(corrections, "study_id", "left").withColumn("ov", own_overrides())
     ov_bl, ov_fu = F.col("ov_bl"), F.col("ov_fu")
 
     def duration(value: str, ov: Column) -> Column:
@@ -136,7 +150,8 @@ def clean_panel(raw: DataFrame, overrides: DataFrame, config: RunConfig = RunCon
             F.col("bl.date_scan"), F.col("__duration_bl"),
         ),
         "TDF_exp": corrected(F.col("bl.TDF_exp"), "TDF_exp", 14, "string", ov_bl),
-    }).drop("bl", "fu", "ov", "ov_bl", "ov_fu", "__duration_bl", "__duration_fu").transform(classify)
+    }).drop("bl", "fu", "ov", "ov_bl", "ov_fu", "__duration_bl", "__duration_fu").transform(classify).transform(
+        lambda df: watch("panel", df))
 
 
 def change_scores(cleaned: DataFrame) -> DataFrame:

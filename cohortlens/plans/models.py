@@ -13,9 +13,11 @@ from cohortlens.operators.registry import LINEAR, LOGISTIC, SWITCH, registry_row
 from cohortlens.runtime import materialise
 
 
+LOGISTIC_OUTCOME = "CASE abnormal_bmd WHEN 'Abnormal' THEN 1 WHEN 'Normal' THEN 0 END"
+
+
 def logistic_rows(baseline: DataFrame) -> DataFrame:
-    return registry_rows(
-        baseline, LOGISTIC, "CASE abnormal_bmd WHEN 'Abnormal' THEN 1 WHEN 'Normal' THEN 0 END")
+    return registry_rows(baseline, LOGISTIC, LOGISTIC_OUTCOME)
 
 
 def linear_rows(change: DataFrame) -> DataFrame:
