@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.text import age_group_of_label, visit_of_label
 from cohortlens.operators import harmonise as H
-from cohortlens.sources.sheets import stack_sheets
+from cohortlens.sources.sheets import HeaderRules, harmonised
 from cohortlens.vocab import BIRTH_PLACE_RECODE, VIRAL_LOAD_SHEET_PLACEHOLDERS
 
 # --- fixed values: header spellings of the visit book -> one spelling each ----------------
@@ -59,36 +59,28 @@ EMPTY_SUBJECT = "select last 3"
 SUBJECT_DROPPED = ["foreign_born.1"]
 
 
-def visit_sheet(sheet: DataFrame, name: str) -> DataFrame:
-    """One visit sheet in canonical columns, all text."""
-    df = H.rewrite_headers(sheet.withColumnsRenamed(VISIT_SYNONYMS), VISIT_REWRITES)
-    df = H.rename_matching(df, DRUG_DETAIL, DRUG_HEADERS)
-    df = H.keep_columns(df, [*VISIT_COLUMNS, "Detail"]).where(F.col("`M/F`").isNotNull())
-    df = df.withColumns({"age_group": age_group_of_label(F.lit(name)), "visit": visit_of_label(F.lit(name))})
-    H.require_columns(df, [c for c in VISIT_COLUMNS if c not in ("Previous TAF",)], f"sheet {name!r}")
-    detail = F.col("Detail") if "Detail" in df.columns else F.lit(None).cast("string")
-    df = H.canonical(df.withColumn("__detail", detail), [*VISIT_COLUMNS, "__detail"])
-    df = df.withColumnsRenamed(VISIT_COLUMNS)
-    df = H.null_where(df, F.col("visit") == "follow-up", NOT_ASKED_AT_FOLLOW_UP)
-    df = H.fill_placeholder(df, "VL", VIRAL_LOAD_SHEET_PLACEHOLDERS, "__detail")
-    return df.select(*VISIT_COLUMNS.values())
+VISIT_RULES = HeaderRules(
+    columns=[c for c in VISIT_COLUMNS if c not in ("age_group", "visit")] + ["Detail"],
+    required=[c for c in VISIT_COLUMNS if c not in ("age_group", "visit", "Previous TAF")],
+    synonyms=VISIT_SYNONYMS, rewrites=VISIT_REWRITES, listed=(DRUG_DETAIL, DRUG_HEADERS),
+)
+SUBJECT_RULES = HeaderRules(columns=list(SUBJECT_COLUMNS), required=["Subject ID"], rewrites=SUBJECT_REWRITES)
 
 
 def visit_book(book: DataFrame, sheets: Sequence[str]) -> DataFrame:
-    """All visit sheets stacked; plain number columns typed, the dirty ones left as text."""
-    stacked = stack_sheets(book, sheets, visit_sheet)
-    return stacked.withColumns({c: F.col(c).try_cast("double") for c in NUMBER_COLUMNS})
-
-
-def subject_sheet(sheet: DataFrame, name: str) -> DataFrame:
-    df = H.rewrite_headers(sheet, SUBJECT_REWRITES)
-    df = H.keep_columns(df, list(SUBJECT_COLUMNS)).where(F.col("Subject ID").isNotNull())
-    return H.canonical(df, list(SUBJECT_COLUMNS)).toDF(*SUBJECT_COLUMNS.values())
+    """All visit sheets in canonical columns; plain number columns typed, the dirty ones left as text."""
+    df = harmonised(book, sheets, VISIT_RULES).where(F.col("`M/F`").isNotNull())
+    df = df.withColumns({"age_group": age_group_of_label(F.col("sheet")), "visit": visit_of_label(F.col("sheet"))})
+    df = df.withColumnsRenamed(VISIT_COLUMNS)
+    df = H.null_where(df, F.col("visit") == "follow-up", NOT_ASKED_AT_FOLLOW_UP)
+    df = H.fill_placeholder(df, "VL", VIRAL_LOAD_SHEET_PLACEHOLDERS, "Detail")
+    return df.select(*VISIT_COLUMNS.values()).withColumns({c: F.col(c).try_cast("double") for c in NUMBER_COLUMNS})
 
 
 def subject_book(book: DataFrame, sheets: Sequence[str], prefix: str) -> DataFrame:
-    """All subject sheets stacked, placeholder rows out, with the composed study id in front."""
-    df = stack_sheets(book, sheets, subject_sheet).drop(*SUBJECT_DROPPED)
+    """All subject sheets in canonical columns, placeholder rows out, with the composed study id in front."""
+    df = harmonised(book, sheets, SUBJECT_RULES).where(F.col("`Subject ID`").isNotNull())
+    df = df.select(*[F.col(f"`{c}`").alias(name) for c, name in SUBJECT_COLUMNS.items()]).drop(*SUBJECT_DROPPED)
     df = df.where(~F.col("pt_id").eqNullSafe(EMPTY_SUBJECT))
     df = H.recode(df, "foreign_born", {"select choice": BIRTH_PLACE_RECODE["select choice"]})
     return df.select(H.compose_id(prefix, "age_gp", "pt_id").alias("study_id"), *df.columns)
