@@ -216,14 +216,18 @@ def _n_pct(source: str, columns, outcome: str) -> str:
         SELECT variable, level, {outcome}, count(*) AS n FROM ({_levels(source, columns, outcome)}) GROUP BY ALL))"""
 
 
-# favg() is DuckDB's compensated average: avg() depends on the order in which its threads add up, and gave two answers for one
-# mean that is a tie at the sixth decimal.
+def _mean(c: str) -> str:
+    """Mean of an exact sum of whole multiples of 2^-60: avg() and favg() depend on the order in which threads add up, and
+    gave two answers for a mean that is a tie at the sixth decimal."""
+    return f"CAST(sum(CAST({c} * 1152921504606846976e0 AS HUGEINT)) AS DOUBLE) / 1152921504606846976e0 / count({c})"
+
+
 def _avg(source: str, group: str, columns, skip: bool) -> str:
     def guard(c, f):
         return f if skip else f"CASE WHEN count({c}) = count(*) THEN {f} END"
 
     return " UNION ALL ".join(
-        f"""SELECT {group}, '{c}' AS variable, count({c}) AS n, {guard(c, f'favg({c})')} AS mean,
+        f"""SELECT {group}, '{c}' AS variable, count({c}) AS n, {guard(c, _mean(c))} AS mean,
         {guard(c, f'stddev_samp({c})')} AS sd FROM {source} GROUP BY {group}""" for c in columns)
 
 
@@ -324,7 +328,7 @@ _Z = 1.959963984540054
 def _mean_ci(width: str) -> str:
     return o.on("dc", f"""SELECT variable, value, n, round(mean, 6) AS mean, round(se, 6) AS se,
         round(mean - {width} * se, 6) AS lower, round(mean + {width} * se, 6) AS upper FROM (
-        SELECT variable, value, count(*) AS n, favg(change_BMD_LS) AS mean,
+        SELECT variable, value, count(*) AS n, {_mean('change_BMD_LS')} AS mean,
         CASE WHEN count(*) > 1 THEN stddev_samp(change_BMD_LS) / sqrt(count(*)) END AS se FROM lg GROUP BY ALL) WHERE mean IS NOT NULL""",
         _LONG)
 
@@ -374,8 +378,8 @@ ORACLES = {
     "binom_ci": _binom(),
     "mean_ci_normal": _mean_ci("1.96"),
     "mean_ci_t": _mean_ci(_t_quantile("(n - 1)")),
-    "standardise": o.on("sw", """SELECT study_id, round((change_BMD_LS - m) / s, 6) AS change_BMD_LS_z, round(m, 6) AS change_BMD_LS_mean,
-        round(s, 6) AS change_BMD_LS_sd FROM sw, (SELECT favg(change_BMD_LS) AS m, stddev_samp(change_BMD_LS) AS s FROM sw)"""),
+    "standardise": o.on("sw", f"""SELECT study_id, round((change_BMD_LS - m) / s, 6) AS change_BMD_LS_z, round(m, 6) AS change_BMD_LS_mean,
+        round(s, 6) AS change_BMD_LS_sd FROM sw, (SELECT {_mean('change_BMD_LS')} AS m, stddev_samp(change_BMD_LS) AS s FROM sw)"""),
     "factor_levels": o.on("rk", f"""SELECT variable, level, ord, n FROM (SELECT variable, level, count(*) AS n FROM (
         {_levels('b', ['age_group', 'VL', 'ART_reg', 'bmi_cat', 'smoke', 'TDF_exp', 'PA', 'abnormal_vitD'])})
         WHERE level IS NOT NULL GROUP BY ALL) LEFT JOIN lv USING (variable, level)""", _BASE,
@@ -399,7 +403,7 @@ ORACLES = {
     "quartiles_by_group": o.on("rk", f"SELECT age_group, variable, n, {_Q3} FROM ({_quart('bb', 'age_group', MEASURES)})", _BASE, _BOTH),
     "box_stats": _box("dc", "lg", "variable, value", _LONG),
     "box_stats_switch": _box("sw", "s2", "TAF_fu_fct", "s2 AS (SELECT * FROM sw WHERE TAF_fu_fct IS NOT NULL)"),
-    "binned_trend": o.on("sw", """SELECT floor(TAF_duration_fu) AS bin, count(*) AS n, round(favg(change_BMD_LS), 6) AS mean,
+    "binned_trend": o.on("sw", f"""SELECT floor(TAF_duration_fu) AS bin, count(*) AS n, round({_mean('change_BMD_LS')}, 6) AS mean,
         round(stddev_samp(change_BMD_LS), 6) AS sd FROM sw WHERE TAF_fu = 1 AND TAF_duration_fu IS NOT NULL AND change_BMD_LS IS NOT NULL GROUP BY 1"""),
     "smoothed_trend": o.on("sw", """SELECT x, n, round(fit, 6) AS fit, round(se, 6) AS se, round(fit - 1.96 * se, 6) AS lower,
         round(fit + 1.96 * se, 6) AS upper FROM (

@@ -7,104 +7,105 @@ far larger than the spread.  Group totals are put together in double-double arit
 
 The grid reaches from 2^-96 (smaller parts of a value are rounded to it) to sums of about 2^110, beyond which the
 aggregate stops with an overflow.  Values must be finite.
+
+Arguments are SQL text (column names or expressions): the expressions are long, and one parsed text is far cheaper to
+build than thousands of column objects.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIGIT = 24
 LOWEST = -96
 DIGITS = 7
-_SPLIT = float((1 << 27) + 1)  # fixed value: halves a 53-bit mantissa
+_SPLIT = (1 << 27) + 1  # fixed value: halves a 53-bit mantissa
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, however often the body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def _power(e: int) -> str:
+    return f"{2.0 ** e!r}D"
 
 
-def _digit(v: Column, k: int) -> Column:
+def _digit(v: str, k: int) -> str:
     low = LOWEST + DIGIT * k
-    part = F.rint(v * 2.0 ** -low)
-    return part if k == DIGITS - 1 else part - F.rint(v * 2.0 ** -(low + DIGIT)) * 2.0 ** DIGIT
+    part = f"rint({v} * {_power(-low)})"
+    return part if k == DIGITS - 1 else f"({part} - rint({v} * {_power(-low - DIGIT)}) * {_power(DIGIT)})"
 
 
-def sum_digits(*values: Column | str) -> Column:
-    """Aggregate: the digits of the exact sum of one or more columns together; missing values are skipped."""
-    columns = [(F.col(v) if isinstance(v, str) else v).cast("double") for v in values]
+def _digits(values: list[str]) -> Column:
+    sums = [f"coalesce(sum(CAST({' + '.join(_digit(v, k) for v in values)} AS BIGINT)), 0L)" for k in range(DIGITS)]
+    return F.expr(f"array({', '.join(sums)})")
 
-    def digit(k: int) -> Column:
-        total = _digit(columns[0], k)
-        for c in columns[1:]:
-            total = total + _digit(c, k)
-        return total
 
-    return F.array(*[F.coalesce(F.sum(digit(k).cast("bigint")), F.lit(0).cast("bigint")) for k in range(DIGITS)])
+def sum_digits(value: str) -> Column:
+    """Aggregate: the digits of the exact sum; missing values are skipped."""
+    return _digits([f"CAST({value} AS DOUBLE)"])
 
 
-def _product_error(x: Column, y: Column) -> Column:
+def _product_error(x: str, y: str) -> str:
     """What rounding took off ``x * y``, exactly."""
-    def high(v: Column) -> Column:
-        return v * _SPLIT - (v * _SPLIT - v)
+    def high(v: str) -> str:
+        return f"({v} * {_SPLIT}D - ({v} * {_SPLIT}D - {v}))"
 
     xh, yh = high(x), high(y)
-    xl, yl = x - xh, y - yh
-    return xl * yl - (((x * y - xh * yh) - xl * yh) - xh * yl)
+    xl, yl = f"({x} - {xh})", f"({y} - {yh})"
+    return f"({xl} * {yl} - ((({x} * {y} - {xh} * {yh}) - {xl} * {yh}) - {xh} * {yl}))"
 
 
-def product_digits(x: Column | str, y: Column | str) -> Column:
+def product_digits(x: str, y: str) -> Column:
     """Aggregate: the digits of the exact sum of products; pairs with a missing value are skipped."""
-    a, b = ((F.col(v) if isinstance(v, str) else v).cast("double") for v in (x, y))
-    return sum_digits(a * b, _product_error(a, b))
+    a, b = f"CAST({x} AS DOUBLE)", f"CAST({y} AS DOUBLE)"
+    return _digits([f"({a} * {b})", _product_error(a, b)])
 
 
-def _two_sum(a: Column, b: Column) -> Column:
-    return let(a + b, lambda s: let(s - a, lambda t: F.struct(s.alias("hi"), ((a - (s - t)) + (b - t)).alias("lo"))))
+def _two_sum(name: str, a: str, b: str, body: str) -> str:
+    """``body`` with ``name`` standing for the struct (hi, lo) of the exact sum of ``a`` and ``b``."""
+    s, t = f"{name}_s", f"{name}_t"
+    pair = _let(s, f"{a} + {b}", _let(t, f"{s} - {a}", f"named_struct('hi', {s}, 'lo', ({a} - ({s} - {t})) + ({b} - {t}))"))
+    return _let(name, pair, body)
 
 
-def total(digits: Column) -> Column:
-    """The sum that ``digits`` stand for, as a struct of two doubles whose exact sum it is (to 106 bits)."""
-    zero = F.lit(0.0)
-    start = F.struct(F.lit(0).cast("bigint").alias("carry"), zero.alias("hi"), zero.alias("lo"), F.lit(2.0 ** LOWEST).alias("unit"))
+def _total(name: str, digits: str, body: str) -> str:
+    """``body`` with ``name`` standing for the struct (hi, lo) of the sum that ``digits`` stand for, to 106 bits."""
+    start = f"named_struct('carry', 0L, 'hi', 0D, 'lo', 0D, 'unit', {_power(LOWEST)})"
+    step = _two_sum(
+        "w", f"CAST(t - shiftleft(c, {DIGIT}) AS DOUBLE) * acc.unit", "acc.hi",
+        f"named_struct('carry', c, 'hi', w.hi, 'lo', acc.lo + w.lo, 'unit', acc.unit * {_power(DIGIT)})")
+    add = _let("t", "s + acc.carry", _let("c", f"shiftright(t + {1 << DIGIT - 1}L, {DIGIT})", step))
+    finish = _two_sum("f", "CAST(acc.carry AS DOUBLE) * acc.unit", "acc.hi", _two_sum("g", "f.hi", "(acc.lo + f.lo)", "g"))
+    return _let(name, f"aggregate({digits}, {start}, (acc, s) -> {add}, acc -> {finish})", body)
 
-    def add(acc: Column, s: Column) -> Column:
-        return let(s + acc["carry"], lambda t: let(F.shiftright(t + (1 << DIGIT - 1), DIGIT), lambda c: let(
-            _two_sum((t - F.shiftleft(c, DIGIT)).cast("double") * acc["unit"], acc["hi"]),
-            lambda two: F.struct(
-                c.alias("carry"), two["hi"].alias("hi"), (acc["lo"] + two["lo"]).alias("lo"), (acc["unit"] * 2.0 ** DIGIT).alias("unit")),
-        )))
 
-    def finish(acc: Column) -> Column:
-        return let(_two_sum(acc["carry"].cast("double") * acc["unit"], acc["hi"]), lambda two: _two_sum(two["hi"], acc["lo"] + two["lo"]))
+def as_double(digits: str) -> Column:
+    return F.expr(_total("a", digits, "a.hi + a.lo"))
 
-    return F.aggregate(digits, start, add, finish)
 
-
-def as_double(digits: Column) -> Column:
-    return let(total(digits), lambda s: s["hi"] + s["lo"])
+def mean(digits: str, n: str) -> Column:
+    """The mean; NULL without rows."""
+    return F.expr(f"CASE WHEN {n} > 0 THEN {_total('a', digits, 'a.hi + a.lo')} / {n} END")
 
 
-def mean(digits: Column, n: Column) -> Column:
-    """The mean; NULL without rows."""
-    return F.when(n > 0, as_double(digits) / n)
+def _comoment(products: str, x: str, y: str, n: str) -> str:
+    # Σ xy − (Σ x)(Σ y) / n, quotient and difference carried in two doubles
+    m = f"CAST({n} AS DOUBLE)"
+    last = _let("rest", f"((h - q * {m}) - {_product_error('q', m)} + low) / {m}", _two_sum("d", "p.hi", "(-q)", "d.hi + ((d.lo - rest) + p.lo)"))
+    product = _let("h", "a.hi * b.hi", _let(
+        "low", f"{_product_error('a.hi', 'b.hi')} + (a.hi * b.lo + a.lo * b.hi)", _let("q", f"h / {m}", last)))
+    inner = _let("b", "a", product) if x == y else _total("b", y, product)
+    return f"CASE WHEN {n} > 0 THEN {_total('p', products, _total('a', x, inner))} END"
 
 
-def comoment(products: Column, x: Column, y: Column, n: Column) -> Column:
+def comoment(products: str, x: str, y: str, n: str) -> Column:
     """Σ (x − mean x)(y − mean y) from the digits of Σ xy, Σ x and Σ y; NULL without rows."""
-    def spread(p: Column, a: Column, b: Column) -> Column:
-        # Σ xy − (Σ x)(Σ y) / n, quotient and difference carried in two doubles
-        return let(a["hi"] * b["hi"], lambda h: let(
-            _product_error(a["hi"], b["hi"]) + (a["hi"] * b["lo"] + a["lo"] * b["hi"]), lambda low: let(h / n, lambda q: let(
-                ((h - q * n) - _product_error(q, n.cast("double")) + low) / n, lambda rest: let(
-                    _two_sum(p["hi"], -q), lambda d: d["hi"] + ((d["lo"] - rest) + p["lo"]))))))
-
-    return F.when(n > 0, let(total(products), lambda p: let(total(x), lambda a: let(total(y), lambda b: spread(p, a, b)))))
+    return F.expr(_comoment(products, x, y, n))
 
 
-def sample_sd(products: Column, x: Column, n: Column) -> Column:
+def sample_sd(products: str, x: str, n: str) -> Column:
     """Sample SD from the digits of Σ x² and Σ x; NULL for fewer than two rows."""
-    return F.when(n > 1, F.sqrt(F.greatest(comoment(products, x, x, n), F.lit(0.0)) / (n - 1)))
+    return F.expr(f"CASE WHEN {n} > 1 THEN sqrt(greatest({_comoment(products, x, x, n)}, 0D) / ({n} - 1)) END")

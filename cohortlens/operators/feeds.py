@@ -40,9 +40,8 @@ def box_stats(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 def binned_trend(df: DataFrame, x: str, y: str, width: float = 1.0) -> DataFrame:
     """Mean and SD of ``y`` in bins of ``x``, from exact sums: the trend behind a scatter plot."""
     sums = _known(df, x, y).groupBy((F.floor(F.col(x) / width) * width).cast("double").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), exact.sum_digits(y).alias("__y"), exact.product_digits(y, y).alias("__yy"))
-    n, s = F.col("n"), F.col("__y")
-    return sums.select("bin", "n", exact.mean(s, n).alias("mean"), exact.sample_sd(F.col("__yy"), s, n).alias("sd"))
+        F.count(F.lit(1)).alias("n"), exact.sum_digits(f"`{y}`").alias("__y"), exact.product_digits(f"`{y}`", f"`{y}`").alias("__yy"))
+    return sums.select("bin", "n", exact.mean("__y", "n").alias("mean"), exact.sample_sd("__yy", "__y", "n").alias("sd"))
 
 
 def _known(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -52,13 +51,12 @@ def _known(df: DataFrame, x: str, y: str) -> DataFrame:
 def pair_association(df: DataFrame, x: str, y: str, group: str) -> DataFrame:
     """Correlation and least-squares line of ``y`` on ``x``, per group and overall; one pass of exact sums."""
     sums = with_overall(_known(df, x, y), group).groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), exact.sum_digits(x).alias("__x"), exact.sum_digits(y).alias("__y"),
-        exact.product_digits(x, x).alias("__xx"), exact.product_digits(x, y).alias("__xy"), exact.product_digits(y, y).alias("__yy"))
-    n, sx, sy = F.col("n"), F.col("__x"), F.col("__y")
+        F.count(F.lit(1)).alias("n"), exact.sum_digits(f"`{x}`").alias("__x"), exact.sum_digits(f"`{y}`").alias("__y"),
+        *[exact.product_digits(f"`{a}`", f"`{b}`").alias(name) for name, a, b in (("__xx", x, x), ("__xy", x, y), ("__yy", y, y))])
     found = sums.select(
-        group, "n", exact.mean(sx, n).alias("__mx"), exact.mean(sy, n).alias("__my"),
-        exact.comoment(F.col("__xx"), sx, sx, n).alias("__cxx"), exact.comoment(F.col("__xy"), sx, sy, n).alias("__cxy"),
-        exact.comoment(F.col("__yy"), sy, sy, n).alias("__cyy"))
+        group, "n", exact.mean("__x", "n").alias("__mx"), exact.mean("__y", "n").alias("__my"),
+        exact.comoment("__xx", "__x", "__x", "n").alias("__cxx"), exact.comoment("__xy", "__x", "__y", "n").alias("__cxy"),
+        exact.comoment("__yy", "__y", "__y", "n").alias("__cyy"))
     cxx, cxy, cyy = F.col("__cxx"), F.col("__cxy"), F.col("__cyy")
     slope = F.try_divide(cxy, F.when(cxx > 0, cxx))
     return found.select(

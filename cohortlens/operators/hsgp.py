@@ -106,12 +106,10 @@ def cells(rows: DataFrame) -> DataFrame:
     sums = rows.groupBy("exposed", "x_index").agg(
         F.count(F.lit(1)).alias("n"), exact.sum_digits("y").alias("__y"), exact.sum_digits("x_bl").alias("__x"),
         *[exact.product_digits(a, b).alias(name) for name, a, b in (("__yy", "y", "y"), ("__xx", "x_bl", "x_bl"), ("__xy", "x_bl", "y"))])
-    n, sy, sx = F.col("n"), F.col("__y"), F.col("__x")
     return sums.select(
-        "exposed", "x_index", "n", exact.as_double(sy).alias("sy"), exact.as_double(F.col("__yy")).alias("syy"),
-        exact.as_double(sx).alias("sx"), exact.as_double(F.col("__xx")).alias("sxx"), exact.as_double(F.col("__xy")).alias("sxy"),
-        exact.mean(sy, n).alias("my"), exact.comoment(F.col("__yy"), sy, sy, n).alias("cyy"),
-        exact.comoment(F.col("__xy"), sx, sy, n).alias("cxy"))
+        "exposed", "x_index", "n", *[exact.as_double(f"__{c}").alias(f"s{c}") for c in ("y", "yy", "x", "xx", "xy")],
+        exact.mean("__y", "n").alias("my"), exact.comoment("__yy", "__y", "__y", "n").alias("cyy"),
+        exact.comoment("__xy", "__x", "__y", "n").alias("cxy"))
 
 
 def standardised_cells(raw_cells: DataFrame) -> DataFrame:

@@ -32,15 +32,14 @@ def _sums(rows: DataFrame) -> DataFrame:
 
 def linear_suffstats(rows: DataFrame) -> DataFrame:
     """Sums and products per model and level, independent of the order of the rows."""
-    return _sums(rows).select("model", "level", "ord", "n", *[exact.as_double(F.col(c)).alias(c) for c in SUMS[1:]])
+    return _sums(rows).select("model", "level", "ord", "n", *[exact.as_double(c).alias(c) for c in SUMS[1:]])
 
 
 def linear_moments(rows: DataFrame) -> DataFrame:
     """Rows, means ``my, mz, mx`` and centred products ``cyy .. cxz`` per model and level."""
-    n = F.col("n")
     return _sums(rows).select(
-        "model", "level", "ord", "n", *[exact.mean(F.col(f"s{c}"), n).alias(f"m{c}") for c in "yzx"],
-        *[exact.comoment(F.col(f"s{p}"), F.col(f"s{p[0]}"), F.col(f"s{p[1]}"), n).alias(f"c{p}") for p in PAIRS])
+        "model", "level", "ord", "n", *[exact.mean(f"s{c}", "n").alias(f"m{c}") for c in "yzx"],
+        *[exact.comoment(f"s{p}", f"s{p[0]}", f"s{p[1]}", "n").alias(f"c{p}") for p in PAIRS])
 
 
 def _gram(pdf: pd.DataFrame, numeric: bool, adjusted: bool, centred: bool):

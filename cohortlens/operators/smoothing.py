@@ -34,7 +34,7 @@ def smoothed_trend(df: DataFrame, x: str, y: str, width: float = 1.0, reach: int
     bins = known.groupBy(*by, "__bin").agg(
         F.count(F.lit(1)).alias("__n"), exact.sum_digits("__u").alias("u"), exact.sum_digits("__y").alias("y"),
         *[exact.product_digits(a, b).alias(name) for name, (a, b) in products.items()])
-    bins = bins.select(*by, "__bin", F.col("__n").cast("double").alias("n"), *[exact.as_double(F.col(c)).alias(c) for c in ("u", "y", *products)])
+    bins = bins.select(*by, "__bin", F.col("__n").cast("double").alias("n"), *[exact.as_double(c).alias(c) for c in ("u", "y", *products)])
 
     steps = F.sequence(F.lit(1 - reach), F.lit(reach - 1))
     near = bins.select("*", F.explode(steps).alias("__d"))  # the bin lies __d bins right of the point
@@ -81,7 +81,7 @@ def kernel_density(df: DataFrame, by: Sequence[str], value: str, points: int = 1
         exact.sum_digits("__v").alias("__s"), exact.product_digits("__v", "__v").alias("__ss"))
     q = group_quantiles(known, by, "__v", [0.25, 0.75]).select(*by, "q")
     n = F.col("__n")
-    sd = F.coalesce(exact.sample_sd(F.col("__ss"), F.col("__s"), n), F.lit(0.0))
+    sd = F.coalesce(exact.sample_sd("__ss", "__s", "__n"), F.lit(0.0))
     scale = null_safe_join(sums, q, by).withColumn("__h", rule_of_thumb(sd, F.col("q")[0], F.col("q")[1], n)).withColumn(
         "__from", F.col("__min") - cut * F.col("__h")).select(
         *by, "__n", "__h", "__from", ((F.col("__max") + cut * F.col("__h") - F.col("__from")) / (points - 1)).alias("__step"))
@@ -91,7 +91,7 @@ def kernel_density(df: DataFrame, by: Sequence[str], value: str, points: int = 1
         F.struct(left.alias("cell"), (left + 1 - at).alias("w")), F.struct((left + 1).alias("cell"), (at - left).alias("w")))
     keys = [*by, "__n", "__h", "__from", "__step"]
     cells = null_safe_join(known, scale, by).select(*keys, F.inline(shares)).groupBy(*keys, "cell").agg(
-        exact.sum_digits("w").alias("__w")).withColumn("w", exact.as_double(F.col("__w")))
+        exact.sum_digits("w").alias("__w")).withColumn("w", exact.as_double("__w"))
     spread = cells.select(*keys, "cell", "w", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("place"))
     z = (F.col("place") - F.col("cell")) * F.col("__step") / F.col("__h")
     height = F.sum(F.col("w") * F.exp(-0.5 * z * z)) / (F.col("__n") * F.col("__h") * math.sqrt(2 * math.pi))

@@ -68,11 +68,10 @@ def mean_sd(df: DataFrame, group: Sequence[str], columns: Sequence[str], skip_mi
     sums = df.groupBy(*group).agg(F.count(F.lit(1)).alias("__rows"), *[_moments(c).alias(c) for c in columns])
 
     def stats(c: str) -> Column:
-        s = F.col(c)
-        known = F.lit(True) if skip_missing else s["n"] == F.col("__rows")
-        return F.struct(
-            s["n"].alias("n"), F.when(known, exact.mean(s["x"], s["n"])).alias("mean"),
-            F.when(known, exact.sample_sd(s["xx"], s["x"], s["n"])).alias("sd")).alias(c)
+        n = F.col(f"`{c}`.n")
+        known = F.lit(True) if skip_missing else n == F.col("__rows")
+        mean, sd = _mean_and_sd(c)
+        return F.struct(n.alias("n"), F.when(known, mean).alias("mean"), F.when(known, sd).alias("sd")).alias(c)
 
     wide = sums.select(*group, *[stats(c) for c in columns])
     return wide.unpivot(list(group), list(columns), "variable", "s").select(*group, "variable", "s.n", "s.mean", "s.sd")
@@ -80,7 +79,13 @@ def mean_sd(df: DataFrame, group: Sequence[str], columns: Sequence[str], skip_mi
 
 def _moments(c: str) -> Column:
     """Aggregate: rows, and digits of the exact sums of ``c`` and its square; the same under any partitioning."""
-    return F.struct(F.count(c).alias("n"), exact.sum_digits(c).alias("x"), exact.product_digits(c, c).alias("xx"))
+    return F.struct(
+        F.count(c).alias("n"), exact.sum_digits(f"`{c}`").alias("x"), exact.product_digits(f"`{c}`", f"`{c}`").alias("xx"))
+
+
+def _mean_and_sd(moments: str) -> tuple[Column, Column]:
+    n, x, xx = (f"`{moments}`.{part}" for part in ("n", "x", "xx"))
+    return exact.mean(x, n), exact.sample_sd(xx, x, n)
 
 
 def quantiles_of(df: DataFrame, group: Sequence[str], columns: Sequence[str],
@@ -112,9 +117,8 @@ def proportions_with_interval(counts: DataFrame, method: str = "wilson", one_sid
 def mean_with_interval(df: DataFrame, group: Sequence[str], value: str, method: str = "normal") -> DataFrame:
     """Mean of ``value`` per group with a 95% interval: ``normal`` (1.96) or ``t``."""
     sums = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), _moments(value).alias("__s"))
-    s = F.col("__s")
-    stats = sums.select(
-        *group, "n", exact.mean(s["x"], s["n"]).alias("mean"), exact.sample_sd(s["xx"], s["x"], s["n"]).alias("__sd"))
+    mean, sd = _mean_and_sd("__s")
+    stats = sums.select(*group, "n", mean.alias("mean"), sd.alias("__sd"))
     se = F.when(F.col("n") > 1, F.col("__sd") / F.sqrt("n"))
     width = F.lit(1.96) if method == "normal" else t_quantile(F.col("n") - 1)
     return stats.withColumn("se", se).select(
@@ -130,9 +134,7 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     sums = df.agg(*[_moments(c).alias(c) for c in columns])
     moments = sums.select(F.struct(*[
-        stat for c in columns for stat in (
-            exact.mean(F.col(c)["x"], F.col(c)["n"]).alias(f"{c}_mean"),
-            exact.sample_sd(F.col(c)["xx"], F.col(c)["x"], F.col(c)["n"]).alias(f"{c}_sd"))
+        stat.alias(f"{c}_{name}") for c in columns for name, stat in zip(("mean", "sd"), _mean_and_sd(c), strict=True)
     ]).alias("m")).scalar()
     out = df.withColumn("__m", moments).select(*df.columns, "__m.*")
     return out.withColumns({f"{c}_z": (F.col(c) - F.col(f"{c}_mean")) / F.col(f"{c}_sd") for c in columns})

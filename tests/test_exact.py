@@ -30,12 +30,11 @@ def table(spark):
 def moments(df):
     sums = df.groupBy("g").agg(
         F.count("v").alias("n"), exact.sum_digits("v").alias("v"), exact.product_digits("v", "v").alias("vv"),
-        exact.sum_digits(F.when(F.col("v").isNotNull(), F.col("w"))).alias("w"), exact.product_digits("v", "w").alias("vw"))
-    c, n = F.col, F.col("n")
+        exact.sum_digits("CASE WHEN v IS NOT NULL THEN w END").alias("w"), exact.product_digits("v", "w").alias("vw"))
     return {r["g"]: r for r in sums.select(
-        "g", "n", exact.as_double(c("v")).alias("sum"), exact.mean(c("v"), n).alias("mean"),
-        exact.comoment(c("vv"), c("v"), c("v"), n).alias("cvv"), exact.comoment(c("vw"), c("v"), c("w"), n).alias("cvw"),
-        exact.sample_sd(c("vv"), c("v"), n).alias("sd")).collect()}
+        "g", "n", exact.as_double("v").alias("sum"), exact.mean("v", "n").alias("mean"),
+        exact.comoment("vv", "v", "v", "n").alias("cvv"), exact.comoment("vw", "v", "w", "n").alias("cvw"),
+        exact.sample_sd("vv", "v", "n").alias("sd")).collect()}
 
 
 def test_sums_equal_rational_arithmetic(table):
