@@ -123,6 +123,12 @@ def _fit(spark, sf, model):
     return rows, cells, grid, gp.fit_curve(gp.standardised_cells(cells), grid, model)
 
 
+def hsgp_conditional(spark, sf):
+    _, cells, grid = M.curve_inputs(switch(spark, sf))
+    fit = gp.conditional_fit(gp.standardised_cells(cells), grid, M.CURVE_ADJUSTED, sigma=0.7, alpha=0.5, lscale=0.2)
+    return fit.select("variable", *[rounded(c, 5).alias(c) for c in ("mean", "sd", "log_evidence")])
+
+
 def hsgp_posterior(spark, sf):
     return gp.parameter_summary(spark, _fit(spark, sf, M.CURVE)[-1])
 
@@ -151,7 +157,7 @@ def predictive_interval_bl(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     cleaning_audit, model_registry_rows, design_cells, logit_cells, bayes_logit_grid, bayes_logit_flat, bayes_logit_centred, bayes_logit_number, linear_suffstats, bayes_linear,
-    effects_table, hsgp_basis, hsgp_cells, hsgp_posterior, hsgp_posterior_bl, gp_curve, predictive_interval,
+    effects_table, hsgp_basis, hsgp_cells, hsgp_conditional, hsgp_posterior, hsgp_posterior_bl, gp_curve, predictive_interval,
     predictive_interval_bl,
 )}
 
@@ -257,6 +263,30 @@ _WIDTH = "(SELECT 1.5e0 * max(abs(x)) FROM gx)"
 _GX = """gm AS (SELECT unnest(range(0, CAST(round((SELECT max(TAF_duration_fu) FROM sw)) AS BIGINT) + 1)) AS months),
 gx AS (SELECT CAST(months + 1 AS INTEGER) AS x_index, (months - (SELECT avg(months) FROM gm)) / (SELECT stddev_samp(months) FROM gm) AS x FROM gm)"""
 
+# One conditional fit: rows of the design, their Gram matrix scaled by the prior and bordered by the outcome, then
+# one sweep per coefficient.  What is left is minus the inverse, the solution, and the quadratic form.
+_SWEEPS = f"""fcr AS (SELECT TAF_fu AS e, CASE WHEN TAF_fu = 1 THEN CAST(round(TAF_duration_fu) AS INTEGER) + 1 ELSE 0 END AS x_index,
+    CAST(change_BMD_LS AS DOUBLE) AS y, CAST(BMD_LS_Z_bl AS DOUBLE) AS bl FROM sw
+    WHERE change_BMD_LS IS NOT NULL AND BMD_LS_Z_bl IS NOT NULL AND TAF_fu IS NOT NULL AND (TAF_fu = 0 OR TAF_duration_fu >= 0)),
+fcz AS (SELECT e, x_index, bl, (y - (SELECT avg(y) FROM fcr)) / (SELECT stddev_samp(y) FROM fcr) AS y FROM fcr),
+fcp AS (SELECT x_index, m, m * pi() / (2 * L) AS om, sin(m * pi() / (2 * L) * (x + L)) / sqrt(L) AS phi
+    FROM (SELECT x_index, x, {_WIDTH} AS L, unnest(range(1, 31)) AS m FROM gx)),
+fcb AS (SELECT x_index, list(phi ORDER BY m) AS phi FROM fcp GROUP BY x_index),
+fcd AS (SELECT list_concat([1e0, e, bl], list_concat(CASE WHEN e = 1 THEN phi ELSE list_transform(range(0, 30), lambda m: 0e0) END, [y])) AS d
+    FROM fcz LEFT JOIN fcb USING (x_index)),
+fcv AS (SELECT list_concat([5e0, 1e0, 1e0], list_concat(
+    (SELECT list(0.5e0 * sqrt(sqrt(2 * pi()) * 0.2e0 * exp(-0.02e0 * om * om)) ORDER BY m) FROM (SELECT DISTINCT m, om FROM fcp WHERE x_index = 1)),
+    [1e0])) AS v),
+fcg AS (SELECT i, j, sum(d[i] * d[j]) / 0.49e0 * any_value(v[i] * v[j]) + CASE WHEN i = j AND i < 34 THEN 1 ELSE 0 END AS g
+    FROM fcd, fcv, (SELECT unnest(range(1, 35)) AS i) ti, (SELECT unnest(range(1, 35)) AS j) tj GROUP BY i, j),
+fcm AS (SELECT list(r ORDER BY i) AS a FROM (SELECT i, list(g ORDER BY j) AS r FROM fcg GROUP BY i)),
+fcs AS (SELECT 0 AS k, a, 0e0 AS ld FROM fcm UNION ALL
+    SELECT k + 1, list_transform(range(1, 35), lambda i: list_transform(range(1, 35), lambda j: CASE
+        WHEN i = k + 1 AND j = k + 1 THEN -1 / a[k + 1][k + 1] WHEN i = k + 1 OR j = k + 1 THEN a[i][j] / a[k + 1][k + 1]
+        ELSE a[i][j] - a[i][k + 1] * a[k + 1][j] / a[k + 1][k + 1] END)), ld + ln(a[k + 1][k + 1])
+    FROM fcs WHERE k < 33)"""
+
+
 def _losses(models) -> str:
     parts = []
     for m in models:
@@ -306,6 +336,11 @@ ORACLES = {
     "hsgp_basis": o.on("sw", f"""SELECT x_index, CAST(m AS INTEGER) AS m, round(om, 6) AS omega, round(sin(om * (x + L)) / sqrt(L), 6) AS phi,
         round(0.25e0 * sqrt(2 * pi()) * 0.2e0 * exp(-0.5e0 * 0.04e0 * om * om), 6) AS density FROM (
         SELECT *, m * pi() / (2 * L) AS om FROM (SELECT x_index, x, {_WIDTH} AS L, unnest(range(1, 31)) AS m FROM gx))""", _GX),
+    "hsgp_conditional": o.on("sw", """SELECT CASE i WHEN 1 THEN 'beta0' WHEN 2 THEN 'beta_TAF' WHEN 3 THEN 'beta_bl'
+        ELSE concat('beta_f[', CAST(i - 3 AS VARCHAR), ']') END AS variable,
+        round(a[i][34] * v[i], 5) AS mean, round(sqrt(-a[i][i]) * v[i], 5) AS sd,
+        round(-0.5e0 * (ld + a[34][34] + (SELECT count(*) FROM fcz) * ln(2 * pi() * 0.49e0)), 5) AS log_evidence
+        FROM fcs, fcv, (SELECT unnest(range(1, 34)) AS i) WHERE k = 33""", _GX, _SWEEPS).replace("WITH ", "WITH RECURSIVE ", 1),
     "hsgp_cells": o.on("sw", """SELECT TAF_fu AS exposed, CASE WHEN TAF_fu = 1 THEN CAST(round(TAF_duration_fu) AS INTEGER) + 1 ELSE 0 END AS x_index,
         count(*) AS n, round(sum(change_BMD_LS), 4) AS sy, round(sum(change_BMD_LS * change_BMD_LS), 4) AS syy,
         round(sum(BMD_LS_Z_bl), 4) AS sx, round(sum(BMD_LS_Z_bl * BMD_LS_Z_bl), 4) AS sxx, round(sum(BMD_LS_Z_bl * change_BMD_LS), 4) AS sxy

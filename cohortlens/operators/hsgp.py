@@ -2,7 +2,8 @@
 
 All subjects reduce to one cell per (on drug, month), the cells to one Gram matrix whose size only
 depends on the number of basis functions.  Given noise, amplitude and length scale the model is
-linear with a normal prior, so the posterior is a weighted grid of normal distributions: means and
+linear with a normal prior, so the posterior is a weighted set of normal distributions at the nodes of an adaptive
+quadrature, which refines until the evidence is known to ``CurveModel.tolerance``: means and
 quantiles follow from it in closed form or by root finding, no sampler is run, and nothing grows with the number of subjects after the cells.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cohortlens.functions import exact
+from cohortlens.operators import quadrature
 
 
 @dataclass(frozen=True)
@@ -40,7 +42,8 @@ class CurveModel:
     sigma_sd: float = 1.0
     alpha_sd: float = 0.5
     lscale_sd: float = 0.2
-    points: tuple[int, int, int] = field(default=(15, 14, 14))  # sigma, alpha, lscale
+    tolerance: float = 1e-3  # relative error of the evidence at which the quadrature stops
+    points: tuple[int, int, int] = field(default=(15, 14, 14))  # sigma, alpha, lscale of the plain grid
 
 
 def grid_index(duration: Column) -> Column:
@@ -211,6 +214,19 @@ def _conditional(p: _Problem, sigma: float, alpha: float, lscale: float):
     return evidence, mean, factor
 
 
+def conditional_fit(z_cells: DataFrame, grid: DataFrame, model: CurveModel, sigma: float, alpha: float, lscale: float) -> DataFrame:
+    """Mean and SD of every coefficient, and the log evidence, at given noise, amplitude and length scale.
+
+    ``beta_f[m]`` is the basis function's own coefficient, with its prior's scale in it.
+    """
+    _, x_max = _check_grid(grid)
+    problem = _problem(gram_matrix(gram(z_cells, grid, model), model), model, _width(x_max, model))
+    evidence, mean, factor = _conditional(problem, sigma, alpha, lscale)
+    sd = np.sqrt((factor**2).sum(1))
+    out = [(name, float(m), float(s), float(evidence)) for name, m, s in zip(_names(problem, model), mean, sd, strict=True)]
+    return z_cells.sparkSession.createDataFrame(out, "variable string, mean double, sd double, log_evidence double")
+
+
 def log_evidence(matrix: np.ndarray, model: CurveModel, width: float, sigma: float, alpha: float, lscale: float) -> float:
     return _conditional(_problem(matrix, model, width), sigma, alpha, lscale)[0]
 
@@ -240,8 +256,48 @@ def _check_grid(grid: DataFrame) -> tuple[int, float]:
     return months, x_max
 
 
+def _sigma_range(p: _Problem, model: CurveModel) -> tuple[float, float]:
+    """Logarithms of noise between which the posterior lies: eight of its SDs around the residuals, with room for shrinkage."""
+    if p.n < 2:
+        return math.log(1e-3 * model.sigma_sd), math.log(5 * model.sigma_sd)
+    ridge = p.G + 1e-6 * max(p.n, 1.0) * np.eye(len(p.g))
+    residual = max(p.yy - p.g @ np.linalg.solve(ridge, p.g), 1e-9 * p.yy, 1e-12) / p.n
+    centre, spread = math.log(residual) / 2, 8 / math.sqrt(2 * p.n)
+    return centre - spread, centre + spread + min(len(p.g) / p.n, 1.0)
+
+
+_REACH = 5.0  # prior SDs of alpha and lscale that are covered; beyond lies less than 1e-6 of the prior
+_START = (8, 3, 3)  # first cells of log sigma, alpha, lscale
+
+
+def posterior_nodes(spark: SparkSession, matrix: np.ndarray, model: CurveModel, width: float) -> quadrature.Integral:
+    """Posterior of (log sigma, alpha, lscale) by adaptive quadrature; ``log_value`` is the log evidence."""
+    p = _problem(matrix, model, width)
+    sds = np.array([model.sigma_sd, model.alpha_sd, model.lscale_sd])
+    constant = float(np.log(2 / (sds * math.sqrt(2 * math.pi))).sum())  # half-normal priors
+
+    def log_density(at: np.ndarray) -> float:
+        sigma, alpha, lscale = math.exp(at[0]), at[1], at[2]
+        prior = constant - 0.5 * float((np.array([sigma, alpha, lscale]) / sds) @ (np.array([sigma, alpha, lscale]) / sds))
+        return _conditional(p, sigma, alpha, lscale)[0] + prior + at[0]  # d sigma = sigma d log sigma
+
+    low, high = _sigma_range(p, model)
+    return quadrature.integrate(
+        spark, log_density, (low, 0.0, 0.0), (high, _REACH * model.alpha_sd, _REACH * model.lscale_sd), _START, model.tolerance)
+
+
+def _width(x_max: float, model: CurveModel) -> float:
+    return model.boundary if model.boundary is not None else max(x_max, 1e-6) * model.factor
+
+
+def _names(p: _Problem, model: CurveModel) -> list[str]:
+    """Coefficients in column order."""
+    fixed = ["beta0", "beta_TAF", *(["beta_bl"] if p.adjusted else [])]
+    return fixed + [f"beta_f[{m}]" for m in range(1, model.basis + 1)]
+
+
 def posterior_grid(spark, matrix: np.ndarray, model: CurveModel, width: float) -> DataFrame:
-    """One row per (sigma, alpha, lscale) with its normalised posterior weight."""
+    """One row per (sigma, alpha, lscale) of a plain grid with its normalised posterior weight."""
     p = _problem(matrix, model, width)
     sigmas = _sigma_points(p, model)
     na, nl = model.points[1:]
@@ -267,15 +323,16 @@ def posterior_grid(spark, matrix: np.ndarray, model: CurveModel, width: float) -
     return raised.withColumn("weight", F.col("w") / F.sum("w").over(whole)).drop("w", "lp")
 
 
-NEGLIGIBLE = 1e-8  # grid points that together weigh less than this are left out of the mixture
+NEGLIGIBLE = 1e-8  # nodes that together weigh less than this are left out of the mixture
 
 
 @dataclass(frozen=True)
 class CurvePosterior:
-    """Weighted normal distributions of the coefficients, one per grid point of (sigma, alpha, lscale).
+    """Weighted normal distributions of the coefficients, one per node of (sigma, alpha, lscale).
 
-    ``points`` has at most ``prod(model.points)`` rows ``sigma, alpha, lscale, weight``, however many
-    subjects or months there are; tasks rebuild the coefficients of each point from it.
+    ``points`` has rows ``sigma, alpha, lscale, weight``, as many as the quadrature's tolerance asks for, however many
+    subjects or months there are; tasks rebuild the coefficients of each point from it.  ``integral`` keeps the log
+    evidence and its relative error.
     """
 
     problem: _Problem
@@ -283,11 +340,11 @@ class CurvePosterior:
     width: float
     months: int
     points: np.ndarray
+    integral: quadrature.Integral
 
     @property
     def names(self) -> list[str]:
-        fixed = ["beta0", "beta_TAF", *(["beta_bl"] if self.problem.adjusted else [])]
-        return fixed + [f"beta_f[{m}]" for m in range(1, self.model.basis + 1)]
+        return _names(self.problem, self.model)
 
     def densities(self) -> np.ndarray:
         """Spectral density by grid point and basis function."""
@@ -308,16 +365,17 @@ class CurvePosterior:
 
 
 def fit_curve(z_cells: DataFrame, grid: DataFrame, model: CurveModel) -> CurvePosterior:
-    """Posterior of the curve; only the Gram matrix and the hyper-parameter grid reach the driver."""
+    """Posterior of the curve; only the Gram matrix and the quadrature's nodes reach the driver."""
     months, x_max = _check_grid(grid)
-    width = model.boundary if model.boundary is not None else max(x_max, 1e-6) * model.factor
+    width = _width(x_max, model)
     matrix = gram_matrix(gram(z_cells, grid, model), model)
-    table = posterior_grid(z_cells.sparkSession, matrix, model, width)
-    points = np.array([tuple(r) for r in table.select("sigma", "alpha", "lscale", "weight").orderBy("h").collect()])
-    heavy = points[np.argsort(-points[:, 3], kind="stable")]
+    integral = posterior_nodes(z_cells.sparkSession, matrix, model, width)
+    nodes, weight = integral.nodes, integral.weight
+    points = np.column_stack([np.exp(nodes[:, 0]), nodes[:, 1:], weight])
+    heavy = points[np.lexsort((nodes[:, 2], nodes[:, 1], nodes[:, 0], -weight))]
     kept = heavy[: 1 + np.searchsorted(np.cumsum(heavy[:, 3]), 1 - NEGLIGIBLE)]
     kept[:, 3] /= kept[:, 3].sum()
-    return CurvePosterior(_problem(matrix, model, width), model, width, months, kept)
+    return CurvePosterior(_problem(matrix, model, width), model, width, months, kept, integral)
 
 
 _STEP = 1 / 256
@@ -373,17 +431,8 @@ def mixture_quantiles(mean: np.ndarray, sd: np.ndarray, weight: np.ndarray, prob
             return at
 
 
-def _grid_quantiles(values: np.ndarray, weight: np.ndarray, probs: tuple[float, ...]) -> np.ndarray:
-    """Quantiles of one hyper-parameter: its weight is even within each cell of the grid."""
-    points, place = np.unique(values, return_inverse=True)
-    mass = np.bincount(place, weight)
-    middle = (points[1:] + points[:-1]) / 2
-    edges = np.r_[max(0.0, 2 * points[0] - middle[0]), middle, 2 * points[-1] - middle[-1]] if len(points) > 1 else np.repeat(points, 2)
-    return np.interp(probs, np.r_[0.0, np.cumsum(mass)] / mass.sum(), edges)
-
-
 def parameter_summary(spark: SparkSession, fit: CurvePosterior) -> DataFrame:
-    """Mean, SD, median, 95% interval and share below 0 of every parameter: a fixed number of rows."""
+    """Mean, SD, median, 95% interval and share below 0 of every parameter, and the evidence's log and relative error."""
     weight, k = fit.points[:, 3], len(fit.names) - fit.model.basis
     means, covariances = fit.coefficients()
     sds = np.sqrt(np.diagonal(covariances, axis1=1, axis2=2))
@@ -404,10 +453,12 @@ def parameter_summary(spark: SparkSession, fit: CurvePosterior) -> DataFrame:
     ]
     for i, name in enumerate(("sigma", "alpha", "lscale")):
         v = fit.points[:, i]
-        q = _grid_quantiles(v, weight, probs)
+        q = quadrature.quantiles(fit.integral.low[:, i], fit.integral.high[:, i], fit.integral.weight, probs)
+        q = np.exp(q) if name == "sigma" else q
         out.append((name, float(v @ weight), float(np.sqrt(max(v**2 @ weight - (v @ weight) ** 2, 0.0))), *map(float, q), 0.0))
     schema = "variable string, mean double, sd double, lower double, median double, upper double, p_below double"
-    return spark.createDataFrame(out, schema)
+    evidence = {"log_evidence": F.lit(fit.integral.log_value), "evidence_error": F.lit(fit.integral.error)}
+    return spark.createDataFrame(out, schema).withColumns(evidence)
 
 
 def _chunks(batches: Iterator[pd.DataFrame], rows: int = 16) -> Iterator[pd.DataFrame]:
