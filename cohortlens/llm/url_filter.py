@@ -4,9 +4,13 @@ A rule names a host and a path start; it fits the host and its subdomains, and t
 decides.  The trees learn from labelled URLs (by default those that a rule decides) and judge the
 rest.  Features: lengths, depth, digit ratio, entropy, parameter counts, and smoothed block rates of
 the URL's top-level label, its first path part and its last path part's shape ("suffix statistics").
-Suffix rates come from all labelled URLs; the trees are fitted on at most ``TRAIN_ROWS`` of them.
+Suffix rates come from all labelled URLs.  A labelled URL's own rates leave out its fold of the URLs, itself
+included: otherwise a suffix of one URL would give its label away, and the trees would read it from there.
+The trees are fitted on labelled pages drawn by a hash, ``TRAIN_ROWS`` of them on average; pages of one URL are one
+weighted row, so a hot URL takes a part of the sample's weight and one of its rows.
 
-Defined cases: a null URL, or one without ``://``, has an empty host and path; without labels
+Defined cases: a null URL, or one without ``://``, has an empty host and path; of equally long fitting rules
+the later one decides; without labels
 of both kinds the model gives the only kind there is, or ``allow``; repeated rows get equal rows;
 an empty table gives an empty result; other columns are not looked at.  Very long URLs are read whole.
 """
@@ -34,6 +38,7 @@ RULES = (
 )
 TRAIN_ROWS = 200_000
 TREES, DEPTH, STEP = 20, 4, 0.2
+FOLDS = 8  # of URLs, for the rates of labelled ones
 SMOOTHING = 20.0  # labelled URLs that the overall rate counts for in a suffix rate
 
 SUFFIXES = ("top", "site", "first_part", "last_shape", "query_keys")
@@ -93,12 +98,28 @@ def lexical_features(pages: DataFrame) -> DataFrame:
 
 
 def _rates(features: DataFrame, base: float) -> dict[str, DataFrame]:
-    """Per suffix column: share of blocked labelled URLs, drawn towards the overall share."""
+    """Per suffix column: share of blocked labelled URLs, drawn towards the overall share; ``of_all`` and, leaving out one fold
+    each, ``without``."""
     known = features.where("label IS NOT NULL")
-    return {
-        c: known.groupBy(c).agg(((F.sum("label") + SMOOTHING * base) / (F.count("label") + SMOOTHING)).alias(f"rate_{c}"))
-        for c in SUFFIXES
-    }
+
+    def rate(blocked: Column, n: Column) -> Column:
+        return (blocked + SMOOTHING * base) / (n + SMOOTHING)
+
+    out = {}
+    for c in SUFFIXES:
+        inside = [F.when(F.col("fold") == k, F.col("label")) for k in range(FOLDS)]
+        without = [rate(F.sum("label") - F.coalesce(F.sum(x), F.lit(0.0)), F.count("label") - F.count(x)) for x in inside]
+        out[c] = known.groupBy(c).agg(rate(F.sum("label"), F.count("label")).alias("of_all"), F.array(*without).alias("without"))
+    return out
+
+
+def _with_rates(features: DataFrame, base: float) -> DataFrame:
+    """``rate_*`` columns: without their own fold for labelled URLs, of all labelled URLs for the others."""
+    def joined(df: DataFrame, item: tuple[str, DataFrame]) -> DataFrame:
+        own = F.when(F.col("label").isNotNull(), F.col("without")[F.col("fold")]).otherwise(F.col("of_all"))
+        return df.join(item[1], item[0], "left").withColumn(f"rate_{item[0]}", F.coalesce(own, F.lit(base))).drop("of_all", "without")
+
+    return reduce(joined, _rates(features, base).items(), features)
 
 
 def judge(pages: DataFrame, rules: tuple = RULES, labels: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -116,24 +137,26 @@ def judge(pages: DataFrame, rules: tuple = RULES, labels: DataFrame | None = Non
     else:
         one = labels.groupBy(F.col("page_id").alias("__p")).agg(F.max("label").cast("double").alias("label"))
         known = ruled.join(one, ruled["page_id"] == one["__p"], "left").drop("__p")
-    features = materialise(lexical_features(known), "url-features")
+    fold = F.pmod(F.xxhash64("url", F.lit(5)), F.lit(FOLDS)).cast("int")
+    features = materialise(lexical_features(known).withColumn("fold", fold), "url-features")
     n, blocked = features.agg(F.count("label"), F.sum("label")).first()
     if not n or blocked in (0, n):
         score = F.lit(1.0 if n and blocked else 0.0)
         scored = features.withColumn("score", score)
     else:
-        full = reduce(
-            lambda df, item: df.join(item[1], item[0], "left").fillna(blocked / n, [f"rate_{item[0]}"]),
-            _rates(features, blocked / n).items(), features,
-        )
+        full = _with_rates(features, blocked / n)
         columns = [*NUMBERS, *(f"rate_{c}" for c in SUFFIXES)]
         vectors = materialise(VectorAssembler(inputCols=columns, outputCol="v").transform(full).select(
-            "page_id", "host", "path", "rule", "given", "label", vector_to_array("v").alias("a"), F.xxhash64("url").alias("h")
+            "page_id", "host", "path", "rule", "given", "label", vector_to_array("v").alias("a"), F.xxhash64("url").alias("h"),
+            F.xxhash64("page_id", "url").alias("draw"),
         ), "url-vectors")
         packed = _as_vectors(vectors, len(columns))
-        share = min(1.0, train_rows / n)
-        train = packed.where("label IS NOT NULL").where(F.pmod("h", F.lit(1_000_000)) < int(share * 1_000_000)).select("label", "v")
-        model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7).fit(train)
+        taken = F.col("draw") / F.lit(2.0**64) + 0.5 <= train_rows / n
+        one = vectors.where("label IS NOT NULL").where(taken).groupBy("h", "label").agg(
+            F.first("a").alias("a"), F.count(F.lit(1)).cast("double").alias("rows"))
+        train = _as_vectors(one, len(columns)).select("label", "rows", "v")
+        model = GBTClassifier(
+            featuresCol="v", labelCol="label", weightCol="rows", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=7).fit(train)
         scored = model.transform(packed).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce("given", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
