@@ -2,7 +2,8 @@
 
 A text is normalised to its words.  One pass of a keyword automaton tells which rules can match at all;
 only those regexes run.  Detections are taken in order of priority, then length; one whose words
-lie inside those of a detection taken before is suppressed.  What stays gives the labels, and
+lie inside those of a detection taken before is suppressed.  A grant that the text denies ("not licensed under")
+suppresses likewise and gives nothing itself.  What stays gives the labels, and
 one minus the product of the doubts of the different labels gives the score.
 
 Defined cases: null and empty texts have no words, no labels and score 0; repeated rows give equal
@@ -97,7 +98,7 @@ def _scan(rows: Iterator[tuple]) -> Iterator[tuple]:
         base = sorted(d.start for d in found if d.rule.base)
         spaces = [m.start() for m in re.finditer(" ", plain)] if found else []
         word_at = lambda place: bisect.bisect_left(spaces, place)
-        kept = suppress(found)
+        kept = [d for d in suppress(found) if d.rule.label]
         doubt: dict[str, float] = {}
         for d in kept:
             doubt[d.rule.label] = min(doubt.get(d.rule.label, 1.0), 1 - d.rule.weight)
