@@ -1,13 +1,14 @@
 """Exact quantiles per group by distributed selection, whatever the size of the groups.
 
-Every wanted rank is found by three exact histogram counts, one plan for every size:
+Every wanted rank is found by three exact histogram counts, the same for every size:
 
 1. all values are counted in bins of equal ratio (``BINS`` to the octave, mirrored for negative values), which needs
    no look at the data first; running counts over the bins tell in which bin a rank lies;
 2. the values of those bins are counted in ``SPLITS`` equal steps between the smallest and the largest value met;
 3. the distinct values of the one step that holds the rank are counted.
 
-Counts are mergeable aggregates; nothing is sorted but bins of a group (a few thousand for each octave
+The rows are met twice and never shuffled: the histogram and the values of the chosen bins are written, and the chosen bins
+reach the rows by a broadcast if they are few (``small_side``).  Counts are mergeable aggregates; nothing is sorted but bins of a group (a few thousand for each octave
 its values span), steps of a bin (at most ``SPLITS``) and distinct values of a step.  Doubles of one bin are equally spaced, 2^42 of
 them at most, so a step has no more than about 2^22 distinct values even if every double occurs.
 """
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cohortlens.runtime import null_safe_join
+from cohortlens.runtime import materialise, null_safe_join, small_side
 
 BINS = 1_024
 SPLITS = 1 << 20
@@ -42,15 +43,16 @@ def group_quantiles(
     data = df.select(*by, F.col(value).cast("double").alias("__v"))
     data = data.withColumn("__bin", _bin(F.col("__v"), max(bins, 1)))
 
-    histogram = data.groupBy(*by, "__bin").agg(
-        F.count("__v").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    histogram = materialise(data.groupBy(*by, "__bin").agg(
+        F.count("__v").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")), "histogram")
     sized = histogram.withColumn("n", F.sum("__c").over(W.partitionBy(*by))).withColumn("__want", _ranks(F.col("n"), probs))
     chosen = _holding(sized, by, "__bin").select(*by, "n", "__bin", "__lo", "__hi", "__want")
 
-    inside = null_safe_join(data, chosen, [*by, "__bin"])
+    inside = null_safe_join(data, small_side(chosen), [*by, "__bin"])
     v, lo, hi = F.col("__v"), F.col("__lo"), F.col("__hi")
     step = F.when(hi > lo, F.least(F.floor((v - lo) / (hi - lo) * SPLITS), F.lit(SPLITS - 1))).otherwise(F.lit(0))
-    values = inside.groupBy(*by, "n", "__bin", "__want", step.alias("__step"), "__v").agg(F.count(F.lit(1)).alias("__c"))
+    values = materialise(
+        inside.groupBy(*by, "n", "__bin", "__want", step.alias("__step"), "__v").agg(F.count(F.lit(1)).alias("__c")), "bin_values")
     steps = values.groupBy(*by, "n", "__bin", "__want", "__step").agg(F.sum("__c").alias("__c"))
     narrow = _holding(steps, [*by, "__bin"], "__step").select(*by, "n", "__bin", "__step", "__want")
 

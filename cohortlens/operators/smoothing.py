@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions import exact
 from cohortlens.operators.quantiles import group_quantiles
-from cohortlens.runtime import null_safe_join
+from cohortlens.runtime import null_safe_join, small_side
 
 
 def smoothed_trend(df: DataFrame, x: str, y: str, width: float = 1.0, reach: int = 12, by: Sequence[str] = ()) -> DataFrame:
@@ -85,6 +85,7 @@ def kernel_density(df: DataFrame, by: Sequence[str], value: str, points: int = 1
     scale = null_safe_join(sums, q, by).withColumn("__h", rule_of_thumb(sd, F.col("q")[0], F.col("q")[1], n)).withColumn(
         "__from", F.col("__min") - cut * F.col("__h")).select(
         *by, "__n", "__h", "__from", ((F.col("__max") + cut * F.col("__h") - F.col("__from")) / (points - 1)).alias("__step"))
+    scale = small_side(scale)  # a shuffle by group would bring all values of a group to one task
     at = (F.col("__v") - F.col("__from")) / F.col("__step")
     left = F.least(F.floor(at), F.lit(points - 2))
     shares = F.array(
