@@ -9,6 +9,7 @@ from cohortlens.catalog.common import CONFIG, cleaned, risk, rounded
 from cohortlens.config import RunConfig
 from cohortlens.operators import tables as T
 from cohortlens.operators.logit import logit_cells
+from cohortlens.operators.ordering import range_parts
 from cohortlens.operators.posterior import exceedance, to_long
 from cohortlens.operators.registry import LOGISTIC
 from cohortlens.oracle import base as o
@@ -78,7 +79,8 @@ def draws_by_file(spark, sf):
     wide = standins.draws_wide(spark, sf)
     path = new_path(spark, "chains")
     columns = [*standins.DRAW_VARIABLES, "divergent"]
-    ordered = wide.repartitionByRange("iteration").sortWithinPartitions("chain", "iteration").select("chain", *columns)
+    parts = range_parts(wide)
+    ordered = wide.repartitionByRange(*([parts] if parts else []), "iteration").sortWithinPartitions("chain", "iteration").select("chain", *columns)
     ordered.write.partitionBy("chain").option("header", True).csv(path)
     return read_draws(spark, f"{path}/*/*.csv", columns, standins.DRAW_VARIABLES)
 

@@ -9,31 +9,41 @@ from pyspark.sql import functions as F
 from cohortlens.runtime import materialise, null_safe_join, small_side
 
 # monotonically_increasing_id keeps the partition in the upper bits and the row in the lower 33.
-_ROW_BITS = 33
+ROW_BITS = 33
+PART_ROWS = 2_000_000
 
 
-def _in_order(df: DataFrame, order: list[Column | str]) -> DataFrame:
+def range_parts(scan: DataFrame) -> int | None:
+    """Number of range partitions that keeps a sort at ``PART_ROWS`` rows a task; None while the session's own number does.
+
+    Counts the rows, so it suits tables that are only scanned.
+    """
+    parts = -(-scan.count() // PART_ROWS)
+    return parts if parts > int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def _in_order(df: DataFrame, order: list[Column | str], parts: int | None = None) -> DataFrame:
     """Range-partitioned, sorted and written, with ``__part`` and ``__at`` telling the place.
 
     The write fixes the placement: later passes must all see the same partition bounds, also when
     an executor was lost between them.
     """
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = df.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
     table = materialise(placed.withColumn("__id", F.monotonically_increasing_id()), "ordered")
     return table.select(
         *df.columns,
-        F.shiftright("__id", _ROW_BITS).alias("__part"),
-        F.col("__id").bitwiseAND((1 << _ROW_BITS) - 1).alias("__at"),
+        F.shiftright("__id", ROW_BITS).alias("__part"),
+        F.col("__id").bitwiseAND((1 << ROW_BITS) - 1).alias("__at"),
     )
 
 
-def number_rows(df: DataFrame, order: list[Column | str], name: str = "row_id") -> DataFrame:
+def number_rows(df: DataFrame, order: list[Column | str], name: str = "row_id", parts: int | None = None) -> DataFrame:
     """Number all rows 1..N in the given total order.
 
     ``order`` should end in a unique column, so that equal leading keys still spread over
     partitions.  The only window runs over one row per partition.
     """
-    placed = _in_order(df, order)
+    placed = _in_order(df, order, parts)
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.operators.ordering import number_rows
+from cohortlens.operators.ordering import number_rows, range_parts
 from cohortlens.runtime import materialise
 
 VISIT_VALUES = """
@@ -154,7 +154,7 @@ def draws_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         items = table(spark, sf_dir, "lineitem").select(*DRAW_ORDER)
         at = F.col("row_id") - 1
-        return number_rows(items, DRAW_ORDER).select(
+        return number_rows(items, DRAW_ORDER, parts=range_parts(items)).select(
             (at % DRAW_CHAINS + 1).cast("int").alias("chain"),
             F.floor(at / DRAW_CHAINS + 1).cast("long").alias("iteration"),
             F.col("row_id").alias("draw"),

@@ -1,8 +1,11 @@
 """Steps whose tasks must not grow with a group or with the whole table."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from cohortlens.operators import ordering
 from cohortlens.operators.smoothing import kernel_density
+from cohortlens.sources import draws
 
 
 @pytest.fixture
@@ -16,3 +19,39 @@ def test_density_does_not_bring_a_group_to_one_task(spark, no_automatic_broadcas
     values = spark.range(500).selectExpr("CAST(id % 2 AS STRING) AS g", "id / 7.0 AS v")
     plan = kernel_density(values, ["g"], "v", points=16)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def _files(spark, path):
+    rows = spark.range(300).selectExpr("CAST(id AS DOUBLE) AS a", "CAST(id % 2 + 1 AS INT) AS chain")
+    rows.repartitionByRange(3, "a").sortWithinPartitions("a").write.partitionBy("chain").option("header", True).csv(path)
+
+
+def test_rows_of_chain_files_are_numbered_without_sorting_them(spark, tmp_path, monkeypatch):
+    _files(spark, str(tmp_path / "d"))
+
+    def refuse(*_):
+        raise AssertionError("the rows are sorted")
+
+    monkeypatch.setattr(draws, "number_rows", refuse)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100")  # several blocks to a file
+    try:
+        got = draws.read_chain_files(spark, f"{tmp_path}/d/*/*.csv", ["a"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["chain"], r["iteration"], r["a"]) for r in got) == [
+        (c + 1, i + 1, float(2 * i + c)) for c in range(2) for i in range(150)]
+
+
+def test_a_file_named_twice_is_numbered_twice(spark, tmp_path):
+    _files(spark, str(tmp_path / "d"))
+    paths = sorted(map(str, (tmp_path / "d" / "chain=1").glob("*.csv")))
+    rows = draws.read_chain_files(spark, [*paths, *paths], ["a"]).collect()
+    assert sorted(r["iteration"] for r in rows) == list(range(1, 301))
+
+
+def test_large_scans_are_sorted_in_more_parts(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "PART_ROWS", 10)
+    items = spark.range(1000)
+    assert ordering.range_parts(items) == 100 and ordering.range_parts(spark.range(20)) is None
+    got = ordering.number_rows(items, ["id"], parts=ordering.range_parts(items))
+    assert got.where(F.col("row_id") != F.col("id") + 1).isEmpty() and got.count() == 1000
