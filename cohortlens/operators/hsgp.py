@@ -356,6 +356,21 @@ class CurvePosterior:
         fits = [_conditional(self.problem, *point[:3])[1:] for point in self.points]
         return np.array([mean for mean, _ in fits]), np.array([factor @ factor.T for _, factor in fits])
 
+    def variance_terms(self, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Means at every grid point, and what makes variances: ``(d[:, i] * d[:, j]) @ terms`` for designs ``d``.
+
+        ``terms`` has a row per pair of coefficients from ``first`` on, each pair once, and a column per grid point; it
+        is filled point by point, so a task holds no second copy of the covariances.
+        """
+        size, points = len(self.names), len(self.points)
+        i, j = np.triu_indices(size - first)
+        twice = np.where(i == j, 1.0, 2.0)
+        means, terms = np.empty((points, size)), np.empty((len(i), points))
+        for k, point in enumerate(self.points):
+            _, means[k], factor = _conditional(self.problem, *point[:3])
+            terms[:, k] = (factor @ factor.T)[first + i, first + j] * twice
+        return means, terms, i, j
+
     def on_curve(self, x_index: np.ndarray) -> np.ndarray:
         """Basis values at places of the monthly grid; zero off the curve (place 0)."""
         n = self.months
@@ -476,13 +491,12 @@ def curve_summary(grid: DataFrame, fit: CurvePosterior, m_y: float, sd_y: float)
     """The curve on the data scale per month of the grid: mean, median and 95% interval."""
 
     def summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        means, covariances = fit.coefficients()
         m, weight = fit.model.basis, fit.points[:, 3]
-        flat = covariances[:, -m:, -m:].reshape(len(weight), m * m).T
+        means, terms, i, j = fit.variance_terms(len(fit.names) - m)
         for part in _chunks(batches):
             phi = fit.on_curve(part["x_index"].to_numpy())
             mean = phi @ means[:, -m:].T
-            var = (phi[:, :, None] * phi[:, None, :]).reshape(len(part), m * m) @ flat
+            var = (phi[:, i] * phi[:, j]) @ terms
             q = mixture_quantiles(mean, np.sqrt(np.maximum(var, 1e-24)), weight, (0.025, 0.5, 0.975)) * sd_y + m_y
             yield pd.DataFrame({
                 "x_index": part["x_index"], "months": part["months"], "mean": mean @ weight * sd_y + m_y,
@@ -504,22 +518,21 @@ def predictive_intervals(rows: DataFrame, fit: CurvePosterior, m_y: float, sd_y:
     keys = ["exposed", "x_index", *(["x_bl"] if uses_bl else [])]
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        means, covariances = fit.coefficients()
-        weight, size = fit.points[:, 3], means.shape[1]
-        flat, noise = covariances.reshape(len(weight), size * size).T, fit.points[:, 0] ** 2
+        means, terms, i, j = fit.variance_terms()
+        weight, noise = fit.points[:, 3], fit.points[:, 0] ** 2
         for part in _chunks(batches):
             on = part["exposed"].to_numpy(float)[:, None]
             bl = part["x_bl"].to_numpy(float)[:, None] if uses_bl else np.zeros_like(on)
             phi = fit.on_curve(part["x_index"].to_numpy()) * on
             design = np.column_stack([np.ones_like(on), on, *([bl] if fit.problem.adjusted else []), phi])
-            var = (design[:, :, None] * design[:, None, :]).reshape(len(part), size * size) @ flat
+            var = (design[:, i] * design[:, j]) @ terms
             var = np.maximum(var, 0.0) + noise
             if uses_bl and not fit.problem.adjusted:
                 var = var + (bl * fit.model.baseline_sd) ** 2
             q = mixture_quantiles(design @ means.T, np.sqrt(var), weight, probs) * sd_y + m_y
             out = part[keys].copy()
-            for i, name in enumerate(("cl", "il", "m", "iu", "cu")):
-                out[name] = q[:, i]
+            for at, name in enumerate(("cl", "il", "m", "iu", "cu")):
+                out[name] = q[:, at]
             yield out
 
     schema = ", ".join(["exposed int", "x_index int", *(["x_bl double"] if uses_bl else []), *[f"{c} double" for c in ("cl", "il", "m", "iu", "cu")]])

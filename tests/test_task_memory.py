@@ -1,9 +1,12 @@
 """Steps whose tasks must not grow with a group or with the whole table."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.operators import ordering, posterior
+from cohortlens.operators import hsgp, ordering, posterior
 from cohortlens.operators.smoothing import kernel_density
 from cohortlens.sources import draws
 
@@ -77,3 +80,19 @@ def test_diagnostics_join_the_draws_once_and_look_at_few_lags_first(spark, no_au
     assert len(found) == 1 and found[0]["rhat"] < 1.05 and found[0]["ess_bulk"] > 2000
     assert plans["normal_scores"].count("SortMergeJoin") == 1
     assert reached == [posterior.FIRST_LAGS - 1]
+
+
+def test_variances_of_the_curve_are_held_once():
+    rng = np.random.default_rng(5)
+    x = np.column_stack([np.ones(200), rng.normal(size=(200, 11))])
+    problem = hsgp._Problem(x.T @ x, x.T @ rng.normal(size=200), 200.0, 200.0, np.ones(2), np.arange(1, 11) / 3.0, False)
+    points = np.column_stack([np.linspace(0.5, 1.5, 800), np.full(800, 0.5), np.linspace(0.1, 0.4, 800), np.full(800, 1 / 800)])
+    fit = hsgp.CurvePosterior(problem, hsgp.CurveModel(basis=10), 2.0, 12, points, None)
+    tracemalloc.start()
+    means, terms, i, j = fit.variance_terms()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want, covariances = fit.coefficients()
+    design = rng.normal(size=(3, 12))
+    assert peak < 0.8 * covariances.nbytes
+    assert np.allclose(means, want) and np.allclose((design[:, i] * design[:, j]) @ terms, np.einsum("ra,kab,rb->rk", design, covariances, design))
